@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, spm_codec, token_counts
+from . import mixing, near_dups, pu_quality, quality_rules, rans_codec, spm_codec, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_near_dups": near_dups.op2_near_dups,
+        "op3_rans_tokens": rans_codec.op3_rans_tokens,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_sentencepiece": spm_codec.op9_sentencepiece,
+        "op10_pu_quality": pu_quality.op10_pu_quality,
     }
 
 
