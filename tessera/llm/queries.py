@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dups, pu_quality, quality_rules, rans_codec, spm_codec, token_counts
+from . import chunk_store, mixing, near_dups, pu_quality, quality_rules, rans_codec, spm_codec, token_counts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_near_dups": near_dups.op2_near_dups,
         "op3_rans_tokens": rans_codec.op3_rans_tokens,
+        "op4_chunk_media": chunk_store.op4_chunk_media,
         "op6_token_counts": token_counts.op6_token_counts,
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_sentencepiece": spm_codec.op9_sentencepiece,
