@@ -1,10 +1,16 @@
-"""The corpus pipeline: each stage's rows are written as Parquet and reread by the next."""
+"""The corpus pipeline: each stage's rows are written as Parquet and reread as the next one's documents.
+
+Quality rules drop what they reject; near-duplicate groups keep their least doc_id; passages of 50
+words or more that an earlier document has are cut; sources are mixed to their target weights, which
+drops some rows and repeats others; what is left is encoded. A document that the mix repeats comes
+out once for each copy.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality_rules, spm_codec
+from tessera.llm import mixing, near_dups, quality_rules, spm_codec, substring_dedup
 from tessera.llm.common import documents, materialize
 from tessera.session import ship
 
@@ -13,6 +19,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dups.keep_first(docs)
+
+
+def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.strip_repeats(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
@@ -21,7 +35,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return spm_codec.digests(docs)
 
 
-STAGES = [("quality rules", quality), ("mixing", mix), ("sentencepiece", encode)]
+STAGES = [("quality rules", quality), ("near duplicates", near), ("repeated passages", passages), ("source mix", mix), ("sentencepiece", encode)]
+#: Near duplicates and repeated passages over whole tables are beyond SQL; tests compare the pipeline with brute force.
 ORACLE_SQL = None
 
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,14 +100,21 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 STORE = "kind string, name binary, manifest binary, bytes binary"
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Payloads compressed before they are dealt out."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for doc_ids, texts in rows_of(batches, "doc_id", "text"):
+        data = [payload_of(t) for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(map(digest, data), pa.binary()), pa.array(map(pack.compress, data), pa.binary())], ["doc_id", "payload", "packed"])
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Store rows of the documents that are the first of their payload. ``shared``: places in the chunk table, ``owned``: those that this payload writes."""
-    for texts, payloads, shared, owned in rows_of(batches, "text", "payload_", "shared", "owned"):
+    unpack = zstandard.ZstdDecompressor()
+    for names, packed, shared, owned in rows_of(batches, "payload", "packed", "shared", "owned"):
         rows = []
-        for text, name, elsewhere, mine in zip(texts, payloads, shared, owned, strict=True):
-            data = payload_of(text)
-            if digest(data) != name:  # another row under the same doc_id
-                continue
+        for name, data, elsewhere, mine in zip(names, packed, shared, owned, strict=True):
+            data = unpack.decompress(data)
             elsewhere, mine, inline, manifest = set(elsewhere or ()), set(mine or ()), [], [MAGIC]
             for i, c in enumerate(cut(data)):
                 manifest.append(struct.pack("<32sI?", digest(c), len(c), i in elsewhere))
@@ -129,7 +137,8 @@ def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     places = materialize(places.join(shared, "digest").select("payload", "owner", "place", "digest", F.expr("first.payload = payload and first.place = place").alias("owns")), "places")
     by_payload = places.groupBy("payload").agg(F.collect_list("place").alias("shared"), F.collect_list(F.when(F.col("owns"), F.col("place"))).alias("owned"))
     plan = materialize(payloads.select("payload", "owner").join(by_payload, "payload", "left").withColumnRenamed("payload", "payload_"), "store-plan")
-    store = docs.select("doc_id", "text").join(broadcast_if_small(plan), F.expr("doc_id <=> owner")).mapInArrow(_stored, STORE)
+    packed = docs.select("doc_id", "text").mapInArrow(_packed, "doc_id long, payload binary, packed binary")
+    store = packed.join(plan.hint("merge"), F.expr("payload = payload_ and doc_id <=> owner")).mapInArrow(_stored, STORE)
     return recipes, places, materialize(store, "store", ["kind"])
 
 

@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 #: Separators of words in every contract: space and \t \n \v \f \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
-#: A side that is written and measures at most this many bytes may be broadcast.
+#: A side that is written and has at most so many bytes and rows may be broadcast.
 BROADCAST_BYTES = 32 << 20
+BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,9 +52,9 @@ def stored_bytes(df: DataFrame) -> int:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """A broadcast hint only if the written frame is within ``limit``; beyond it the join shuffles."""
-    return F.broadcast(df) if stored_bytes(df) <= limit else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """A broadcast hint only if the written frame is within both limits; beyond them the join shuffles."""
+    return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, broadcast_if_small, documents, materialize, new_path, rows_of
+from .common import Memo, documents, materialize, new_path, rows_of
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -103,7 +103,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER) -
     known = spark.read.schema(schema).parquet(cache_path).where(F.col("version") == version)
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     missing = materialize(firsts.join(known, "digest", "left_anti"), "token-misses")
-    wanted = broadcast_if_small(missing).withColumnsRenamed({"digest": "g_", "doc_id": "d_"})
+    wanted = missing.withColumnsRenamed({"digest": "g_", "doc_id": "d_"})
     texts = docs.select("doc_id", normal.alias("normal")).withColumn("digest", F.unhex(F.sha2("normal", 256)))
     texts = texts.join(wanted, F.expr("doc_id <=> d_ and digest = g_"), "left_semi").select("digest", "normal")
 
