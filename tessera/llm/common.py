@@ -86,3 +86,30 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.f(key)
         return value
+
+
+class BatchMemo(dict):
+    """A memo of ``f``, which takes a list of keys and gives their values; starts afresh beyond ``most`` entries."""
+
+    def __init__(self, f: Callable, most: int = 800_000) -> None:
+        super().__init__()
+        self.f, self.most = f, most
+
+    def learn(self, keys: set) -> None:
+        """Holds all ``keys`` afterwards."""
+        missing = list(keys.difference(self))
+        if len(self) + len(missing) > self.most:
+            self.clear()
+            missing = list(keys)
+        if missing:
+            self.update(zip(missing, self.f(missing), strict=True))
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """One object of a kind in a Python worker, so that its memo serves all of the worker's tasks."""
+    if _KEPT.get("key" + key[0], (None,))[0] != key:
+        _KEPT["key" + key[0]] = (key, make())
+    return _KEPT["key" + key[0]][1]

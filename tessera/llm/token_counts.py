@@ -13,13 +13,15 @@ doc_id is kept; an empty table gives an empty result and leaves the cache as it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, materialize, new_path, rows_of
+from .common import BatchMemo, documents, kept, materialize, new_path, rows_of
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -36,52 +38,67 @@ def tokenizer_json(name_or_path: str) -> str:
 
 
 class SpacedEncoder:
-    """``encode(text).ids`` of a tokenizers file, memoised by the units between single spaces.
+    """What a tokenizers file makes of whole texts, memoised by the units between single spaces.
 
     Valid where no token crosses from a word into the next unit, i.e. where the pre-tokenizer
-    splits before a space. Texts with an added token's opening, and units that start or end with
-    white space, are encoded whole.
+    splits before a space. Texts with an added token in them, and texts with a unit that is empty or
+    starts or ends with white space, are encoded whole. ``of`` makes a memo entry of an array of ids,
+    ``put`` joins entries.
     """
 
-    def __init__(self, text: str, keep_space: bool) -> None:
+    def __init__(self, text: str, keep_space: bool, of: Callable = np.ndarray.tobytes, put: Callable = b"".join) -> None:
         import tokenizers
 
         self.whole = tokenizers.Tokenizer.from_str(text)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.keep_space = keep_space
-        self.first = Memo(lambda unit: self.ids(unit))
-        self.rest = Memo(lambda unit: self.ids(" " + unit)) if keep_space else self.first
-
-    def ids(self, text: str) -> list[int]:
-        return self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def units(self, text: str) -> list[str] | None:
-        """The units between single spaces; None if the text has to be encoded whole."""
-        if any(x in text for x in self.special):
-            return None
-        units = text.split(" ") if self.keep_space else text.split()
-        if self.keep_space and any(not u or u[0].isspace() or u[-1].isspace() for u in units):
-            return None
-        return units
-
-    def encode(self, text: str) -> list[int]:
+        self.keep_space, self.of, self.put = keep_space, of, put
+        mark = self.whole.encode(" |", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.first = BatchMemo(lambda units: self.entries(units, ""))
+        self.rest = BatchMemo(lambda units: self.entries(units, " ")) if keep_space else self.first
+
+    def entries(self, units: list[str], before: str) -> list:
+        """None for a unit that has to be encoded with its neighbours.
+
+        Encoded as one text with a separator's token after each unit; units that have the separator
+        in them are encoded one by one.
+        """
+        alone = [bool(u) and not u[0].isspace() and not u[-1].isspace() for u in units]
+        joined = [u for u, ok in zip(units, alone, strict=True) if ok and "|" not in u] if self.mark is not None and (before or not self.keep_space) else []
+        found: dict = {}
+        for at in range(0, len(joined), 4096):
+            part = joined[at : at + 4096]
+            ids = np.array(self.whole.encode_batch_fast(["".join(f" {u} |" for u in part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) == len(part):
+                found |= {u: self.of(ids[a + 1 : b]) for u, a, b in zip(part, [-1, *ends], ends, strict=False)}
+        for u, ok in zip(units, alone, strict=True):
+            if ok and u not in found:
+                found[u] = self.of(np.array(self.whole.encode_batch_fast([before + u], add_special_tokens=False)[0].ids, "<u4"))
+        return [found.get(u) for u in units]
+
+    def units(self, text: str) -> list[str]:
+        return text.split(" ") if self.keep_space else text.split()
+
+    def many(self, texts: list[str]) -> list:
+        """One joined entry a text."""
+        split = [None if any(x in t for x in self.special) else self.units(t) for t in texts]
+        self.first.learn({u[0] for u in split if u} if self.keep_space else set().union(*(u for u in split if u)))
+        if self.keep_space:
+            self.rest.learn(set().union(*(u[1:] for u in split if u)))
+        return [self.one(t, u) for t, u in zip(texts, split, strict=True)]
+
+    def one(self, text: str, units: list[str] | None):
         if not text:
-            return []
-        units = self.units(text)
-        if units is None:
-            return self.ids(text)
-        out = list(self.first[units[0]])
-        for u in units[1:]:
-            out += self.rest[u]
-        return out
-
-    def count(self, text: str) -> int:
-        units = self.units(text) if text else []
-        if units is None:
-            return len(self.ids(text))
-        return sum(map(len, map(self.first.__getitem__, units))) if not self.keep_space else len(self.encode(text))
+            return self.put([])
+        if units is not None:
+            try:
+                return self.put(chain([self.first[units[0]]], map(self.rest.__getitem__, units[1:]))) if units else self.put([])
+            except TypeError:  # a unit that does not stand alone
+                pass
+        return self.put([self.of(np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))])
 
 
 def version_of(text: str) -> str:
@@ -108,9 +125,9 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER) -
     texts = texts.join(wanted, F.expr("doc_id <=> d_ and digest = g_"), "left_semi").select("digest", "normal")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = SpacedEncoder(shared.value, keep_space=False)
+        encoder = kept(("count", version), lambda: SpacedEncoder(shared.value, False, len, sum))
         for digests, normals in rows_of(batches, "digest", "normal"):
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([encoder.count(x) for x in normals], pa.int64())], ["digest", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(encoder.many(normals), pa.int64())], ["digest", "n_tokens"])
 
     counts = texts.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counts.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
