@@ -147,11 +147,9 @@ def judge(measured: DataFrame, references: dict, max_class: float = MAX_CLASS_DI
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, in the input's columns."""
-    inner = docs.select(F.struct("*").alias("row"), "lang", "text")
-    measured = features(inner, keep=("row",))
-    references = fit_references(materialize(features(docs.select("doc_id", "lang", "text")), "quality"))
-    return judge(measured, references).where("kept").select("row.*")
+    """The documents that the rules keep, in the input's columns. Rows are measured once and written with their counts."""
+    measured = materialize(features(docs.select(F.struct("*").alias("row"), "lang", "text"), keep=("row",)), "quality-rows")
+    return judge(measured, fit_references(measured)).where("kept").select("row.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
