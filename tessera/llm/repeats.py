@@ -4,13 +4,13 @@ Tokens are bytes or words, a window is W of them. Every window's anchor is the l
 hashes (leftmost on a tie), so equal windows have equal anchors at equal places; the consecutive
 windows of one anchor form a segment, a stretch of under 2 W tokens.
 
-1. All anchors are written: place, window range, anchor hash, segment hash.
+1. All anchors are found: place, window range, anchor hash, segment hash.
 2. Anchors that occur once are dropped (counted by a 32-bit hash of theirs: a collision only keeps
    a few more). What is left is proportional to the repeated part of the corpus.
 3. Segments of equal content are grouped; all but the first are repeats as a whole.
 4. First segments that share an anchor but not their whole content (the ends of repeats) are
    compared: their contents go to the anchor's task and a kernel finds the repeated stretches. An
-   anchor with more than MOST_SEGMENTS different segments is not sent to one task; the windows of
+   anchor with more than ``most_segments`` different segments is not sent to one task; the windows of
    its segments are grouped by 128-bit hash instead, which gives the same stretches.
 5. Each document's stretches are merged.
 
@@ -25,12 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, materialize, rows_of
 
-MOST_SEGMENTS = 256
 BATCH_TOKENS = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -83,17 +82,19 @@ class Rolling:
 
 
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the leftmost least value in each window of ``width``."""
-    n = len(values) - width + 1
-    at, size = np.arange(len(values), dtype=np.int32), 1
-
-    def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(values[b] < values[a], b, a)
+    """Index of the least value in each window of ``width``, leftmost on a tie.
 
+    The index replaces a value's low bits, so values that agree above them count as ties; which
+    stretches of equal values get is the same everywhere.
+    """
+    bits = np.uint64(max(16, int(len(values)).bit_length()))
+    low, size = values >> bits << bits | np.arange(len(values), dtype=np.uint64), 1
     while size * 2 <= width:
-        at = join(at[:-size], at[size:])
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    return join(at[:n], at[width - size : width - size + n])
+    n = len(values) - width + 1
+    low = np.minimum(low[:n], low[width - size : width - size + n])
+    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -106,6 +107,8 @@ class Spec:
     units: Callable[[str], object]
     cut: Callable[[object, int, int], bytes]
     within: bool  # whether an earlier start in the same document counts
+    most_segments: int  # different segments of one anchor that a kernel takes
+    anew: bool  # find anchors twice instead of writing them all once
     kernel: Callable[[list], Iterator[tuple]]
 
 
@@ -128,14 +131,19 @@ def _batch(names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
 
 
-SPAN = "doc long, twin long, start int, stop int"
-SPAN_NAMES, SPAN_KINDS = ["doc", "twin", "start", "stop"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+SPAN = "doc long, twin short, start int, stop int"
+SPAN_NAMES, SPAN_KINDS = ["doc", "twin", "start", "stop"], [pa.int64(), pa.int16(), pa.int32(), pa.int32()]
+
+
+def twin_of(text: Column) -> Column:
+    """A 15-bit hash of the text, for the case that rows share a doc_id."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("short")
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """doc, twin (a hash of the text: tells rows apart that share a doc_id), text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    return docs.select(F.col("doc_id").alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
@@ -147,29 +155,29 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
             found = [anchors(spec.tokens(t), spec) for t in texts]
             counts = [len(f[0]) for f in found]
             place, first, last, g, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True))
-            cells = [pa.array(np.repeat(np.array(doc_ids, np.int64), counts)), pa.array(np.repeat(np.array(twins, np.int64), counts)), pa.array(first, pa.int32()), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)), pa.array(g), pa.array(s)]
+            cells = [pa.array(np.repeat(np.array(doc_ids, np.int64), counts)), pa.array(np.repeat(np.array(twins, np.int16), counts)), pa.array(first, pa.int32()), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)), pa.array(g), pa.array(s)]
             yield pa.RecordBatch.from_arrays(cells, ["doc", "twin", "lo", "more", "offset", "g", "s"])
 
-    every = materialize(rows.where("doc is not null").mapInArrow(find, "doc long, twin long, lo int, more short, offset short, g long, s long"), "anchors")
+    every = rows.where("doc is not null").mapInArrow(find, "doc long, twin short, lo int, more short, offset short, g long, s long")
+    every = every if spec.anew else materialize(every, "anchors")
     short = F.expr("cast(pmod(g, 4294967296) - 2147483648 as int)")
     often = materialize(every.select(short.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
     shared = materialize(every.withColumn("h", short).join(broadcast_if_small(often), "h", "left_semi").drop("h"), "shared")
 
     here = F.struct("doc", "twin", "lo")
-    firsts = shared.groupBy("g", "s").agg(F.min(here).alias("f"))
-    firsts = materialize(firsts, "firsts")
-    many = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("segments"))
-    marked = shared.join(firsts, ["g", "s"])
+    firsts = materialize(shared.groupBy("g", "s").agg(F.min(here).alias("f")), "firsts")
+    many = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
     later = F.expr("struct(doc, twin, lo) > f") if spec.within else F.expr("doc > f.doc")
-    whole = marked.where(later).select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + w).alias("stop"))
-    leads = materialize(marked.where(~later).select("doc", "twin", "lo", "more", "offset", "g").distinct().join(many.where("segments > 1"), "g"), "leads")
+    marked = materialize(shared.join(firsts, ["g", "s"]).select("doc", "twin", "lo", "more", "offset", "g", later.alias("later")), "marked")
+    whole = marked.where("later").select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + w).alias("stop"))
+    leads = marked.where("not later").drop("later").join(many, "g")
 
-    asked = leads.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "more", "offset", "g", (F.col("segments") > MOST_SEGMENTS).alias("hot"))).alias("wanted"))
+    asked = leads.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "more", "offset", "g", (F.col("segments") > spec.most_segments).alias("hot"))).alias("wanted"))
     asked = materialize(asked.withColumnsRenamed({"doc": "d_", "twin": "t_"}), "asked")
     texts = rows.join(broadcast_if_small(asked), F.expr("doc = d_ and twin = t_")).select("doc", "twin", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.int64(), pa.int64()]
+        kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int16(), pa.binary(), pa.int64(), pa.int64()]
         names = ["g", "doc", "twin", "lo", "offset", "content", "a", "b"]
         for doc_ids, twins, texts, wanted in rows_of(batches, "doc", "twin", "text", "wanted", step=64):
             out = []
@@ -184,8 +192,8 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
                         out.append((x["g"], d, twin, first, x["offset"], spec.cut(units, first, last + w), None, None))
             yield _batch(names, kinds, out)
 
-    parts = materialize(texts.mapInArrow(fetch, "g long, doc long, twin long, lo int, offset short, content binary, a long, b long"), "contents")
-    hot = parts.where("a is not null").select("a", "b", "doc", "twin", "lo").distinct()
+    parts = materialize(texts.mapInArrow(fetch, "g long, doc long, twin short, lo int, offset short, content binary, a long, b long"), "contents")
+    hot = parts.where("a is not null").select("a", "b", "doc", "twin", "lo")
     least = hot.groupBy("a", "b").agg(F.min(here).alias("f"))
     hot = hot.join(least, ["a", "b"]).where(later).select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + w).alias("stop"))
 
@@ -206,7 +214,7 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
         if held:
             yield _batch(SPAN_NAMES, SPAN_KINDS, list(spec.kernel(held)))
 
-    cool = parts.where("a is null").select("g", "doc", "twin", "lo", "offset", "content").distinct()
+    cool = parts.where("a is null").select("g", "doc", "twin", "lo", "offset", "content")
     ends = cool.repartition("g").sortWithinPartitions("g", "doc", "twin", "lo").mapInArrow(compare, SPAN)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +226,15 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
                 new = np.concatenate([[True], p[1:, 0] > reach[:-1]])
                 stops = reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
                 out.append((d, twin, p[new, 0].tolist(), stops.tolist()))
-            yield _batch(["doc", "twin", "starts", "stops"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())], out)
+            yield _batch(["doc", "twin", "starts", "stops"], [pa.int64(), pa.int16(), pa.list_(pa.int32()), pa.list_(pa.int32())], out)
 
     spans = whole.unionByName(hot).unionByName(ends).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return materialize(spans.mapInArrow(merge, "doc long, twin long, starts array<int>, stops array<int>"), "spans")
+    return materialize(spans.mapInArrow(merge, "doc long, twin short, starts array<int>, stops array<int>"), "spans")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, keep_rows: bool = False) -> DataFrame:
     """Every document with its merged spans (null: none); with ``keep_rows`` also ``row``, the input row."""
     found = broadcast_if_small(spans).withColumnsRenamed({"doc": "d_", "twin": "t_"})
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*([F.struct("*").alias("row")] if keep_rows else []), F.col("doc_id").alias("doc"), F.xxhash64(text).alias("twin"), text.alias("text"))
+    rows = docs.select(*([F.struct("*").alias("row")] if keep_rows else []), F.col("doc_id").alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
     return rows.join(found, F.expr("doc = d_ and twin = t_"), "left").drop("d_", "t_", "twin")

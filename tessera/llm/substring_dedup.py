@@ -60,7 +60,7 @@ def extend(groups: list[list[tuple]]) -> Iterator[tuple]:
                 yield group[x][1], group[x][2], place - b, place + a
 
 
-SPEC = Spec(window=WINDOW, k=SEED_WORDS, tokens=word_tokens, units=word_tokens, cut=lambda u, a, b: u[a:b].tobytes(), within=False, kernel=extend)
+SPEC = Spec(window=WINDOW, k=SEED_WORDS, tokens=word_tokens, units=word_tokens, cut=lambda u, a, b: u[a:b].tobytes(), within=False, most_segments=256, anew=False, kernel=extend)
 
 
 def kept_words(text: str, starts: list | None, stops: list | None) -> tuple[list[bytes], int]:

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, rows_of
-from .repeats import Spec, repeated_spans, with_spans
+from .repeats import Rolling, Spec, repeated_spans, with_spans
 
 WINDOW = 100
-SEED_BYTES = 20
+SEED_BYTES = 24
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64)
 
 
@@ -34,65 +34,62 @@ def byte_tokens(text: str) -> np.ndarray:
     return _VALUES[np.frombuffer(text.encode(), np.uint8)]
 
 
-def enhanced_suffix_array(strings: list[bytes], depth: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, string of each place, suffixes in order, common prefix of each with the one before).
+def enhanced_suffix_array(strings: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the strings joined by a byte each, common prefix with the suffix before, byte before) in suffix order.
 
-    Ranks are doubled from one symbol up to ``depth`` symbols; each string ends in a symbol of its
-    own, so no prefix runs from one string into the next. Prefixes are exact below ``depth``.
+    Of all suffixes only those are kept that can begin a maximal repeat of ``least`` bytes: others
+    share their first ``least`` bytes (told by a rolling hash), and not all of these are preceded by
+    the same byte. The start of a string counts as a byte of its own. Prefixes end with the string.
     """
-    n = len(strings)
-    lengths = np.array([len(s) + 1 for s in strings])
-    owner = np.repeat(np.arange(n), lengths)
-    ends = np.cumsum(lengths) - 1
-    text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + n
-    text[ends] = np.arange(n)
-    _, rank = np.unique(text, return_inverse=True)
-    levels, step = [(1, rank)], 1
-    while step < depth:
-        ahead = np.full(len(rank), -1, np.int64)
-        ahead[:-step] = rank[step:] if step < len(rank) else rank[:0]
-        _, rank = np.unique(rank * (len(rank) + 1) + ahead + 1, return_inverse=True)
-        step *= 2
-        levels.append((step, rank))
-        if rank.max() == len(rank) - 1:
-            break
-    order = np.argsort(rank, kind="stable")
-    a, b = order[:-1].copy(), order[1:].copy()
-    common = np.zeros(len(a), np.int64)
-    for size, level in reversed(levels):
-        inside = (a < len(level)) & (b < len(level))
-        same = inside & (level[np.minimum(a, len(level) - 1)] == level[np.minimum(b, len(level) - 1)])
-        common += same * size
-        a += same * size
-        b += same * size
-    return text, owner, order, np.concatenate([[0], common])
+    lengths = np.array([len(s) for s in strings])
+    bases = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+    data = b"\0".join(strings) + b"\0"
+    text = np.frombuffer(data, np.uint8)
+    room = np.maximum(lengths - least + 1, 0)
+    at = np.repeat(bases - (np.cumsum(room) - room), room) + np.arange(room.sum())
+    ends = np.repeat(bases + lengths, room)
+    if not len(at):
+        return at, at, at
+    before = np.where(np.isin(at, bases), -1 - at, text[at - 1].astype(np.int64))
+    head = Rolling(_VALUES[text]).of(at, at + least)
+    order = np.argsort(head, kind="stable")
+    at, ends, before, head = at[order], ends[order], before[order], head[order]
+    start = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    size = np.diff(np.concatenate([start, [len(head)]]))
+    keep = np.repeat((size > 1) & (np.minimum.reduceat(before, start) != np.maximum.reduceat(before, start)), size)
+    at, ends, before = at[keep], ends[keep], before[keep]
+    if not len(at):
+        return at, at, at
+    suffixes = [data[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__))
+    at, left, before = at[order], (ends - at)[order], before[order]
+    common = np.zeros(len(at), np.int64)
+    for i in range(1, len(at), 8192):  # adjacent suffixes side by side
+        a, b = at[i - 1 : i + 8191], at[i : i + 8192]
+        a, shorter = a[: len(b)], np.minimum(left[i - 1 : i - 1 + len(b)], left[i : i + 8192])
+        reach = np.arange(int(shorter.max()))
+        differ = (text[np.minimum(a[:, None] + reach, len(text) - 1)] != text[np.minimum(b[:, None] + reach, len(text) - 1)]) | (reach >= shorter[:, None])
+        common[i : i + 8192] = np.where(differ.any(axis=1), differ.argmax(axis=1), shorter)
+    return at, common, before
 
 
 def maximal_repeats(strings: list[bytes], least: int = WINDOW) -> Iterator[tuple[int, np.ndarray]]:
-    """(length, places in the joined text) of every maximal repeat of ``least`` bytes or more, with all its occurrences.
-
-    Lengths are exact below 256; strings are to be shorter.
-    """
-    text, owner, order, common = enhanced_suffix_array(strings)
-    before = np.where(order > 0, text[order - 1], -1)
-    begins = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
-    before[np.isin(order, begins)] = -2 - order[np.isin(order, begins)]  # the start of a string differs from everything
+    """(length, places in the joined strings) of every maximal repeat of ``least`` bytes or more, with all its occurrences."""
+    order, common, before = enhanced_suffix_array(strings, least)
     long = common >= least
-    runs = np.flatnonzero(long & ~np.concatenate([[False], long[:-1]]))
-    mixed = None  # the mark of different left bytes
-    for run in runs.tolist():
-        stack: list[list] = []  # [prefix length, first row, left byte or mixed]
+    runs = np.flatnonzero(long & ~np.concatenate([[False], long[:-1]])) if len(order) else []
+    mixed = None  # the mark of different bytes before
+    for run in map(int, runs):
+        stack: list[list] = []  # [prefix length, first row, byte before or mixed]
         row, left = run, int(before[run - 1])
         while True:
             height = int(common[row]) if row < len(common) else 0
-            start, carried, have = row - 1, left, True
+            start, carried = row - 1, left
             while stack and stack[-1][0] > height:
-                size, first, sides = stack.pop()
-                if have:
-                    sides = sides if sides == carried else mixed
-                if sides is mixed:
-                    yield size, order[first:row]
-                start, carried, have = first, sides, True
+                size, start, sides = stack.pop()
+                carried = sides if sides == carried else mixed
+                if carried is mixed:
+                    yield size, order[start:row]
             if height < least:
                 break
             if stack and stack[-1][0] == height:
@@ -125,7 +122,7 @@ def scan(groups: list[list[tuple]]) -> Iterator[tuple]:
             yield rows[i][1], rows[i][2], at, at + size
 
 
-SPEC = Spec(window=WINDOW, k=SEED_BYTES, tokens=byte_tokens, units=str.encode, cut=lambda u, a, b: u[a:b], within=True, kernel=scan)
+SPEC = Spec(window=WINDOW, k=SEED_BYTES, tokens=byte_tokens, units=str.encode, cut=lambda u, a, b: u[a:b], within=True, most_segments=8192, anew=True, kernel=scan)
 
 
 def kept_bytes(data: bytes, starts: list | None, stops: list | None) -> bytes:
