@@ -2,7 +2,7 @@
 
 A payload is cut where a rolling gear hash (``h = (h << 1) + gear[byte]`` over 32 bits, so the last
 32 bytes count) has its top bits zero, no sooner than MIN_CHUNK and no later than MAX_CHUNK bytes
-after the last cut. Chunks are named by SHA-256. Payloads and chunks are deduplicated by Spark
+after the last cut. Chunks are named by 128 bits of SHA-256. Payloads and chunks are deduplicated by Spark
 groupings and joins on their digests, over metadata only:
 
 * ``payload`` rows, one a distinct payload: an ordered manifest (digest, size and place of every
@@ -39,6 +39,8 @@ CUT_BITS = 11
 MIN_CHUNK, MAX_CHUNK = 512, 16384
 UNIT = 64
 MAGIC = b"CDC1"
+#: Digest, size, whether the chunk is in the shared table.
+ENTRY = struct.Struct("<16sI?")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -77,7 +79,8 @@ def cut(data: bytes) -> list[bytes]:
 
 
 def digest(data: bytes) -> bytes:
-    return hashlib.sha256(data).digest()
+    """A name: the first 128 bits of SHA-256."""
+    return hashlib.sha256(data).digest()[:16]
 
 
 def feature(data: bytes) -> str:
@@ -102,7 +105,7 @@ STORE = "kind string, name binary, manifest binary, bytes binary"
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Payloads compressed before they are dealt out."""
-    pack = zstandard.ZstdCompressor(level=3)
+    pack = zstandard.ZstdCompressor(level=6)
     for doc_ids, texts in rows_of(batches, "doc_id", "text"):
         data = [payload_of(t) for t in texts]
         yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(map(digest, data), pa.binary()), pa.array(map(pack.compress, data), pa.binary())], ["doc_id", "payload", "packed"])
@@ -117,7 +120,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = unpack.decompress(data)
             elsewhere, mine, inline, manifest = set(elsewhere or ()), set(mine or ()), [], [MAGIC]
             for i, c in enumerate(cut(data)):
-                manifest.append(struct.pack("<32sI?", digest(c), len(c), i in elsewhere))
+                manifest.append(ENTRY.pack(digest(c), len(c), i in elsewhere))
                 if i in mine:
                     rows.append(("chunk", digest(c), None, c))
                 if i not in elsewhere:
@@ -159,7 +162,7 @@ def rebuild(name: bytes, manifest: bytes, inline: bytes, fetched: dict[bytes, by
     if manifest[:4] != MAGIC:
         raise ValueError("not a manifest")
     parts, at = [], 0
-    for sha, size, elsewhere in struct.iter_unpack("<32sI?", manifest[4:]):
+    for sha, size, elsewhere in ENTRY.iter_unpack(manifest[4:]):
         c = fetched[sha] if elsewhere else inline[at : at + size]
         at += 0 if elsewhere else size
         if len(c) != size or digest(c) != sha:
@@ -178,7 +181,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = rebuild(name, manifest, inline, {f["digest"]: f["chunk"] for f in fetched or ()})
             form = hashlib.sha256(manifest)
             form.update(data)
-            out.append((name, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(manifest) + len(data), form.hexdigest(), feature(data), (len(manifest) - 4) // 37))
+            out.append((name, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(manifest) + len(data), form.hexdigest(), feature(data), (len(manifest) - 4) // ENTRY.size))
         kinds = [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         cells = list(zip(*out, strict=True)) or [()] * 8
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["payload", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"])
