@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import ByteEncoder
 from .common import documents, kept, materialize, rows_of
-from .token_counts import SpacedEncoder, tokenizer_json, version_of
+from .token_counts import tokenizer_json, version_of
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -140,11 +141,11 @@ INDEX = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("null", "?")])
 def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """Tokenizes, orders by doc_id and writes; returns the stored shards."""
     spark = docs.sparkSession
-    text, end = tokenizer_json(tokenizer), struct.pack("<I", end_id)
+    text, end = tokenizer_json(tokenizer), np.uint32(end_id)
     version, shared = version_of(text), spark.sparkContext.broadcast(text)  # a file of a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = kept(("ids", version), lambda: SpacedEncoder(shared.value, True)), TaskContext.get().partitionId()
+        encoder, part = kept(("ids", version), lambda: ByteEncoder(shared.value)), TaskContext.get().partitionId()
         index, held, size, shard, start = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -154,8 +155,8 @@ def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "shard", "part_start", "n_docs", "n_tokens", "docs", "blob"])
 
         for doc_ids, texts in rows_of(batches, "doc_id", "text"):
-            for d, found in zip(doc_ids, encoder.many([t or "" for t in texts]), strict=True):
-                ids = np.frombuffer(found + end, "<u4")
+            for d, text in zip(doc_ids, texts, strict=True):
+                ids = np.append(encoder.encode(text or ""), end)
                 index.append((d or 0, len(ids), d is None))
                 held.append(ids)
                 size += len(ids)

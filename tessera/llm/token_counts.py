@@ -13,8 +13,7 @@ doc_id is kept; an empty table gives an empty result and leaves the cache as it
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,68 +36,42 @@ def tokenizer_json(name_or_path: str) -> str:
         return f.read()
 
 
-class SpacedEncoder:
-    """What a tokenizers file makes of whole texts, memoised by the units between single spaces.
+class WordCounter:
+    """Token counts of whole texts, memoised by word.
 
-    Valid where no token crosses from a word into the next unit, i.e. where the pre-tokenizer
-    splits before a space. Texts with an added token in them, and texts with a unit that is empty or
-    starts or ends with white space, are encoded whole. ``of`` makes a memo entry of an array of ids,
-    ``put`` joins entries.
+    Valid where the pre-tokenizer drops white space, so that a text's count is the sum of its words'.
+    Texts with an added token's string in them are counted whole.
     """
 
-    def __init__(self, text: str, keep_space: bool, of: Callable = np.ndarray.tobytes, put: Callable = b"".join) -> None:
+    def __init__(self, text: str) -> None:
         import tokenizers
 
         self.whole = tokenizers.Tokenizer.from_str(text)
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.keep_space, self.of, self.put = keep_space, of, put
-        mark = self.whole.encode(" |", add_special_tokens=False).ids
+        mark = self.whole.encode("|", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.first = BatchMemo(lambda units: self.entries(units, ""))
-        self.rest = BatchMemo(lambda units: self.entries(units, " ")) if keep_space else self.first
-
-    def entries(self, units: list[str], before: str) -> list:
-        """None for a unit that has to be encoded with its neighbours.
-
-        Encoded as one text with a separator's token after each unit; units that have the separator
-        in them are encoded one by one.
-        """
-        alone = [bool(u) and not u[0].isspace() and not u[-1].isspace() for u in units]
-        joined = [u for u, ok in zip(units, alone, strict=True) if ok and "|" not in u] if self.mark is not None and (before or not self.keep_space) else []
-        found: dict = {}
+        self.words = BatchMemo(self.counts)
+
+    def count(self, text: str) -> int:
+        return len(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def counts(self, words: list[str]) -> list[int]:
+        """Encoded as one text with a separator's token after each word; words that have the separator in them are encoded alone."""
+        joined, found = [w for w in words if self.mark is not None and "|" not in w], {}
         for at in range(0, len(joined), 4096):
             part = joined[at : at + 4096]
-            ids = np.array(self.whole.encode_batch_fast(["".join(f" {u} |" for u in part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.mark).tolist()
+            ids = np.array(self.whole.encode_batch_fast(["".join(f"{w} | " for w in part)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(part):
-                found |= {u: self.of(ids[a + 1 : b]) for u, a, b in zip(part, [-1, *ends], ends, strict=False)}
-        for u, ok in zip(units, alone, strict=True):
-            if ok and u not in found:
-                found[u] = self.of(np.array(self.whole.encode_batch_fast([before + u], add_special_tokens=False)[0].ids, "<u4"))
-        return [found.get(u) for u in units]
-
-    def units(self, text: str) -> list[str]:
-        return text.split(" ") if self.keep_space else text.split()
-
-    def many(self, texts: list[str]) -> list:
-        """One joined entry a text."""
-        split = [None if any(x in t for x in self.special) else self.units(t) for t in texts]
-        self.first.learn({u[0] for u in split if u} if self.keep_space else set().union(*(u for u in split if u)))
-        if self.keep_space:
-            self.rest.learn(set().union(*(u[1:] for u in split if u)))
-        return [self.one(t, u) for t, u in zip(texts, split, strict=True)]
-
-    def one(self, text: str, units: list[str] | None):
-        if not text:
-            return self.put([])
-        if units is not None:
-            try:
-                return self.put(chain([self.first[units[0]]], map(self.rest.__getitem__, units[1:]))) if units else self.put([])
-            except TypeError:  # a unit that does not stand alone
-                pass
-        return self.put([self.of(np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4"))])
+                found |= zip(part, (np.diff(ends, prepend=-1) - 1).tolist(), strict=True)
+        return [found[w] if w in found else self.count(w) for w in words]
+
+    def many(self, texts: list[str]) -> list[int]:
+        split = [None if any(x in t for x in self.special) else t.split() for t in texts]
+        self.words.learn(set().union(*(u for u in split if u)))
+        return [self.count(t) if u is None else sum(map(self.words.__getitem__, u)) for t, u in zip(texts, split, strict=True)]
 
 
 def version_of(text: str) -> str:
@@ -125,7 +98,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer: str = TOKENIZER) -
     texts = texts.join(wanted, F.expr("doc_id <=> d_ and digest = g_"), "left_semi").select("digest", "normal")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept(("count", version), lambda: SpacedEncoder(shared.value, False, len, sum))
+        encoder = kept(("count", version), lambda: WordCounter(shared.value))
         for digests, normals in rows_of(batches, "digest", "normal"):
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(encoder.many(normals), pa.int64())], ["digest", "n_tokens"])
 
