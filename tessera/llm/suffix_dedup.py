@@ -112,14 +112,26 @@ def scan(groups: list[list[tuple]]) -> Iterator[tuple]:
     low = np.array([r[3] for r in rows])
     id_of: dict = {}
     docs = np.array([id_of.setdefault(r[1:3], len(id_of)) for r in rows])  # ascending with (doc, twin)
+    found = []
     for size, places in maximal_repeats(strings):
         which = np.searchsorted(bases, places, side="right") - 1
         start = low[which] + places - bases[which]
         doc = docs[which]
         first = np.lexsort((start, doc))[0]
         again = (doc != doc[first]) | (start != start[first])
-        for i, at in zip(which[again].tolist(), start[again].tolist(), strict=True):
-            yield rows[i][1], rows[i][2], at, at + size
+        found.append(np.stack([which[again], start[again], start[again] + size]))
+    if not found:
+        return
+    which, start, stop = np.concatenate(found, axis=1)
+    order = np.lexsort((start, which))
+    which, start, stop = which[order], start[order], stop[order]
+    # a segment's stretches are merged: at most a few for each segment, however many groups it is in
+    shift = which * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(new) - 1]])
+    for i, a, b in zip(which[new].tolist(), start[new].tolist(), (reach[last] - shift[last]).tolist(), strict=True):
+        yield rows[i][1], rows[i][2], a, b
 
 
 SPEC = Spec(window=WINDOW, k=SEED_BYTES, tokens=byte_tokens, units=str.encode, cut=lambda u, a, b: u[a:b], within=True, most_segments=8192, anew=True, kernel=scan)

@@ -40,7 +40,7 @@ class WordCounter:
     """Token counts of whole texts, memoised by word.
 
     Valid where the pre-tokenizer drops white space, so that a text's count is the sum of its words'.
-    Texts with an added token's string in them are counted whole.
+    Texts with one of ``special`` in them are counted whole.
     """
 
     def __init__(self, text: str) -> None:
@@ -49,7 +49,8 @@ class WordCounter:
         self.whole = tokenizers.Tokenizer.from_str(text)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        #: Added tokens, and what Python splits at but the tokenizer does not.
+        self.special = [*(t.content for t in self.whole.get_added_tokens_decoder().values()), "\x1c", "\x1d", "\x1e", "\x1f"]
         mark = self.whole.encode("|", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
         self.words = BatchMemo(self.counts)
