@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import evaluation_queries
+
+MODULES = (evaluation_queries,)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
