@@ -29,3 +29,19 @@ def suffix_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     out = df.withColumn("here", F.max(value).over(inside)).join(parts, [*keys, bucket])
     return out.withColumn(name, F.greatest("here", "later")).drop("here", "later")
+
+
+def global_rank(df: DataFrame, first: str, *rest: str, name: str = "rank", parts: int = 64) -> DataFrame:
+    """Adds ``name``: place from 1 in the order of ``first`` (a number) and ``rest`` over the whole table.
+
+    Approximate quantiles of ``first`` cut the order into ``parts``; ranks are taken within a part
+    and moved by the counts of the parts before it. How even the parts are affects speed only.
+    """
+    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+    cuts = df.agg(F.percentile_approx(first, shares, F.lit(10 * parts)).alias("cuts_"))  # one row
+    placed = df.join(F.broadcast(cuts), F.lit(True)).withColumn("part_", F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter("cuts_", lambda c: c < F.col(first))))).drop("cuts_")
+    counts = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # ``parts`` rows at most
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("part_").orderBy(first, *rest))
+    return placed.withColumn(name, inside).join(F.broadcast(counts), "part_").withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")

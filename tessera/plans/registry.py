@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation_queries
+from . import evaluation_queries, tiling_queries, track_queries
 
-MODULES = (evaluation_queries,)
+MODULES = (evaluation_queries, tiling_queries, track_queries)
 
 
 def queries() -> dict:
