@@ -2,8 +2,8 @@
 
 A shard holds up to SHARD_TOKENS ids of consecutive documents. Its ids share one frequency table;
 they are cut into independent blocks, each of LANES interleaved coders over one stream of 32-bit
-words. Every block's checkpoint (first word, word count, the lanes' states, CRC-32 of its words and
-of its ids) lets any block be decoded and verified on its own; here numpy steps through all blocks
+words. Every block's checkpoint (first word, word count, the lanes' states, CRC-32 of states and
+words, CRC-32 of its ids) lets any block be decoded and verified on its own; here numpy steps through all blocks
 and lanes of a shard at once, and Spark decodes shards in parallel.
 
 Shards are binary cells of a Parquet table (part, shard, part_start, n_docs, n_tokens, blob), so
@@ -84,7 +84,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
     stream, per_block = words[sent].astype("<u4"), sent.sum(axis=(1, 2))
     ends = np.cumsum(per_block)
     index = b"".join(
-        struct.pack("<IIII", int(e - c), int(c), zlib.crc32(stream[e - c : e].tobytes()), zlib.crc32(ids[i * steps * LANES : (i + 1) * steps * LANES].astype("<u4").tobytes()))
+        struct.pack("<IIII", int(e - c), int(c), zlib.crc32(state[i].astype("<u8").tobytes() + stream[e - c : e].tobytes()), zlib.crc32(ids[i * steps * LANES : (i + 1) * steps * LANES].astype("<u4").tobytes()))
         for i, (e, c) in enumerate(zip(ends, per_block, strict=True))
     )
     table = zlib.compress(np.diff(symbols.astype("<i8"), prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes(), 6)
@@ -110,8 +110,8 @@ def decode_ids(blob: bytes, only: list[int] | None = None) -> np.ndarray:
     stream = np.frombuffer(blob, "<u4", offset=at + blocks * LANES * 8)
     chosen = np.arange(blocks) if only is None else np.array(only, np.int64)
     index, state = index[chosen], states[chosen].astype(np.uint64)
-    for first, count, crc, _ in index:
-        if zlib.crc32(stream[first : first + count].tobytes()) != crc:
+    for (first, count, crc, _), begin in zip(index, state, strict=True):
+        if zlib.crc32(begin.astype("<u8").tobytes() + stream[first : first + count].tobytes()) != crc:
             raise ValueError("a block's words are damaged")
     ahead = np.concatenate([stream.astype(np.uint64), [np.uint64(0)]])
     low_bits, scale, shift, low = np.uint64((1 << SCALE_BITS) - 1), np.uint64(SCALE_BITS), np.uint64(32), np.uint64(LOW)
