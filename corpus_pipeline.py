@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import mixing, near_dups, quality_rules, spm_codec, substring_dedup
-from tessera.llm.common import documents, materialize
+from tessera.llm.common import documents, materialize, small_batches
 from tessera.session import ship
 
 
@@ -32,6 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spm_codec.digests(docs)
 
 

@@ -20,6 +20,7 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: A side that is written and has at most so many bytes and rows may be broadcast.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 2_000_000
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,7 @@ def new_path(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str, partition_by: Iterable[str] = ()) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage, runs ``df`` once."""
     spark = df.sparkSession
+    small_batches(spark)
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -57,7 +59,15 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python ``BATCH_BYTES`` at a time, where the session sets no limit: a worker's memory follows the batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -77,7 +87,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 256) -
 class Memo(dict):
     """A memo of ``f`` that starts afresh when it holds ``most`` entries, so its memory is bounded."""
 
-    def __init__(self, f: Callable, most: int = 400_000) -> None:
+    def __init__(self, f: Callable, most: int = 200_000) -> None:
         super().__init__()
         self.f, self.most = f, most
 
@@ -91,7 +101,7 @@ class Memo(dict):
 class BatchMemo(dict):
     """A memo of ``f``, which takes a list of keys and gives their values; starts afresh beyond ``most`` entries."""
 
-    def __init__(self, f: Callable, most: int = 800_000) -> None:
+    def __init__(self, f: Callable, most: int = 600_000) -> None:
         super().__init__()
         self.f, self.most = f, most
 

@@ -12,9 +12,10 @@ doc_id is kept whole and makes nothing else a repeat; an empty table gives an em
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -63,9 +64,9 @@ def extend(groups: list[list[tuple]]) -> Iterator[tuple]:
 SPEC = Spec(window=WINDOW, k=SEED_WORDS, tokens=word_tokens, units=word_tokens, cut=lambda u, a, b: u[a:b].tobytes(), within=False, most_segments=256, anew=False, kernel=extend)
 
 
-def kept_words(text: str, starts: list | None, stops: list | None) -> tuple[list[bytes], int]:
+def kept_words(text: str, starts: Sequence | None, stops: Sequence | None) -> tuple[list[bytes], int]:
     words = text.encode().split()
-    if not starts:
+    if starts is None or len(starts) == 0:
         return words, len(words)
     out, at = [], 0
     for a, b in zip(starts, stops, strict=True):
@@ -95,14 +96,13 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """
     found = with_spans(docs, repeated_spans(docs, SPEC), keep_rows=True)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, starts, stops = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "starts", "stops"))
-            new = [b" ".join(kept_words(t, a, b)[0]).decode() if a else None for t, a, b in zip(texts, starts, stops, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(new, pa.string())], ["row", "new"])
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
+        return pd.Series([b" ".join(kept_words(t, a, b)[0]).decode() for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
 
-    row = next(f for f in found.schema.fields if f.name == "row")
-    made = found.select("row", "text", "starts", "stops").mapInArrow(cut, f"row {row.dataType.simpleString()}, new string").where("new is null or new <> ''")
+    # only documents with repeats go to Python
+    same = found.where("starts is null").select("row", F.lit(None).cast("string").alias("new"))
+    made = same.unionAll(found.where("starts is not null").select("row", cut("text", "starts", "stops").alias("new")).where("new <> ''"))
     out = {"text": F.coalesce("new", "row.text")}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))
