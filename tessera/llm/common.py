@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between tasks, unlike the default pool
 #: Separators of words in every contract: space and \t \n \v \f \r.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: A side that is written and has at most so many bytes and rows may be broadcast.
@@ -87,7 +88,7 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str, step: int = 256) -
 class Memo(dict):
     """A memo of ``f`` that starts afresh when it holds ``most`` entries, so its memory is bounded."""
 
-    def __init__(self, f: Callable, most: int = 200_000) -> None:
+    def __init__(self, f: Callable, most: int = 100_000) -> None:
         super().__init__()
         self.f, self.most = f, most
 
@@ -101,7 +102,7 @@ class Memo(dict):
 class BatchMemo(dict):
     """A memo of ``f``, which takes a list of keys and gives their values; starts afresh beyond ``most`` entries."""
 
-    def __init__(self, f: Callable, most: int = 600_000) -> None:
+    def __init__(self, f: Callable, most: int = 400_000) -> None:
         super().__init__()
         self.f, self.most = f, most
 

@@ -39,7 +39,7 @@ SAMPLES, BANDS = 128, 32
 SKETCH_BITS = 1024
 #: Sketches of 0.8-similar sets differ in about 49 bits; 7 standard deviations of 128 samples more are 105, plus the sketch's own noise.
 MOST_SKETCH_BITS = 140
-UNIT_BYTES = 24 << 20
+UNIT_BYTES = 8 << 20
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(20)

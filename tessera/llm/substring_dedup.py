@@ -96,10 +96,10 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     """
     found = with_spans(docs, repeated_spans(docs, SPEC), keep_rows=True)
 
-    @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.Series:
         return pd.Series([b" ".join(kept_words(t, a, b)[0]).decode() for t, a, b in zip(texts, starts, stops, strict=True)], dtype=object)
 
+    cut = F.pandas_udf(cut, "string").asNondeterministic()  # else the filter below would run it a second time
     # only documents with repeats go to Python
     same = found.where("starts is null").select("row", F.lit(None).cast("string").alias("new"))
     made = same.unionAll(found.where("starts is not null").select("row", cut("text", "starts", "stops").alias("new")).where("new <> ''"))
