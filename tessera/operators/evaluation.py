@@ -127,7 +127,7 @@ def confidence_curves(points: DataFrame, gt: DataFrame, steps: int = 1000) -> Da
 
 
 def smooth(df: DataFrame, order: str, value: str, rows: int, fraction: float, name: str, keys: list[str] | None = None) -> DataFrame:
-    """Box filter of odd width ``round(rows * fraction * 2) // 2 + 1`` with the ends repeated. ``order`` counts 0 to rows - 1."""
+    """Box filter of odd width ``round(rows * fraction * 2) // 2 + 1`` (an even one grows by 1) with the ends repeated. ``order`` counts 0 to rows - 1."""
     half = (round(rows * fraction * 2) // 2 + 1) // 2
     w = Window.partitionBy(*(keys or [])).orderBy(order)
     around, whole = w.rowsBetween(-half, half), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
