@@ -10,15 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, stored_bytes
+
+FILE_BYTES = 4 << 20
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(u, v)`` longs → ``(node, component)`` for every node of an edge between two different nodes."""
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     pairs, before = materialize(pairs, "edges"), None
+    files = stored_bytes(pairs) // FILE_BYTES + 1  # edges do not grow: no more files than they fill
     for _ in range(most_rounds):
-        state = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("u", "v") % (1 << 30)).cast("long")), F.lit(0))).first()
+        state = pairs.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if state[0] == 0 or (before is not None and tuple(state) == before):
             break
         before = tuple(state)
@@ -27,7 +30,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        pairs = materialize(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct().coalesce(files), "edges")
     else:
         raise RuntimeError(f"no convergence in {most_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
