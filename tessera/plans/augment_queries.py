@@ -6,15 +6,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as bx
+from tessera.functions import kernels
 from tessera.functions import shapes as sh
 from tessera.operators import augment as au
 from tessera.operators import evaluation as ev
 from tessera.operators import spatial as sp
-from tessera.operators import suppress
-from tessera.sources import annotations, labels
+from tessera.operators import suppress, tiling
+from tessera.sources import annotations, dota, labels
 from tessera.streaming import tracker
 
 from .canonical import ctes, read, table
+from .tiling_queries import TILES
 
 T = lambda s, d, *names: [table(s, d, n) for n in names]
 W, H = 1200.0, 900.0
@@ -171,6 +173,35 @@ def depth_calibration(s, d):
     return rows.groupBy("fold").agg(F.round(F.max("b"), 6).alias("b"), F.round(good, 6).alias("scaled"), F.round(plain, 6).alias("identity"))
 
 
+def _ring(*names):
+    x1, y1, x2, y2 = (F.col(n) for n in names)
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2))])
+
+
+def window_iof(s, d):
+    """Share of each label's polygon in every tile of its image that it meets."""
+    images, gt = T(s, d, "images", "gt")
+    t = tiling.grid_2x2(images).select("image_id", "k", "x0", "y0", F.col("x1").alias("tx"), F.col("y1").alias("ty"))
+    rows = gt.join(t, "image_id").where("x1 < tx and x2 > x0 and y1 < ty and y2 > y0")
+    return rows.select("image_id", "gt_id", "k", F.round(kernels.iof_column(_ring("x1", "y1", "x2", "y2"), F.array("x0", "y0", "tx", "ty")), 6).alias("iof"))
+
+
+def least_rectangles(s, d):
+    """Rectangles of least area around the corners of rotated boxes: the boxes' own sides come back."""
+    theta = (F.col("pk") % 50 + 1) / 40.0
+    c = bx.corners(*bx.xyxy_to_xywh(bx.cols("x1", "y1", "x2", "y2")), theta)
+    r = table(s, d, "gt").where("gt_id = 1").select("image_id", kernels.rectangle_column(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in c])).alias("r"))
+    return r.select("image_id", F.round(F.greatest("r.w", "r.h"), 4).alias("longer"), F.round(F.least("r.w", "r.h"), 4).alias("shorter"), F.round("r.cx", 4).alias("cx"))
+
+
+def dota_merge(s, d):
+    """Rotated predictions of tiles, named by offset, merged on their images."""
+    b = bx.xyxy_to_xywh(bx.cols("x1", "y1", "x2", "y2"))
+    tile = dota.tile_name(F.col("image_id").cast("string"), 1.0, F.col("det_id") % 2 * 100, F.lit(50))
+    rows = table(s, d, "pred").select(tile.alias("tile"), "det_id", "cls", "conf", (b[0] - F.col("det_id") % 2 * 100).alias("cx"), (b[1] - 50).alias("cy"), b[2].alias("w"), b[3].alias("h"), (F.col("det_id") % 5 / 10.0).alias("theta"))
+    return dota.merge(rows).select(F.col("image").cast("long").alias("image_id"), "det_id")
+
+
 def tracks_table(s, d):
     """The tracker over detections of four streams; frames count a stream's images. Beyond SQL."""
     pred = table(s, d, "pred").where("image_id % 1000 < 60").withColumn("stream_id", F.col("image_id") % 4)
@@ -178,7 +209,7 @@ def tracks_table(s, d):
     return tracker.track_table(pred.withColumn("frame", frame).select("stream_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
 
 
-_ALL = (flip_boxes, mosaic_labels, mixup_labels, cut_mix_labels, copy_paste_labels, warp_boxes, pool_route, occlusion_cover, assign_hungarian, assign_aligned, keypoint_oks, mask_iou_pairs, track_duplicates, prompt_masks, mined_detections, max_det_guard, pose_angles, label_lines_scan, predictions_json, annotation_ids, epoch_rows, whole_and_sliced, best_run, depth_calibration, tracks_table)
+_ALL = (flip_boxes, mosaic_labels, mixup_labels, cut_mix_labels, copy_paste_labels, warp_boxes, pool_route, occlusion_cover, assign_hungarian, assign_aligned, keypoint_oks, mask_iou_pairs, track_duplicates, prompt_masks, mined_detections, max_det_guard, pose_angles, window_iof, least_rectangles, dota_merge, label_lines_scan, predictions_json, annotation_ids, epoch_rows, whole_and_sliced, best_run, depth_calibration, tracks_table)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _G, _P, _PG = ctes("gt"), ctes("points"), ctes("pred", "gt")
@@ -217,6 +248,14 @@ SQL = {
     "mined_detections": f"{ctes('pred')}, loose as ({_FAST('0.9')}), tight as ({_FAST('0.5')}) select image_id, det_id from loose where conf < 0.6 and (image_id, det_id) not in (select image_id, det_id from tight)",
     "max_det_guard": f"{_G}, n as (select count(*) as n from gt group by image_id) select max(n) as most, count(*) filter (where n > 5) as beyond from n",
     "pose_angles": f"{_P}, a as (select track_id, frame, degrees(abs(0 - atan2(y - 240, x - 320))) as a, x, y from points) select track_id, frame, round(case when a > 180 then 360 - a else a end, 5) as angle, round(sqrt(pow(floor(x + 0.7) - 3, 2) + pow(floor(y + 0.2) - 4, 2)), 6) as distance from a",
+    "window_iof": f"""{ctes("images", "gt")}, {TILES}, j as (select g.image_id, gt_id, k, greatest(0, least(g.x2, t.x1) - greatest(g.x1, t.x0)) * greatest(0, least(g.y2, t.y1) - greatest(g.y1, t.y0)) as inter, (g.x2 - g.x1) * (g.y2 - g.y1) as own from gt g join tiles t using (image_id))
+      select image_id, gt_id, k, round(inter / own, 6) as iof from j where inter > 0""",
+    "least_rectangles": f"{_G} select image_id, round(greatest(x2 - x1, y2 - y1), 4) as longer, round(least(x2 - x1, y2 - y1), 4) as shorter, round((x1 + x2) / 2, 4) as cx from gt where gt_id = 1",
+    "dota_merge": f"""{ctes("pred")}, g as (select image_id, det_id, cls, conf, image_id || '__1.0__' || (det_id % 2 * 100) || '___50' as tile, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) * (x2 - x1) / 12 as a, (y2 - y1) * (y2 - y1) / 12 as b, det_id % 5 / 10.0::double as t from pred),
+      k as (select *, a * cos(t) * cos(t) + b * sin(t) * sin(t) as a1, a * sin(t) * sin(t) + b * cos(t) * cos(t) as b1, (a - b) * cos(t) * sin(t) as c1 from g),
+      j as (select p.image_id, p.det_id, q.x - p.x as dx, p.y - q.y as dy, p.a1 + q.a1 as a, p.b1 + q.b1 as b, p.c1 + q.c1 as c, (p.a1 * p.b1 - p.c1 * p.c1) as d1, (q.a1 * q.b1 - q.c1 * q.c1) as d2 from k p join k q on p.image_id = q.image_id and p.cls = q.cls and (q.conf > p.conf or (q.conf = p.conf and (q.tile, q.det_id) < (p.tile, p.det_id)))),
+      f as (select image_id, det_id, (a * dy * dy + b * dx * dx) / (a * b - c * c + 1e-7::double) * 0.25 + c * dx * dy / (a * b - c * c + 1e-7::double) * 0.5 + ln((a * b - c * c) / (4 * sqrt(greatest(0, d1) * greatest(0, d2)) + 1e-7::double) + 1e-7::double) * 0.5 as bd from j)
+      select image_id, det_id from pred where (image_id, det_id) not in (select image_id, det_id from f where 1 - sqrt(1 - exp(-least(100.0, greatest(1e-7::double, bd))) + 1e-7::double) >= 0.3)""",
     "label_lines_scan": f"{_G} select cls, count(*) as n, round(sum((x2 - x1) / 1200), 1) as w from gt g where not exists (select 1 from gt h where h.image_id = g.image_id and ((x1 + x2) / 2 / 1200 > 1.01 or (y1 + y2) / 2 / 900 > 1.01)) group by cls",
     "predictions_json": f"{ctes('pred')} select image_id, cls as category_id, round(conf, 5) as score, round(x1, 3) as \"left\", round(x2 - x1, 3) as width from pred",
     "annotation_ids": f"{_G} select image_id, gt_id, image_id * 4294967296 + gt_id + 1 as annotation_id from gt",
