@@ -24,7 +24,7 @@ from .common import broadcast_if_small, documents, materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2.0
-SALT_ROWS = 100_000
+SALT_ROWS = 10_000
 SEED = "mix"
 
 
@@ -100,7 +100,7 @@ OP8_SQL = r"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size from documents
 ), totals as (
-  select source, cast(sum(size) as bigint) as source_size, count(*) // 100000 + 1 as salts from sized group by source
+  select source, cast(sum(size) as bigint) as source_size, count(*) // 10000 + 1 as salts from sized group by source
 ), weighed as (
   select *, source_size * 2.0::double as cap,
     case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight
