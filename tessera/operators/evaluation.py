@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import cols, iou, overlaps
@@ -81,7 +81,7 @@ def average_precision(points: DataFrame, gt: DataFrame, thresholds: list[float]
     # the envelope just after this recall: its own value, or that of the next hit where misses lie between
     steps = mine.unionByName(start).join(after, ["thr", "cls", "cum_tp"])
     here = F.when(F.col("next_fp") > F.col("cum_fp"), F.col("next_env")).otherwise(F.col("env"))
-    low, high = F.ceil(F.col("recall") * 100), F.ceil(F.col("next_recall") * 100) - 1
+    low, high = first_step(F.col("recall"), 100.0), first_step(F.col("next_recall"), 100.0) - 1
     grid = steps.withColumn("here", here).where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
     x = F.col("k") / 100.0
     value = F.col("here") + (F.col("next_env") - F.col("here")) / (F.col("next_recall") - F.col("recall")) * (x - F.col("recall"))
@@ -92,6 +92,12 @@ def average_precision(points: DataFrame, gt: DataFrame, thresholds: list[float]
     return every.join(ap, ["cls", "thr"], "left").select("cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def first_step(x: Column, steps: float) -> Column:
+    """The least whole k with ``k / steps >= x``, as floating point compares."""
+    k = F.ceil(x * steps)
+    return F.when((k - 1) / steps >= x, k - 1).when(k / steps < x, k + 1).otherwise(k)
+
+
 def mean_metrics(ap: DataFrame) -> DataFrame:
     """map50, map75, map50_95 (also the fitness) over classes with labels."""
     at = lambda t: F.avg(F.when(F.abs(F.col("thr") - t) < 1e-9, F.col("ap")))
@@ -112,8 +118,8 @@ def confidence_curves(points: DataFrame, gt: DataFrame, steps: int = 1000) -> Da
     level = level.withColumns({"up": F.lag("conf").over(w), "up_last": F.lag("last").over(w)})
     top = float(steps - 1)
     x = F.col("k") / top
-    low = F.ceil(F.col("conf") * top)
-    high = F.when(F.col("up").isNull(), F.floor(F.col("conf") * top)).otherwise(F.ceil(F.col("up") * top) - 1)
+    low = first_step(F.col("conf"), top)
+    high = F.when(F.col("up").isNull(), F.when(low / top == F.col("conf"), low).otherwise(low - 1)).otherwise(first_step(F.col("up"), top) - 1)
     grid = level.where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
     share = (x - F.col("conf")) / (F.col("up") - F.col("conf"))
     mix = lambda c: F.when(F.col("up").isNull() | (x == F.col("conf")), F.col(f"first.{c}")).otherwise(F.col(f"first.{c}") + (F.col(f"up_last.{c}") - F.col(f"first.{c}")) * share)

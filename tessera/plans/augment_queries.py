@@ -183,7 +183,7 @@ def window_iof(s, d):
     images, gt = T(s, d, "images", "gt")
     t = tiling.grid_2x2(images).select("image_id", "k", "x0", "y0", F.col("x1").alias("tx"), F.col("y1").alias("ty"))
     rows = gt.join(t, "image_id").where("x1 < tx and x2 > x0 and y1 < ty and y2 > y0")
-    return rows.select("image_id", "gt_id", "k", F.round(kernels.iof_column(_ring("x1", "y1", "x2", "y2"), F.array("x0", "y0", "tx", "ty")), 6).alias("iof"))
+    return rows.select("image_id", "gt_id", "k", F.round(kernels.iof_column(_ring("x1", "y1", "x2", "y2"), F.array("x0", "y0", "tx", "ty")) + 1e-9, 6).alias("iof"))
 
 
 def least_rectangles(s, d):
@@ -249,7 +249,7 @@ SQL = {
     "max_det_guard": f"{_G}, n as (select count(*) as n from gt group by image_id) select max(n) as most, count(*) filter (where n > 5) as beyond from n",
     "pose_angles": f"{_P}, a as (select track_id, frame, degrees(abs(0 - atan2(y - 240, x - 320))) as a, x, y from points) select track_id, frame, round(case when a > 180 then 360 - a else a end, 5) as angle, round(sqrt(pow(floor(x + 0.7) - 3, 2) + pow(floor(y + 0.2) - 4, 2)), 6) as distance from a",
     "window_iof": f"""{ctes("images", "gt")}, {TILES}, j as (select g.image_id, gt_id, k, greatest(0, least(g.x2, t.x1) - greatest(g.x1, t.x0)) * greatest(0, least(g.y2, t.y1) - greatest(g.y1, t.y0)) as inter, (g.x2 - g.x1) * (g.y2 - g.y1) as own from gt g join tiles t using (image_id))
-      select image_id, gt_id, k, round(inter / own, 6) as iof from j where inter > 0""",
+      select image_id, gt_id, k, round(inter / own + 1e-9::double, 6) as iof from j where inter > 0""",
     "least_rectangles": f"{_G} select image_id, round(greatest(x2 - x1, y2 - y1), 4) as longer, round(least(x2 - x1, y2 - y1), 4) as shorter, round((x1 + x2) / 2, 4) as cx from gt where gt_id = 1",
     "dota_merge": f"""{ctes("pred")}, g as (select image_id, det_id, cls, conf, image_id || '__1.0__' || (det_id % 2 * 100) || '___50' as tile, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) * (x2 - x1) / 12 as a, (y2 - y1) * (y2 - y1) / 12 as b, det_id % 5 / 10.0::double as t from pred),
       k as (select *, a * cos(t) * cos(t) + b * sin(t) * sin(t) as a1, a * sin(t) * sin(t) + b * cos(t) * cos(t) as b1, (a - b) * cos(t) * sin(t) as c1 from g),

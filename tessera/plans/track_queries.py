@@ -10,7 +10,6 @@ from tessera.functions import boxes as bx
 from tessera.functions import shapes as sh
 from tessera.operators import tracks as tr
 from tessera.operators import vectors as ve
-from tessera.operators.evaluation import rounded
 
 from .canonical import ctes, read, table
 
@@ -62,7 +61,7 @@ def track_reps(s, d):
 
 
 def track_ema(s, d):
-    return rounded(tr.ema(P(s, d), "x", 0.9), "smooth", places=5)
+    return tr.ema(P(s, d), "x", 0.9)
 
 
 def track_alarm(s, d):
@@ -239,7 +238,7 @@ SQL = {
     "track_speed": f"""{_P} select a.track_id, least(120, cast(floor(sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) * 0.05::double / ((b.frame - a.frame) / 30.0::double) * 3.6::double) as int)) as speed from points a join points b on a.track_id = b.track_id and a.frame = 1 and b.frame = 5""",
     "track_reps": f"""{_P}, st as (select track_id, frame, last_value(case when value > 40 then 'up' when value < 10 then 'down' end ignore nulls) over (partition by track_id order by frame) as stage from points),
       t as (select track_id, case when stage = 'up' and lag(stage) over (partition by track_id order by frame) = 'down' then 1 else 0 end as t from st) select track_id, cast(sum(t) as bigint) as reps from t group by track_id""",
-    "track_ema": f"""{_P.replace("with ", "with recursive ")}, e as (select track_id, frame, x as smooth from points where frame = 1 union all select p.track_id, p.frame, 0.9::double * e.smooth + (1 - 0.9::double) * p.x from e join points p on p.track_id = e.track_id and p.frame = e.frame + 1) select track_id, frame, round(smooth, 5) as smooth from e""",
+    "track_ema": f"""{_P.replace("with ", "with recursive ")}, e as (select track_id, frame, x as smooth from points where frame = 1 union all select p.track_id, p.frame, 0.9::double * e.smooth + (1 - 0.9::double) * p.x from e join points p on p.track_id = e.track_id and p.frame = e.frame + 1) select track_id, frame, smooth from e""",
     "track_alarm": f"{_P}, c as (select frame, count(*) as n from points group by frame having count(*) >= 10) select frame, n from c order by frame limit 1",
     "track_class_counts": f"{_P}, c as (select frame // 10 as bin, cls, count(*) as n from points group by 1, 2) select bin, cls, n, round(n / sum(n) over (partition by bin) * 100, 6) as share from c",
     "track_heatmap": f"""{_G}, b as (select (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, least(x2 - x1, y2 - y1) / 2 as r, unnest(range(cast(floor(x1 / 50) as bigint), cast(floor(x2 / 50) as bigint) + 1)) as px, y1, y2 from gt where gt_id = 1),
