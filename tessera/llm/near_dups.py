@@ -219,3 +219,18 @@ def keep_first(docs: DataFrame) -> DataFrame:
 def op2_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = link_components(documents(spark, sf_dir))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+OP2_SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), g as (
+  select distinct doc_id, md5(array_to_string(w[p:p + 3], ' ')) as h from (select doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) as p from d where len(w) > 0)
+), n as (select doc_id, count(*) as n from g group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as k from g a join g b on a.h = b.h and a.doc_id > b.doc_id group by 1, 2),
+links as (select x, y from pairs p join n a on p.x = a.doc_id join n b on p.y = b.doc_id where 100 * k >= 80 * (a.n + b.n - k)),
+both_ways as (select x, y from links union all select y, x from links),
+reach(doc_id, c) as (select doc_id, doc_id from d union select r.doc_id, l.y from reach r join both_ways l on r.c = l.x)
+select d.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, r.c as component_id, d.doc_id = r.c as kept
+from d left join n using (doc_id) join (select doc_id, min(c) as c from reach group by doc_id) r using (doc_id)
+"""

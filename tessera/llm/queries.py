@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality_rules.op1_sql(), "op8_mix_sources": mixing.OP8_SQL}
+    return {
+        "op1_quality_rules": quality_rules.op1_sql(),
+        "op2_near_dups": near_dups.OP2_SQL,
+        "op5_suffix_dedup": suffix_dedup.OP5_SQL,
+        "op7_substring_dedup": substring_dedup.OP7_SQL,
+        "op8_mix_sources": mixing.OP8_SQL,
+    }

@@ -107,3 +107,18 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))
     return made.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])
+
+
+OP7_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), m as (
+  select rid, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) as h from (select rid, doc_id, w, unnest(range(1, len(w) - 48)) as p from d where len(w) >= 50)
+), f as (select h, min(doc_id) as first from m group by h),
+covered as (select distinct rid, p + j as i from m join f using (h), range(0, 50) t(j) where doc_id > first),
+words as (select rid, unnest(range(1, len(w) + 1)) as i, unnest(w) as x from d),
+kept as (
+  select rid, count(*) as n, string_agg(x, ' ' order by i) as t from words anti join covered using (rid, i) group by rid
+)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(w) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (rid)
+"""

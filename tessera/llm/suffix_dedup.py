@@ -156,3 +156,17 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return with_spans(docs, repeated_spans(docs, SPEC)).mapInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+OP5_SQL = r"""
+with d as (select row_number() over () as rid, doc_id, hex(encode(coalesce(text, ''))) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
+m as (select rid, doc_id, p, md5(substr(x, 2 * p + 1, 200)) as h from (select rid, doc_id, x, unnest(range(0, n - 99)) as p from d where n >= 100)),
+r as (select rid, p from (select rid, p, row_number() over (partition by h order by doc_id, p) as k from m) where k > 1),
+spans as (select rid, min(p) as a, max(p) + 100 as b from (select rid, p, sum(fresh) over (partition by rid order by p) as k from (
+  select rid, p, case when p - lag(p) over (partition by rid order by p) <= 100 then 0 else 1 end as fresh from r)) group by rid, k),
+gaps as (select rid, b as a, coalesce(lead(a) over (partition by rid order by a), 1000000000000) as b from (select rid, a, b from spans union all select distinct rid, -1, 0 from spans)),
+kept as (select g.rid, string_agg(substr(x, 2 * g.a + 1, 2 * (least(g.b, n) - g.a)), '' order by g.a) as t from gaps g join d using (rid) group by g.rid),
+counts as (select rid, sum(b - a) as removed, count(*) as spans from spans group by rid)
+select doc_id, cast(n as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(t, x))) as kept_sha256
+from d left join counts using (rid) left join kept using (rid)
+"""
