@@ -176,7 +176,7 @@ def semantic(pixels: DataFrame, ignore: int = 255) -> DataFrame:
 def depth_metrics(pixels: DataFrame, least: int = 10) -> DataFrame:
     """(image_id, pred, target) depths → delta1..3, abs_rel, rmse, silog: per image after scaling by the ratio of lower medians, then the mean."""
     ok = pixels.where("target > 0 and pred > 0")
-    lower = lambda c: F.element_at(F.array_sort(F.collect_list(c)), F.floor((F.count(F.lit(1)) + 1) / 2).cast("int"))
+    lower = lambda c: F.expr(f"percentile_disc(0.5) within group (order by {c})")
     scale = ok.groupBy("image_id").agg(lower("target").alias("mt"), lower("pred").alias("mp"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     rows = ok.join(scale, "image_id").withColumn("p", F.col("pred") * F.col("mt") / F.col("mp"))
     ratio, log = F.greatest(F.col("p") / F.col("target"), F.col("target") / F.col("p")), F.log("p") - F.log("target")
