@@ -26,16 +26,16 @@ select l_orderkey as image_id, gt_id, cast(pk % 6 as int) as cls,
   cast((sk * 53 + gt_id * 67) % 600 as double) + 20 + 4 * cast((pk * 13) % 40 as double) as y2, pk, sk
 from ({_NUMBERED}) n
 """
+_SHIFT = "{c} + case when dup = 1 then {moved} else {jitter} end as {c}"
+_X = [_SHIFT.format(c=c, moved="1e-1 * (x2 - x1)", jitter=EDGE.format(pk="pk", m=m, size="(x2 - x1)")) for c, m in (("x1", 7), ("x2", 3))]
+_Y = [_SHIFT.format(c=c, moved="0e0", jitter=EDGE.format(pk="pk", m=m, size="(y2 - y1)")) for c, m in (("y1", 5), ("y2", 11))]
+#: One pass over the labels: each gives a prediction, a shifted duplicate, both or neither.
 PRED = f"""
-select image_id, gt_id as det_id, cast(case when pk % 11 = 0 then (cls + 1) % 6 else cls end as int) as cls,
-  x1 + {EDGE.format(pk="pk", m=7, size="(x2 - x1)")} as x1, y1 + {EDGE.format(pk="pk", m=5, size="(y2 - y1)")} as y1,
-  x2 + {EDGE.format(pk="pk", m=3, size="(x2 - x1)")} as x2, y2 + {EDGE.format(pk="pk", m=11, size="(y2 - y1)")} as y2,
-  5e-2 + 9e-1 * cast((pk * 7919 + gt_id * 104729) % 1000 as double) / 1e3 as conf
-from ({GT}) g where (pk + gt_id) % 9 <> 0
-union all
-select image_id, gt_id + 100 as det_id, cls, x1 + 1e-1 * (x2 - x1) as x1, y1, x2 + 1e-1 * (x2 - x1) as x2, y2,
-  5e-2 + 9e-1 * cast((pk * 104729 + gt_id * 7919) % 1000 as double) / 1e3 as conf
-from ({GT}) g where pk % 5 = 0
+select image_id, cast(gt_id + 100 * dup as int) as det_id, cast(case when dup = 0 and pk % 11 = 0 then (cls + 1) % 6 else cls end as int) as cls,
+  {_X[0]}, {_Y[0]}, {_X[1]}, {_Y[1]},
+  5e-2 + 9e-1 * cast(case when dup = 0 then pk * 7919 + gt_id * 104729 else pk * 104729 + gt_id * 7919 end % 1000 as double) / 1e3 as conf
+from ({GT}) g cross join (select 0 as dup union all select 1 as dup) k
+where (dup = 0 and (pk + gt_id) % 9 <> 0) or (dup = 1 and pk % 5 = 0)
 """
 POINTS = """
 select user_id as track_id, cast(row_number() over (partition by user_id order by ts, event_id) as int) as frame, ts, event_type as cls, value,
