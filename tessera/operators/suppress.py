@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, intersection, overlaps
+from tessera.storage import settled
 
 
 def top_by_confidence(pred: DataFrame, k: int) -> DataFrame:
@@ -49,12 +50,29 @@ def kept_by_greedy(boxes: np.ndarray, order: np.ndarray, thr: float) -> list[int
 
 
 def greedy_nms(pred: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",), by_class: bool = True) -> DataFrame:
-    """Greedy suppression within ``keys`` and class. A group is one image's boxes of one class, bounded by what a detector emits."""
+    """Greedy suppression within ``keys`` and class; ``det_id`` is unique within ``keys``.
+
+    A box that no better one overlaps is kept, a box that a kept one overlaps goes: both are joins.
+    Only chains beyond that, a few boxes, go to Python, one group of ``keys`` at a time.
+    """
     group = [*keys, *(["cls"] if by_class else [])]
+    box = ["x1", "y1", "x2", "y2"]
+    q = pred.select(*[F.col(c).alias(f"q_{c}") for c in dict.fromkeys([*group, "det_id", "conf", *box])])
+    a, b = cols(*box), cols(*[f"q_{c}" for c in box])
+    inter = intersection(a, b)
+    better = (F.col("q_conf") > F.col("conf")) | ((F.col("q_conf") == F.col("conf")) & (F.col("q_det_id") < F.col("det_id")))
+    on = better & overlaps(a, b) & (inter / (area(a) + area(b) - inter) > thr)
+    for c in group:
+        on = on & (F.col(c) == F.col(f"q_{c}"))
+    ids = [*keys, "det_id"]
+    edges = settled(pred.join(q, on).select(*ids, "q_det_id"))
+    worse = edges.select(*ids).distinct()
+    hit = edges.join(worse.withColumnRenamed("det_id", "q_det_id"), [*keys, "q_det_id"], "left_anti").select(*ids).distinct()
+    sure = pred.join(worse, ids, "left_anti")
+    open_ = pred.join(worse.join(hit, ids, "left_anti"), ids, "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        order = np.lexsort((pdf["det_id"].to_numpy(), -pdf["conf"].to_numpy()))
-        return pdf.iloc[kept_by_greedy(pdf[["x1", "y1", "x2", "y2"]].to_numpy(), order, thr)]
+        parts = [g.iloc[kept_by_greedy(g[box].to_numpy(), np.lexsort((g["det_id"].to_numpy(), -g["conf"].to_numpy())), thr)] for _, g in (pdf.groupby("cls") if by_class else [(0, pdf)])]
+        return pd.concat(parts)
 
-    # boxes that overlap nothing of their group need no Python
-    return pred.groupBy(*group).applyInPandas(run, pred.schema)
+    return sure.unionByName(open_.groupBy(*keys).applyInPandas(run, pred.schema))
