@@ -35,9 +35,14 @@ def hungarian(cost: np.ndarray) -> np.ndarray:
 
 def match(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Pairs of an optimal partial assignment in which no pair costs more than ``limit``."""
+    rows, cols = np.flatnonzero((cost <= limit).any(1)), np.flatnonzero((cost <= limit).any(0))
+    if len(rows) < cost.shape[0] or len(cols) < cost.shape[1]:  # the others stay alone in any case
+        return [(int(rows[i]), int(cols[j])) for i, j in match(cost[np.ix_(rows, cols)], limit)]
     n, m = cost.shape
     if not n or not m:
         return []
+    if n == m == 1:
+        return [(0, 0)]
     square = np.full((n + m, n + m), limit / 2)
     square[:n, :m] = np.where(cost > limit, 1e6, cost)
     square[n:, m:] = 0

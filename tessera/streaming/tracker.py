@@ -148,6 +148,7 @@ def duplicates(tracks: list[Track], limit: float) -> set[int]:
 
 OUT = "stream_id long, frame int, track_id long, det_id int, cls int, score double, x1 double, y1 double, x2 double, y2 double"
 STATE = "memory string"
+INPUT = ("stream_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2")
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
@@ -176,10 +177,33 @@ def track_stream(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return detections.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
 
 
-def track_table(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same over a finished table; a stream's detections are one group."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return run_frames(Memory(), key[0], pdf, rules)
-
-    return detections.groupBy("stream_id").applyInPandas(run, OUT)
+def track_table(detections: DataFrame, rules: Rules = Rules(), parts: int = 61) -> DataFrame:
+    """The same over a finished table.
+
+    A stream is one task, as its frames depend on one another. They come sorted, an Arrow batch at a
+    time, and the tracker's memory is carried over: a task holds a batch, not its stream.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, memory, rest = object(), Memory(), pd.DataFrame()
+
+        def moved(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal stream, memory
+            for key, rows in pdf.groupby("stream_id", sort=False, dropna=False):
+                key = None if pd.isna(key) else int(key)
+                if key != stream:
+                    stream, memory = key, Memory()
+                yield run_frames(memory, key, rows, rules)
+
+        for pdf in batches:
+            if len(pdf):
+                pdf = pd.concat([rest, pdf], ignore_index=True) if len(rest) else pdf
+                ends = pdf[["stream_id", "frame"]].fillna(-1)
+                last = (ends == ends.iloc[-1]).all(axis=1)  # the batch's last frame may go on in the next one
+                rest = pdf[last]
+                yield from moved(pdf[~last])
+        if len(rest):
+            yield from moved(rest)
+
+    ordered = detections.select(*INPUT).where("frame is not null").repartition(parts, "stream_id").sortWithinPartitions("stream_id", "frame", "det_id")
+    return ordered.mapInPandas(run, OUT)
