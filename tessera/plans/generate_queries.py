@@ -16,7 +16,7 @@ def point_grid(s, d):
 
 
 def crop_layers(s, d):
-    return ge.crop_layers(table(s, d, "images").where("image_id < 200"), 2)
+    return ge.crop_layers(table(s, d, "images"), 2)
 
 
 def tile_decode(s, d):
