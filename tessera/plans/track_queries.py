@@ -198,7 +198,7 @@ def early_stopping(s, d):
     """Best epoch so far and whether to stop, for a fitness series made of event values."""
     from pyspark.sql import Window
 
-    rows = table(s, d, "points").where("track_id < 20").select("track_id", "frame", F.col("value").alias("fitness"))
+    rows = table(s, d, "points").select("track_id", "frame", F.col("value").alias("fitness"))
     w = Window.partitionBy("track_id").orderBy("frame")
     best = F.max("fitness").over(w.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("better", best.isNull() | (F.col("fitness") > best) | (best == 0))

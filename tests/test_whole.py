@@ -68,3 +68,8 @@ def test_assignment_without_hopeless_rows_and_columns():
 def test_crop_layers_over_all_images(spark, con):
     got = same_without(spark, con, "crop_layers", " where image_id < 200", 2, "image_id", "layer", "x0", "y0")
     assert got["image_id"].nunique() == table(spark, SF, "images").count() and (got.groupby("image_id").size() == 21).all()
+
+
+def test_early_stopping_over_all_tracks(spark, con):
+    got = same_without(spark, con, "early_stopping", " where track_id < 20", 1, "track_id", "frame")
+    assert len(got) == table(spark, SF, "points").count()
