@@ -73,3 +73,8 @@ def test_crop_layers_over_all_images(spark, con):
 def test_early_stopping_over_all_tracks(spark, con):
     got = same_without(spark, con, "early_stopping", " where track_id < 20", 1, "track_id", "frame")
     assert len(got) == table(spark, SF, "points").count()
+
+
+def test_mask_iou_over_all_images(spark, con):
+    got = same_without(spark, con, "mask_iou_pairs", " where image_id % 3 = 0", 2, "image_id", "a", "b")
+    assert set(got["image_id"] % 3) == {0, 1, 2}
