@@ -189,8 +189,8 @@ def least_rectangles(s, d):
     """Rectangles of least area around the corners of rotated boxes: the boxes' own sides come back."""
     theta = (F.col("pk") % 50 + 1) / 40.0
     c = bx.corners(*bx.xyxy_to_xywh(bx.cols("x1", "y1", "x2", "y2")), theta)
-    r = table(s, d, "gt").where("gt_id = 1").select("image_id", kernels.rectangle_column(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in c])).alias("r"))
-    return r.select("image_id", F.round(F.greatest("r.w", "r.h"), 4).alias("longer"), F.round(F.least("r.w", "r.h"), 4).alias("shorter"), F.round("r.cx", 4).alias("cx"))
+    r = table(s, d, "gt").select("image_id", "gt_id", kernels.rectangle_column(F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in c])).alias("r"))
+    return r.select("image_id", "gt_id", F.round(F.greatest("r.w", "r.h"), 4).alias("longer"), F.round(F.least("r.w", "r.h"), 4).alias("shorter"), F.round("r.cx", 4).alias("cx"))
 
 
 def dota_merge(s, d):

@@ -73,7 +73,7 @@ def track_class_counts(s, d):
 
 
 def track_heatmap(s, d):
-    return tr.heatmap(table(s, d, "gt").where("gt_id = 1"), 50)
+    return tr.heatmap(table(s, d, "gt"), 50)
 
 
 def track_joint(s, d):

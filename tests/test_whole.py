@@ -78,3 +78,15 @@ def test_early_stopping_over_all_tracks(spark, con):
 def test_mask_iou_over_all_images(spark, con):
     got = same_without(spark, con, "mask_iou_pairs", " where image_id % 3 = 0", 2, "image_id", "a", "b")
     assert set(got["image_id"] % 3) == {0, 1, 2}
+
+
+def test_heatmap_over_all_boxes(spark, con):
+    got = same_without(spark, con, "track_heatmap", " where gt_id = 1", 1, "px", "py")
+    first = con.sql(registry.oracle_sql()["track_heatmap"]).df()
+    assert got["heat"].sum() > 2 * first["heat"].sum()
+
+
+def test_least_rectangles_of_all_boxes(spark, con):
+    got = same_without(spark, con, "least_rectangles", " where gt_id = 1", 1, "image_id", "longer", "shorter", "cx")
+    keys = table(spark, SF, "gt").select("image_id", "gt_id").toPandas()
+    pd.testing.assert_frame_equal(sorted_rows(got[["image_id", "gt_id"]], "image_id", "gt_id"), sorted_rows(keys, "image_id", "gt_id"))
