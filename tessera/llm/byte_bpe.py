@@ -1,72 +1,18 @@
-"""Byte-level BPE of a tokenizers file at the speed that a corpus needs.
-
-The ids are those of the tokenizers library. Its merge loop takes 3.9 to 4.7 MB of text a second and
-core, so whole texts go through tiktoken's loop instead, with ranks taken from the same file, where
-that is sure to give the same ids: the file is a plain byte-level BPE whose merges are numbered in
-their order (checked on load), and the text has neither an added token's string in it nor a
-character beyond ``PLAIN`` (within it both libraries' character classes agree, which tests check one
-by one). All other texts, and one in every ``CHECK_EVERY`` as a running check, are encoded by the
-tokenizers library; a difference raises.
-"""
+"""Byte-level BPE of whole texts by the tokenizers library."""
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 
-#: Fixed value: the split pattern of byte-level BPE.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PLAIN = "ɐ"
-CHECK_EVERY = 256
-
-
-def byte_letters() -> dict[str, int]:
-    """The letters that stand for bytes in the file: printable ones for themselves, the rest from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in plain]
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
-
-
-def ranks_of(spec: dict) -> dict[bytes, int] | None:
-    """Token bytes → id, if merging by least id is merging by the file's order; None if not sure."""
-    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    plain = model.get("type") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix") and not model.get("byte_fallback") and not model.get("dropout") and not model.get("ignore_merges")
-    if not plain or spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
-        return None
-    letters, vocab = byte_letters(), model["vocab"]
-    ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
-    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    made = [vocab[a + b] for a, b in pairs]
-    if any(y <= x for x, y in zip(made, made[1:], strict=False)) or len(made) + 256 != len(vocab) or any(bytes([b]) not in ranks for b in range(256)):
-        return None
-    return ranks
-
 
 class ByteEncoder:
     def __init__(self, text: str) -> None:
-        import tiktoken
         import tokenizers
 
-        self.whole = tokenizers.Tokenizer.from_str(text)
-        self.whole.no_truncation()
-        self.whole.no_padding()
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        ranks = ranks_of(json.loads(text))
-        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if ranks else None
-        self.seen = 0
-
-    def library(self, text: str) -> np.ndarray:
-        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        self.library = tokenizers.Tokenizer.from_str(text)
+        self.library.no_truncation()
+        self.library.no_padding()
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a whole text."""
-        if not text:
-            return np.zeros(0, np.uint32)
-        if self.fast is None or not (text.isascii() or max(text) < PLAIN) or any(x in text for x in self.special):
-            return self.library(text)
-        ids = self.fast.encode_to_numpy(text, disallowed_special=())
-        self.seen += 1
-        if self.seen % CHECK_EVERY == 1 and not np.array_equal(ids, self.library(text)):
-            raise ValueError("the two libraries differ on a text")
-        return ids
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, all texts in one call."""
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]

@@ -154,9 +154,9 @@ def write_shards(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["part", "shard", "part_start", "n_docs", "n_tokens", "docs", "blob"])
 
-        for doc_ids, texts in rows_of(batches, "doc_id", "text"):
-            for d, text in zip(doc_ids, texts, strict=True):
-                ids = np.append(encoder.encode(text or ""), end)
+        for doc_ids, texts in rows_of(batches, "doc_id", "text", step=64):
+            for d, ids in zip(doc_ids, encoder.many([t or "" for t in texts]), strict=True):
+                ids = np.append(ids, end)
                 index.append((d or 0, len(ids), d is None))
                 held.append(ids)
                 size += len(ids)

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import byte_bpe, chunk_store, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
+from tessera.llm import chunk_store, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -174,16 +174,6 @@ def test_op3_blocks_alone_and_wide_ids():
     assert np.array_equal(rans_codec.decode_ids(blob, [1]), ids[len(rans_codec.decode_ids(blob, [0])) :][: len(rans_codec.decode_ids(blob, [1]))])
 
 
-def test_op3_fast_path_is_the_librarys():
-    t, e = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json")), byte_bpe.ByteEncoder(token_counts.tokenizer_json("byte_bpe_50k.json"))
-    assert e.fast is not None
-    for c in map(chr, range(ord(byte_bpe.PLAIN))):
-        for x in ("a" + c + "b", c + " " + c, "  " + c + "1", c + c + "\n " + c + "'s"):
-            assert e.fast.encode_to_numpy(x, disallowed_special=()).tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
-    for x in ("", "日本 🙂", "a <|endoftext|> b"):
-        assert e.encode(x).tolist() == t.encode(x, add_special_tokens=False).ids
-
-
 def test_op4_media(spark, sf):
     found = result(chunk_store.op4_chunk_media(spark, sf))
     same = defaultdict(set)
