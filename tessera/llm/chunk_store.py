@@ -5,18 +5,22 @@ A payload is cut where a rolling gear hash (``h = (h << 1) + gear[byte]`` over 3
 after the last cut. Chunks are named by 128 bits of SHA-256. Payloads and chunks are deduplicated by Spark
 groupings and joins on their digests, over metadata only:
 
-* ``payload`` rows, one a distinct payload: an ordered manifest (digest, size and place of every
-  chunk) and the bytes of those chunks that no other payload has;
+* ``payload`` rows, one a distinct payload: an ordered manifest (digest and size of every chunk), a
+  mark for each chunk that is stored elsewhere, and the bytes of the others;
 * ``chunk`` rows, one a chunk that several places share.
 
 So most payloads are read back from one row without any shuffle; only shared chunks are fetched by
 a join. Every chunk is verified against its digest, every payload against its own. Both kinds are
 one Parquet table in the shared folder, written by Spark's committer.
 
-The stored form that is measured is a payload's manifest followed by its chunks in order.
+The stored form that is measured is a payload's manifest followed by its chunks in order; it depends on
+the payload alone, not on what else is stored.
 
-Defined results: null text is an empty text, whose payload is 64 zero bytes; repeated rows and
-copies share one stored payload; a null doc_id is kept; an empty table gives an empty result.
+Defined results: null text is an empty text, whose payload is 64 zero bytes; a very long text is cut
+into as many chunks as it takes and rebuilt whole; repeated rows and copies share one stored payload;
+among equal payloads that of the least doc_id is stored (a tie of one doc_id is the same bytes), and a
+chunk that several have is stored by the least (payload, place); a null doc_id is kept; extra columns,
+whatever their names, are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +36,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, documents, materialize, rows_of
+from .common import broadcast_if_small, documents, join_counted, materialize, release, rows_of
 
 GEAR = np.random.default_rng(1).integers(0, 1 << 32, 256, np.uint64).astype(np.uint32)
 CUT_BITS = 11
 MIN_CHUNK, MAX_CHUNK = 512, 16384
 UNIT = 64
 MAGIC = b"CDC1"
-#: Digest, size, whether the chunk is in the shared table.
-ENTRY = struct.Struct("<16sI?")
+#: Digest, size.
+ENTRY = struct.Struct("<16sI")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -100,7 +104,7 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cells, ["doc_id", "n_bytes", "payload", "chunks"])
 
 
-STORE = "kind string, name binary, manifest binary, bytes binary"
+STORE = "kind string, name binary, manifest binary, elsewhere binary, bytes binary"
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,38 +122,47 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for name, data, elsewhere, mine in zip(names, packed, shared, owned, strict=True):
             data = unpack.decompress(data)
-            elsewhere, mine, inline, manifest = set(elsewhere or ()), set(mine or ()), [], [MAGIC]
-            for i, c in enumerate(cut(data)):
-                manifest.append(ENTRY.pack(digest(c), len(c), i in elsewhere))
+            elsewhere, mine, inline, manifest, chunks = set(elsewhere or ()), set(mine or ()), [], [MAGIC], cut(data)
+            for i, c in enumerate(chunks):
+                manifest.append(ENTRY.pack(digest(c), len(c)))
                 if i in mine:
-                    rows.append(("chunk", digest(c), None, c))
+                    rows.append(("chunk", digest(c), None, None, c))
                 if i not in elsewhere:
                     inline.append(c)
-            rows.append(("payload", name, b"".join(manifest), b"".join(inline)))
-        kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary()]
-        cells = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["kind", "name", "manifest", "bytes"])
+            rows.append(("payload", name, b"".join(manifest), bytes(i in elsewhere for i in range(len(chunks))), b"".join(inline)))
+        kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        cells = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], ["kind", "name", "manifest", "elsewhere", "bytes"])
 
 
-def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Returns (recipes, places, store): doc_id → payload digest; (payload, place, digest) of shared chunks; the stored rows."""
+def write_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Returns (recipes, payloads, places, store).
+
+    doc_id → payload digest; the distinct payloads with their number of rows; (payload, place,
+    digest, n) of chunks that ``n`` places share; the stored rows.
+    """
     recipes = materialize(docs.select("doc_id", "text").mapInArrow(_recipes, "doc_id long, n_bytes long, payload binary, chunks array<binary>"), "recipes")
-    payloads = materialize(recipes.groupBy("payload").agg(F.min("doc_id").alias("owner"), F.first("chunks").alias("chunks")), "payloads")
-    places = payloads.select("payload", "owner", F.posexplode("chunks").alias("place", "digest"))
-    shared = places.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("payload", "place")).alias("first")).where("n > 1").select("digest", "first")
-    places = materialize(places.join(shared, "digest").select("payload", "owner", "place", "digest", F.expr("first.payload = payload and first.place = place").alias("owns")), "places")
+    payloads = materialize(recipes.groupBy("payload").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n"), F.first("chunks").alias("chunks")), "payloads")
+    every = payloads.select("payload", F.posexplode("chunks").alias("place", "digest"))
+    shared = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("payload", "place")).alias("first")).where("n > 1")
+    shared = materialize(shared, "shared")
+    places = join_counted(every, shared, "digest", shared).select("payload", "place", "digest", "n", F.expr("first.payload = payload and first.place = place").alias("owns"))
+    places = materialize(places, "places")
     by_payload = places.groupBy("payload").agg(F.collect_list("place").alias("shared"), F.collect_list(F.when(F.col("owns"), F.col("place"))).alias("owned"))
     plan = materialize(payloads.select("payload", "owner").join(by_payload, "payload", "left").withColumnRenamed("payload", "payload_"), "store-plan")
     packed = docs.select("doc_id", "text").mapInArrow(_packed, "doc_id long, payload binary, packed binary")
     store = packed.join(plan.hint("merge"), F.expr("payload = payload_ and doc_id <=> owner")).mapInArrow(_stored, STORE)
-    return recipes, places, materialize(store, "store", ["kind"])
+    store = materialize(store, "store", ["kind"])
+    release(shared)
+    release(plan)
+    return recipes, payloads, places, store
 
 
 def read_payloads(places: DataFrame, store: DataFrame) -> DataFrame:
-    """(name, manifest, bytes, fetched) of every stored payload, with the shared chunks that it needs."""
-    stored = store.where("kind = 'payload'").select("name", "manifest", "bytes")
-    chunks = store.where("kind = 'chunk'").select(F.col("name").alias("digest"), F.col("bytes").alias("chunk"))
-    needed = places.select("payload", "digest").distinct().join(chunks, "digest")
+    """(name, manifest, elsewhere, bytes, fetched) of every stored payload, with the shared chunks that it needs."""
+    stored = store.where("kind = 'payload'").select("name", "manifest", "elsewhere", "bytes")
+    chunks = store.where("kind = 'chunk'").select(F.col("name").alias("digest"), F.col("bytes").alias("chunk")).dropDuplicates(["digest"])
+    needed = join_counted(places.select("payload", "digest").distinct(), chunks, "digest", places)
     fetched = needed.groupBy("payload").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))  # a payload's own chunks
     borrows = materialize(places.select("payload").distinct(), "borrowers")
     whole = stored.join(broadcast_if_small(borrows), F.col("name") == F.col("payload"), "left_anti").withColumn("fetched", F.lit(None).cast("array<struct<digest:binary,chunk:binary>>"))
@@ -157,14 +170,14 @@ def read_payloads(places: DataFrame, store: DataFrame) -> DataFrame:
     return whole.unionByName(part)
 
 
-def rebuild(name: bytes, manifest: bytes, inline: bytes, fetched: dict[bytes, bytes]) -> bytes:
+def rebuild(name: bytes, manifest: bytes, elsewhere: bytes, inline: bytes, fetched: dict[bytes, bytes]) -> bytes:
     """The payload's bytes; raises ValueError where a chunk or the whole differs from its digest."""
     if manifest[:4] != MAGIC:
         raise ValueError("not a manifest")
     parts, at = [], 0
-    for sha, size, elsewhere in ENTRY.iter_unpack(manifest[4:]):
-        c = fetched[sha] if elsewhere else inline[at : at + size]
-        at += 0 if elsewhere else size
+    for (sha, size), away in zip(ENTRY.iter_unpack(manifest[4:]), elsewhere, strict=True):
+        c = fetched[sha] if away else inline[at : at + size]
+        at += 0 if away else size
         if len(c) != size or digest(c) != sha:
             raise ValueError("a chunk is damaged")
         parts.append(c)
@@ -175,10 +188,10 @@ def rebuild(name: bytes, manifest: bytes, inline: bytes, fetched: dict[bytes, by
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for names, manifests, inlines, lists in rows_of(batches, "name", "manifest", "bytes", "fetched"):
+    for names, manifests, marks, inlines, lists in rows_of(batches, "name", "manifest", "elsewhere", "bytes", "fetched"):
         out = []
-        for name, manifest, inline, fetched in zip(names, manifests, inlines, lists, strict=True):
-            data = rebuild(name, manifest, inline, {f["digest"]: f["chunk"] for f in fetched or ()})
+        for name, manifest, elsewhere, inline, fetched in zip(names, manifests, marks, inlines, lists, strict=True):
+            data = rebuild(name, manifest, elsewhere, inline, {f["digest"]: f["chunk"] for f in fetched or ()})
             form = hashlib.sha256(manifest)
             form.update(data)
             out.append((name, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-UNIT:]), len(manifest) + len(data), form.hexdigest(), feature(data), (len(manifest) - 4) // ENTRY.size))
@@ -188,7 +201,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op4_chunk_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recipes, places, store = write_store(documents(spark, sf_dir))
+    recipes, payloads, places, store = write_store(documents(spark, sf_dir))
     measured = read_payloads(places, store).mapInArrow(_measured, "payload binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long")
     measured = materialize(measured.dropDuplicates(["payload"]), "measured")
-    return recipes.select("doc_id", "n_bytes", "payload").join(measured, "payload").drop("payload")
+    return join_counted(recipes.select("doc_id", "n_bytes", "payload"), measured, "payload", payloads).drop("payload")

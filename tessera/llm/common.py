@@ -21,20 +21,44 @@ WORD_GAP = "[\\x20\\x09-\\x0D]+"
 #: A side that is written and has at most so many bytes and rows may be broadcast.
 BROADCAST_BYTES = 32 << 20
 BROADCAST_ROWS = 2_000_000
+#: A side of so few rows of at most MAX_CHUNK bytes may be broadcast.
+HOT_KEYS = 1_000
 BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where the cluster names none (tests)."""
+    """The shared folder that the session names; one of our own only in a local session (tests), where all tasks see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{tag}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def own_dir(spark: SparkSession) -> str:
+    """What this application writes is below it."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(df: DataFrame) -> None:
+    """Deletes a frame from :func:`materialize` that nothing will read again: what came of it has been written itself."""
+    _delete(df.sparkSession, df._tessera_path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application wrote to the shared folder. Frames that read it are void afterwards."""
+    _delete(spark, own_dir(spark))
 
 
 def materialize(df: DataFrame, tag: str, partition_by: Iterable[str] = ()) -> DataFrame:
@@ -60,6 +84,20 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= BROADCAST_BYTES and df.count() <= BROADCAST_ROWS else df
 
 
+def join_counted(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, most: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row a key; ``counts``, a written frame, holds (key, n): how many rows meet a key.
+
+    Keys of over ``most`` rows are few; they are joined apart, by a broadcast if there are at most
+    HOT_KEYS of them, so that their rows need not meet in one task. Otherwise it is a plain join.
+    """
+    hot = counts.where(F.col("n") > most).select(key).distinct()
+    few = hot.count()
+    if not 0 < few <= HOT_KEYS:
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(table.join(hot, key, "left_semi")), key))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts go to Python ``BATCH_BYTES`` at a time, where the session sets no limit: a worker's memory follows the batch."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import chunk_store, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
+from tessera.llm import chunk_store, common, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -201,10 +201,27 @@ def test_op4_cuts_follow_content():
 
 def test_op4_damage_is_found():
     data = b"x" * 64
-    manifest = chunk_store.MAGIC + chunk_store.ENTRY.pack(chunk_store.digest(data), 64, False)
-    assert chunk_store.rebuild(chunk_store.digest(data), manifest, data, {}) == data
+    manifest = chunk_store.MAGIC + chunk_store.ENTRY.pack(chunk_store.digest(data), 64)
+    assert chunk_store.rebuild(chunk_store.digest(data), manifest, b"\0", data, {}) == data
     with pytest.raises(ValueError, match="damaged"):
-        chunk_store.rebuild(chunk_store.digest(data), manifest, b"y" * 64, {})
+        chunk_store.rebuild(chunk_store.digest(data), manifest, b"\0", b"y" * 64, {})
+
+
+def test_op4_form_depends_on_the_payload_alone(spark, tmp_path):
+    r = np.random.default_rng(5)
+    text = "".join(map(chr, r.integers(97, 123, 40_000)))
+    forms = []
+    for i, more in enumerate(([], [(2, text[:30_000] + "x"), (3, text + "y")])):
+        spark.createDataFrame([(1, text), *more], "doc_id long, text string").write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        row = chunk_store.op4_chunk_media(spark, f"{tmp_path}/{i}").where("doc_id = 1").first()
+        forms.append((row.media_bytes, row.media_sha256, row.feature))
+    assert forms[0] == forms[1]
+
+
+def test_op4_hot_chunks_and_payloads(spark, sf, monkeypatch):
+    want = sorted(map(str, chunk_store.op4_chunk_media(spark, sf).collect()))
+    monkeypatch.setattr(chunk_store, "join_counted", lambda *a: common.join_counted(*a, most=1))
+    assert sorted(map(str, chunk_store.op4_chunk_media(spark, sf).collect())) == want
 
 
 def suffix_brute(rows):
