@@ -282,6 +282,24 @@ def test_op6_counts_and_cache(spark, sf, tmp_path):
     assert before < after == spark.read.parquet(cache).count() == spark.read.parquet(cache).select("digest").distinct().count()
 
 
+def test_op6_second_run_hits_the_cache(spark, sf, tmp_path, monkeypatch):
+    spark.conf.set("spark.tessera.tokenCache", f"file://{tmp_path}/kept")
+    try:
+        first = sorted(map(str, token_counts.op6_token_counts(spark, sf).collect()))
+        size = spark.read.parquet(f"file://{tmp_path}/kept").count()
+        assert sorted(map(str, token_counts.op6_token_counts(spark, sf).collect())) == first
+        assert spark.read.parquet(f"file://{tmp_path}/kept").count() == size > 0
+    finally:
+        spark.conf.unset("spark.tessera.tokenCache")
+
+
+def test_op6_other_tokenizers_count_whole_texts(spark, docs, tmp_path):
+    assert token_counts.drops_gaps(token_counts.tokenizer_json("word_bpe_49k.json")) and not token_counts.drops_gaps(token_counts.tokenizer_json("byte_bpe_50k.json"))
+    t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, f"file://{tmp_path}/bytes", "byte_bpe_50k.json").collect()}
+    assert found == {r[0]: len(t.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS}
+
+
 def test_op6_words_alone():
     t, c = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json")), token_counts.WordCounter(token_counts.tokenizer_json("word_bpe_49k.json"))
     texts = ["", "a|b | c", "x\x1cy\x1fz", "it's  'll", "é é ́x", "İstanbul ΣΑΣ", "a <|startoftext|> b", " a b　"]
