@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -382,49 +383,60 @@ def test_op9_ids(spark, sf):
         assert (found[i]["n_tokens"], found[i]["ids_sha256"], found[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(lib.decode(ids).encode()).hexdigest())
 
 
-def test_op9_spans():
-    codec = spm_codec.OffsetCodec(spm_codec.model_bytes("piece_bpe_32k.model"))
-    for text in ["", "  a  b ", "▁x ▁▁ y", "\n\t x\ny", "é 日本 🙂  ", "a▁", "▁", "  ", " ", "x  ", "<s> </s>", "héllo  日wörld"]:
-        ids = codec.encode(text)
+ODD_TEXTS = ["", "  a  b ", "▁x ▁▁ y", "\n\t x\ny", "é 日本 🙂  ", "a▁", "▁", "  ", " ", "x  ", "<s> </s>", "héllo  日wörld", "abacabé", "ab  ab", "zz q"]
+
+
+def check_spans(codec, texts):
+    for text in texts:
+        ids, starts, ends = codec.encode(text)
         pieces = codec.lib.encode(text, return_type="proto").pieces
-        assert ids == [p.id for p in pieces]
-        starts, ends = codec.spans(text, ids)
-        assert b"".join(text.encode()[a:b] for a, b in zip(starts, ends, strict=True)) == text.encode()
+        assert ids == [p.id for p in pieces], text
         for p, a, b in zip(pieces, starts, ends, strict=True):
             if codec.lib.id_to_piece(p.id)[:3] != "<0x":
-                assert (p.begin, p.end) == (a, b)
+                assert (p.begin, p.end) == (a, b), (text, p.piece)
+
+
+def test_op9_spans():
+    codec = spm_codec.OffsetCodec(spm_codec.model_bytes("piece_bpe_32k.model"))
+    assert codec.own and codec.by_run
+    check_spans(codec, [*ODD_TEXTS, *[r[1] for r in ROWS if r[1]]])
+    for text in ODD_TEXTS:
+        _, starts, ends = codec.encode(text)
+        assert b"".join(text.encode()[a:b] for a, b in zip(starts, ends, strict=True)) == text.encode()
+
+
+def trie(entries):
+    """A small double array for the tests: breadth-first, each node at a base of its own."""
+    targets, offsets = b"", {}
+    for source, target in entries.items():
+        offsets[source] = len(targets)
+        targets += target + b"\0"
+    units, free = {}, 256
+    prefixes = sorted({s[:k] for s in entries for k in range(len(s) + 1)}, key=len)
+    bases = {}
+    for p in prefixes:
+        bases[p], free = free, free + 512
+    place = {b"": 0}
+    for p in prefixes:
+        if p:
+            place[p] = bases[p[:-1]] ^ p[-1]
+    for p in prefixes:
+        step = place[p] ^ bases[p]
+        label = p[-1] if p else 0
+        packed = (step >> 8 << 10 | 1 << 9) if step & 0xFF == 0 and step >= 1 << 21 else step << 10
+        units[place[p]] = packed | (1 << 8 if p in entries else 0) | label
+        if p in entries:
+            units[bases[p]] = 0x80000000 | offsets[p]
+    array = [units.get(i, 0) for i in range((max(units) // 256 + 1) * 256)]
+    blob = struct.pack(f"<{len(array)}I", *array)
+    return struct.pack("<I", len(blob)) + blob + targets
+
+
+MAP = {b"a": b"1", b"ab": b"23", "é".encode(): b"e", b"\t": b" ", b"\n": b" ", "日".encode(): b"ni chi", b"q": b""}
 
 
 def test_op9_longest_prefix_map():
-    import struct
-
-    def trie(entries):
-        """A small double array for the test: breadth-first, each node at a base of its own."""
-        targets, offsets = b"", {}
-        for source, target in entries.items():
-            offsets[source] = len(targets)
-            targets += target + b"\0"
-        units, free = {}, 256
-        prefixes = sorted({s[:k] for s in entries for k in range(len(s) + 1)}, key=len)
-        bases = {}
-        for p in prefixes:
-            bases[p], free = free, free + 512
-        place = {b"": 0}
-        for p in prefixes:
-            if p:
-                place[p] = bases[p[:-1]] ^ p[-1]
-        for p in prefixes:
-            step = place[p] ^ bases[p]
-            label = p[-1] if p else 0
-            packed = (step >> 8 << 10 | 1 << 9) if step & 0xFF == 0 and step >= 1 << 21 else step << 10
-            units[place[p]] = packed | (1 << 8 if p in entries else 0) | label
-            if p in entries:
-                units[bases[p]] = 0x80000000 | offsets[p]
-        array = [units.get(i, 0) for i in range(max(units) + 1)]
-        blob = struct.pack(f"<{len(array)}I", *array)
-        return struct.pack("<I", len(blob)) + blob + targets
-
-    m = spm_codec.CharMap(trie({b"a": b"1", b"ab": b"23", b"\xc3\xa9": b"e"}))
+    m = spm_codec.CharMap(trie(MAP))
     assert m.longest(b"abc", 0) == (2, b"23") and m.longest(b"ac", 0) == (1, b"1") and m.longest("é".encode(), 0) == (2, b"e") and m.longest(b"zz", 0) is None
     codec = spm_codec.OffsetCodec(spm_codec.model_bytes("piece_bpe_32k.model"))
     codec.map = m
@@ -432,6 +444,23 @@ def test_op9_longest_prefix_map():
     assert data.decode() == "▁x23▁e" and align.tolist() == [0, 0, 0, 0, 1, 1, 3, 3, 3, 4, 6]
 
 
+@pytest.mark.parametrize(("dummy", "squeeze"), [(True, False), (True, True), (False, True), (False, False)])
+def test_op9_models_with_a_map(dummy, squeeze):
+    """Ids and spans of our normalising against the library's own, for models that have a map and squeeze spaces."""
+    from sentencepiece import sentencepiece_model_pb2 as schema
+
+    proto = schema.ModelProto()
+    proto.ParseFromString(spm_codec.model_bytes("piece_bpe_32k.model"))
+    proto.normalizer_spec.precompiled_charsmap, proto.normalizer_spec.add_dummy_prefix, proto.normalizer_spec.remove_extra_whitespaces = trie(MAP), dummy, squeeze
+    codec = spm_codec.OffsetCodec(proto.SerializeToString())
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "ab", "b", "é", " ", "  ", "\t", "日", "q", "x", "▁", "🙂"]) for _ in range(r.randint(1, 30))) for _ in range(300)]
+    for text in [*ODD_TEXTS, *texts]:
+        assert codec.encode(text)[0] == codec.lib.encode(text), (text, codec.normalise(text))
+        for a, b in zip(*codec.encode(text)[1:], strict=True):
+            assert 0 <= a <= b <= len(text.encode())
+
+
 def test_op10_scores(spark, sf):
     found = result(pu_quality.op10_pu_quality(spark, sf))
     for i, r in found.items():
