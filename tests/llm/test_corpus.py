@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tessera.llm import chunk_store, common, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
+from tessera.llm import byte_bpe, chunk_store, common, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -175,6 +175,25 @@ def test_op3_blocks_alone_and_wide_ids():
     assert np.array_equal(rans_codec.decode_ids(blob, [1]), ids[len(rans_codec.decode_ids(blob, [0])) :][: len(rans_codec.decode_ids(blob, [1]))])
 
 
+def test_op3_ids_are_the_librarys_on_whole_texts(monkeypatch):
+    e, r = byte_bpe.ByteEncoder(token_counts.tokenizer_json("byte_bpe_50k.json")), random.Random(1)
+    assert e.plain
+    parts = ["a", "b", "'", "'s", "'re", "'ll", "'v", "e", " ", "  ", "\n", "\t", "\u3000", "1", "²", "Ⅷ", "é", "日", "🙂", "!", "-", "\x1c", "\x85", "\u200b", "\u0301", "ǅ", "\0", "'S", "<|endoftext|>"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    texts += ["a" + chr(p) + "b " + chr(p) + chr(p) + " 1" + chr(p) + "!" for p in [*range(0x3000), *range(0x3000, 0x110000, 61)] if not 0xD800 <= p < 0xE000]
+    texts += [" ".join(map(str, range(300_000))), "word " * 300_000, "x" * 100_000, " " * 50_000 + "y"]  # very long ones
+    want = e.whole(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(e.many(texts), want, strict=True))
+    monkeypatch.setattr(byte_bpe, "MOST_ENTRIES", 3000)  # a table that fills up, and batches that do not fit at all
+    small = byte_bpe.ByteEncoder(token_counts.tokenizer_json("byte_bpe_50k.json"))
+    assert all(np.array_equal(a, b) for i in range(0, len(texts), 200) for a, b in zip(small.many(texts[i : i + 200]), want[i : i + 200], strict=True))
+
+
+def test_op3_other_files_go_whole():
+    e = byte_bpe.ByteEncoder(token_counts.tokenizer_json("word_bpe_49k.json"))
+    assert not e.plain and [x.tolist() for x in e.many(["a b", ""])] == [x.tolist() for x in e.whole(["a b", ""])]
+
+
 def test_op4_media(spark, sf):
     found = result(chunk_store.op4_chunk_media(spark, sf))
     same = defaultdict(set)
