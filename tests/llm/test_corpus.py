@@ -121,21 +121,60 @@ def test_op2_components(spark, sf):
     assert {i: (r["n_shingles"], r["component_id"], r["kept"]) for i, r in found.items()} == {i: (len(sets[i]), groups[i], groups[i] == i) for i in sets}
 
 
-def test_op2_blocks_of_a_large_family(spark, sf, monkeypatch):
+@pytest.mark.parametrize("copies", [0, 1000])
+def test_op2_large_families(spark, sf, monkeypatch, copies):
+    """Families cut into many blocks, the rest of them met block by block or by shingles."""
     monkeypatch.setattr(near_dups, "UNIT_BYTES", 6000)
+    monkeypatch.setattr(near_dups, "MOST_COPIES", copies)
+    monkeypatch.setattr(near_dups, "BANDS", 64)  # more and larger families
     found, (_, groups) = result(near_dups.op2_near_dups(spark, sf)), near_groups(ROWS)
     assert {i: r["component_id"] for i, r in found.items()} == groups
 
 
+def test_op2_one_loose_family(spark, monkeypatch):
+    """Documents that share boilerplate only, with a few similar pairs and one tight group among them."""
+    r = random.Random(8)
+    word = lambda: "w" + str(r.randrange(10_000))
+    common = [word() for _ in range(60)]
+    texts = [common + [word() for _ in range(40)] for _ in range(60)]
+    texts += [t[:-1] + [word()] for t in texts[:10]] + [texts[20][:k] + [word()] + texts[20][k + 1 :] for k in range(0, 90, 3)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = near_groups(rows)[1]
+    monkeypatch.setattr(near_dups, "bands", lambda low: np.arange(32, dtype=np.int64))  # all in one family
+    monkeypatch.setattr(near_dups, "UNIT_BYTES", 4000)
+    for copies in (0, 1000):
+        monkeypatch.setattr(near_dups, "MOST_COPIES", copies)
+        assert {x.doc_id: x.component_id for x in near_dups.link_components(docs).collect()} == want
+
+
 def test_op2_odd_sketch_estimates():
+    """The filter's recall at the limit of similarity, and what it leaves out far below."""
     r = np.random.default_rng(1)
-    a = np.unique(r.integers(0, 1 << 63, 900, np.uint64))
-    b = np.concatenate([a[:855], np.unique(r.integers(0, 1 << 63, 45, np.uint64))])
-    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert abs(near_dups.estimated_similarity(near_dups.odd_sketch(near_dups.signature(a)), near_dups.odd_sketch(near_dups.signature(b))) - true) < 0.12
+
+    def estimate(n, union):  # sets with n shingles in common of so many
+        every = np.unique(r.integers(0, 1 << 63, union + 50, np.uint64))[:union]
+        r.shuffle(every)
+        half = (union - n) // 2
+        a, b = np.sort(every[: n + half]), np.sort(np.concatenate([every[:n], every[n + half :]]))
+        return near_dups.estimated_similarity(near_dups.odd_sketch(near_dups.signature(a)), near_dups.odd_sketch(near_dups.signature(b)))
+
+    close = np.array([estimate(800, 1000) for _ in range(1000)] + [estimate(40, 50) for _ in range(1000)])
+    far = np.array([estimate(100, 1000) for _ in range(300)])
+    assert abs(close.mean() - 0.8) < 0.02 and close.std() < 0.07
+    assert (close >= near_dups.LEAST_ESTIMATE).all() and close.mean() - 6 * close.std() > near_dups.LEAST_ESTIMATE
+    assert (far < near_dups.LEAST_ESTIMATE).mean() > 0.95
+
+
+def test_keep_first_with_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 5, "x", 1, 2), (2, "a b c d e f g", 6, "y", 3, 4), (None, "q", 7, None, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_ int, row string, component_id int, `gone.x` int")
+    assert sorted(map(tuple, near_dups.keep_first(docs, 5).collect()), key=str) == sorted([rows[0], rows[2]], key=str)
 
 
-def test_components_of_paths(spark):
+@pytest.mark.parametrize("finish", [0, 1_000_000])
+def test_components_of_paths(spark, monkeypatch, finish):
+    monkeypatch.setattr(graph, "FINISH_EDGES", finish)
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 90), (5, 5)], "u long, v long")
     got = {r.node: r.component for r in graph.components(edges).collect()}
     assert got == {i: 0 for i in range(31)} | {90: 90, 100: 90}
