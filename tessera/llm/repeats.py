@@ -7,12 +7,15 @@ windows of one anchor form a segment, a stretch of under 2 W tokens.
 1. All anchors are found: place, window range, anchor hash, segment hash.
 2. Anchors that occur once are dropped (counted by a 32-bit hash of theirs: a collision only keeps
    a few more). What is left is proportional to the repeated part of the corpus.
-3. Segments of equal content are grouped; all but the first are repeats as a whole.
+3. Segments of one anchor and of equal hash (64 bits over all tokens of the segment) are taken as
+   equal; all but the first are matches of the first as a whole.
 4. First segments that share an anchor but not their whole content (the ends of repeats) are
-   compared: their contents go to the anchor's task and a kernel finds the repeated stretches. An
-   anchor with more than ``most_segments`` different segments is not sent to one task; the windows of
-   its segments are grouped by 128-bit hash instead, which gives the same stretches.
-5. Each document's stretches are merged.
+   compared: their contents go to the anchor's task and a kernel finds the matches. An anchor with
+   more than ``most_segments`` different segments is split: its windows are cut anew by their two
+   least hashes, then by their three least, and so on (equal windows agree in these, too), and steps
+   3 and 4 run over the parts. After ``levels`` cuts a part is a single window.
+5. Matches that go on along one diagonal (same earlier document, same distance) are joined, which
+   makes them as long as they are in both; a document's spans are the union of its matches.
 
 Groupings are minima that combine before the shuffle; joins are equi-joins that AQE may split, or
 broadcasts of written tables whose size was checked.
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, materialize, rows_of
+from .common import broadcast_if_small, materialize, release, rows_of
 
 BATCH_TOKENS = 1 << 20
 
@@ -81,20 +84,28 @@ class Rolling:
         return mixed((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
+PLACE_BITS = 16
+_PLACES = np.uint64((1 << PLACE_BITS) - 1)
+
+
 def leftmost_minima(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the least value in each window of ``width``, leftmost on a tie.
 
-    The index replaces a value's low bits, so values that agree above them count as ties; which
-    stretches of equal values get is the same everywhere.
+    Values are compared by their upper 48 bits, whatever their number: stretches are worked on whose
+    places fit the lower 16. So equal windows have equal minima in every document.
     """
-    bits = np.uint64(max(16, int(len(values)).bit_length()))
-    low, size = values >> bits << bits | np.arange(len(values), dtype=np.uint64), 1
-    while size * 2 <= width:
-        low = np.minimum(low[:-size], low[size:])
-        size *= 2
     n = len(values) - width + 1
-    low = np.minimum(low[:n], low[width - size : width - size + n])
-    return (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    step = (1 << PLACE_BITS) - width
+    out = np.empty(max(n, 0), np.int64)
+    for at in range(0, n, step):
+        part = values[at : at + step + width - 1]
+        low, size = part >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | np.arange(len(part), dtype=np.uint64), 1
+        while size * 2 <= width:
+            low = np.minimum(low[:-size], low[size:])
+            size *= 2
+        m = len(part) - width + 1
+        out[at : at + m] = (np.minimum(low[:m], low[width - size : width - size + m]) & _PLACES).astype(np.int64) + at
+    return out
 
 
 @dataclass(frozen=True)
@@ -109,7 +120,8 @@ class Spec:
     within: bool  # whether an earlier start in the same document counts
     most_segments: int  # different segments of one anchor that a kernel takes
     anew: bool  # find anchors twice instead of writing them all once
-    kernel: Callable[[list], Iterator[tuple]]
+    kernel: Callable[[list], Iterator[tuple]]  # groups of (g, doc, twin, lo, offset, content) → (g, lo, *MATCH)
+    levels: int = 4  # how often an anchor of too many segments is cut anew; the last time into single windows
 
 
 def anchors(tokens: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
@@ -126,18 +138,38 @@ def anchors(tokens: np.ndarray, spec: Spec) -> tuple[np.ndarray, ...]:
     return place, first, last, grams[place].view(np.int64), rolling.of(first, last + spec.window).view(np.int64)
 
 
+def finer(rolling: Rolling, first: int, last: int, place: int, level: int, spec: Spec) -> list[tuple[int, int, int, int, int]]:
+    """(place, first, last, hash, segment hash): the windows of a segment cut by their ``level + 1`` least hashes; singly at the last level."""
+    width = spec.window - spec.k + 1
+    values = mixed((rolling.sums[first + spec.k : last + width + spec.k] - rolling.sums[first : last + width]) * rolling.down[first : last + width])
+    rows = np.lib.stride_tricks.sliding_window_view(values >> np.uint64(PLACE_BITS), width)
+    least = np.sort(np.argsort(rows, axis=1, kind="stable")[:, : level + 1] + np.arange(len(rows))[:, None], axis=1)
+    new = np.concatenate([[True], (least[1:] != least[:-1]).any(axis=1)]) if level < spec.levels else np.ones(len(rows), bool)
+    starts = np.flatnonzero(new)
+    ends = np.concatenate([starts[1:] - 1, [len(rows) - 1]])
+    key = np.full(len(starts), np.uint64(level))
+    for column in least[starts].T:
+        key = mixed(key * np.uint64(_OTHER) + values[column] + (column - least[starts, 0]).astype(np.uint64) + (least[starts, 0] + first - place).astype(np.uint64))
+    if level >= spec.levels:
+        key = mixed(rolling.of(starts + first, starts + first + spec.window) + np.uint64(level))
+    content = rolling.of(starts + first, ends + first + spec.window)
+    return list(zip([place] * len(starts), (starts + first).tolist(), (ends + first).tolist(), key.view(np.int64).tolist(), content.view(np.int64).tolist(), strict=True))
+
+
 def _batch(names: list[str], kinds: list, rows: list[tuple]) -> pa.RecordBatch:
     cells = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
 
 
-SPAN = "doc long, twin short, start int, stop int"
-SPAN_NAMES, SPAN_KINDS = ["doc", "twin", "start", "stop"], [pa.int64(), pa.int16(), pa.int32(), pa.int32()]
+#: A stretch of a document that also starts at ``at`` of the earlier (source, source_twin).
+MATCH = "doc long, twin long, start int, stop int, source long, source_twin long, at int"
+MATCH_NAMES, MATCH_KINDS = [x.split()[0] for x in MATCH.split(", ")], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+SEGMENT = "doc long, twin long, lo int, more short, offset short, g long, s long"
 
 
 def twin_of(text: Column) -> Column:
-    """A 15-bit hash of the text, for the case that rows share a doc_id."""
-    return F.pmod(F.xxhash64(text), F.lit(1 << 15)).cast("short")
+    """A 64-bit hash of the text, for the case that rows share a doc_id."""
+    return F.xxhash64(text)
 
 
 def identified(docs: DataFrame) -> DataFrame:
@@ -146,58 +178,37 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
 
 
-def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
-    """(doc, twin, starts, stops): merged stretches, in tokens, of windows that occur earlier."""
-    rows, w = identified(docs), spec.window
+def _segments(rows: DataFrame, spec: Spec) -> DataFrame:
+    """The segments of all documents whose anchor occurs more than once."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_ids, twins, texts in rows_of(batches, "doc", "twin", "text", step=128):
             found = [anchors(spec.tokens(t), spec) for t in texts]
             counts = [len(f[0]) for f in found]
             place, first, last, g, s = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in zip(*found, strict=True))
-            cells = [pa.array(np.repeat(np.array(doc_ids, np.int64), counts)), pa.array(np.repeat(np.array(twins, np.int16), counts)), pa.array(first, pa.int32()), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)), pa.array(g), pa.array(s)]
+            cells = [pa.array(np.repeat(np.array(doc_ids, np.int64), counts)), pa.array(np.repeat(np.array(twins, np.int64), counts)), pa.array(first, pa.int32()), pa.array((last - first).astype(np.int16)), pa.array((place - first).astype(np.int16)), pa.array(g), pa.array(s)]
             yield pa.RecordBatch.from_arrays(cells, ["doc", "twin", "lo", "more", "offset", "g", "s"])
 
-    every = rows.where("doc is not null").mapInArrow(find, "doc long, twin short, lo int, more short, offset short, g long, s long")
+    every = rows.where("doc is not null").mapInArrow(find, SEGMENT)
     every = every if spec.anew else materialize(every, "anchors")
     short = F.expr("cast(pmod(g, 4294967296) - 2147483648 as int)")
     often = materialize(every.select(short.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "often")
     shared = materialize(every.withColumn("h", short).join(broadcast_if_small(often), "h", "left_semi").drop("h"), "shared")
+    release(often)
+    if not spec.anew:
+        release(every)
+    return shared
+
 
+def matches(docs: DataFrame, spec: Spec) -> DataFrame:
+    """MATCH rows: stretches that occur earlier, each as far as one anchor's task sees it; :func:`repeats` joins them."""
+    rows, w, found = identified(docs), spec.window, []
+    shared = _segments(rows, spec)
     here = F.struct("doc", "twin", "lo")
-    firsts = materialize(shared.groupBy("g", "s").agg(F.min(here).alias("f")), "firsts")
-    many = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
     later = F.expr("struct(doc, twin, lo) > f") if spec.within else F.expr("doc > f.doc")
-    marked = materialize(shared.join(firsts, ["g", "s"]).select("doc", "twin", "lo", "more", "offset", "g", later.alias("later")), "marked")
-    whole = marked.where("later").select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + w).alias("stop"))
-    leads = marked.where("not later").drop("later").join(many, "g")
-
-    asked = leads.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "more", "offset", "g", (F.col("segments") > spec.most_segments).alias("hot"))).alias("wanted"))
-    asked = materialize(asked.withColumnsRenamed({"doc": "d_", "twin": "t_"}), "asked")
-    texts = rows.join(broadcast_if_small(asked), F.expr("doc = d_ and twin = t_")).select("doc", "twin", "text", "wanted")
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int16(), pa.int32(), pa.int16(), pa.binary(), pa.int64(), pa.int64()]
-        names = ["g", "doc", "twin", "lo", "offset", "content", "a", "b"]
-        for doc_ids, twins, texts, wanted in rows_of(batches, "doc", "twin", "text", "wanted", step=64):
-            out = []
-            for d, twin, text, asked in zip(doc_ids, twins, texts, wanted, strict=True):
-                units = spec.units(text)
-                hashes = [Rolling(spec.tokens(text), second).every(w).view(np.int64) for second in (False, True)] if any(x["hot"] for x in asked) else None
-                for x in asked:
-                    first, last = x["lo"], x["lo"] + x["more"]
-                    if x["hot"]:
-                        out += [(None, d, twin, p, None, None, int(hashes[0][p]), int(hashes[1][p])) for p in range(first, last + 1)]
-                    else:
-                        out.append((x["g"], d, twin, first, x["offset"], spec.cut(units, first, last + w), None, None))
-            yield _batch(names, kinds, out)
-
-    parts = materialize(texts.mapInArrow(fetch, "g long, doc long, twin short, lo int, offset short, content binary, a long, b long"), "contents")
-    hot = parts.where("a is not null").select("a", "b", "doc", "twin", "lo")
-    least = hot.groupBy("a", "b").agg(F.min(here).alias("f"))
-    hot = hot.join(least, ["a", "b"]).where(later).select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + w).alias("stop"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["g", "lead", *MATCH_NAMES], [pa.int64(), pa.int32(), *MATCH_KINDS]
         group, held, size = [], [], 0
         for columns in rows_of(batches, "g", "doc", "twin", "lo", "offset", "content", step=4096):
             for row in zip(*columns, strict=True):
@@ -206,35 +217,121 @@ def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
                     size += sum(len(r[5]) for r in group)
                     group = []
                     if size >= BATCH_TOKENS:
-                        yield _batch(SPAN_NAMES, SPAN_KINDS, list(spec.kernel(held)))
+                        yield _batch(names, kinds, list(spec.kernel(held)))
                         held, size = [], 0
                 group.append(row)
         if group:
             held.append(group)
         if held:
-            yield _batch(SPAN_NAMES, SPAN_KINDS, list(spec.kernel(held)))
-
-    cool = parts.where("a is null").select("g", "doc", "twin", "lo", "offset", "content")
-    ends = cool.repartition("g").sortWithinPartitions("g", "doc", "twin", "lo").mapInArrow(compare, SPAN)
+            yield _batch(names, kinds, list(spec.kernel(held)))
+
+    for level in range(1, spec.levels + 2):
+        firsts = materialize(shared.groupBy("g", "s").agg(F.min(here).alias("f")), "firsts")
+        many = firsts.groupBy("g").agg(F.count(F.lit(1)).alias("segments")).where("segments > 1")
+        marked = materialize(shared.join(firsts, ["g", "s"]).select("doc", "twin", "lo", "more", "offset", "g", "f", later.alias("later")), "marked")
+        release(shared)
+        found.append(marked.where("later").select("doc", "twin", F.col("lo").alias("start"), (F.col("lo") + F.col("more") + w).alias("stop"), F.col("f.doc").alias("source"), F.col("f.twin").alias("source_twin"), F.col("f.lo").alias("at")))
+        if level > spec.levels:
+            break  # single windows: a part has one content
+        lead = F.expr("struct(doc, twin, lo) = f")
+        leads = marked.where(lead).join(many, "g")
+        hot = F.col("segments") > spec.most_segments
+        asked = leads.groupBy("doc", "twin").agg(F.collect_list(F.struct("lo", "more", "offset", "g", hot.alias("hot"))).alias("wanted"))
+        asked = materialize(asked.withColumnsRenamed({"doc": "d_", "twin": "t_"}), "asked")
+        release(firsts)
+        texts = rows.join(broadcast_if_small(asked), F.expr("doc = d_ and twin = t_"))
+
+        def fetch(batches: Iterator[pa.RecordBatch], level: int = level) -> Iterator[pa.RecordBatch]:
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.int16(), pa.int64()]
+            names = ["g", "doc", "twin", "lo", "offset", "content", "more", "s"]
+            for doc_ids, twins, texts, wanted in rows_of(batches, "doc", "twin", "text", "wanted", step=64):
+                out = []
+                for d, twin, text, asked in zip(doc_ids, twins, texts, wanted, strict=True):
+                    units = spec.units(text)
+                    rolling = Rolling(spec.tokens(text)) if any(x["hot"] for x in asked) else None
+                    for x in asked:
+                        first, last = x["lo"], x["lo"] + x["more"]
+                        if x["hot"]:
+                            out += [(g, d, twin, a, place - a, None, b - a, s) for place, a, b, g, s in finer(rolling, first, last, first + x["offset"], level, spec)]
+                        else:
+                            out.append((x["g"], d, twin, first, x["offset"], spec.cut(units, first, last + w), None, None))
+                yield _batch(names, kinds, out)
+
+        parts = materialize(texts.select("doc", "twin", "text", "wanted").mapInArrow(fetch, "g long, doc long, twin long, lo int, offset short, content binary, more short, s long"), "contents")
+        cool = parts.where("content is not null").select("g", "doc", "twin", "lo", "offset", "content").dropDuplicates(["g", "doc", "twin", "lo"])
+        ends = cool.repartition("g").sortWithinPartitions("g", "doc", "twin", "lo").mapInArrow(compare, f"g long, lead int, {MATCH}")
+        if not spec.within:  # what holds for a first segment holds for its other places in the first document
+            ends = materialize(ends, "ends")
+            again = marked.where(~lead & ~F.col("later")).select("g", F.col("doc").alias("d_"), F.col("twin").alias("t_"), "lo", "f")
+            moved = ends.join(again, (ends["g"] == again["g"]) & F.expr("doc = f.doc and twin = f.twin and lead = f.lo"))
+            shift = F.col("lo") - F.col("lead")
+            found.append(moved.select(F.col("d_").alias("doc"), F.col("t_").alias("twin"), (F.col("start") + shift).alias("start"), (F.col("stop") + shift).alias("stop"), "source", "source_twin", "at"))
+        found.append(ends.select(*MATCH_NAMES))
+        shared = parts.where("content is null").select("doc", "twin", "lo", "more", "offset", "g", "s").distinct()
+        if shared.isEmpty():
+            break
+        shared = materialize(shared, "finer")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _runs(group: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unions of overlapping or touching stretches of each group; rows sorted by (group, start). First row, start, stop of each."""
+    shift = group * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(new) - 1]])
+    return np.flatnonzero(new), start[new], reach[last] - shift[last]
+
+
+def repeats(docs: DataFrame, spec: Spec) -> DataFrame:
+    """One row a document that has any: doc, twin, starts, stops (its spans, merged), matches (start, stop, source, source_twin, at).
+
+    A match is as long as both documents agree along its diagonal, as far as its parts have the same
+    earliest document.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, twins, spans in rows_of(batches, "doc", "twin", "spans", step=512):
+        match = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("source", pa.int64()), ("source_twin", pa.int64()), ("at", pa.int32())]))
+        for doc_ids, twins, found in rows_of(batches, "doc", "twin", "found", step=512):
             out = []
-            for d, twin, pairs in zip(doc_ids, twins, spans, strict=True):
-                p = np.array(sorted((x["start"], x["stop"]) for x in pairs), np.int64)
-                reach = np.maximum.accumulate(p[:, 1])
-                new = np.concatenate([[True], p[1:, 0] > reach[:-1]])
-                stops = reach[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(p) - 1]])]
-                out.append((d, twin, p[new, 0].tolist(), stops.tolist()))
-            yield _batch(["doc", "twin", "starts", "stops"], [pa.int64(), pa.int16(), pa.list_(pa.int32()), pa.list_(pa.int32())], out)
+            for d, twin, rows in zip(doc_ids, twins, found, strict=True):
+                start, stop, source, other, at = np.array([(x["start"], x["stop"], x["source"], x["source_twin"], x["at"]) for x in rows], np.int64).T
+                order = np.lexsort((start, at - start, other, source))
+                start, stop, source, other, at = start[order], stop[order], source[order], other[order], at[order]
+                changed = (np.diff(source) != 0) | (np.diff(other) != 0) | (np.diff(at - start) != 0)
+                first, a, b = _runs(np.concatenate([[0], np.cumsum(changed)]), start, stop)
+                whole = [{"start": x, "stop": y, "source": p, "source_twin": q, "at": z} for x, y, p, q, z in zip(a.tolist(), b.tolist(), source[first].tolist(), other[first].tolist(), at[first].tolist(), strict=True)]
+                order = np.argsort(a, kind="stable")
+                _, a, b = _runs(np.zeros(len(a), np.int64), a[order], b[order])
+                out.append((d, twin, a.tolist(), b.tolist(), whole))
+            yield _batch(["doc", "twin", "starts", "stops", "matches"], [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), match], out)
+
+    found = matches(docs, spec).groupBy("doc", "twin").agg(F.collect_list(F.struct(*MATCH_NAMES[2:])).alias("found"))  # a document's own
+    return materialize(found.mapInArrow(merge, "doc long, twin long, starts array<int>, stops array<int>, matches array<struct<start:int,stop:int,source:long,source_twin:long,at:int>>"), "repeats")
+
+
+def repeat_groups(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(source, source_twin, at, size, doc, twin, start): all occurrences of each repeat, its first one included, grouped by the first four."""
+    m = repeats(docs, spec).select("doc", "twin", F.explode("matches").alias("m"))
+    rows = m.select("m.source", "m.source_twin", "m.at", (F.col("m.stop") - F.col("m.start")).alias("size"), "doc", "twin", "m.start")
+    first = rows.select("source", "source_twin", "at", "size", F.col("source").alias("doc"), F.col("source_twin").alias("twin"), F.col("at").alias("start"))
+    return rows.unionByName(first).distinct()
 
-    spans = whole.unionByName(hot).unionByName(ends).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return materialize(spans.mapInArrow(merge, "doc long, twin short, starts array<int>, stops array<int>"), "spans")
+
+def repeated_spans(docs: DataFrame, spec: Spec) -> DataFrame:
+    """(doc, twin, starts, stops): merged stretches, in tokens, of windows that occur earlier."""
+    found = repeats(docs, spec)
+    spans = found.select("doc", "twin", "starts", "stops")
+    spans._tessera_path = found._tessera_path
+    return spans
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, keep_rows: bool = False) -> DataFrame:
     """Every document with its merged spans (null: none); with ``keep_rows`` also ``row``, the input row."""
     found = broadcast_if_small(spans).withColumnsRenamed({"doc": "d_", "twin": "t_"})
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(*([F.struct("*").alias("row")] if keep_rows else []), F.col("doc_id").alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
+    rows = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_rows else []), F.col("doc_id").alias("doc"), twin_of(text).alias("twin"), text.alias("text"))
     return rows.join(found, F.expr("doc = d_ and twin = t_"), "left").drop("d_", "t_", "twin")

@@ -2,11 +2,15 @@
 
 Documents meet at winnowed anchors (see :mod:`repeats`); from an anchor that two of them share,
 their match is extended word by word to the left and to the right, and kept as a repeat if it spans
-50 words or more. A document loses the words of those matches whose partner is an earlier document.
-
-Defined results: null text has no words; a document of under 50 words loses none; repeats inside one
-document stay; rows that repeat a doc_id do not count as earlier than each other; a row without
-doc_id is kept whole and makes nothing else a repeat; an empty table gives an empty result.
+50 words or more. Matches of neighbouring anchors are joined along their diagonal, so that a repeat is
+as long as it is in both documents (``repeats.repeats`` returns it with its place in the earlier one).
+A document loses the words of those repeats whose partner is an earlier document.
+
+Defined results: null text has no words; a document of under 50 words loses none, a very long one is
+searched whole; repeats inside one document stay; of documents that tie in a passage the least doc_id
+keeps it; rows that repeat a doc_id do not count as earlier than each other; a row without doc_id is
+kept whole and makes nothing else a repeat; extra columns, whatever their names, are not read and
+:func:`strip_repeats` returns them as they are; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ def word_tokens(text: str) -> np.ndarray:
 
 
 def extend(groups: list[list[tuple]]) -> Iterator[tuple]:
-    """Segments that share an anchor, by ascending doc → (doc, twin, start, stop) of matches with an earlier doc."""
+    """Segments that share an anchor, by ascending doc → (g, lo, *MATCH) of matches with an earlier doc."""
     for group in groups:
         if len(group) < 2:
             continue
@@ -55,10 +59,14 @@ def extend(groups: list[list[tuple]]) -> Iterator[tuple]:
                 continue
             same = grid[x] == grid[: starts[x]]
             back, ahead = np.argmin(same[:, left - 1 :: -1], axis=1), np.argmin(same[:, left:], axis=1)
-            long = back + ahead >= WINDOW
-            place = group[x][3] + group[x][4]
-            for b, a in set(zip(back[long].tolist(), ahead[long].tolist(), strict=True)):
-                yield group[x][1], group[x][2], place - b, place + a
+            long = np.flatnonzero(back + ahead >= WINDOW)
+            g, doc, twin, lo, offset, _ = group[x]
+            place, done = lo + offset, set()
+            for i in long.tolist():  # of equal stretches the earliest partner's
+                b, a = int(back[i]), int(ahead[i])
+                if (b, a) not in done:
+                    done.add((b, a))
+                    yield g, lo, doc, twin, place - b, place + a, group[i][1], group[i][2], group[i][3] + group[i][4] - b
 
 
 SPEC = Spec(window=WINDOW, k=SEED_WORDS, tokens=word_tokens, units=word_tokens, cut=lambda u, a, b: u[a:b].tobytes(), within=False, most_segments=256, anew=False, kernel=extend)
@@ -103,7 +111,7 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
     # only documents with repeats go to Python
     same = found.where("starts is null").select("row", F.lit(None).cast("string").alias("new"))
     made = same.unionAll(found.where("starts is not null").select("row", cut("text", "starts", "stops").alias("new")).where("new <> ''"))
-    out = {"text": F.coalesce("new", "row.text")}
+    out = {"text": F.coalesce("new", "row.text")}  # the row's other columns as they are
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new").cast("long")).otherwise(F.col("row.n_chars"))
     return made.select(*[out[c].alias(c) if c in out else F.col(f"row.`{c}`") for c in docs.columns])

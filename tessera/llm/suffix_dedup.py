@@ -5,12 +5,16 @@ end (see :mod:`repeats` for how the corpus is cut down to those places, and deal
 array with longest common prefixes is built over the segments of one task's anchors. A scan with a
 stack visits its common-prefix intervals; an interval whose suffixes are preceded by different bytes
 is left-maximal, so it is a maximal repeat, reported as one group with all its occurrences. All
-occurrences of a group but the earliest are removed.
-
-Defined results: null text is an empty text; a text of under 100 bytes loses nothing; matches never
-cross documents; rows that repeat a doc_id with the same text lose the same bytes, with different
-texts they count as ordered by a hash of the text; a row without doc_id is kept whole and makes
-nothing else a repeat; an empty table gives an empty result.
+occurrences of a group but the earliest are removed. Inside a repeat, where whole segments agree, it
+is their hashes that tell; both kinds of match are joined along their diagonals into whole repeats,
+which :func:`groups` returns with all their occurrences.
+
+Defined results: null text is an empty text; a text of under 100 bytes loses nothing, a very long one
+is searched whole; matches never cross documents; of equal strings the one of the least (doc_id, hash
+of the text, start) stays, so rows that repeat a doc_id with the same text lose the same bytes, with
+different texts they count as ordered by a 64-bit hash of the text; a row without doc_id is kept whole
+and makes nothing else a repeat; extra columns, whatever their names, are not read; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, rows_of
-from .repeats import Rolling, Spec, repeated_spans, with_spans
+from .repeats import Rolling, Spec, repeat_groups, repeated_spans, with_spans
 
 WINDOW = 100
 SEED_BYTES = 24
@@ -101,7 +105,7 @@ def maximal_repeats(strings: list[bytes], least: int = WINDOW) -> Iterator[tuple
 
 
 def scan(groups: list[list[tuple]]) -> Iterator[tuple]:
-    """Segments of some anchors → (doc, twin, start, stop) of the occurrences that are not their group's first."""
+    """Segments of some anchors → (g, lo, *MATCH) of the occurrences that are not their group's first; shorter ones inside longer ones go."""
     rows = [r for group in groups if len(group) > 1 for r in group]
     if not rows:
         return
@@ -119,24 +123,28 @@ def scan(groups: list[list[tuple]]) -> Iterator[tuple]:
         doc = docs[which]
         first = np.lexsort((start, doc))[0]
         again = (doc != doc[first]) | (start != start[first])
-        found.append(np.stack([which[again], start[again], start[again] + size]))
+        n = int(again.sum())
+        found.append(np.stack([which[again], start[again], start[again] + size, np.full(n, which[first]), np.full(n, start[first])]))
     if not found:
         return
-    which, start, stop = np.concatenate(found, axis=1)
-    order = np.lexsort((start, which))
-    which, start, stop = which[order], start[order], stop[order]
-    # a segment's stretches are merged: at most a few for each segment, however many groups it is in
+    which, start, stop, source, at = np.concatenate(found, axis=1)
+    order = np.lexsort((-stop, start, which))
+    which, start, stop, source, at = which[order], start[order], stop[order], source[order], at[order]
     shift = which * (int(stop.max()) + 2)
     reach = np.maximum.accumulate(stop + shift)
-    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
-    last = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(new) - 1]])
-    for i, a, b in zip(which[new].tolist(), start[new].tolist(), (reach[last] - shift[last]).tolist(), strict=True):
-        yield rows[i][1], rows[i][2], a, b
+    new = np.concatenate([[True], (stop + shift)[1:] > reach[:-1]])  # not inside what starts before it
+    for i, a, b, j, z in zip(*[x[new].tolist() for x in (which, start, stop, source, at)], strict=True):
+        yield rows[i][0], rows[i][3], rows[i][1], rows[i][2], a, b, rows[j][1], rows[j][2], z
 
 
 SPEC = Spec(window=WINDOW, k=SEED_BYTES, tokens=byte_tokens, units=str.encode, cut=lambda u, a, b: u[a:b], within=True, most_segments=8192, anew=True, kernel=scan)
 
 
+def groups(docs: DataFrame) -> DataFrame:
+    """Repeats of 100 bytes or more with all their occurrences (see :func:`repeats.repeat_groups`)."""
+    return repeat_groups(docs, SPEC)
+
+
 def kept_bytes(data: bytes, starts: list | None, stops: list | None) -> bytes:
     out, at = [], 0
     for a, b in zip(starts or (), stops or (), strict=True):

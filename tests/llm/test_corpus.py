@@ -126,7 +126,6 @@ def test_op2_large_families(spark, sf, monkeypatch, copies):
     """Families cut into many blocks, the rest of them met block by block or by shingles."""
     monkeypatch.setattr(near_dups, "UNIT_BYTES", 6000)
     monkeypatch.setattr(near_dups, "MOST_COPIES", copies)
-    monkeypatch.setattr(near_dups, "BANDS", 64)  # more and larger families
     found, (_, groups) = result(near_dups.op2_near_dups(spark, sf)), near_groups(ROWS)
     assert {i: r["component_id"] for i, r in found.items()} == groups
 
@@ -303,11 +302,68 @@ def test_op5_removed_bytes(spark, sf):
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in found.items()} == suffix_brute(ROWS)
 
 
-def test_op5_hot_anchors_by_window(spark, docs, monkeypatch):
+def spans_of(df):
+    return {(r.doc, tuple(r.starts), tuple(r.stops)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_hot_anchors_are_split(spark, docs, module):
     from dataclasses import replace
 
-    hot = {(r.doc, tuple(r.starts), tuple(r.stops)) for r in repeats.repeated_spans(docs, replace(suffix_dedup.SPEC, most_segments=1, anew=False)).collect()}
-    assert hot == {(r.doc, tuple(r.starts), tuple(r.stops)) for r in repeats.repeated_spans(docs, suffix_dedup.SPEC).collect()}
+    want = spans_of(repeats.repeated_spans(docs, module.SPEC))
+    for most, levels in ((1, 4), (2, 2), (1, 1)):
+        assert spans_of(repeats.repeated_spans(docs, replace(module.SPEC, most_segments=most, levels=levels, anew=most == 2))) == want
+
+
+@pytest.mark.parametrize("module", [suffix_dedup, substring_dedup])
+def test_repeats_without_broadcasts(spark, docs, monkeypatch, module):
+    want = spans_of(repeats.repeated_spans(docs, module.SPEC))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert spans_of(repeats.repeated_spans(docs, module.SPEC)) == want
+
+
+def test_anchors_do_not_depend_on_the_documents_length():
+    r = np.random.default_rng(3)
+    long = r.integers(1, 1 << 63, 300_000, np.uint64)
+    for spec in (suffix_dedup.SPEC, substring_dedup.SPEC):
+        place, first, last, g, s = repeats.anchors(long, spec)
+        for at in (0, 65_400, 65_500, 131_000, 200_000):
+            p, f, _, h, _ = repeats.anchors(long[at : at + 1000], spec)
+            inner = (f > 0) & (f < 500)
+            assert set(zip((p + at)[inner].tolist(), (f + at)[inner].tolist(), h[inner].tolist(), strict=True)) <= set(zip(place.tolist(), first.tolist(), g.tolist(), strict=True))
+
+
+def test_op7_repeats_are_maximal(spark):
+    r = random.Random(6)
+    word = lambda: "w" + str(r.randrange(100_000))
+    passage = [word() for _ in range(700)]
+    texts = [[word() for _ in range(30)] + passage + [word() for _ in range(90)], [word() for _ in range(80)] + passage[100:] + [word()], passage[:300] + [word()] + passage[301:] + [word()]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x.doc: sorted((m.start, m.stop, m.source, m.at) for m in x.matches) for x in repeats.repeats(docs, substring_dedup.SPEC).collect()}
+    assert got == {1: [(80, 680, 0, 130)], 2: [(0, 300, 0, 30), (301, 700, 0, 331)]}
+
+
+def test_op5_groups_have_all_occurrences(spark):
+    r = random.Random(7)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    passage = noise(5000)
+    docs = spark.createDataFrame([(i, noise(40 + i) + passage + noise(60)) for i in range(12)] + [(20, noise(900))], "doc_id long, text string")
+    found = suffix_dedup.groups(docs).collect()
+    assert {(g.source, g.at, g.doc, g.start) for g in found if g["size"] == 5000} == {(0, 40, i, 40 + i) for i in range(12)}
+    assert {g["size"] for g in found} == {5000}
+
+
+def test_op7_repeats_inside_the_first_document(spark):
+    """A passage many times in the first document is compared once; all its places take part in what an even earlier one shares."""
+    r = random.Random(9)
+    word = lambda: "w" + str(r.randrange(100_000))
+    line = [word() for _ in range(120)]
+    rows = [(1, [word() for _ in range(20)] + line[30:100] + [word() for _ in range(20)]), (2, line * 40), (3, [word()] + line * 3), (4, line[:60] + [word()])]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    found = {x.doc: (x.starts, x.stops) for x in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string"), substring_dedup.SPEC).collect()}
+    want = word_brute(rows)
+    for i, text in rows:
+        assert substring_dedup.kept_words(text, *found.get(i, (None, None)))[0] == want[i][0], i
 
 
 def test_op5_maximal_repeats():
@@ -386,13 +442,6 @@ def test_op7_removed_words(spark, sf):
     assert {i: (r["n_words"], r["n_removed"], r["kept_sha256"]) for i, r in found.items()} == {i: (n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for i, (k, n) in want.items()}
 
 
-def test_op7_hot_anchors_by_window(spark, docs):
-    from dataclasses import replace
-
-    spans = lambda spec: {(r.doc, tuple(r.starts), tuple(r.stops)) for r in repeats.repeated_spans(docs, spec).collect()}
-    assert spans(replace(substring_dedup.SPEC, most_segments=1)) == spans(substring_dedup.SPEC)
-
-
 def test_op8_targets(spark, sf):
     found = [r.asDict() for r in mixing.op8_mix_sources(spark, sf).collect()]
     assert len(found) == len(ROWS)
