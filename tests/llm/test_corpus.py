@@ -347,7 +347,7 @@ def test_op5_groups_have_all_occurrences(spark):
     r = random.Random(7)
     noise = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
     passage = noise(5000)
-    docs = spark.createDataFrame([(i, noise(40 + i) + passage + noise(60)) for i in range(12)] + [(20, noise(900))], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, noise(39 + i) + chr(65 + i) + passage + chr(65 + i) + noise(60)) for i in range(12)] + [(20, noise(900))], "doc_id long, text string")
     found = suffix_dedup.groups(docs).collect()
     assert {(g.source, g.at, g.doc, g.start) for g in found if g["size"] == 5000} == {(0, 40, i, 40 + i) for i in range(12)}
     assert {g["size"] for g in found} == {5000}
