@@ -2,15 +2,18 @@
 
 A document's character-class histogram and its histogram over its language's common words are
 compared with the language's references by Jensen-Shannon distance (base 2, 0 to 1). References are
-the mean histograms of all documents of the language that pass the base rules and are long enough,
-so they follow the corpus; ``languages`` bounds their number. A document too short for a histogram
-to mean anything is not judged by it (minimum-length guards).
+the mean histograms of all documents of the language that pass the base rules and are long enough (or,
+with ``trusted``, of those among them that are trusted: a corpus of mostly junk should not set its own
+reference); ``languages`` bounds their number. A document too short for a histogram to mean anything is
+not judged by it (minimum-length guards).
 
 Base rules: fewer than 50 words, or over half of the words in repeated 3-word windows, reject.
 
-Defined results: null or blank text has 0 words and fails; a null or unlisted language is compared
-with the nearest of all references; a language without a long document has no reference and its
-documents pass; repeated rows are judged alike; an empty table gives an empty result. Three-word
+Defined results: null or blank text has 0 words and fails; a very long text is measured whole; a
+document of a null or unlisted language is compared with the nearest of all references, in classes and
+in words; a language without a long document has no reference and its documents pass; a distance that
+ties with the limit passes; repeated rows are judged alike; extra columns, whatever their names, are not
+read and :func:`keep_good` returns them as they are; an empty table gives an empty result. Three-word
 windows are found by sorting 64-bit keys inside the row (hash above, position below) and compared
 word by word where keys agree.
 """
@@ -46,6 +49,10 @@ MAX_CLASS_DISTANCE = 0.33
 MAX_WORD_DISTANCE = 0.255
 
 
+def all_words(languages: dict) -> list[str]:
+    return sorted({w for v in languages.values() for w in v})
+
+
 def features(docs: DataFrame, languages: dict = COMMON_WORDS, keep: tuple = ("doc_id",)) -> DataFrame:
     """``keep`` columns with lang, the base counts, ``chars`` (class counts) and ``common`` (word counts)."""
     text = docs.select(*keep, "lang", F.coalesce("text", F.lit("")).alias("r0"))
@@ -62,14 +69,14 @@ def features(docs: DataFrame, languages: dict = COMMON_WORDS, keep: tuple = ("do
         F.array(*[x.cast("double") for x in [*taken.values(), left[-1]]]).alias("chars"),
     )
     lists = F.create_map(*[x for k, v in languages.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    every = F.array(*map(F.lit, sorted({w for v in languages.values() for w in v})))
+    every = F.array(*map(F.lit, all_words(languages)))
     known = F.col("lang").isin(*languages)
     words = counted.withColumns({
         "n_words": F.size("words").cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "bits": F.length(F.bin(F.size("words"))),
         "mine": F.when(known, F.element_at(lists, F.col("lang"))).otherwise(every),
-        "seen": F.filter("words", lambda w: w.isin(*sorted({x for v in languages.values() for x in v}))),
+        "seen": F.filter("words", lambda w: w.isin(*all_words(languages))),
     }).drop("lines")
     word = lambda i: F.get("words", i)
     window = lambda i: F.expr("0") if i is None else F.xxhash64(word(i), word(i + 1), word(i + 2))
@@ -97,9 +104,10 @@ def shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 
-def fit_references(measured: DataFrame, languages: dict = COMMON_WORDS) -> dict[str, dict[str, list[float]]]:
-    """Mean histograms by listed language. Reads all documents; returns one small row a language, at most ``len(languages)``."""
+def fit_references(measured: DataFrame, languages: dict = COMMON_WORDS, trusted: Column | None = None) -> dict[str, dict[str, list[float]]]:
+    """Mean histograms by listed language, of the ``trusted`` rows if that is given. Reads all documents; returns one small row a language, at most ``len(languages)``."""
     fit = measured.where(~F.col("base_failed") & F.col("lang").isin(*languages))
+    fit = fit if trusted is None else fit.where(trusted)
     n = len(CLASSES) + 1
     parts = fit.select("lang", (F.aggregate("chars", F.lit(0.0), lambda a, x: a + x) >= MIN_CHARS).alias("c_ok"), (F.col("n_words") >= MIN_HISTOGRAM_WORDS).alias("w_ok"), shares(F.col("chars")).alias("c"), with_rest(F.col("common"), F.col("n_words")).alias("w"))
     size = max(len(v) for v in languages.values()) + 1
@@ -131,9 +139,11 @@ def judge(measured: DataFrame, references: dict, max_class: float = MAX_CLASS_DI
         own = F.lit(None).cast("double")
         for k, q in known.items():
             own = F.when(F.col("lang") == k, js_distance(p, q)).otherwise(own)
-        if kind == "words":  # an unlisted language has no word list of its own
-            return F.when(enough, own)
-        every = [js_distance(p, q) for q in known.values()]
+        if kind == "words":  # counts of an unlisted language's document are of the words of all lists
+            at = {w: i for i, w in enumerate(all_words(COMMON_WORDS))}
+            every = [js_distance(with_rest(F.array(*[F.get("common", F.lit(at[w])) for w in COMMON_WORDS[k]]), F.col("n_words")), q) for k, q in known.items()]
+        else:
+            every = [js_distance(p, q) for q in known.values()]
         near = F.least(*every) if len(every) > 1 else every[0]
         return F.when(enough, F.when(F.col("lang").isin(*COMMON_WORDS), own).otherwise(near))
 
@@ -148,8 +158,8 @@ def judge(measured: DataFrame, references: dict, max_class: float = MAX_CLASS_DI
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, in the input's columns. Rows are measured once and written with their counts."""
-    measured = materialize(features(docs.select(F.struct("*").alias("row"), "lang", "text"), keep=("row",)), "quality-rows")
-    return judge(measured, fit_references(measured)).where("kept").select("row.*")
+    measured = materialize(features(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "lang", "text"), keep=("row",)), "quality-rows")
+    return judge(measured, fit_references(measured)).where("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +178,9 @@ def op1_sql() -> str:
     js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: (case when z[1] > 0 then z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) else 0 end) + (case when z[2] > 0 then z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) else 0 end))) / 2))"
     mean = lambda col, k, ok: "[" + ", ".join(f"avg({col}[{i + 1}]) filter (where {ok})" for i in range(k)) + "]"
     words = max(len(v) for v in lists.values()) + 1
+    every = all_words(lists)
+    at = "case r.lang " + " ".join(f"when '{k}' then {[every.index(w) + 1 for w in v]}" for k, v in lists.items()) + " end"
+    share = "case when n_words > 0 then m.common[i] / n_words else 0 end"
     return f"""
 with text_ as (
   select row_number() over () as rid, doc_id, lang, coalesce(text, '') as r0, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w,
@@ -182,7 +195,7 @@ with text_ as (
   select r.rid, doc_id, lang, cast(len(w) as bigint) as n_words, cast(length(r0) - length(r2) + length(r3) as bigint) as word_chars, cast(length(r3) - length(r4) as bigint) as n_symbols,
     cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, cast(coalesce(n, 0) as bigint) as n_repeat_words,
     [{", ".join(f"(length(r{i}) - length(r{i + 1}))::double" for i in range(n - 1))}, length(r{n - 1})::double] as chars,
-    list_transform(case lang {" ".join(f"when '{k}' then {quoted(v)}" for k, v in lists.items())} else {quoted(sorted({x for v in lists.values() for x in v}))} end, lambda c: len(list_filter(w, lambda x: x = c))::double) as common
+    list_transform(case lang {" ".join(f"when '{k}' then {quoted(v)}" for k, v in lists.items())} else {quoted(every)} end, lambda c: len(list_filter(w, lambda x: x = c))::double) as common
   from {last} r left join repeated using (rid)
 ), measured as (
   select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed,
@@ -193,10 +206,10 @@ with text_ as (
   select lang, {mean("cs", n, f"list_sum(chars) >= {MIN_CHARS}")} as rc, {mean("ws", words, f"n_words >= {MIN_HISTOGRAM_WORDS}")} as rw
   from measured where not base_failed and lang in ({langs}) group by lang
 ), near as (
-  select m.rid, min({js("m.cs", "r.rc")}) as d from measured m, refs r where m.lang is null or m.lang not in ({langs}) group by m.rid
+  select m.rid, min({js("m.cs", "r.rc")}) as d, min({js(f"list_append(list_transform({at}, lambda i: {share}), case when n_words > 0 then (n_words - coalesce(list_sum(list_transform({at}, lambda i: m.common[i])), 0)) / n_words else 0 end)", "r.rw")}) as dw from measured m, refs r where m.lang is null or m.lang not in ({langs}) group by m.rid
 ), judged as (
-  select m.*, round(case when list_sum(chars) >= {MIN_CHARS} then coalesce({js("m.cs", "r.rc")}, near.d) end, 6) as js_class,
-    round(case when n_words >= {MIN_HISTOGRAM_WORDS} then {js("m.ws", "r.rw")} end, 6) as js_words
+  select m.*, round(case when list_sum(chars) >= {MIN_CHARS} then case when r.lang is null then near.d else {js("m.cs", "r.rc")} end end, 6) as js_class,
+    round(case when n_words >= {MIN_HISTOGRAM_WORDS} then case when r.lang is null then near.dw else {js("m.ws", "r.rw")} end end, 6) as js_words
   from measured m left join refs r on m.lang = r.lang left join near on m.rid = near.rid
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

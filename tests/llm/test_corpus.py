@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import struct
 import zlib
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, chunk_store, common, graph, mixing, near_dups, pu_quality, quality_rules, rans_codec, repeats, spm_codec, substring_dedup, suffix_dedup, token_counts
 
@@ -609,12 +611,99 @@ def test_null_ids(spark, tmp_path, name):
     assert sorted(r.doc_id or 0 for r in query(spark, str(tmp_path)).select("doc_id").collect()) == [0, 0, 1]
 
 
+CLASHES = "gone_ gone row size words doc twin d_ t_ s_ c_ salt copies digest normal key node family label score payload label_ n rank hash starts stops kept component_id n_words base_failed ids spans".split()
+LONG = " ".join(f"w{i % 9973}x{i % 31}" for i in range(1_000_000))
+
+
+@pytest.fixture(scope="module")
+def odd_sf(spark, tmp_path_factory):
+    """A text of a million words, an earlier copy of its end, one word of a million letters; columns with names that the operators use."""
+    path, tail = tmp_path_factory.mktemp("odd"), LONG[-3000:].split(" ", 1)[1]
+    texts = ["start " + tail, LONG, "x" * 1_000_000, None, "", LONG]
+    rows = [(i if i != 4 else None, t, ["en", None][i % 2], ["a", None][i % 2], 5, *["c"] * len(CLASHES)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0, "c"), (1, 0, 0, "c")], "doc_id long, quality int, toxic int, label string").write.parquet(f"{path}/labels.parquet")
+    return str(path), texts
+
+
+@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9", "op10"])
+def test_long_texts_and_clashing_columns(spark, odd_sf, name):
+    from tessera.llm.queries import queries
+
+    path, texts = odd_sf
+    query = next(f for k, f in queries().items() if k.startswith(name + "_"))
+    found = {r["doc_id"]: r.asDict() for r in query(spark, path).collect()}
+    assert set(found) == {0, 1, 2, 3, None, 5}
+    tail = texts[0].split()[1:]
+    if name == "op1":
+        assert [found[i]["n_words"] for i in (0, 1, 2, 3, None)] == [len(tail) + 1, 1_000_000, 1, 0, 0]
+    if name == "op2":
+        assert [found[i]["component_id"] for i in (0, 1, 2, 3, 5)] == [0, 1, 2, 3, 1]
+    if name == "op3":
+        t = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+        ids = np.array([*t.encode(LONG, add_special_tokens=False).ids, 0], "<u4")
+        assert found[1]["ids_crc32"] == found[5]["ids_crc32"] == zlib.crc32(ids.tobytes()) and found[5]["start"] - found[1]["start"] > len(ids)
+    if name == "op4":
+        assert found[1]["payload_sha256"] == hashlib.sha256(LONG.encode() + b"\0" * (-len(LONG) % 64)).hexdigest()
+    if name == "op5":
+        assert found[5]["n_removed"] == len(LONG) and found[1]["n_removed"] >= len(" ".join(tail))
+    if name == "op6":
+        t = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
+        assert found[1]["n_tokens"] == len(t.encode(LONG, add_special_tokens=False).ids)
+    if name == "op7":
+        assert found[5]["n_removed"] == 1_000_000 and found[1]["n_removed"] >= len(tail) and found[0]["n_removed"] == 0
+    if name == "op8":
+        assert found[1]["size"] == 1_000_000 and found[2]["size"] == 1
+    if name == "op9":
+        import sentencepiece
+
+        lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+        assert found[1]["ids_sha256"] == hashlib.sha256(np.array([lib.bos_id(), *lib.encode(LONG), lib.eos_id()], "<u4").tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_pipeline_stages_keep_the_columns(spark, odd_sf, no_sf, which):
+    import corpus_pipeline as c
+
+    path = odd_sf[0] if which == "odd" else no_sf
+    frame = spark.read.parquet(f"{path}/documents.parquet")
+    for name, stage in c.STAGES[:-1]:
+        after = common.materialize(stage(spark, frame, path), "stage")
+        assert after.schema.simpleString() == frame.schema.simpleString(), name
+        frame = after
+    assert c.run(spark, path).count() == frame.count()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_op10_held_out_accuracy(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    rows = pu_quality.op10_pu_quality(spark, "/root/testdata/sf0.01").join(labels, "doc_id").where("held_out").collect()
+    assert len(rows) > 50 and sum(r.predicted == r.quality for r in rows) / len(rows) > 0.9
+
+
+def test_op10_prior_needs_positives_only(spark, sf, docs):
+    r = np.random.default_rng(0)
+    good, bad = r.normal(1, 0.5, (4000, 4)), r.normal(-1, 0.5, (1500, 4))
+    assert abs(pu_quality.estimate_prior(good[:1500], np.concatenate([good[1500:], bad])[r.permutation(4000)]) - 0.625) < 0.08
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    a, b = pu_quality.train(docs, labels), pu_quality.train(docs, labels.where("quality = 1"))
+    assert a[1] == b[1] < 1 and all(np.array_equal(x, y) for x, y in zip(a[0].weights, b[0].weights, strict=True))
+
+
+def test_op10_tiny_shares_still_draw(spark):
+    """A share far below 2**-20 keeps its resolution; samples are bounded by rows, copies of a row count once."""
+    rows = spark.range(200_000).selectExpr("id as doc_id", "cast(id as string) as text", "0 as label")
+    assert 20 < pu_quality.drawn(rows, "u", 60).count() < 120
+    assert pu_quality.drawn(rows.withColumn("doc_id", F.lit(1).cast("long")).withColumn("text", F.lit("same")), "u", 300_000).count() == 1
+    assert int(1e-12 * (1 << 63)) > 1_000_000
+
+
 def test_pipeline_matches_brute_force(spark, sf, docs):
     import corpus_pipeline as c
 
     kept = {r.doc_id: r.text for r in quality_rules.keep_good(docs).collect()}
     assert set(kept) == {r.doc_id for r in quality_rules.op1_quality_rules(spark, sf).where("kept").collect()}
-    _, groups = near_groups([(i, t) for i, t in kept.items()])
+    _, groups = near_groups([(i, t) for i, t in kept.items()], size=5)
     first = {i: t for i, t in kept.items() if groups[i] == i}
     cut = {i: (k, n) for i, (k, n) in word_brute([(i, t) for i, t in first.items()]).items()}
     texts = {i: first[i] if n == len(k) else b" ".join(k).decode() for i, (k, n) in cut.items() if k}
