@@ -4,6 +4,11 @@ Quality rules drop what they reject; near-duplicate groups keep their least doc_
 words or more that an earlier document has are cut; sources are mixed to their target weights, which
 drops some rows and repeats others; what is left is encoded. A document that the mix repeats comes
 out once for each copy.
+
+Near duplicates are judged on shingles of five words. What nulls, empty and very long texts, ties and
+repeated rows give in a stage is what its operator's docstring says; each stage but the last returns the
+columns that it got, whatever others than those of ``documents`` are there and whatever their names; an
+empty table stays empty.
 """
 
 from __future__ import annotations
@@ -15,12 +20,15 @@ from tessera.llm.common import documents, materialize, small_batches
 from tessera.session import ship
 
 
+NEAR_WORDS = 5
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.keep_first(docs)
+    return near_dups.keep_first(docs, NEAR_WORDS)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
