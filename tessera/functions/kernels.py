@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -208,3 +209,33 @@ def resample_column(points: Column, n: int) -> Column:
         return pd.Series([[{"x": x, "y": y} for x, y in resample(_points(a), n).tolist()] if a is not None and len(a) else [] for a in p])
 
     return F.pandas_udf(run, POINTS)(points)
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], *keys: str) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``keys`` come in batches; yields frames that end where a group ends, so that no group is cut."""
+    rest = None
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        last = np.ones(len(pdf), bool)
+        for k in keys:
+            last &= (pdf[k] == pdf[k].iloc[-1]).to_numpy() | (pdf[k].isna() & pd.isna(pdf[k].iloc[-1])).to_numpy()
+        cut = len(pdf) - int(np.argmin(last[::-1])) if not last.all() else 0
+        if cut:
+            yield pdf.iloc[:cut]
+        rest = pdf.iloc[cut:]
+    if rest is not None and len(rest):
+        yield rest
+
+
+def group_slices(pdf: pd.DataFrame, *keys: str) -> Iterator[slice]:
+    """Slices of consecutive rows that agree in ``keys``."""
+    new = np.ones(len(pdf), bool)
+    if len(pdf) > 1:
+        new[1:] = False
+        for k in keys:
+            v = pdf[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+    starts = np.flatnonzero(new).tolist()
+    yield from map(slice, starts, [*starts[1:], len(pdf)])

@@ -49,6 +49,24 @@ def segments_cross(ax: Column, ay: Column, bx: Column, by: Column, line: list[tu
     return ((d1 * d2 < 0) & (d3 * d4 < 0)) | touch
 
 
+def passes_through(ax: Column, ay: Column, bx: Column, by: Column, points: list[tuple[float, float]]) -> Column:
+    """Whether a segment runs through the polygon's inside and also outside of it.
+
+    The segment is cut where it meets an edge; the middle of each part tells where that part lies.
+    """
+    dx, dy, cuts = bx - ax, by - ay, [F.lit(0.0), F.lit(1.0)]
+    for (px, py), (qx, qy) in zip(points, [*points[1:], points[0]], strict=True):
+        ex, ey = qx - px, qy - py
+        turn = dx * ey - dy * ex
+        t, u = ((px - ax) * ey - (py - ay) * ex) / turn, ((px - ax) * dy - (py - ay) * dx) / turn
+        cuts.append(F.when((turn != 0) & t.between(0, 1) & u.between(0, 1), t))
+    at = F.array_sort(F.array_distinct(F.array_compact(F.array(*cuts))))
+    middles = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda s, t: (s + t) / 2)
+    within = F.exists(middles, lambda t: inside(ax + t * dx, ay + t * dy, points))
+    without = F.exists(middles, lambda t: ~inside(ax + t * dx, ay + t * dy, points, edge=True))
+    return within & without
+
+
 def bounds(points: Column) -> tuple[Column, Column, Column, Column]:
     """The enclosing box of a point array."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, area, clip, cols, intersection
 
-from .sampling import groups_of
 from .scans import global_rank
 
 XYXY = ("x1", "y1", "x2", "y2")
@@ -34,8 +33,7 @@ def mosaic4(boxes: DataFrame, images: DataFrame, size: float) -> DataFrame:
 
     Images go top left, top right, bottom left, bottom right, with their inner corner on the centre.
     """
-    place = groups_of(images.select("image_id", "w", "h"), "image_id").withColumnRenamed("group", "canvas")
-    place = global_rank(place, "image_id").withColumn("cell", (F.col("rank") - 1) % 4)
+    place = global_rank(images.select("image_id", "w", "h"), "image_id").withColumns({"canvas": F.floor((F.col("rank") - 1) / 4), "cell": (F.col("rank") - 1) % 4})
     left, top = F.col("cell") % 2 == 0, F.col("cell") < 2
     place = place.select("canvas", "image_id", F.when(left, size - F.col("w")).otherwise(size).alias("dx"), F.when(top, size - F.col("h")).otherwise(size).alias("dy"))
     rows = boxes.join(place, "image_id")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import cols, iou, overlaps
 
-from .scans import running_sums, suffix_max
+from .scans import parts_for, running_sums, suffix_max
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 EPS = 1e-16
-CONFIDENCE_BUCKETS = 64
 
 
 def pairs(pred: DataFrame, gt: DataFrame, same_class: bool = True) -> DataFrame:
@@ -55,39 +56,57 @@ def confusion(pred: DataFrame, gt: DataFrame, classes: int, least_iou: float = 0
 
 
 def curve(pred: DataFrame, matches: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """(thr, cls, conf, tp, cum_tp, cum_fp): predictions by falling confidence with running counts; ties by image and detection."""
+    """(cls, conf, bucket, hit, n, c0, c1, ..): predictions of each class by falling confidence, ties by image and detection.
+
+    ``n`` counts them; ``c<i>`` counts the true positives at threshold i so far; ``hit`` lists the
+    thresholds at which the row itself is one. One row a prediction, whatever the number of thresholds.
+    """
     hits = matches.groupBy("image_id", "det_id").agg(F.collect_set("thr").alias("hit"))
-    rows = pred.select("image_id", "det_id", "cls", "conf").join(hits, ["image_id", "det_id"], "left")
-    rows = rows.withColumn("thr", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    tp = F.coalesce(F.array_contains("hit", F.col("thr")), F.lit(False)).cast("int")
-    rows = rows.select("thr", "cls", "image_id", "det_id", "conf", tp.alias("tp"), (1 - tp).alias("fp"), (-F.floor(F.col("conf") * CONFIDENCE_BUCKETS)).alias("bucket"))
-    return running_sums(rows, ["thr", "cls"], "bucket", [F.desc("conf"), F.col("image_id"), F.col("det_id")], {"cum_tp": "tp", "cum_fp": "fp"})
+    rows = pred.select("image_id", "det_id", "cls", "conf").join(hits, ["image_id", "det_id"], "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<double>")))
+    flags = {f"t{i}": F.array_contains("hit", float(t)).cast("int") for i, t in enumerate(thresholds)}
+    rows = rows.withColumns(flags | {"one": F.lit(1), "bucket": (-F.floor(F.col("conf") * parts_for(pred.count()))).cast("long")})
+    order = [F.desc("conf"), F.col("image_id"), F.col("det_id")]
+    return running_sums(rows, ["cls"], "bucket", order, {"n": "one"} | {f"c{i}": f"t{i}" for i in range(len(thresholds))}).drop("one", *flags)
+
+
+def counts_at(points: DataFrame, i: int) -> DataFrame:
+    """(cls, conf, cum_tp, cum_fp) of :func:`curve` at threshold i."""
+    return points.select("cls", "conf", F.col(f"c{i}").alias("cum_tp"), (F.col("n") - F.col(f"c{i}")).alias("cum_fp"))
+
+
+def by_threshold(points: DataFrame, thresholds: list[float], **aggregates: Callable[[Column, Column], Column]) -> DataFrame:
+    """(thr, cls, ..): aggregates of (cum_tp, cum_fp) for each class and threshold, from one pass."""
+    made = [F.struct(F.lit(float(t)).alias("thr"), *[f(F.col(f"c{i}"), F.col("n") - F.col(f"c{i}")).alias(k) for k, f in aggregates.items()]) for i, t in enumerate(thresholds)]
+    return points.groupBy("cls").agg(F.array(*made).alias("a")).select("cls", F.explode("a").alias("a")).select("a.thr", "cls", *[f"a.{k}" for k in aggregates])
 
 
 def average_precision(points: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(cls, thr, ap) for every class with labels, from :func:`curve`: 101-point interpolation of the precision envelope.
 
     Recall grows at true positives only and precision is greatest there, so only these rows are kept.
-    Between two of them the envelope is linear; a row emits the grid points up to the next one.
+    Between two of them the envelope is linear; a row emits the grid points up to the next one. Where
+    the next one lies is known from its number, so only rows that emit any look it up: 101 at most for
+    each class and threshold.
     """
-    labels = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels"))
-    total = points.groupBy("thr", "cls").agg(F.max("cum_tp").alias("all_tp"))
-    hits = points.where("tp = 1").join(labels, "cls").withColumns({"recall": F.col("cum_tp") / (F.col("n_labels") + EPS), "precision": F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))})
+    labels = F.broadcast(gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels")))  # a row a class
+    place = F.create_map(*[x for i, t in enumerate(thresholds) for x in (F.lit(float(t)), F.col(f"c{i}"))])
+    hits = points.where(F.size("hit") > 0).select("cls", "bucket", "n", F.explode("hit").alias("thr"), place.alias("c")).select("thr", "cls", "bucket", "n", F.element_at("c", F.col("thr")).alias("cum_tp"))
+    hits = hits.join(labels, "cls").withColumns({"recall": F.col("cum_tp") / (F.col("n_labels") + EPS), "precision": F.col("cum_tp") / F.col("n")})
     hits = suffix_max(hits, ["thr", "cls"], "bucket", [F.col("cum_tp")], "precision", "env")
-    hits = hits.join(total, ["thr", "cls"])
-    mine = hits.select("thr", "cls", "cum_tp", "cum_fp", "recall", "env", "all_tp", "n_labels")
-    start = total.where("all_tp > 0").join(labels, "cls").select("thr", "cls", F.lit(0).cast("long").alias("cum_tp"), F.lit(0).cast("long").alias("cum_fp"), F.lit(0.0).alias("recall"), F.lit(1.0).alias("env"), "all_tp", "n_labels")
-    after = mine.select("thr", "cls", (F.col("cum_tp") - 1).alias("cum_tp"), F.col("cum_fp").alias("next_fp"), F.col("recall").alias("next_recall"), F.col("env").alias("next_env"))
+    zero = F.lit(0).cast("long")
+    start = labels.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"), "cls", zero.alias("n"), zero.alias("cum_tp"), "n_labels", F.lit(0.0).alias("recall"), F.lit(1.0).alias("env"))
+    steps = hits.select(*start.columns).unionByName(start)
+    low, high = first_step(F.col("recall"), 100.0), first_step((F.col("cum_tp") + 1) / (F.col("n_labels") + EPS), 100.0) - 1
+    steps = steps.withColumns({"low": low, "high": high}).where("low <= high")
+    after = hits.select("thr", "cls", (F.col("cum_tp") - 1).alias("cum_tp"), F.col("n").alias("next_n"), F.col("recall").alias("next_recall"), F.col("env").alias("next_env"))
+    steps = after.join(F.broadcast(steps) if gt.select("cls").distinct().count() <= 10_000 else steps, ["thr", "cls", "cum_tp"])
     # the envelope just after this recall: its own value, or that of the next hit where misses lie between
-    steps = mine.unionByName(start).join(after, ["thr", "cls", "cum_tp"])
-    here = F.when(F.col("next_fp") > F.col("cum_fp"), F.col("next_env")).otherwise(F.col("env"))
-    low, high = first_step(F.col("recall"), 100.0), first_step(F.col("next_recall"), 100.0) - 1
-    grid = steps.withColumn("here", here).where(low <= high).withColumn("k", F.explode(F.sequence(low, high)))
+    here = F.when(F.col("next_n") - F.col("n") > 1, F.col("next_env")).otherwise(F.col("env"))
+    grid = steps.withColumn("here", here).withColumn("k", F.explode(F.sequence("low", "high")))
     x = F.col("k") / 100.0
     value = F.col("here") + (F.col("next_env") - F.col("here")) / (F.col("next_recall") - F.col("recall")) * (x - F.col("recall"))
-    grid = grid.select("thr", "cls", "k", value.alias("y"))
     weight = F.when(F.col("k").isin(0, 100), 0.005).otherwise(0.01)
-    ap = grid.groupBy("thr", "cls").agg(F.sum(F.col("y") * weight).alias("ap"))
+    ap = grid.select("thr", "cls", "k", value.alias("y")).groupBy("thr", "cls").agg(F.sum(F.col("y") * weight).alias("ap"))
     every = labels.select("cls", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"))
     return every.join(ap, ["cls", "thr"], "left").select("cls", "thr", F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
@@ -105,13 +124,13 @@ def mean_metrics(ap: DataFrame) -> DataFrame:
 
 
 def confidence_curves(points: DataFrame, gt: DataFrame, steps: int = 1000) -> DataFrame:
-    """(cls, k, p, r, f1) at ``k / (steps - 1)`` confidence, threshold 0.5, interpolated linearly between predictions.
+    """(cls, k, p, r, f1) at ``k / (steps - 1)`` confidence, the first threshold (0.5), interpolated linearly between predictions.
 
     A grid point lies between the last prediction of at least its confidence and the next one; below
     the least confidence the last values hold, above the greatest recall is 0 and precision 1.
     """
     labels = gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels"))
-    at50 = points.where(F.abs(F.col("thr") - 0.5) < 1e-9).join(labels, "cls").select("cls", "conf", (F.col("cum_tp") / (F.col("n_labels") + EPS)).alias("r"), (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("p"), (F.col("cum_tp") + F.col("cum_fp")).alias("n"))
+    at50 = counts_at(points, 0).join(F.broadcast(labels), "cls").select("cls", "conf", (F.col("cum_tp") / (F.col("n_labels") + EPS)).alias("r"), (F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))).alias("p"), (F.col("cum_tp") + F.col("cum_fp")).alias("n"))
     # of equal confidences the interpolation reads the first on the way down and the last on the way up
     level = at50.groupBy("cls", "conf").agg(F.min_by(F.struct("r", "p"), "n").alias("first"), F.max_by(F.struct("r", "p"), "n").alias("last"))
     w = Window.partitionBy("cls").orderBy(F.desc("conf"))
@@ -195,3 +214,17 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
+def sigma_clip(rows: DataFrame, value: str, sigmas: float = 2.0, rounds: int = 3) -> DataFrame:
+    """Rows whose ``value`` is within ``sigmas`` deviations of the mean, again and again: each round keeps a range, so only bounds are carried over."""
+    low = high = None
+    for _ in range(rounds):
+        m, sd = rows.where(F.col(value).between(low, high) if low is not None else F.lit(True)).agg(F.avg(value), F.stddev_pop(value)).first()
+        if m is None:
+            return rows.limit(0)
+        low, high = max(m - sigmas * sd, low if low is not None else float("-inf")), min(m + sigmas * sd, high if high is not None else float("inf"))
+    return rows.where((F.col(value) >= low) & (F.col(value) <= high))
+
+
+def confidence_band(conf: Column, high: float = 0.25, low: float = 0.1) -> Column:
+    """high from ``high`` on, low strictly between the two, none below."""
+    return F.when(conf >= high, "high").when((conf > low) & (conf < high), "low").otherwise("none")

@@ -29,12 +29,19 @@ def crop_layers(images: DataFrame, layers: int, overlap: float = 512 / 1500) ->
 
 
 def decode_tiles(images: DataFrame, per_image: str) -> DataFrame:
-    """(idx, image_id, k): places of all tiles in one index, images in order of id. Counts are summed in two levels."""
+    """(idx, image_id, k): places of all tiles in one index, images in order of id.
+
+    Counts are summed in three levels: in stretches of 4,096 ids, over the 4,096 stretches of a larger
+    one, and over those, so that no task sums more than some thousands of rows for 7e10 ids.
+    """
     from .scans import running_sums
 
-    rows = images.select("image_id", F.col(per_image).cast("long").alias("n"), F.lit(0).alias("all"), F.floor(F.col("image_id") / 4096).alias("part"))
-    rows = running_sums(rows, ["all"], "part", [F.col("image_id")], {"stop": "n"})
-    return rows.where("n > 0").select("image_id", (F.col("stop") - F.col("n")).alias("start"), F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k", "one")).select((F.col("start") + F.col("k")).alias("idx"), "image_id", "k")
+    rows = images.select("image_id", F.col(per_image).cast("long").alias("n"), F.floor(F.col("image_id") / 4096).alias("part"), F.floor(F.col("image_id") / (1 << 24)).alias("stretch"))
+    parts = rows.groupBy("stretch", "part").agg(F.sum("n").alias("held")).withColumn("all", F.lit(0))
+    parts = running_sums(parts, ["all"], "stretch", [F.col("part")], {"upto": "held"}).select("part", (F.col("upto") - F.col("held")).alias("base"))
+    inside = Window.partitionBy("part").orderBy("image_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("stop", F.sum("n").over(inside)).join(parts, "part").where("n > 0")
+    return rows.select("image_id", (F.col("base") + F.col("stop") - F.col("n")).alias("start"), F.posexplode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k", "one")).select((F.col("start") + F.col("k")).alias("idx"), "image_id", "k")
 
 
 def latest(files: DataFrame, group: str, name: str, time: str) -> DataFrame:

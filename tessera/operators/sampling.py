@@ -1,8 +1,8 @@
 """Deterministic samples and splits: rows are ranked by a hash of their id and a seed.
 
-A rank needs a total order of the table; exact counts cannot be had otherwise. Where only the cut is
-wanted (:func:`exact_sample`), the hash at the cut is found from counts by hash prefix, so no task
-sees more than one prefix's rows.
+A rank needs a total order of the table; exact counts cannot be had otherwise. The order is cut by
+hash prefixes, as many as the rows ask for, so a task ranks one prefix's rows. Where only the cut is
+wanted (:func:`exact_sample`), only the prefix at the cut is ranked: those before it are taken whole.
 """
 
 from __future__ import annotations
@@ -10,26 +10,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scans import global_rank
+from .scans import global_rank, parts_for
 
 
 def hashed(key: str, seed: str) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
 
 
+def prefixed(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """Adds ``hash_`` and ``part_``, a prefix of it: 1 to 4 hexadecimal digits."""
+    parts, digits = parts_for(df.count()), 1
+    while 16**digits < parts:
+        digits += 1
+    return df.withColumn("hash_", hashed(key, seed)).withColumn("part_", F.substring("hash_", 1, digits))
+
+
+def _before(rows: DataFrame) -> DataFrame:
+    """(part_, n_, before_, all_): at most 65,536 rows."""
+    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))
+    w = Window.orderBy("part_")
+    return parts.select("part_", "n_", F.coalesce(F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("n_").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all_"))
+
+
 def ranked(df: DataFrame, key: str, seed: str) -> DataFrame:
     """Adds ``rank`` (from 1) by hash, then id, in two levels: ranks within hash prefixes plus the counts before them."""
-    rows = df.withColumn("hash_", hashed(key, seed)).withColumn("part_", F.substring("hash_", 1, 2))
-    parts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # 256 at most
-    parts = parts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    rows = prefixed(df, key, seed)
     inside = Window.partitionBy("part_").orderBy("hash_", key)
+    parts = _before(rows).select("part_", "before_")
     return rows.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(parts), "part_").withColumn("rank", F.col("rank") + F.col("before_")).drop("hash_", "part_", "before_")
 
 
 def exact_sample(df: DataFrame, key: str, share: float, seed: str) -> DataFrame:
     """``round(share * N)`` rows (halves to even); all of them from a share of 1 on."""
-    n = df.agg(F.count(F.lit(1)).alias("n_"))  # one row
-    return ranked(df, key, seed).join(F.broadcast(n), F.lit(True)).where((F.col("rank") <= F.bround(F.col("n_") * share)) | F.lit(share >= 1)).drop("rank", "n_")
+    if share >= 1:
+        return df
+    rows = prefixed(df, key, seed)
+    rows = rows.join(F.broadcast(_before(rows)), "part_").withColumn("left_", F.bround(F.col("all_") * share) - F.col("before_"))
+    whole = rows.where("left_ >= n_")
+    cut = rows.where("left_ > 0 and left_ < n_").withColumn("rank", F.row_number().over(Window.partitionBy("part_").orderBy("hash_", key))).where("rank <= left_").drop("rank")
+    return whole.unionByName(cut).select(*df.columns)
 
 
 def split_712(df: DataFrame, key: str, seed: str) -> DataFrame:
@@ -41,7 +60,7 @@ def split_712(df: DataFrame, key: str, seed: str) -> DataFrame:
 
 def stratified_split(df: DataFrame, key: str, by: str, share: float, seed: str) -> DataFrame:
     """Adds ``split``: of each class, ``floor(n * share)`` rows are train, the rest val."""
-    rows = df.withColumn("hash_", hashed(key, seed)).withColumn("part_", F.substring("hash_", 1, 2))
+    rows = prefixed(df, key, seed)
     parts = rows.groupBy(by, "part_").agg(F.count(F.lit(1)).alias("n_"))
     w = Window.partitionBy(by)
     parts = parts.select(by, "part_", F.coalesce(F.sum("n_").over(w.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"), F.sum("n_").over(w).alias("all_"))

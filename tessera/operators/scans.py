@@ -10,6 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a part of an order holds on average.
+PART_ROWS = 50_000
+MOST_PARTS = 1 << 16
+
+
+def parts_for(rows: int) -> int:
+    """In how many parts to cut an order of so many rows."""
+    return min(MOST_PARTS, max(16, rows // PART_ROWS))
+
+
 def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Adds ``{new: column to sum}`` as inclusive running sums in (bucket, order) within ``keys``."""
     parts = df.groupBy(*keys, bucket).agg(*[F.sum(c).alias(f"part_{n}") for n, c in sums.items()])
@@ -31,17 +41,26 @@ def suffix_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column],
     return out.withColumn(name, F.greatest("here", "later")).drop("here", "later")
 
 
-def global_rank(df: DataFrame, first: str, *rest: str, name: str = "rank", parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, first: str, *rest: str, name: str = "rank", parts: int | None = None) -> DataFrame:
     """Adds ``name``: place from 1 in the order of ``first`` (a number) and ``rest`` over the whole table.
 
-    Approximate quantiles of ``first`` cut the order into ``parts``; ranks are taken within a part
-    and moved by the counts of the parts before it. How even the parts are affects speed only.
+    Quantiles of ``first`` cut the order into ``parts`` (by default as many as the rows ask for):
+    first coarse ones, then fine ones within each, so that a row looks through two short lists. Ranks
+    are taken within a part and moved by the counts of the parts before it. How even the parts are
+    affects speed only.
     """
-    shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = df.agg(F.percentile_approx(first, shares, F.lit(10 * parts)).alias("cuts_"))  # one row
-    placed = df.join(F.broadcast(cuts), F.lit(True)).withColumn("part_", F.when(F.col(first).isNull(), -1).otherwise(F.size(F.filter("cuts_", lambda c: c < F.col(first))))).drop("cuts_")
-    counts = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # ``parts`` rows at most
-    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(first, *rest))
-    return placed.withColumn(name, inside).join(F.broadcast(counts), "part_").withColumn(name, F.col(name) + F.col("before_")).drop("part_", "before_")
+    parts = parts or parts_for(df.count())
+    coarse = max(2, round(parts**0.5))
+    shares = F.array(*[F.lit(i / coarse) for i in range(1, coarse)])
+    value = F.col(first)
+    under = lambda cuts: F.size(F.filter(cuts, lambda c: c < value))
+    cuts = df.agg(F.percentile_approx(first, shares, F.lit(10 * coarse)).alias("cuts_"))  # one row
+    placed = df.join(F.broadcast(cuts), F.lit(True)).withColumn("outer_", F.when(value.isNull(), -1).otherwise(under("cuts_"))).drop("cuts_")
+    fine = placed.groupBy("outer_").agg(F.percentile_approx(first, shares, F.lit(10 * coarse)).alias("fine_"))  # ``coarse`` rows of as many numbers
+    placed = placed.join(F.broadcast(fine), "outer_").withColumn("inner_", F.when(value.isNull(), -1).otherwise(under("fine_"))).drop("fine_")
+    key = ["outer_", "inner_"]
+    counts = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("n_"))  # about ``parts`` rows, MOST_PARTS and a few at most
+    before = F.sum("n_").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(*key, F.coalesce(before, F.lit(0)).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy(first, *rest))
+    return placed.withColumn(name, inside).join(F.broadcast(counts), key).withColumn(name, F.col(name) + F.col("before_")).drop(*key, "before_")

@@ -2,37 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, intersection, iou, overlaps
+from tessera.functions.kernels import group_slices, whole_groups
+from tessera.storage import settled
 from tessera.streaming.assign import match as assign
 
 from .evaluation import pairs
 
 
 def optimal_match(pred: DataFrame, gt: DataFrame, least: float = 0.5) -> DataFrame:
-    """(image_id, det_id, gt_id) of greatest total IoU among pairs of one class with IoU ≥ ``least``.
+    """(image_id, det_id, gt_id, iou) of greatest total IoU among pairs of one class with IoU ≥ ``least``.
 
     Pairs are found by the join; a pair whose ends have no other candidate needs no solver. What is
-    left goes to one solver call an image, bounded by an image's boxes.
+    left goes to the solver an image at a time, many images to an Arrow batch.
     """
     rows = pairs(pred, gt).where(F.col("iou") >= least).select("image_id", "det_id", "gt_id", "iou")
     count = lambda c: F.count(F.lit(1)).over(Window.partitionBy("image_id", c))
     rows = rows.withColumns({"nd": count("det_id"), "ng": count("gt_id")})
     alone = (F.col("nd") == 1) & (F.col("ng") == 1)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        dets, labels = np.sort(pdf["det_id"].unique()), np.sort(pdf["gt_id"].unique())
-        cost = np.full((len(dets), len(labels)), 1e3)
-        cost[np.searchsorted(dets, pdf["det_id"]), np.searchsorted(labels, pdf["gt_id"])] = 1 - pdf["iou"]
-        found = assign(cost, 1.0)
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "det_id": [dets[i] for i, _ in found], "gt_id": [labels[j] for _, j in found]}).astype({"image_id": "int64", "det_id": "int32", "gt_id": "int32"})
-
-    hard = rows.where(~alone).select("image_id", "det_id", "gt_id", "iou").groupBy("image_id").applyInPandas(solve, "image_id long, det_id int, gt_id int")
-    return rows.where(alone).select("image_id", "det_id", "gt_id").unionByName(hard)
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "image_id"):
+            d, g, iou, keep = pdf["det_id"].to_numpy(), pdf["gt_id"].to_numpy(), pdf["iou"].to_numpy(), np.zeros(len(pdf), bool)
+            for part in group_slices(pdf, "image_id"):
+                dets, i = np.unique(d[part], return_inverse=True)
+                labels, j = np.unique(g[part], return_inverse=True)
+                if len(dets) == 1 or len(labels) == 1:
+                    keep[part.start + int(np.argmax(iou[part]))] = True
+                    continue
+                cost, at = np.full((len(dets), len(labels)), 1e3), np.zeros((len(dets), len(labels)), int)
+                cost[i, j], at[i, j] = 1 - iou[part], np.arange(part.start, part.stop)
+                for a, b in assign(cost, 1.0):
+                    keep[at[a, b]] = True
+            yield pdf[keep]
+
+    hard = rows.where(~alone).select("image_id", "det_id", "gt_id", "iou")
+    hard = hard.repartition("image_id").sortWithinPartitions("image_id", "det_id", "gt_id").mapInPandas(solve, hard.schema)
+    return rows.where(alone).select("image_id", "det_id", "gt_id", "iou").unionByName(hard)
 
 
 def keypoint_similarity(a: Column, b: Column, size: Column, sigmas: list[float]) -> Column:
@@ -83,10 +96,36 @@ def cover(boxes: DataFrame, x0: float, y0: float, x1: float, y1: float, most: fl
 
 
 def select_by_prompts(masks: DataFrame, prompts: DataFrame) -> DataFrame:
-    """(image_id, det_id): for each prompt box the mask box of greatest IoU, together without repeats."""
-    p = prompts.select("image_id", F.col("gt_id").alias("prompt"), *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
-    rows = masks.join(p, "image_id").withColumn("iou", iou(cols("gx1", "gy1", "gx2", "gy2"), cols("x1", "y1", "x2", "y2")))
-    return rows.groupBy("image_id", "prompt").agg(F.max_by("det_id", F.struct("iou", -F.col("det_id"))).alias("det_id")).select("image_id", "det_id").distinct()
+    """(image_id, det_id): for each prompt box the mask box of greatest IoU, together without repeats.
+
+    Only overlapping pairs are joined; a prompt that overlaps no mask takes its image's first one.
+    """
+    p = prompts.select(F.col("image_id").alias("i_"), F.col("gt_id").alias("prompt"), *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
+    a, b = cols("gx1", "gy1", "gx2", "gy2"), cols("x1", "y1", "x2", "y2")
+    rows = masks.join(p, (F.col("image_id") == F.col("i_")) & overlaps(a, b)).withColumn("iou", iou(a, b))
+    best = rows.groupBy("image_id", "prompt").agg(F.max_by("det_id", F.struct("iou", -F.col("det_id"))).alias("det_id"))
+    bare = p.join(best, (F.col("i_") == F.col("image_id")) & (p["prompt"] == best["prompt"]), "left_anti").select(F.col("i_").alias("image_id")).distinct()
+    first = masks.groupBy("image_id").agg(F.min("det_id").alias("det_id")).join(bare, "image_id", "left_semi")
+    return best.select("image_id", "det_id").unionByName(first).distinct()
+
+
+def mutual_nearest(candidates: DataFrame, limit: float, step: float = 0.05, rounds: int = 20) -> DataFrame:
+    """(g, a, b): pairs that are each other's nearest among what is left of their group, below a limit that falls by ``step`` a round.
+
+    ``candidates`` are sparse (g, a, b, cost). A round is two minima by window and two anti-joins;
+    ties go to the lower id on the other side.
+    """
+    left, found = settled(candidates.where(F.col("cost") < limit).select("g", "a", "b", "cost")), None
+    for _ in range(rounds):
+        if limit <= 0 or left.isEmpty():
+            break
+        by_a, by_b = Window.partitionBy("g", "a").orderBy("cost", "b"), Window.partitionBy("g", "b").orderBy("cost", "a")
+        ranked = left.withColumns({"ra": F.row_number().over(by_a), "rb": F.row_number().over(by_b)})
+        chosen = settled(ranked.where((F.col("ra") == 1) & (F.col("rb") == 1) & (F.col("cost") < limit)).select("g", "a", "b"))
+        found = chosen if found is None else found.unionByName(chosen)
+        limit -= step
+        left = settled(left.join(chosen, ["g", "a"], "left_anti").join(chosen, ["g", "b"], "left_anti").where(F.col("cost") < limit).select("g", "a", "b", "cost"))
+    return found if found is not None else left.select("g", "a", "b")
 
 
 def mined_low_scores(loose: DataFrame, tight: DataFrame, high: float) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, intersection, overlaps
+from tessera.functions.kernels import group_slices, whole_groups
 from tessera.storage import settled
 
 
@@ -53,7 +56,7 @@ def greedy_nms(pred: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",
     """Greedy suppression within ``keys`` and class; ``det_id`` is unique within ``keys``.
 
     A box that no better one overlaps is kept, a box that a kept one overlaps goes: both are joins.
-    Only chains beyond that, a few boxes, go to Python, one group of ``keys`` at a time.
+    Only chains beyond that, a few boxes, go to Python, many groups of ``keys`` to an Arrow batch.
     """
     group = [*keys, *(["cls"] if by_class else [])]
     box = ["x1", "y1", "x2", "y2"]
@@ -71,8 +74,11 @@ def greedy_nms(pred: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",
     sure = pred.join(worse, ids, "left_anti")
     open_ = pred.join(worse.join(hit, ids, "left_anti"), ids, "left_semi")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [g.iloc[kept_by_greedy(g[box].to_numpy(), np.lexsort((g["det_id"].to_numpy(), -g["conf"].to_numpy())), thr)] for _, g in (pdf.groupby("cls") if by_class else [(0, pdf)])]
-        return pd.concat(parts)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, *keys):
+            at, conf, ids, kept = pdf[box].to_numpy(), pdf["conf"].to_numpy(), pdf["det_id"].to_numpy(), []
+            for part in group_slices(pdf, *group):
+                kept += [part.start + i for i in kept_by_greedy(at[part], np.lexsort((ids[part], -conf[part])), thr)]
+            yield pdf.iloc[kept]
 
-    return sure.unionByName(open_.groupBy(*keys).applyInPandas(run, pred.schema))
+    return sure.unionByName(open_.repartition(*keys).sortWithinPartitions(*group).mapInPandas(run, pred.schema))

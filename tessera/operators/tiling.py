@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, area, cols
@@ -35,11 +35,13 @@ def windows(images: DataFrame, crop: int, gap: int, least_rate: float = 0.6) ->
         plain = F.transform(F.sequence(F.lit(0), n - 1), lambda i: (i * step).cast("double"))
         return F.transform(plain, lambda x: F.when((n > 1) & (x + crop > size), size - crop).otherwise(x))
 
-    at = images.withColumn("x0", F.explode(starts(F.col("w")))).withColumn("y0", F.explode(starts(F.col("h")))).distinct()
-    at = at.withColumns({"x1": F.col("x0") + crop, "y1": F.col("y0") + crop})
-    rate = (F.least("x1", "w") - F.col("x0")) * (F.least("y1", "h") - F.col("y0")) / float(crop * crop)
-    best = F.max("rate").over(Window.partitionBy("image_id"))
-    return at.withColumn("rate", rate).withColumn("best", best).where((F.col("rate") > least_rate) | ((F.col("best") <= least_rate) & (F.col("rate") == F.col("best")))).drop("best")
+    places = F.array_distinct(F.flatten(F.transform(starts(F.col("w")), lambda x: F.transform(starts(F.col("h")), lambda y: F.struct(x.alias("x0"), y.alias("y0"))))))
+    inner = lambda p: (F.least(p["x0"] + crop, F.col("w")) - p["x0"]) * (F.least(p["y0"] + crop, F.col("h")) - p["y0"]) / float(crop * crop)
+    rows = images.withColumn("places", F.transform(places, lambda p: F.struct(p["x0"].alias("x0"), p["y0"].alias("y0"), inner(p).alias("rate"))))
+    rows = rows.withColumn("best", F.array_max(F.transform("places", lambda p: p["rate"])))
+    chosen = F.filter("places", lambda p: (p["rate"] > least_rate) | ((F.col("best") <= least_rate) & (p["rate"] == F.col("best"))))
+    rows = rows.withColumn("p", F.explode(chosen))
+    return rows.select(*images.columns, "p.x0", "p.y0", (F.col("p.x0") + crop).alias("x1"), (F.col("p.y0") + crop).alias("y1"), "p.rate")
 
 
 def _clip(b: Box) -> Box:
@@ -84,25 +86,52 @@ def validation_boxes(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
     return _in_tile(_on_tiles(boxes, tiles).where("cx2 - cx1 > 1 and cy2 - cy1 > 1"))
 
 
-def to_original(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Boxes in tile coordinates back on their images."""
-    t = tiles.select("image_id", "k", "x0", "y0")
-    return boxes.join(t, ["image_id", "k"]).withColumns({"x1": F.col("x1") + F.col("x0"), "x2": F.col("x2") + F.col("x0"), "y1": F.col("y1") + F.col("y0"), "y2": F.col("y2") + F.col("y0")}).drop("x0", "y0")
+def canvas(tw: Column, th: Column, size: int) -> tuple[Column, Column, Column]:
+    """Gain and left, top padding of a tile that is centred on a square canvas of ``size``, made smaller only; halves round to even."""
+    r = F.least(F.lit(1.0), size / F.greatest(tw, th))
+    pad = lambda side: F.bround((size - F.bround(side * r)) / 2.0 - 0.1)
+    return r, pad(tw), pad(th)
 
 
-def seam_bias(images: DataFrame, boxes: DataFrame, axis: str = "x", candidates: int = 32, reach: float = 0.1) -> DataFrame:
-    """(image_id, bias): of evenly spaced shifts of the seam, the first that has the fewest box centres near it.
+def to_canvas(boxes: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """Boxes in tile coordinates on the canvas that a model sees of the tile."""
+    t = tiles.select("image_id", "k", (F.col("x1") - F.col("x0")).alias("tw"), (F.col("y1") - F.col("y0")).alias("th"))
+    r, left, top = canvas(F.col("tw"), F.col("th"), size)
+    return boxes.join(t, ["image_id", "k"]).withColumns({"x1": F.col("x1") * r + left, "x2": F.col("x2") * r + left, "y1": F.col("y1") * r + top, "y2": F.col("y2") * r + top}).drop("tw", "th")
 
-    Near is half the median box size, at least 5% of the image's side.
+
+def to_original(boxes: DataFrame, tiles: DataFrame, size: int | None = None) -> DataFrame:
+    """Boxes in tile coordinates, or on tiles' canvases of ``size``, back on their images."""
+    t = tiles.select("image_id", "k", "x0", "y0", (F.col("x1") - F.col("x0")).alias("tw"), (F.col("y1") - F.col("y0")).alias("th"))
+    r, left, top = canvas(F.col("tw"), F.col("th"), size) if size else (F.lit(1.0), F.lit(0.0), F.lit(0.0))
+    back = lambda c, pad, at: (F.col(c) - pad) / r + F.col(at)
+    return boxes.join(t, ["image_id", "k"]).withColumns({"x1": back("x1", left, "x0"), "x2": back("x2", left, "x0"), "y1": back("y1", top, "y0"), "y2": back("y2", top, "y0")}).drop("x0", "y0", "tw", "th")
+
+
+def _near(places: Column, centres: Column, size: Column, reach: Column) -> Column:
+    """How many centres lie nearer than ``reach`` to each place (a share of ``size``)."""
+    return F.transform(places, lambda p: F.size(F.filter(centres, lambda c: F.abs(c - p * size) < reach)))
+
+
+def seam_bias(images: DataFrame, boxes: DataFrame, candidates: int = 32, margin: float = 0.25, jitter: float = 0.0, seed: str = "0") -> DataFrame:
+    """(image_id, bias_x, bias_y): where to put an image's seams, as shares of its sides away from the middle.
+
+    Of evenly spaced places between the margins, the first that has the fewest box centres nearer than
+    half the median box size (at least 5% of the side). (0, 0) without boxes. ``jitter`` moves each by a
+    uniform amount that the image and the seed (an epoch) determine. An image's boxes are read once.
     """
-    size = F.col("w" if axis == "x" else "h")
-    low, high = F.col(f"{axis}1"), F.col(f"{axis}2")
-    median = boxes.groupBy("image_id").agg(F.percentile(high - low, F.lit(0.5)).alias("median"))
-    steps = F.transform(F.sequence(F.lit(0), F.lit(candidates - 1)), lambda i: (i / float(candidates - 1) * 2 - 1) * reach)
-    shifts = images.join(median, "image_id", "left").withColumn("near", F.greatest(F.coalesce("median", F.lit(0.0)), size * 0.05) / 2).select("image_id", "near", size.alias("size"), F.posexplode(steps).alias("i", "share"))
-    near = (F.abs((low + high) / 2 - F.col("size") * (F.lit(0.5) + F.col("share"))) <= F.col("near")).cast("int")
-    counts = shifts.join(boxes.select("image_id", f"{axis}1", f"{axis}2"), "image_id", "left").groupBy("image_id", "i", "share", "size").agg(F.sum(F.coalesce(near, F.lit(0))).alias("n"))
-    return counts.groupBy("image_id").agg(F.min_by(F.struct(F.col("share") * F.col("size")), F.struct("n", "i")).getField("col1").alias("bias"))
+    sides = {"x": ("w", F.col("x1"), F.col("x2")), "y": ("h", F.col("y1"), F.col("y2"))}
+    held = boxes.groupBy("image_id").agg(*[x for k, (_, a, b) in sides.items() for x in (F.collect_list((a + b) / 2.0).alias(f"c{k}"), F.percentile(b - a, F.lit(0.5)).alias(f"m{k}"))])
+    places = F.array(*[F.lit(margin + i * ((1 - 2 * margin) / (candidates - 1))) for i in range(candidates)])
+    rows, out = images.select("image_id", "w", "h").join(held, "image_id", "left"), {}
+    for k, (side, _, _) in sides.items():
+        rows = rows.withColumn(f"n{k}", _near(places, F.col(f"c{k}"), F.col(side), F.greatest(F.col(f"m{k}"), F.col(side) * 0.05) / 2))
+        best = F.element_at(places, F.array_position(f"n{k}", F.array_min(f"n{k}")).cast("int"))
+        if jitter:
+            u = F.conv(F.substring(F.md5(F.concat(F.col("image_id").cast("string"), F.lit(f":{k}:{seed}"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+            best = F.least(F.lit(1 - margin), F.greatest(F.lit(margin), best + (2 * u - 1) * jitter))
+        out[f"bias_{k}"] = F.when(F.col(f"m{k}").isNull(), 0.0).otherwise(best - 0.5)
+    return rows.select("image_id", *[v.alias(n) for n, v in out.items()])
 
 
 def compose_2x2(boxes: DataFrame, images: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.shapes import inside, segments_cross
+from tessera.functions.shapes import inside, passes_through, segments_cross
 
 
 def by_track() -> Window:
@@ -33,19 +36,20 @@ def line_crossings(points: DataFrame, line: list[tuple[float, float]]) -> DataFr
 
 
 def region_entries(points: DataFrame, polygon: list[tuple[float, float]], look_back: int = 5) -> DataFrame:
-    """(track_id, frame, direction): the first frame on which a track is in the polygon, after its first.
+    """(track_id, frame, direction): the first time that each track is in the polygon, or crosses it between two frames, after its first frame.
 
-    Direction goes by the polygon's longer side, against the first of the last ``look_back`` points
-    that was outside (the previous point if none was).
+    A step counts as crossing if it starts outside and passes through the inside. Direction goes by
+    the greater part of the track's own motion (right or down is in), from the first of its last
+    ``look_back`` points that lies outside the polygon (the oldest of them if none does).
     """
-    xs, ys = [p[0] for p in polygon], [p[1] for p in polygon]
-    upright = max(xs) - min(xs) < max(ys) - min(ys)
     rows = with_previous(points).withColumn("in_", inside(F.col("x"), F.col("y"), polygon))
     trail = F.collect_list(F.struct("x", "y", "in_")).over(by_track().rowsBetween(-(look_back - 1), 0))
-    rows = rows.withColumn("base", F.get(F.filter(trail, lambda p: ~p["in_"]), F.lit(0)))
-    rows = rows.where("px is not null").where("in_").withColumn("n", F.row_number().over(by_track())).where("n = 1")
-    bx, by = F.coalesce("base.x", "px"), F.coalesce("base.y", "py")
-    inward = F.col("x") > bx if upright else F.col("y") > by
+    rows = rows.withColumns({"trail": trail, "was_": F.lag("in_").over(by_track())}).where("px is not null")
+    crosses = ~F.col("was_") & passes_through(F.col("px"), F.col("py"), F.col("x"), F.col("y"), polygon)
+    rows = rows.where(F.col("in_") | crosses).withColumn("n", F.row_number().over(by_track())).where("n = 1")
+    base = F.coalesce(F.get(F.filter("trail", lambda p: ~p["in_"]), F.lit(0)), F.get("trail", F.lit(0)))
+    dx, dy = F.col("x") - base["x"], F.col("y") - base["y"]
+    inward = F.when(F.abs(dx) > F.abs(dy), dx > 0).otherwise(dy > 0)
     return rows.select("track_id", "frame", F.when(inward, "in").otherwise("out").alias("direction"))
 
 
@@ -81,14 +85,26 @@ def stage_repetitions(rows: DataFrame, angle: Column, up: float, down: float) ->
 
 
 def ema(points: DataFrame, column: str, alpha: float) -> DataFrame:
-    """Adds ``smooth``: s = alpha s + (1 - alpha) x along the track, starting with its first value.
+    """(track_id, frame, smooth): s = alpha s + (1 - alpha) x along the track, starting with its first value.
 
-    An ordered fold over the track's values; one array a track.
+    The fold is sequential; tracks lie sorted in their partitions and go through it an Arrow batch at a
+    time, with one number a track carried over, so no track is held as a whole.
     """
-    folded = points.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame", F.col(column).cast("double").alias("v")))).alias("a"))
-    first = F.array(F.struct(F.get("a", F.lit(0))["frame"].alias("frame"), F.get("a", F.lit(0))["v"].alias("smooth")))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["frame"].alias("frame"), (F.lit(alpha) * F.element_at(acc, -1)["smooth"] + (1 - alpha) * x["v"]).alias("smooth"))))
-    return folded.select("track_id", F.explode(F.aggregate(F.slice("a", 2, F.greatest(F.lit(0), F.size("a") - 1)), first, step)).alias("s")).select("track_id", "s.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        track, last = None, 0.0
+        for batch in batches:
+            ids, frames, values = (batch.column(i).to_pylist() for i in range(3))
+            out = []
+            for t, v in zip(ids, values, strict=True):
+                last = v if t != track else alpha * last + (1 - alpha) * v
+                track = t
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["track_id", "frame", "smooth"])
+
+    rows = points.select("track_id", "frame", F.col(column).cast("double").alias("v")).repartition("track_id").sortWithinPartitions("track_id", "frame")
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema.fields}
+    return rows.mapInArrow(run, f"track_id {kinds['track_id']}, frame {kinds['frame']}, smooth double")
 
 
 def alarms(points: DataFrame, records: int) -> DataFrame:

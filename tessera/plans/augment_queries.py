@@ -64,10 +64,7 @@ def occlusion_cover(s, d):
 
 def assign_hungarian(s, d):
     """Matched pairs and total IoU of each image under optimal assignment."""
-    pred, gt = T(s, d, "pred", "gt")
-    one = sp.optimal_match(pred, gt)
-    iou = ev.pairs(pred, gt).select("image_id", "det_id", "gt_id", "iou")
-    return one.join(iou, ["image_id", "det_id", "gt_id"]).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("iou"), 6).alias("iou"))
+    return sp.optimal_match(*T(s, d, "pred", "gt")).groupBy("image_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("iou"), 6).alias("iou"))
 
 
 def assign_aligned(s, d):
@@ -218,7 +215,7 @@ _AREA = "(({0}.x2 - {0}.x1) * ({0}.y2 - {0}.y1))".format
 _U = f"({_AREA('p')} + {_AREA('q')} - {_IOU} + 1e-7::double)"
 _FAST = lambda t: f"select * from pred p where not exists (select 1 from pred q where q.image_id = p.image_id and q.cls = p.cls and (q.conf > p.conf or (q.conf = p.conf and q.det_id < p.det_id)) and {_IOU} / ({_AREA('p')} + {_AREA('q')} - {_IOU}) >= {t})"
 _HIT = lambda src: f"select image_id, gt_id from (select *, row_number() over (partition by image_id, gt_id order by conf desc, det_id) as r2 from (select p.image_id, p.det_id, p.conf, q.gt_id, row_number() over (partition by p.image_id, p.det_id order by {_IOU} / {_U} desc, q.gt_id) as r1, {_IOU} / {_U} as iou from {src} p join gt q on p.image_id = q.image_id and p.cls = q.cls and {_IOU} / {_U} >= 0.5) where r1 = 1) where r2 = 1"
-_PX = lambda t, k: f"select image_id, mask, cx * 1000 + unnest(range(a, b + 1)) as px from (select image_id, {k} as mask, unnest(range(cast(floor(x1 / 20) as bigint), cast(floor(x2 / 20) as bigint) + 1)) as cx, cast(floor(y1 / 20) as bigint) as a, cast(floor(y2 / 20) as bigint) as b from {t} where image_id % 3 = 0)"
+_PX = lambda t, k: f"select image_id, mask, cx * 1000 + unnest(range(a, b + 1)) as px from (select image_id, {k} as mask, unnest(range(cast(floor(x1 / 20) as bigint), cast(floor(x2 / 20) as bigint) + 1)) as cx, cast(floor(y1 / 20) as bigint) as a, cast(floor(y2 / 20) as bigint) as b from {t})"
 
 SQL = {
     "flip_boxes": f"{_G} select image_id, gt_id, 1200 - x2 as x1, 900 - y2 as y1, 1200 - x1 as x2, 900 - y1 as y2 from gt",
@@ -249,7 +246,7 @@ SQL = {
     "pose_angles": f"{_P}, a as (select track_id, frame, degrees(abs(0 - atan2(y - 240, x - 320))) as a, x, y from points) select track_id, frame, round(case when a > 180 then 360 - a else a end, 5) as angle, round(sqrt(pow(floor(x + 0.7) - 3, 2) + pow(floor(y + 0.2) - 4, 2)), 6) as distance from a",
     "window_iof": f"""{ctes("images", "gt")}, {TILES}, j as (select g.image_id, gt_id, k, greatest(0, least(g.x2, t.x1) - greatest(g.x1, t.x0)) * greatest(0, least(g.y2, t.y1) - greatest(g.y1, t.y0)) as inter, (g.x2 - g.x1) * (g.y2 - g.y1) as own from gt g join tiles t using (image_id))
       select image_id, gt_id, k, round(inter / own + 1e-9::double, 6) as iof from j where inter > 0""",
-    "least_rectangles": f"{_G} select image_id, round(greatest(x2 - x1, y2 - y1), 4) as longer, round(least(x2 - x1, y2 - y1), 4) as shorter, round((x1 + x2) / 2, 4) as cx from gt where gt_id = 1",
+    "least_rectangles": f"{_G} select image_id, gt_id, round(greatest(x2 - x1, y2 - y1), 4) as longer, round(least(x2 - x1, y2 - y1), 4) as shorter, round((x1 + x2) / 2, 4) as cx from gt",
     "dota_merge": f"""{ctes("pred")}, g as (select image_id, det_id, cls, conf, image_id || '__1.0__' || (det_id % 2 * 100) || '___50' as tile, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) * (x2 - x1) / 12 as a, (y2 - y1) * (y2 - y1) / 12 as b, det_id % 5 / 10.0::double as t from pred),
       k as (select *, a * cos(t) * cos(t) + b * sin(t) * sin(t) as a1, a * sin(t) * sin(t) + b * cos(t) * cos(t) as b1, (a - b) * cos(t) * sin(t) as c1 from g),
       j as (select p.image_id, p.det_id, q.x - p.x as dx, p.y - q.y as dy, p.a1 + q.a1 as a, p.b1 + q.b1 as b, p.c1 + q.c1 as c, (p.a1 * p.b1 - p.c1 * p.c1) as d1, (q.a1 * q.b1 - q.c1 * q.c1) as d2 from k p join k q on p.image_id = q.image_id and p.cls = q.cls and (q.conf > p.conf or (q.conf = p.conf and (q.tile, q.det_id) < (p.tile, p.det_id)))),

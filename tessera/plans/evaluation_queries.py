@@ -70,7 +70,8 @@ def eval_map(s, d):
 
 def eval_curve_counts(s, d):
     _, _, points = _points(s, d)
-    return points.groupBy("thr", "cls").agg(F.sum("cum_tp").alias("sum_tp"), F.sum("cum_fp").alias("sum_fp"), F.max("cum_tp").alias("tp"), F.max("cum_fp").alias("fp"))
+    total, top = (lambda f: lambda tp, fp: f(tp)), (lambda f: lambda tp, fp: f(fp))
+    return ev.by_threshold(points, ev.THRESHOLDS, sum_tp=total(F.sum), sum_fp=top(F.sum), tp=total(F.max), fp=top(F.max))
 
 
 def eval_confidence_curves(s, d):

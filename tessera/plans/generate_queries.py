@@ -58,9 +58,9 @@ _I = ctes("images")
 _IOU = "greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) / ((p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) + {eps})"
 SQL = {
     "point_grid": "select i, round((i % 32 + 0.5) / 32, 8) as x, round((i // 32 + 0.5) / 32, 8) as y from range(0, 1024) t(i)",
-    "crop_layers": f"""{_I}, l as (select image_id, w, h, layer, pow(2, layer) as s, floor(512 / 1500.0::double * least(w, h) * (2 / pow(2, layer))) as gap from images, (values (1), (2)) v(layer) where image_id < 200),
+    "crop_layers": f"""{_I}, l as (select image_id, w, h, layer, pow(2, layer) as s, floor(512 / 1500.0::double * least(w, h) * (2 / pow(2, layer))) as gap from images, (values (1), (2)) v(layer)),
       c as (select *, ceil((gap * (s - 1) + w) / s) as cw, ceil((gap * (s - 1) + h) / s) as ch from l), g as (select *, unnest(range(0, cast(s as bigint))) as i from c), k as (select *, unnest(range(0, cast(s as bigint))) as j from g)
-      select image_id, 0 as layer, 0::bigint as x0, 0::bigint as y0, cast(w as bigint) as x1, cast(h as bigint) as y1 from images where image_id < 200
+      select image_id, 0 as layer, 0::bigint as x0, 0::bigint as y0, cast(w as bigint) as x1, cast(h as bigint) as y1 from images
       union all select image_id, layer, cast((cw - gap) * i as bigint), cast((ch - gap) * j as bigint), cast(least((cw - gap) * i + cw, w) as bigint), cast(least((ch - gap) * j + ch, h) as bigint) from k""",
     "tile_decode": f"{_I}, t as (select image_id, unnest(range(0, image_id % 4 + 1)) as k from images) select row_number() over (order by image_id, k) - 1 as idx, image_id, cast(k as int) as k from t",
     "latest_event": "select user_id, lpad(cast(event_id as varchar), 12, '0') as name from (select *, row_number() over (partition by user_id order by ts desc, lpad(cast(event_id as varchar), 12, '0')) as n from events) where n = 1",

@@ -9,6 +9,7 @@ from tessera.operators import suppress, tiling
 from tessera.operators.evaluation import rounded
 
 from .canonical import ctes, read, table
+from .evaluation_queries import BOX, NMS_IOU
 
 T = lambda s, d, *names: [table(s, d, n) for n in names]
 
@@ -55,7 +56,7 @@ def tile_round_trip(s, d):
 
 def tile_seam_bias(s, d):
     images, gt = T(s, d, "images", "gt")
-    return rounded(tiling.seam_bias(images, gt), "bias")
+    return rounded(tiling.seam_bias(images, gt), "bias_x", "bias_y")
 
 
 def tile_window_assign(s, d):
@@ -67,13 +68,13 @@ def tile_window_assign(s, d):
 
 
 def tile_fusion(s, d):
-    """Predictions of all tiles back on their image, then class-wise suppression over the whole image."""
+    """Predictions of all tiles, as a model gives them on its canvas, back on their image; then class-wise greedy suppression over the whole image."""
     images, pred = T(s, d, "images", "pred")
     tiles = tiling.grid_2x2(images)
     on = tiling.validation_boxes(pred.select("image_id", F.col("det_id").alias("gt_id"), "cls", "x1", "y1", "x2", "y2"), tiles)
-    back = tiling.to_original(on, tiles).withColumnRenamed("gt_id", "d_").join(pred.select("image_id", F.col("det_id").alias("d_"), "conf"), ["image_id", "d_"])
+    back = rounded(tiling.to_original(tiling.to_canvas(on, tiles, 640), tiles, 640), "x1", "y1", "x2", "y2").withColumnRenamed("gt_id", "d_").join(pred.select("image_id", F.col("det_id").alias("d_"), "conf"), ["image_id", "d_"])
     rows = back.select("image_id", (F.col("d_") * 4 + F.col("k")).alias("det_id"), "cls", "x1", "y1", "x2", "y2", "conf")
-    return suppress.fast_nms(rows, 0.5).select("image_id", "det_id", "cls")
+    return suppress.greedy_nms(rows, 0.5).select("image_id", "det_id", "cls")
 
 
 def compose_labels(s, d):
@@ -149,15 +150,20 @@ SQL = {
     "tile_boxes_whole": f"{_TB} {_OUT} inter >= own - 1e-9::double",
     "tile_boxes_validation": f"{_TB} {_OUT} cx2 - cx1 > 1 and cy2 - cy1 > 1",
     "tile_round_trip": f"{_TB} select image_id, k, gt_id, cls, cx1 as x1, cy1 as y1, cx2 as x2, cy2 as y2 from on_t where cx2 - cx1 > 1 and cy2 - cy1 > 1",
-    "tile_seam_bias": f"""{ctes("images", "gt")}, near as (select image_id, w, greatest(coalesce((select median(x2 - x1) from gt g where g.image_id = i.image_id), 0), w * 0.05::double) / 2 as near from images i),
-      c as (select image_id, w, near, i, (i / 31.0::double * 2 - 1) * 0.1::double as share from near, range(0, 32) t(i)),
-      n as (select image_id, i, share * w as bias, (select count(*) from gt g where g.image_id = c.image_id and abs((x1 + x2) / 2 - w * (0.5 + share)) <= near) as n from c)
-      select image_id, round(arg_min(bias, n * 100 + i), 6) as bias from n group by image_id""",
+    "tile_seam_bias": f"""{ctes("images", "gt")}, b as (select image_id, list((x1 + x2) / 2) as cx, list((y1 + y2) / 2) as cy, median(x2 - x1) as mx, median(y2 - y1) as my from gt group by image_id),
+      p as (select list(0.25::double + i * (0.5::double / 31) order by i) as places from range(0, 32) t(i)),
+      n as (select image_id, cx, places, list_transform(places, lambda q: len(list_filter(cx, lambda c: abs(c - q * w) < greatest(mx, w * 0.05::double) / 2))) as nx, list_transform(places, lambda q: len(list_filter(cy, lambda c: abs(c - q * h) < greatest(my, h * 0.05::double) / 2))) as ny from images left join b using (image_id), p)
+      select image_id, case when cx is null then 0.0 else round(places[list_position(nx, list_min(nx))] - 0.5, 6) end as bias_x, case when cx is null then 0.0 else round(places[list_position(ny, list_min(ny))] - 0.5, 6) end as bias_y from n""",
     "tile_window_assign": f"""{ctes("images", "gt")}, {_WIN}, j as (select g.image_id, x0, y0, greatest(0, least(g.x2, w.x1) - greatest(g.x1, x0)) * greatest(0, least(g.y2, w.y1) - greatest(g.y1, y0)) as inter, (g.x2 - g.x1) * (g.y2 - g.y1) as own from gt g join win w using (image_id) where rate > 0.6)
       select image_id, x0, y0, count(*) as n, round(sum(inter), 3) as inter from j where inter / own >= 0.7 and inter > 0 group by image_id, x0, y0""",
-    "tile_fusion": f"""{ctes("images", "pred")}, {TILES}, {_on("pred")}, r as (select image_id, det_id * 4 + k as det_id, cls, conf, cx1 as x1, cy1 as y1, cx2 as x2, cy2 as y2 from on_t where cx2 - cx1 > 1 and cy2 - cy1 > 1)
-      select image_id, det_id, cls from r p where not exists (select 1 from (select *, greatest(0, least(p.x2, q.x2) - greatest(p.x1, q.x1)) * greatest(0, least(p.y2, q.y2) - greatest(p.y1, q.y1)) as inter from r q where q.image_id = p.image_id and q.cls = p.cls and (q.conf > p.conf or (q.conf = p.conf and q.det_id < p.det_id))) q
-        where inter / ((p.x2 - p.x1) * (p.y2 - p.y1) + (q.x2 - q.x1) * (q.y2 - q.y1) - inter) >= 0.5)""",
+    "tile_fusion": f"""{ctes("images", "pred").replace("with ", "with recursive ")}, {TILES}, {_on("pred")}, r as (select image_id, det_id * 4 + k as det_id, cls, conf, round(cx1, 6) as x1, round(cy1, 6) as y1, round(cx2, 6) as x2, round(cy2, 6) as y2 from on_t where cx2 - cx1 > 1 and cy2 - cy1 > 1),
+      o as (select *, row_number() over (partition by image_id, cls order by conf desc, det_id) as rk from r), k as (
+        select image_id, cls, 1::bigint as rk, [{BOX}] as kept from o where rk = 1
+        union all
+        select p.image_id, p.cls, p.rk, case when len(list_filter(k.kept, lambda q: {NMS_IOU} > 0.5)) = 0 then list_append(k.kept, {BOX.replace(":= ", ":= p.")}) else k.kept end
+        from k join o p on p.image_id = k.image_id and p.cls = k.cls and p.rk = k.rk + 1
+      ), last as (select image_id, cls, max_by(kept, rk) as kept from k group by 1, 2)
+      select image_id, unnest(kept).id as det_id, cls from last""",
     "compose_labels": f"""{ctes("images", "gt")}, r as (select image_id, row_number() over (order by image_id) - 1 as rank from images)
       select rank // 4 as canvas, image_id, gt_id, cls, round(((x1 + x2) / 2 / 1200 + rank % 2) / 2, 6) as cx, round(((y1 + y2) / 2 / 900 + rank % 4 // 2) / 2, 6) as cy, round((x2 - x1) / 1200 / 2, 6) as w, round((y2 - y1) / 900 / 2, 6) as h from gt join r using (image_id)""",
     "pool_layout": """with l as (select n, o, segment, cast(case o when 0 then 4 * n when 3 then 2 * n when 4 then case when n >= 4 then ceil(n / 4) else 0 end else n end as bigint) as len

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import boxes as bx
 from tessera.functions import shapes as sh
+from tessera.operators import evaluation as ev
 from tessera.operators import tracks as tr
 from tessera.operators import vectors as ve
 
@@ -149,17 +150,12 @@ def box_near_crop_edge(s, d):
 
 
 def confidence_bands(s, d):
-    band = F.when(F.col("conf") >= 0.25, "high").when((F.col("conf") > 0.1) & (F.col("conf") < 0.25), "low").otherwise("none")
-    return table(s, d, "pred").where("x2 > x1 and y2 > y1").groupBy(band.alias("band"), "cls").agg(F.count(F.lit(1)).alias("n"))
+    return table(s, d, "pred").where("x2 > x1 and y2 > y1").groupBy(ev.confidence_band(F.col("conf")).alias("band"), "cls").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sigma_clip(s, d):
     """Values within two deviations of the mean, cut up to three times."""
-    rows = read(s, d, "events").select("event_id", F.col("value").alias("v"))
-    for _ in range(3):
-        m = rows.agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
-        rows = rows.join(F.broadcast(m), F.lit(True)).where(F.abs(F.col("v") - F.col("m")) <= 2 * F.col("sd")).select("event_id", "v")
-    return rows.select("event_id")
+    return ev.sigma_clip(read(s, d, "events").select("event_id", "value"), "value").select("event_id")
 
 
 def category_frequency(s, d):
@@ -229,9 +225,13 @@ SQL = {
     "track_history": f"{_P} select track_id, frame, cast(count(*) over w as int) as n, sum(x) over w as sum_x from points window w as (partition by track_id order by frame rows between 29 preceding and current row)",
     "track_line_vertical": f"{_PREV}, c as (select * from prev where px is not null and ((px <= 320 and x >= 320) or (px >= 320 and x <= 320))) select track_id, frame, case when x > px then 'in' else 'out' end as direction from (select *, row_number() over (partition by track_id order by frame) as n from c) where n = 1",
     "track_line_horizontal": f"{_PREV}, c as (select * from prev where px is not null and ((py <= 240 and y >= 240) or (py >= 240 and y <= 240))) select track_id, frame, case when y > py then 'in' else 'out' end as direction from (select *, row_number() over (partition by track_id order by frame) as n from c) where n = 1",
-    "track_region_entries": f"""{_P}, l as (select *, lag(y) over w as py, {_IN} as i0, lag(y, 4) over w as y4, lag({_IN}, 4) over w as i4, lag(y, 3) over w as y3, lag({_IN}, 3) over w as i3, lag(y, 2) over w as y2, lag({_IN}, 2) over w as i2, lag({_IN}, 1) over w as i1 from points window w as (partition by track_id order by frame)),
-      e as (select *, row_number() over (partition by track_id order by frame) as n from l where py is not null and i0)
-      select track_id, frame, case when y > case when not i4 then y4 when not i3 then y3 when not i2 then y2 else py end then 'in' else 'out' end as direction from e where n = 1""",
+    "track_region_entries": f"""{_P}, l as (select *, lag(x) over w as px, lag(y) over w as py, {_IN} as i0, lag({_IN}) over w as was,
+        list(struct_pack(x := x, y := y, i := {_IN})) over (partition by track_id order by frame rows between 4 preceding and current row) as trail from points window w as (partition by track_id order by frame)),
+      t as (select *, case when x = px then case when x > 220 and x < 420 then 0 else 2 end else least((220 - px) / (x - px), (420 - px) / (x - px)) end as tx0, case when x = px then 1 else greatest((220 - px) / (x - px), (420 - px) / (x - px)) end as tx1,
+        case when y = py then case when y > 140 and y < 340 then 0 else 2 end else least((140 - py) / (y - py), (340 - py) / (y - py)) end as ty0, case when y = py then 1 else greatest((140 - py) / (y - py), (340 - py) / (y - py)) end as ty1 from l where px is not null),
+      c as (select *, greatest(0, tx0, ty0) as lo, least(1, tx1, ty1) as hi from t),
+      e as (select *, row_number() over (partition by track_id order by frame) as n, coalesce(list_filter(trail, lambda p: not p.i)[1], trail[1]) as base from c where i0 or (not was and lo < hi and (lo > 0 or hi < 1)))
+      select track_id, frame, case when case when abs(x - base.x) > abs(y - base.y) then x > base.x else y > base.y end then 'in' else 'out' end as direction from e where n = 1""",
     "track_region_counts": f"{_P} select frame, 'a' as region, count(*) as n from points where {_IN} group by frame union all select frame, 'b', count(*) from points where {_TRI} group by frame",
     "track_queue_counts": f"{_PREV} select frame, 'a' as region, count(*) as n from prev where px is not null and {_IN} group by frame",
     "track_parking": f"""{_P} select frame, cast(cast(bool_or({_SQ_EDGE}) as int) + cast(bool_or({_TRI_EDGE}) as int) as bigint) as occupied, cast(2 - cast(bool_or({_SQ_EDGE}) as int) - cast(bool_or({_TRI_EDGE}) as int) as bigint) as free from points group by frame""",
@@ -241,7 +241,7 @@ SQL = {
     "track_ema": f"""{_P.replace("with ", "with recursive ")}, e as (select track_id, frame, x as smooth from points where frame = 1 union all select p.track_id, p.frame, 0.9::double * e.smooth + (1 - 0.9::double) * p.x from e join points p on p.track_id = e.track_id and p.frame = e.frame + 1) select track_id, frame, smooth from e""",
     "track_alarm": f"{_P}, c as (select frame, count(*) as n from points group by frame having count(*) >= 10) select frame, n from c order by frame limit 1",
     "track_class_counts": f"{_P}, c as (select frame // 10 as bin, cls, count(*) as n from points group by 1, 2) select bin, cls, n, round(n / sum(n) over (partition by bin) * 100, 6) as share from c",
-    "track_heatmap": f"""{_G}, b as (select (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, least(x2 - x1, y2 - y1) / 2 as r, unnest(range(cast(floor(x1 / 50) as bigint), cast(floor(x2 / 50) as bigint) + 1)) as px, y1, y2 from gt where gt_id = 1),
+    "track_heatmap": f"""{_G}, b as (select (x1 + x2) / 2 as cx, (y1 + y2) / 2 as cy, least(x2 - x1, y2 - y1) / 2 as r, unnest(range(cast(floor(x1 / 50) as bigint), cast(floor(x2 / 50) as bigint) + 1)) as px, y1, y2 from gt),
       c as (select *, unnest(range(cast(floor(y1 / 50) as bigint), cast(floor(y2 / 50) as bigint) + 1)) as py from b) select px, py, count(*) * 2 as heat from c where (px * 50 - cx) * (px * 50 - cx) + (py * 50 - cy) * (py * 50 - cy) <= r * r group by px, py""",
     "track_joint": f"{_P} select track_id, case when track_id % 2 = 0 then x else x + 1000 end as x from points where frame = 1 and (track_id % 2 = 0 or track_id % 3 = 0)",
     "vector_top_k": """with s as (select q.vec_id as query_id, b.vec_id, round(list_cosine_similarity(q.embedding::double[], b.embedding::double[]), 6) as score from embeddings q join embeddings b on q.vec_id % 100 = 0 and q.vec_id <> b.vec_id)
@@ -274,7 +274,7 @@ SQL = {
     "label_histogram": f"{_G} select cast(floor((x1 + x2) / 2 / 1200 * 20) as bigint) as bx, cast(floor((y1 + y2) / 2 / 900 * 20) as bigint) as by, count(*) as n from gt group by 1, 2",
     "rect_batches": f"""{_G}, r as (select (y2 - y1) / (x2 - x1) as ar, (row_number() over (order by (y2 - y1) / (x2 - x1), image_id) - 1) // 16 as batch from gt where gt_id = 1), b as (select batch, min(ar) as lo, max(ar) as hi from r group by batch)
       select batch, cast(ceil(case when hi < 1 then hi else 1 end * 640 / 32 + 0.5) * 32 as bigint) as h, cast(ceil(case when hi < 1 then 1 when lo > 1 then 1 / lo else 1 end * 640 / 32 + 0.5) * 32 as bigint) as w from b""",
-    "early_stopping": f"""{_P}, r as (select track_id, frame, value as f, max(value) over (partition by track_id order by frame rows between unbounded preceding and 1 preceding) as b from points where track_id < 20),
+    "early_stopping": f"""{_P}, r as (select track_id, frame, value as f, max(value) over (partition by track_id order by frame rows between unbounded preceding and 1 preceding) as b from points),
       s as (select track_id, frame, max(case when b is null or f > b or b = 0 then frame end) over (partition by track_id order by frame) as best from r) select track_id, frame, best, frame - best >= 3 as stop from s""",
     "background_class_map": f"{_G} select cast(cls as bigint) as id, 'class' || cls as name from (select distinct cls from gt) union all select count(distinct cls), 'background' from gt having count(distinct cls) > 1",
 }

@@ -52,16 +52,25 @@ def record_boxes(records: DataFrame, kind: str = "boxes") -> DataFrame:
     return rows.select("file", "split", "box_id", F.get("row", F.lit(0)).cast("int").alias("cls"), F.slice("row", 2, F.size("row") - 1).alias("values"))
 
 
-def auto_validation(records: DataFrame, share: int = 10) -> DataFrame:
-    """Where no image is marked for validation, the last ``max(1, n // share)`` by file name are."""
+def auto_validation(records: DataFrame, share: int = 10, seed: str = "val") -> DataFrame:
+    """The image records; where none is marked for validation, ``max(1, n // share)`` of the ``n`` training images are, chosen by hash.
+
+    Images of other splits stay as they are. Raises ValueError where there is no training image, or
+    only one to split.
+    """
     from tessera.operators.sampling import ranked
 
     images = records.where("type = 'image'")
-    n = images.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("split") == "val", 1)).alias("v")).first()
-    if n["v"] or n["n"] < 2:
+    n = images.agg(F.count(F.when(F.col("split") == "train", 1)).alias("train"), F.count(F.when(F.col("split") == "val", 1)).alias("val")).first()
+    if not n["train"]:
+        raise ValueError("no training images")
+    if n["val"]:
         return images
-    keep = n["n"] - max(1, n["n"] // share)
-    return ranked(images, "file", "val").withColumn("split", F.when(F.col("rank") > keep, "val").otherwise(F.col("split"))).drop("rank")
+    if n["train"] < 2:
+        raise ValueError("one training image cannot be split")
+    train = F.coalesce(F.col("split") == "train", F.lit(False))
+    chosen = ranked(images.where(train), "file", seed).withColumn("split", F.when(F.col("rank") <= max(1, n["train"] // share), "val").otherwise(F.col("split"))).drop("rank")
+    return chosen.unionByName(images.where(~train))
 
 
 def keypoint_shape(rows: DataFrame) -> tuple[int, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -20,9 +21,15 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_by_path(files: DataFrame, fraction: float | int) -> DataFrame:
-    """The first part of the sorted listing: an integer counts files, a share is rounded, at least one."""
+    """The first part of the sorted listing: an integer above 1 counts files, a share is rounded, at least one."""
+    from tessera.operators.scans import global_rank
+
     n = fraction if isinstance(fraction, int) and fraction > 1 else max(1, round(files.count() * fraction))
-    return files.orderBy("path").limit(n)
+    common = files.agg(F.min("path"), F.max("path")).first()
+    skip = len(os.path.commonprefix([x.encode() for x in common])) if common[0] is not None else 0
+    # the bytes after what all paths begin with, as a number, are in the paths' own order
+    start = F.conv(F.rpad(F.substring(F.hex("path"), 2 * skip + 1, 12), 12, "0"), 16, 10).cast("double")
+    return global_rank(files.withColumn("start_", start), "start_", "path", name="rank_").where(F.col("rank_") <= n).drop("start_", "rank_")
 
 
 def class_folders(files: DataFrame) -> DataFrame:

@@ -48,18 +48,3 @@ def match(cost: np.ndarray, limit: float) -> list[tuple[int, int]]:
     square[n:, m:] = 0
     to = hungarian(square)[:n]
     return [(i, int(j)) for i, j in enumerate(to) if j < m and cost[i, j] <= limit]
-
-
-def mutual_nearest(cost: np.ndarray, limit: float, step: float = 0.05) -> list[tuple[int, int]]:
-    """Rounds of pairs that are each other's nearest below a limit that falls each round."""
-    cost, found = cost.astype(float).copy(), []
-    while cost.size and limit > 0:
-        rows, cols = cost.argmin(1), cost.argmin(0)
-        pairs = [(i, j) for i, j in enumerate(rows) if cols[j] == i and cost[i, j] < limit]
-        if not pairs:
-            break
-        found += [(int(i), int(j)) for i, j in pairs]
-        for i, j in pairs:
-            cost[i, :], cost[:, j] = np.inf, np.inf
-        limit -= step
-    return found

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import boxes as bx
 from tessera.functions import shapes as sh
 from tessera.operators import evaluation as ev
-from tessera.operators import sampling, scans, spatial, suppress, tiling, tracks
+from tessera.operators import sampling, scans, spatial, suppress, tiling, tracks, vectors
 
 BOX = "image_id long, det_id int, cls int, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -160,8 +160,75 @@ def test_counter_rules(spark):
     pts = spark.createDataFrame(xs, "track_id long, frame int, x double, y double")
     assert [tuple(r) for r in tracks.line_crossings(pts, line).collect()] == [(1, 2, "in")]
     region = [(220.0, 140.0), (420.0, 140.0), (420.0, 340.0), (220.0, 340.0)]
-    re = spark.createDataFrame([(1, 1, 230.0, 240.0), (1, 2, 210.0, 240.0), (1, 3, 230.0, 240.0)], "track_id long, frame int, x double, y double")
-    assert tracks.region_entries(re, region).count() == 1
+    entries = lambda track, polygon=region: [r.direction for r in tracks.region_entries(spark.createDataFrame([(1, i + 1, float(x), float(y)) for i, (x, y) in enumerate(track)], "track_id long, frame int, x double, y double"), polygon).collect()]
+    assert entries([(230, 240), (210, 240), (230, 240)]) == ["in"]  # spawned inside, out by the left edge, in again
+    assert entries([(x, 240) for x in (428, 436, 444, 436, 428, 420, 412)]) == ["out"]  # turned back before it entered
+    band = [(20.0, 360.0), (1080.0, 360.0), (1080.0, 400.0), (20.0, 400.0)]
+    for polygon in (region, band):
+        cx, cy = sum(p[0] for p in polygon) / 4, sum(p[1] for p in polygon) / 4
+        for step, want in (((8, 0), "in"), ((-8, 0), "out"), ((0, 8), "in"), ((0, -8), "out")):
+            assert entries([(cx + (i - 5) * step[0], cy + (i - 5) * step[1]) for i in range(6)], polygon) == [want]
+    assert entries([(100, 240), (600, 240)]) == ["in"] and entries([(300, 500), (310, 20)]) == ["out"]  # straddles it between two frames
+    assert entries([(100, 100), (600, 100)]) == [] and entries([(220, 140), (420, 140)]) == []  # beside it, along its edge
+    notch = [(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (60.0, 100.0), (60.0, 20.0), (40.0, 20.0), (40.0, 100.0), (0.0, 100.0)]
+    assert entries([(45, 60), (55, 60)], notch) == [] and entries([(50, 60), (130, 60)], notch) == ["in"]
+
+
+def test_seam_goes_where_few_boxes_are(spark):
+    images = spark.createDataFrame([(1, 4000.0, 3000.0), (2, 1200.0, 900.0), (3, 1000.0, 1000.0)], "image_id long, w double, h double")
+    r = np.random.default_rng(0)
+    c, size = r.uniform(0.1, 0.9, (6, 2)), r.uniform(0.05, 0.15, (6, 2))
+    at = np.concatenate([c - size / 2, c + size / 2], 1) * [4000, 3000, 4000, 3000]
+    rows = [(1, *map(float, b)) for b in at] + [(3, 480.0, 0.0, 520.0, 40.0)]
+    got = {x.image_id: (x.bias_x, x.bias_y) for x in tiling.seam_bias(images, spark.createDataFrame(rows, "image_id long, x1 double, y1 double, x2 double, y2 double")).collect()}
+    places = np.linspace(0.25, 0.75, 32)
+    want = []
+    for k, side in ((0, 4000), (1, 3000)):
+        reach = max(np.median(at[:, k + 2] - at[:, k]), side * 0.05) / 2
+        want.append(places[(np.abs((at[:, k, None] + at[:, k + 2, None]) / 2 - places * side) < reach).sum(0).argmin()] - 0.5)
+    assert got[1] == pytest.approx(tuple(want)) and got[2] == (0, 0) and got[3] == (-0.25, -0.25)
+    moved = tiling.seam_bias(images, spark.createDataFrame(rows, "image_id long, x1 double, y1 double, x2 double, y2 double"), jitter=0.05, seed="3").collect()
+    assert all(abs(x.bias_x - got[x.image_id][0]) <= 0.05 and -0.25 <= x.bias_x <= 0.25 for x in moved if x.image_id != 2)
+
+
+def test_canvas_is_undone(spark):
+    images = spark.createDataFrame([(1, 4000.0, 3000.0), (2, 301.0, 201.0)], "image_id long, w double, h double")
+    boxes = spark.createDataFrame([(i, k, 1, 0, 10.0, 20.0, 110.0, 90.0) for i in (1, 2) for k in range(4)], "image_id long, k int, gt_id int, cls int, x1 double, y1 double, x2 double, y2 double")
+    tiles = tiling.grid_2x2(images)
+    a = {(r.image_id, r.k): (r.x1, r.y1, r.x2, r.y2) for r in tiling.to_original(boxes, tiles).collect()}
+    b = {(r.image_id, r.k): (r.x1, r.y1, r.x2, r.y2) for r in tiling.to_original(tiling.to_canvas(boxes, tiles, 640), tiles, 640).collect()}
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    seen = {r.image_id: (r.x1, r.y1) for r in tiling.to_canvas(boxes.where("k = 0"), tiles, 640).collect()}
+    assert seen[1] == pytest.approx((10 * 640 / 2400, 20 * 640 / 2400 + 80)) and seen[2] == (10 + 230, 20 + 260)
+
+
+def test_mutual_nearest(spark):
+    rows = [(1, 0, 0, 0.1), (1, 0, 1, 0.6), (1, 1, 0, 0.2), (1, 1, 1, 0.3), (2, 5, 5, 0.48), (2, 5, 6, 0.2), (2, 6, 6, 0.1), (3, 1, 1, 0.9)]
+    got = spatial.mutual_nearest(spark.createDataFrame(rows, "g long, a long, b long, cost double"), 0.5)
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 0), (1, 1, 1), (2, 6, 6)]
+
+
+def test_top_k_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, vectors.top_k(df, df, 3).collect()))
+    monkeypatch.setattr(vectors, "BLOCK_QUERIES", 13)
+    assert sorted(map(tuple, vectors.top_k(df, df, 3).collect())) == want and len(want) == 180
+
+
+def test_orders_cut_into_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(scans, "PART_ROWS", 20)
+    df = spark.range(2000).selectExpr("id", "cast(id * 7919 % 301 as double) as v", "concat('k', id) as name").union(spark.sql("select -1L, cast(null as double), 'x'"))
+    got = {r.id: r["rank"] for r in scans.global_rank(df, "v", "id").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1])] == [-1] + sorted(range(2000), key=lambda i: (i * 7919 % 301, i))
+    ranks = {r.name: r["rank"] for r in sampling.ranked(df, "name", "s").collect()}
+    import hashlib
+
+    order = sorted(ranks, key=lambda n: hashlib.md5(f"{n}:s".encode()).hexdigest())
+    assert [ranks[n] for n in order] == list(range(1, 2002))
+    assert {r.name for r in sampling.exact_sample(df, "name", 0.3, "s").collect()} == set(order[:600])
+    assert sampling.exact_sample(df, "name", 0.0, "s").count() == 0 and sampling.exact_sample(df, "name", 1.0, "s").count() == 2001
 
 
 def test_geometry(spark):

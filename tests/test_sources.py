@@ -68,6 +68,13 @@ def test_records(spark, tmp_path):
     records = annotations.read_records(spark, str(tmp_path / "d.ndjson"))
     assert annotations.record_boxes(records).count() == 12
     assert annotations.auto_validation(records).where("split = 'val'").count() == 1
+    mixed = records.where("type = 'image'").withColumn("split", F.when(F.regexp_extract("file", "[0-9]+", 0).cast("int") < 4, "train").otherwise("test"))
+    split = {r.file: r.split for r in annotations.auto_validation(mixed).collect()}
+    assert len(split) == 12 and sorted(split.values()) == ["test"] * 8 + ["train"] * 3 + ["val"]
+    assert annotations.auto_validation(mixed.withColumn("split", F.when(F.col("file") == "1.jpg", "val").otherwise("train"))).where("split = 'val'").count() == 1
+    for left in (mixed.where("split = 'test'"), mixed.where("file = '1.jpg'")):
+        with pytest.raises(ValueError, match="training image"):
+            annotations.auto_validation(left)
     assert annotations.keypoint_shape(annotations.record_boxes(records, "pose")) == (2, 3)
     with pytest.raises(ValueError, match="no length"):
         annotations.keypoint_shape(annotations.record_boxes(records, "boxes"))

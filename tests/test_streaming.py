@@ -7,7 +7,7 @@ import pytest
 
 from tessera.operators import tracks
 from tessera.streaming import counters, kalman, tracker
-from tessera.streaming.assign import hungarian, match, mutual_nearest
+from tessera.streaming.assign import hungarian, match
 
 SCHEMA = "stream_id long, frame int, det_id int, cls int, conf double, x1 double, y1 double, x2 double, y2 double"
 
@@ -29,7 +29,6 @@ def test_assignment_is_optimal():
         assert cost[np.arange(n), hungarian(cost)].sum() == pytest.approx(best)
     assert match(np.array([[0.9, 0.2], [0.1, 0.95]]), 0.5) == [(0, 1), (1, 0)]
     assert match(np.array([[0.9]]), 0.5) == [] and match(np.zeros((0, 3)), 1) == []
-    assert mutual_nearest(np.array([[0.1, 0.6], [0.2, 0.3]]), 0.5) == [(0, 0), (1, 1)]
 
 
 def test_kalman_follows_a_steady_box():

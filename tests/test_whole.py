@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tessera.operators import tracks
 from tessera.plans import registry
 from tessera.plans.canonical import table
 from tessera.streaming import assign, tracker
@@ -82,8 +83,8 @@ def test_mask_iou_over_all_images(spark, con):
 
 def test_heatmap_over_all_boxes(spark, con):
     got = same_without(spark, con, "track_heatmap", " where gt_id = 1", 1, "px", "py")
-    first = con.sql(registry.oracle_sql()["track_heatmap"]).df()
-    assert got["heat"].sum() > 2 * first["heat"].sum()
+    first = table(spark, SF, "gt").where("gt_id = 1")
+    assert got["heat"].sum() > 2 * tracks.heatmap(first, 50).agg({"heat": "sum"}).first()[0]
 
 
 def test_least_rectangles_of_all_boxes(spark, con):
