@@ -41,6 +41,23 @@ def mosaic4(boxes: DataFrame, images: DataFrame, size: float) -> DataFrame:
     return drop_empty(_set(rows, clip(cols(*XYXY), F.lit(2 * size), F.lit(2 * size)))).select("canvas", "image_id", "gt_id", "cls", *XYXY)
 
 
+#: Where each of nine images goes: its cell of a 3 by 3 grid, in the order of pasting (centre, then clockwise from the top).
+CELLS_OF_NINE = ((0, 0), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
+
+
+def mosaic9(boxes: DataFrame, images: DataFrame, size: float) -> DataFrame:
+    """(canvas, image_id, gt_id, cls, box): nine images of one size around the first, cut to a ``2 size`` window half a ``size`` in, empty boxes dropped.
+
+    Every image is pasted against the one before it: to the right above, then down, to the left, and up.
+    """
+    place = global_rank(images.select("image_id", "w", "h"), "image_id").withColumns({"canvas": F.floor((F.col("rank") - 1) / 9), "cell": ((F.col("rank") - 1) % 9).cast("int")})
+    across, down = (F.get(F.array(*[F.lit(c[i]) for c in CELLS_OF_NINE]), F.col("cell")) for i in (0, 1))
+    place = place.select("canvas", "image_id", (size + across * F.col("w") - size / 2).alias("dx"), (size + down * F.col("h") - size / 2).alias("dy"))
+    rows = boxes.join(place, "image_id")
+    moved = (F.col("x1") + F.col("dx"), F.col("y1") + F.col("dy"), F.col("x2") + F.col("dx"), F.col("y2") + F.col("dy"))
+    return drop_empty(_set(rows, clip(moved, F.lit(2 * size), F.lit(2 * size)))).select("canvas", "image_id", "gt_id", "cls", *XYXY)
+
+
 def mixup(a: DataFrame, partners: DataFrame) -> DataFrame:
     """Boxes of every image and of its partner (image_id, partner), unclipped: (image_id, origin, gt_id, cls, box)."""
     own = a.select("image_id", F.col("image_id").alias("origin"), "gt_id", "cls", *XYXY)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.boxes import cols, iou, overlaps
+from tessera.functions.boxes import area, cols, iou, overlaps, prob_iou
 
 from .scans import parts_for, running_sums, suffix_max
 
@@ -25,19 +25,52 @@ def pairs(pred: DataFrame, gt: DataFrame, same_class: bool = True) -> DataFrame:
     return p.join(g, on).select(p["image_id"], "det_id", "conf", "gt_id", iou(a, b).alias("iou"), "det_cls", "gt_cls")
 
 
+def rotated_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """The pairs of rotated boxes (cx, cy, w, h, theta) of one image and class, scored by probabilistic IoU; boxes farther apart than their half diagonals score (almost) nothing and are left out."""
+    five = ("cx", "cy", "w", "h", "theta")
+    p = pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls"), *[F.col(c).alias(f"p_{c}") for c in five])
+    g = gt.select(F.col("image_id").alias("i_"), "gt_id", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"g_{c}") for c in five])
+    reach = (F.hypot("p_w", "p_h") + F.hypot("g_w", "g_h")) / 2
+    near = (F.abs(F.col("p_cx") - F.col("g_cx")) < reach) & (F.abs(F.col("p_cy") - F.col("g_cy")) < reach)
+    score = prob_iou(tuple(F.col(f"g_{c}") for c in five), tuple(F.col(f"p_{c}") for c in five))
+    return p.join(g, (F.col("image_id") == F.col("i_")) & (F.col("det_cls") == F.col("gt_cls")) & near).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
+
+
+def keypoint_pairs(pred: DataFrame, gt: DataFrame, sigmas: list[float], area_share: float = 0.53) -> DataFrame:
+    """The pairs of one image and class scored by the similarity of their key points (``kpts``: array of struct<x, y, v>), the label's visible ones."""
+    from .spatial import keypoint_similarity
+
+    p = pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls"), F.col("kpts").alias("p_kpts"))
+    g = gt.select(F.col("image_id").alias("i_"), "gt_id", F.col("cls").alias("gt_cls"), F.col("kpts").alias("g_kpts"), (area(cols("x1", "y1", "x2", "y2")) * area_share).alias("size"))
+    score = keypoint_similarity(F.col("g_kpts"), F.col("p_kpts"), F.col("size"), sigmas)
+    return p.join(g, (F.col("image_id") == F.col("i_")) & (F.col("det_cls") == F.col("gt_cls"))).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
+
+
 def match(pred: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """(thr, image_id, det_id, gt_id): true positives at each threshold.
+    """(thr, image_id, det_id, gt_id): true positives of boxes at each threshold."""
+    return match_pairs(pairs(pred, gt), thresholds)
 
-    A detection's only candidate is its label of greatest IoU, which no threshold changes, so it is
+
+def match_pairs(scored: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """(thr, image_id, det_id, gt_id) from scored pairs (image_id, det_id, conf, gt_id, iou), whatever the score: boxes, rotated boxes, masks, key points.
+
+    A detection's only candidate is its label of greatest score, which no threshold changes, so it is
     ranked once; each label then takes, at every threshold, its candidate of greatest confidence.
     """
     best = Window.partitionBy("image_id", "det_id").orderBy(F.desc("iou"), "gt_id")
-    one = pairs(pred, gt).where(F.col("iou") >= thresholds[0]).withColumn("rn", F.row_number().over(best)).where("rn = 1")
+    one = scored.where(F.col("iou") >= min(thresholds)).withColumn("rn", F.row_number().over(best)).where("rn = 1")
     met = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= F.col("iou"))
     first = Window.partitionBy("thr", "image_id", "gt_id").orderBy(F.desc("conf"), "det_id")
     return one.withColumn("thr", F.explode(met)).withColumn("rn", F.row_number().over(first)).where("rn = 1").select("thr", "image_id", "det_id", "gt_id")
 
 
+def by_frequency(ap: DataFrame, gt: DataFrame, rare: int = 10, common: int = 100) -> DataFrame:
+    """(band, classes, ap): mean AP of the classes that at most ``rare`` images have, at most ``common``, and of the rest."""
+    n = gt.groupBy("cls").agg(F.countDistinct("image_id").alias("n"))
+    band = F.when(F.col("n") <= rare, "rare").when(F.col("n") <= common, "common").otherwise("frequent")
+    return ap.join(F.broadcast(n), "cls").groupBy(band.alias("band")).agg(F.countDistinct("cls").alias("classes"), F.avg("ap").alias("ap"))
+
+
 def match_any_class(pred: DataFrame, gt: DataFrame, least_iou: float = 0.45, least_conf: float = 0.25) -> DataFrame:
     """(image_id, det_id, gt_id, det_cls, gt_cls): one-to-one, by IoU in both steps, strictly above both limits."""
     by_det = Window.partitionBy("image_id", "det_id").orderBy(F.desc("iou"), "gt_id")

@@ -104,3 +104,81 @@ def rank_chunks(df: DataFrame, order: str, batch: int, ranks: int) -> DataFrame:
     cut = more * (each + 1)
     chunk = F.when(F.col("batch") < cut, F.floor(F.col("batch") / (each + 1))).otherwise(more + F.floor((F.col("batch") - cut) / F.greatest(each, F.lit(1))))
     return rows.join(F.broadcast(n), F.lit(True)).withColumn("chunk", chunk.cast("long")).drop("b_")
+
+
+def epoch_mask(df: DataFrame, key: str, share: float, seed: str, epoch: int, epochs: int, close: int = 0) -> DataFrame:
+    """Adds ``chosen``: ``round(share * N)`` rows (halves to even) that the seed, the epoch and their number determine.
+
+    Every row keeps its place; one that is not chosen stands for its original. All are chosen from a
+    share of 1 on, and none in the last ``close`` epochs.
+    """
+    if close and epoch >= epochs - close:
+        return df.withColumn("chosen", F.lit(False))
+    if share >= 1:
+        return df.withColumn("chosen", F.lit(True))
+    rows = prefixed(df, key, f"{seed}:{epoch}:{epochs}")
+    rows = rows.join(F.broadcast(_before(rows).select("part_", "before_", "all_")), "part_")
+    rank = F.row_number().over(Window.partitionBy("part_").orderBy("hash_", key)) + F.col("before_")
+    return rows.withColumn("chosen", rank <= F.bround(F.col("all_") * share)).select(*df.columns, "chosen")
+
+
+def grouped_order(pool: DataFrame, image: str, place: str, seed: str, size: int = 4) -> DataFrame:
+    """Adds ``unit`` and ``rank``: units of ``size`` images in random order; of a unit's images, in random order too, one sample each in turn.
+
+    So an image's samples lie close together and it need be decoded once. Units are ranked by the
+    rows before them, and rows inside their unit.
+    """
+    images = groups_of(pool.select(image).distinct(), image, size).withColumnRenamed("group", "unit")
+    rows = pool.join(images, image)
+    hashes = lambda c: F.md5(F.concat(F.col(c).cast("string"), F.lit(f":{seed}")))
+    units = rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n_")).withColumns({"hash_": hashes("unit")}).withColumn("part_", F.substring("hash_", 1, 3))
+    from .scans import running_sums
+
+    units = running_sums(units.withColumn("all_", F.lit(0)), ["all_"], "part_", [F.col("hash_"), F.col("unit")], {"upto_": "n_"}).select("unit", (F.col("upto_") - F.col("n_")).alias("before_"))
+    inside = F.row_number().over(Window.partitionBy("unit").orderBy(place, hashes(image), image))
+    return rows.withColumn("rank", inside).join(units, "unit").withColumn("rank", F.col("rank") + F.col("before_")).drop("before_").select(*pool.columns, "unit", "rank")
+
+
+def repeated(df: DataFrame, key: str, epochs: int, seed: str) -> DataFrame:
+    """Every row once an epoch, with its ``rank`` in that epoch's own order: what an endless loader yields, for ``epochs`` rounds."""
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    digest = F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}:"), F.col("epoch").cast("string")))
+    rows = rows.withColumns({"hash_": digest, "part_": F.substring(digest, 1, 3)})
+    parts = rows.groupBy("epoch", "part_").agg(F.count(F.lit(1)).alias("n_"))
+    before = Window.partitionBy("epoch").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("epoch", "part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    rank = F.row_number().over(Window.partitionBy("epoch", "part_").orderBy("hash_", key))
+    return rows.withColumn("rank", rank).join(parts, ["epoch", "part_"]).withColumn("rank", F.col("rank") + F.col("before_")).drop("hash_", "part_", "before_")
+
+
+def ratio_or_count(df: DataFrame, key: str, seed: str, ratio: float = 1.0, count: int = 0) -> DataFrame:
+    """``count`` rows if that is above 0, else ``ratio`` of them, rounded, one at least; by hash."""
+    n = F.lit(count) if count > 0 else F.greatest(F.lit(1), F.bround(F.col("all_") * ratio))
+    rows = prefixed(df, key, seed)
+    rows = rows.join(F.broadcast(_before(rows).select("part_", "before_", "all_")), "part_")
+    rank = F.row_number().over(Window.partitionBy("part_").orderBy("hash_", key)) + F.col("before_")
+    return rows.withColumn("rank_", rank).where(F.col("rank_") <= n).select(*df.columns)
+
+
+def collate(images: DataFrame, boxes: DataFrame, key: str, size: int) -> DataFrame:
+    """The boxes with ``batch`` and ``batch_idx``: images in order, ``size`` to a batch."""
+    place = global_rank(images.select(key), key, name="at_")
+    place = place.select(key, F.floor((F.col("at_") - 1) / size).alias("batch"), ((F.col("at_") - 1) % size).cast("int").alias("batch_idx"))
+    return boxes.join(place, key)
+
+
+def split_fraction(fraction: float | list, split: str) -> float | int:
+    """The share or number of a split's rows to take: a list holds train, val and test (missing ones are whole), a single value is train's.
+
+    0 and 1 mean none and all, as shares; train and val must not be empty.
+    """
+    order = ("train", "val", "test")
+    if isinstance(fraction, list) and split in order:
+        at = order.index(split)
+        found = fraction[at] if at < len(fraction) else 1.0
+    else:
+        found = fraction if split == "train" else 1.0
+    found = float(found) if found in (0, 1) else found
+    if found == 0 and split in ("train", "val"):
+        raise ValueError(f"no image of {split} would be taken")
+    return found

@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.boxes import area, cols, intersection, iou, overlaps
+from tessera.functions.boxes import area, cols, extended_iou, intersection, iou, overlaps, xywh_to_xyxy
 from tessera.functions.kernels import group_slices, whole_groups
 from tessera.storage import settled
+from tessera.streaming.assign import hungarian
 from tessera.streaming.assign import match as assign
 
 from .evaluation import pairs
@@ -128,6 +129,49 @@ def mutual_nearest(candidates: DataFrame, limit: float, step: float = 0.05, roun
     return found if found is not None else left.select("g", "a", "b")
 
 
+def track_costs(tracks: DataFrame, pred: DataFrame, conf_weight: float = 0.1, least_iou: float = 0.1) -> DataFrame:
+    """(image_id, gt_id, det_id, cost) of tracks (image_id, gt_id, box, score, prev_score) and detections that overlap enough: one less the IoU weighted by the overlap of their heights, plus the gap between the track's projected score and the detection's."""
+    t = tracks.select(F.col("image_id").alias("i_"), "gt_id", "score", "prev_score", *[F.col(c).alias(f"t{c}") for c in ("x1", "y1", "x2", "y2")])
+    a, b = cols("tx1", "ty1", "tx2", "ty2"), cols("x1", "y1", "x2", "y2")
+    rows = t.join(pred, (F.col("image_id") == F.col("i_")) & overlaps(a, b)).withColumn("iou", iou(a, b)).where(F.col("iou") > least_iou)
+    high = (F.least(a[3], b[3]) - F.greatest(a[1], b[1])) / (F.greatest(a[3], b[3]) - F.least(a[1], b[1]) + 1e-9)
+    unit = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    projected = F.col("score") + (F.col("score") - F.col("prev_score"))
+    return rows.select("image_id", "gt_id", "det_id", unit(1 - unit(high) * F.col("iou") + conf_weight * F.abs(projected - F.col("conf"))).alias("cost"))
+
+
+def set_match(pred: DataFrame, gt: DataFrame, weights: tuple[float, float, float] = (1.0, 5.0, 2.0), alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
+    """(image_id, det_id, gt_id): the assignment of least total cost between an image's queries (cx, cy, w, h, ``scores`` by class) and its labels.
+
+    Cost is a focal class cost, the sum of absolute box differences and one less the generalised IoU, by
+    ``weights``; numbers that are none count 0. As many pairs as the smaller side has. All pairs of an
+    image take part, as the assignment is over the full matrix; they are columns, the solver is Python.
+    """
+    g = gt.select(F.col("image_id").alias("i_"), "gt_id", F.col("cls").alias("gcls"), *[F.col(c).alias(f"g{c}") for c in ("cx", "cy", "w", "h")])
+    rows = pred.join(g, F.col("image_id") == F.col("i_"))
+    p, eps = F.get("scores", F.col("gcls")), 1e-8
+    focal = alpha * (1 - p) ** gamma * -F.log(p + eps) - (1 - alpha) * p**gamma * -F.log(1 - p + eps)
+    apart = sum((F.abs(F.col(c) - F.col(f"g{c}")) for c in ("cx", "cy", "w", "h")), F.lit(0.0))
+    giou = extended_iou(xywh_to_xyxy(cols("cx", "cy", "w", "h")), xywh_to_xyxy(cols("gcx", "gcy", "gw", "gh")))["giou"]
+    cost = weights[0] * focal + weights[1] * apart + weights[2] * (1 - giou)
+    rows = rows.select("image_id", "det_id", "gt_id", F.when(F.isnan(cost) | cost.isNull() | (F.abs(cost) == float("inf")), 0.0).otherwise(cost).alias("cost"))
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "image_id"):
+            d, g, c, keep = pdf["det_id"].to_numpy(), pdf["gt_id"].to_numpy(), pdf["cost"].to_numpy(), np.zeros(len(pdf), bool)
+            for part in group_slices(pdf, "image_id"):
+                dets, i = np.unique(d[part], return_inverse=True)
+                labels, j = np.unique(g[part], return_inverse=True)
+                n = max(len(dets), len(labels))
+                square, at = np.zeros((n, n)), np.full((n, n), -1)
+                square[i, j], at[i, j] = c[part], np.arange(part.start, part.stop)
+                chosen = at[np.arange(n), hungarian(square)]
+                keep[chosen[chosen >= 0]] = True
+            yield pdf.loc[keep, ["image_id", "det_id", "gt_id"]]
+
+    return rows.repartition("image_id").sortWithinPartitions("image_id", "det_id", "gt_id").mapInPandas(solve, rows.drop("cost").schema)
+
+
 def mined_low_scores(loose: DataFrame, tight: DataFrame, high: float) -> DataFrame:
     """Detections that only the loose suppression keeps, below ``high``."""
     return loose.where(F.col("conf") < high).join(tight.select("image_id", "det_id"), ["image_id", "det_id"], "left_anti")

@@ -135,3 +135,10 @@ def anti_by_id(a: DataFrame, b: DataFrame, key: str = "track_id") -> DataFrame:
 def joint_by_id(a: DataFrame, b: DataFrame, key: str = "track_id") -> DataFrame:
     """``a`` and what ``b`` has beyond it."""
     return a.unionByName(anti_by_id(b, a, key))
+
+
+def distances(points: DataFrame, pixels_per_metre: float) -> DataFrame:
+    """(track_id, frame, distance) of each track to its frame's first one (lowest id), in metres."""
+    first = points.groupBy("frame").agg(F.min_by(F.struct("track_id", "x", "y"), "track_id").alias("f"))
+    rows = points.join(first, "frame").where(F.col("track_id") != F.col("f.track_id"))
+    return rows.select("track_id", "frame", (F.hypot(F.col("x") - F.col("f.x"), F.col("y") - F.col("f.y")) / pixels_per_metre).alias("distance"))
