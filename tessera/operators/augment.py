@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import Box, area, clip, cols, intersection
@@ -41,18 +41,20 @@ def mosaic4(boxes: DataFrame, images: DataFrame, size: float) -> DataFrame:
     return drop_empty(_set(rows, clip(cols(*XYXY), F.lit(2 * size), F.lit(2 * size)))).select("canvas", "image_id", "gt_id", "cls", *XYXY)
 
 
-#: Where each of nine images goes: its cell of a 3 by 3 grid, in the order of pasting (centre, then clockwise from the top).
-CELLS_OF_NINE = ((0, 0), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
-
-
 def mosaic9(boxes: DataFrame, images: DataFrame, size: float) -> DataFrame:
-    """(canvas, image_id, gt_id, cls, box): nine images of one size around the first, cut to a ``2 size`` window half a ``size`` in, empty boxes dropped.
+    """(canvas, image_id, gt_id, cls, box): nine images, the first in the middle, the others around it clockwise from the top, cut to a ``2 size`` window half a ``size`` in; empty boxes dropped.
 
-    Every image is pasted against the one before it: to the right above, then down, to the left, and up.
+    Each side starts at the first image's edge and goes on where the image before it ends: to the
+    right along the top, down on the right, to the left along the bottom, up on the left.
     """
-    place = global_rank(images.select("image_id", "w", "h"), "image_id").withColumns({"canvas": F.floor((F.col("rank") - 1) / 9), "cell": ((F.col("rank") - 1) % 9).cast("int")})
-    across, down = (F.get(F.array(*[F.lit(c[i]) for c in CELLS_OF_NINE]), F.col("cell")) for i in (0, 1))
-    place = place.select("canvas", "image_id", (size + across * F.col("w") - size / 2).alias("dx"), (size + down * F.col("h") - size / 2).alias("dy"))
+    ranked = global_rank(images.select("image_id", "w", "h"), "image_id").withColumns({"canvas": F.floor((F.col("rank") - 1) / 9), "cell": (F.col("rank") - 1) % 9})
+    canvas = Window.partitionBy("canvas").orderBy("cell")  # nine rows
+    place = ranked.withColumns({"w0": F.first("w").over(canvas), "h0": F.first("h").over(canvas), "wp": F.lag("w").over(canvas), "hp": F.lag("h").over(canvas)})
+    w, h, w0, h0, wp, hp, cell = (F.col(c) for c in ("w", "h", "w0", "h0", "wp", "hp", "cell"))
+    right, below = F.when(cell == 2, wp).when(cell.isin(3, 4), w0), F.when(cell == 4, hp).when(cell.isin(5, 6), h0)
+    right = right.when(cell == 5, w0 - w).when(cell == 6, w0 - wp - w).when(cell.isin(7, 8), -w).otherwise(0.0)
+    below = below.when(cell.isin(1, 2), -h).when(cell == 7, h0 - h).when(cell == 8, h0 - hp - h).otherwise(0.0)
+    place = place.select("canvas", "image_id", (size / 2 + right).alias("dx"), (size / 2 + below).alias("dy"))
     rows = boxes.join(place, "image_id")
     moved = (F.col("x1") + F.col("dx"), F.col("y1") + F.col("dy"), F.col("x2") + F.col("dx"), F.col("y2") + F.col("dy"))
     return drop_empty(_set(rows, clip(moved, F.lit(2 * size), F.lit(2 * size)))).select("canvas", "image_id", "gt_id", "cls", *XYXY)

@@ -236,8 +236,8 @@ SQL = {
     "eval_segment_metrics": f"""with b as ({_PG}, {eq.AP} select round(avg(ap) filter (where thr = 0.5), 6) as box_map50, round(avg(ap), 6) as box_map, avg(ap) as raw_b from ap), m as ({_PG}, {eq.AP.replace(eq.PAIRS, _MASK)} select round(avg(ap) filter (where thr = 0.5), 6) as mask_map50, round(avg(ap), 6) as mask_map, avg(ap) as raw_m from ap)
       select box_map50, box_map, mask_map50, mask_map, round(raw_b + raw_m, 6) as fitness from b, m""",
     "eval_pose_matches": f"{_PG}, {eq.MATCH.replace(eq.PAIRS, _OKS).replace(eq.THR, 'thr as (select unnest([0.5::double, 0.75::double, 0.9::double]) as thr)')} select thr, image_id, det_id, gt_id from m",
-    "eval_frequency_groups": f"""{ctes("images", "pred", "gt")}, {eq.AP}, c as (select cls, count(distinct image_id) as n from gt group by 1), i as (select count(*) as n from images)
-      select case when c.n <= round_even(i.n * 0.40::double, 0) then 'rare' when c.n <= round_even(i.n * 0.44::double, 0) then 'common' else 'frequent' end as band, count(distinct cls) as classes, round(avg(ap), 6) as ap from ap join c using (cls), i group by 1""",
+    "eval_frequency_groups": f"""{ctes("images", "pred", "gt")}, {eq.AP}, fc as (select cls, count(distinct image_id) as n from gt group by 1), i as (select count(*) as n from images)
+      select case when fc.n <= round_even(i.n * 0.40::double, 0) then 'rare' when fc.n <= round_even(i.n * 0.44::double, 0) then 'common' else 'frequent' end as band, count(distinct cls) as classes, round(avg(ap), 6) as ap from ap join fc using (cls), i group by 1""",
     "image_counts": f"{_G} select count(*) as instances, count(distinct image_id) as images from gt",
     "epoch_mask": f"{_I}, r as (select image_id, row_number() over (order by {_HASH.format('7:2:10')}, image_id) as rank, count(*) over () as n from images) select image_id, rank <= round_even(n * 0.3::double, 0) as chosen from r",
     "grouped_order": f"""{_I}, o as (select image_id, (row_number() over (order by image_id) - 1) // 4 as unit from images), p as (select image_id, unit, unnest(range(0, image_id % 3 + 1)) as k from o),

@@ -1,49 +1,70 @@
-"""Constant-velocity Kalman filter over boxes as (cx, cy, aspect, height), for arrays of tracks at once."""
+"""Constant-velocity Kalman filters over boxes, for arrays of tracks at once.
+
+A filter's ``form`` says what it measures: ``xyah`` (centre, aspect, height; all deviations go by the
+height, aspect's are fixed) or ``xywh`` (centre, width, height; deviations go by the side they belong to).
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
+#: Deviations of position and velocity as shares of a side.
 POSITION, VELOCITY = 1 / 20, 1 / 160
 STEP = np.eye(8) + np.eye(8, k=4)
 
 
-def to_measure(xyxy: np.ndarray) -> np.ndarray:
+def to_measure(xyxy: np.ndarray, form: str = "xyah") -> np.ndarray:
     w, h = xyxy[..., 2] - xyxy[..., 0], xyxy[..., 3] - xyxy[..., 1]
-    return np.stack([xyxy[..., 0] + w / 2, xyxy[..., 1] + h / 2, w / h, h], -1)
+    return np.stack([xyxy[..., 0] + w / 2, xyxy[..., 1] + h / 2, w / h if form == "xyah" else w, h], -1)
 
 
-def to_box(mean: np.ndarray) -> np.ndarray:
+def to_box(mean: np.ndarray, form: str = "xyah") -> np.ndarray:
     cx, cy, a, h = np.moveaxis(mean[..., :4], -1, 0)
-    return np.stack([cx - a * h / 2, cy - h / 2, cx + a * h / 2, cy + h / 2], -1)
+    w = a * h if form == "xyah" else a
+    return np.stack([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], -1)
 
 
-def deviations(height: np.ndarray, position: float, aspect: float, velocity: float, turn: float) -> np.ndarray:
-    p, v, one = position * height, velocity * height, np.ones_like(height)
-    return np.stack([p, p, aspect * one, p, v, v, turn * one, v], -1)
+def deviations(sides: np.ndarray, position: float, aspect: float, velocity: float, turn: float, form: str = "xyah") -> np.ndarray:
+    """Of tracks whose measures' last two numbers are ``sides``."""
+    if form == "xyah":
+        h = sides[..., 1]
+        p, v, one = position * h, velocity * h, np.ones_like(h)
+        return np.stack([p, p, aspect * one, p, v, v, turn * one, v], -1)
+    both = np.concatenate([sides, sides], -1)
+    return np.concatenate([position * both, velocity * both], -1)
 
 
-def start(measure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def start(measure: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of new tracks (n, 4)."""
-    sd = deviations(measure[:, 3], 2 * POSITION, 1e-2, 10 * VELOCITY, 1e-5)
+    sd = deviations(measure[:, 2:4], 2 * POSITION, 1e-2, 10 * VELOCITY, 1e-5, form)
     return np.concatenate([measure, np.zeros_like(measure)], 1), np.einsum("ni,ij->nij", sd**2, np.eye(8))
 
 
-def predict(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = deviations(mean[:, 3], POSITION, 1e-2, VELOCITY, 1e-5)
+def predict(mean: np.ndarray, cov: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
+    sd = deviations(mean[:, 2:4], POSITION, 1e-2, VELOCITY, 1e-5, form)
     return mean @ STEP.T, STEP @ cov @ STEP.T + np.einsum("ni,ij->nij", sd**2, np.eye(8))
 
 
-def update(mean: np.ndarray, cov: np.ndarray, measure: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sd = deviations(mean[:, 3], POSITION, 1e-1, 0, 0)[:, :4]
-    seen = cov[:, :4, :4] + np.einsum("ni,ij->nij", sd**2, np.eye(4))
+def _seen(mean: np.ndarray, cov: np.ndarray, form: str) -> np.ndarray:
+    sd = deviations(mean[:, 2:4], POSITION, 1e-1, 0, 0, form)[:, :4]
+    return cov[:, :4, :4] + np.einsum("ni,ij->nij", sd**2, np.eye(4))
+
+
+def update(mean: np.ndarray, cov: np.ndarray, measure: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
+    seen = _seen(mean, cov, form)
     gain = np.swapaxes(np.linalg.solve(seen, cov[:, :4, :]), 1, 2)
     return mean + np.einsum("nij,nj->ni", gain, measure - mean[:, :4]), cov - gain @ seen @ np.swapaxes(gain, 1, 2)
 
 
-def gate(mean: np.ndarray, cov: np.ndarray, measures: np.ndarray) -> np.ndarray:
+def gate(mean: np.ndarray, cov: np.ndarray, measures: np.ndarray, form: str = "xyah") -> np.ndarray:
     """Squared Mahalanobis distance of every track to every measurement."""
-    sd = deviations(mean[:, 3], POSITION, 1e-1, 0, 0)[:, :4]
-    seen = cov[:, :4, :4] + np.einsum("ni,ij->nij", sd**2, np.eye(4))
     off = measures[None] - mean[:, None, :4]
-    return np.einsum("nmi,nij,nmj->nm", off, np.linalg.inv(seen), off)
+    return np.einsum("nmi,nij,nmj->nm", off, np.linalg.inv(_seen(mean, cov, form)), off)
+
+
+def warp(mean: np.ndarray, cov: np.ndarray, affine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States of form ``xywh`` under the camera's motion (2 x 3, last frame to this one): all pairs turn, the place shifts."""
+    turn = np.kron(np.eye(4), affine[:, :2])
+    mean = mean @ turn.T
+    mean[:, :2] += affine[:, 2]
+    return mean, turn @ cov @ turn.T

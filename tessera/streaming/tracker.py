@@ -4,7 +4,16 @@ Each frame is matched in three steps: tracks and lost tracks with confident dete
 times score), what is left of the tracked ones with weak detections (overlap alone), tentative
 tracks with the confident detections left. New tracks start from what nobody claims; they are
 confirmed at their second hit, or on a stream's first frame. A lost track is forgotten after
-``buffer`` frames. On a stream the state lives in Spark's state store, one value a stream.
+``buffer`` frames. :class:`Rules` has what other trackers add to that:
+
+* ``BOT``: a filter of width and height, and the camera's motion (``warp``, an affine map a frame);
+* ``OC``: a cost for turning away from the direction of a track's own observations, a second look with
+  tracks at their last observed place, and states rebuilt along a straight line after a gap; no step
+  with weak detections;
+* ``FAST``: a track that another one covers is taken back to its state some frames ago, slowed down and
+  kept for longer; no new track where one is.
+
+On a stream the state lives in Spark's state store, one value a stream.
 """
 
 from __future__ import annotations
@@ -32,6 +41,26 @@ class Rules:
     tentative: float = 0.7
     fuse_score: bool = True
     duplicate: float = 0.15
+    form: str = "xyah"
+    weak: bool = True  # the step with weak detections
+    inertia: float = 0.0  # weight of the cost for another direction
+    back: int = 3  # frames that a direction looks back
+    recover: bool = False  # a second look at last observed places
+    rebuild: bool = False  # states after a gap
+    covered: float = 1.0  # a track covered by more than this is hidden
+    hidden: int = 10  # frames that it may stay so
+    reappear: int = 40  # frames that it is kept beyond the buffer
+    undo_place: int = 3
+    undo_speed: int = 5
+    enlarge: float = 1.1
+    slow: float = 0.5
+    new_overlap: float = 1.0  # no new track on one that overlaps it by as much
+
+
+BYTE = Rules()
+BOT = Rules(form="xywh")
+OC = Rules(inertia=0.2, recover=True, rebuild=True, weak=False)
+FAST = Rules(covered=0.7, new_overlap=0.7)
 
 
 @dataclass
@@ -44,6 +73,12 @@ class Track:
     frame: int
     mean: list
     cov: list
+    seen: list = field(default_factory=list)  # last observations: [frame, x1, y1, x2, y2]
+    saved: list | None = None  # mean and covariance at the last one
+    missed: int = 0
+    hidden: int = 0
+    hidden_at: int = -1
+    past: list = field(default_factory=list)  # means of the last hits
 
 
 @dataclass
@@ -73,45 +108,123 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / (size(a)[:, None] + size(b)[None] - inter + 1e-7)
 
 
-def _boxes(tracks: list[Track]) -> np.ndarray:
-    return kalman.to_box(np.array([t.mean for t in tracks])) if tracks else np.zeros((0, 4))
+def _boxes(tracks: list[Track], rules: Rules) -> np.ndarray:
+    return kalman.to_box(np.array([t.mean for t in tracks]), rules.form) if tracks else np.zeros((0, 4))
+
 
+def _rebuilt(track: Track, box: np.ndarray, frame: int, rules: Rules) -> None:
+    """Takes the state back to the last observation and along a straight line to ``box``."""
+    last, gap = np.array(track.seen[-1][1:]), frame - int(track.seen[-1][0])
+    mean, cov = (np.array([x]) for x in track.saved)
+    for i in range(1, gap):
+        mean, cov = kalman.predict(mean, cov, rules.form)
+        mean, cov = kalman.update(mean, cov, kalman.to_measure((last + (box - last) * (i / gap))[None], rules.form), rules.form)
+    mean, cov = kalman.predict(mean, cov, rules.form)
+    track.mean, track.cov = mean[0].tolist(), cov[0].tolist()
 
-def _hit(tracks: list[Track], boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, frame: int) -> None:
+
+def _hit(tracks: list[Track], boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, frame: int, rules: Rules) -> None:
     if not tracks:
         return
-    mean, cov = kalman.update(np.array([t.mean for t in tracks]), np.array([t.cov for t in tracks]), kalman.to_measure(boxes))
-    for t, m, c, s, k in zip(tracks, mean, cov, scores, classes, strict=True):
-        t.mean, t.cov, t.score, t.cls, t.state, t.frame = m.tolist(), c.tolist(), float(s), int(k), "tracked", frame
+    if rules.rebuild:
+        for t, b in zip(tracks, boxes, strict=True):
+            if t.state == "lost" and t.saved and frame - t.seen[-1][0] > 1:
+                _rebuilt(t, b, frame, rules)
+    mean, cov = kalman.update(np.array([t.mean for t in tracks]), np.array([t.cov for t in tracks]), kalman.to_measure(boxes, rules.form), rules.form)
+    for t, m, c, s, k, b in zip(tracks, mean, cov, scores, classes, boxes, strict=True):
+        t.mean, t.cov, t.score, t.cls, t.state, t.frame, t.missed, t.hidden = m.tolist(), c.tolist(), float(s), int(k), "tracked", frame, 0, 0
+        _remember(t, b, frame, rules)
+
 
+def _remember(t: Track, box: np.ndarray, frame: int, rules: Rules) -> None:
+    if rules.inertia or rules.recover or rules.rebuild:
+        t.seen = [*t.seen, [frame, *map(float, box)]][-(rules.back + 2) :]
+        t.saved = [t.mean, t.cov]
+    if rules.covered < 1:
+        t.past = [*t.past, t.mean][-(max(rules.undo_place, rules.undo_speed) + 4) :]
 
-def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, frame: int, rules: Rules = Rules()) -> list[tuple[Track, int]]:
+
+def _centre(box: np.ndarray) -> np.ndarray:
+    return (box[..., :2] + box[..., 2:4]) / 2
+
+
+def turns(tracks: list[Track], boxes: np.ndarray, back: int) -> np.ndarray:
+    """Angle, in half turns, between each track's direction over its last ``back`` frames and the way to each box; 0 where either has none."""
+    cost = np.zeros((len(tracks), len(boxes)))
+    for i, t in enumerate(tracks):
+        if len(t.seen) < 2 or not len(boxes):
+            continue
+        now = t.seen[-1]
+        before = next((o for o in reversed(t.seen) if o[0] <= now[0] - back), t.seen[0])
+        at = _centre(np.array(now[1:]))
+        own, way = at - _centre(np.array(before[1:])), _centre(boxes) - at
+        far = np.linalg.norm(way, axis=1)
+        if np.linalg.norm(own) > 1e-6:
+            cos = (way @ own) / np.maximum(far, 1e-6) / np.linalg.norm(own)
+            cost[i] = np.where(far > 1e-6, np.arccos(np.clip(cos, -1, 1)) / np.pi, 0)
+        else:
+            cost[i] = np.where(far > 1e-6, 0.5, 0)
+    return cost
+
+
+def _hide(tracks: list[Track], others: list[Track], frame: int, rules: Rules) -> None:
+    """Unmatched tracks: those that another one covers are hidden for a while, the rest are lost after two frames."""
+    mine, theirs = _boxes(tracks, rules), _boxes(others, rules)
+    low, high = np.maximum(mine[:, None, :2], theirs[None, :, :2]), np.minimum(mine[:, None, 2:], theirs[None, :, 2:])
+    inter = np.prod(np.clip(high - low, 0, None), -1)
+    share = (inter / np.maximum(np.prod(mine[:, 2:] - mine[:, :2], -1), 1e-7)[:, None]).max(1) if len(others) and len(tracks) else np.zeros(len(tracks))
+    for t, cover in zip(tracks, share, strict=True):
+        t.missed += 1
+        if t.hidden:
+            t.hidden += 1
+        elif cover > rules.covered:
+            t.hidden, t.hidden_at = 1, frame
+            mean = list(t.mean)
+            if len(t.past) >= rules.undo_speed:
+                mean[4:] = t.past[-rules.undo_speed][4:]
+            if len(t.past) >= rules.undo_place:
+                mean[:4] = t.past[-rules.undo_place][:4]
+            mean[3] *= rules.enlarge
+            mean[4:] = [v * rules.slow for v in mean[4:]]
+            t.mean = mean
+        if t.hidden > rules.hidden or (not t.hidden and t.missed > 2):
+            t.state, t.hidden = "lost", 0
+
+
+def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, frame: int, rules: Rules = BYTE, warp: np.ndarray | None = None) -> list[tuple[Track, int]]:
     """Moves ``memory`` on by a frame; returns the confirmed tracks seen on it with their detections."""
     if frame > memory.frame + 1:  # frames without detections have no rows
-        memory.tracks = [t for t in memory.tracks if t.state != "tentative" and frame - 1 - t.frame <= rules.buffer]
+        memory.tracks = [t for t in memory.tracks if t.state != "tentative" and _kept(t, frame - 1, rules)]
         for t in memory.tracks:
             t.state = "lost"
     for _ in range(max(1, frame - memory.frame) if memory.tracks else 0):
         known = memory.tracks
-        if not known:
-            break
-        means = np.array([t.mean for t in known])
-        means[[t.state == "lost" for t in known], 7] = 0
-        mean, cov = kalman.predict(means, np.array([t.cov for t in known]))
+        means, lost = np.array([t.mean for t in known]), [t.state == "lost" for t in known]
+        means[lost, 7] = 0
+        if rules.form == "xywh":
+            means[lost, 6] = 0
+        mean, cov = kalman.predict(means, np.array([t.cov for t in known]), rules.form)
         for t, m, c in zip(known, mean, cov, strict=True):
             t.mean, t.cov = m.tolist(), c.tolist()
+    if warp is not None and memory.tracks:
+        mean, cov = kalman.warp(np.array([t.mean for t in memory.tracks]), np.array([t.cov for t in memory.tracks]), warp)
+        for t, m, c in zip(memory.tracks, mean, cov, strict=True):
+            t.mean, t.cov = m.tolist(), c.tolist()
     first_frame, memory.frame = memory.frame == 0, frame
     valid = (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1]) if len(boxes) else np.zeros(0, bool)
     strong, weak = np.flatnonzero(valid & (scores >= rules.high)), np.flatnonzero(valid & (scores > rules.low) & (scores < rules.high))
     seen: list[tuple[Track, int]] = []
 
-    def step(tracks: list[Track], dets: np.ndarray, limit: float, fuse: bool) -> tuple[list[Track], np.ndarray]:
-        iou = overlap(_boxes(tracks), boxes[dets])
+    def step(tracks: list[Track], dets: np.ndarray, limit: float, fuse: bool, direction: bool = False, at_last: bool = False) -> tuple[list[Track], np.ndarray]:
+        places = np.array([t.seen[-1][1:] if t.seen else kalman.to_box(np.array(t.mean), rules.form) for t in tracks]).reshape(-1, 4) if at_last else _boxes(tracks, rules)
+        iou = overlap(places, boxes[dets])
         cost = 1 - (iou * scores[dets][None] if fuse else iou)
+        if direction and rules.inertia:
+            cost = cost + rules.inertia * turns(tracks, boxes[dets], rules.back)
         pairs = match(cost, limit)
         chosen = [tracks[i] for i, _ in pairs]
         at = dets[[j for _, j in pairs]] if pairs else np.zeros(0, int)
-        _hit(chosen, boxes[at], scores[at], classes[at], frame)
+        _hit(chosen, boxes[at], scores[at], classes[at], frame, rules)
         seen.extend(zip(chosen, at.tolist(), strict=True))
         taken_t, taken_d = {i for i, _ in pairs}, {j for _, j in pairs}
         return [t for i, t in enumerate(tracks) if i not in taken_t], np.array([d for j, d in enumerate(dets) if j not in taken_d], int)
@@ -119,30 +232,50 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
     tentative = [t for t in memory.tracks if t.state == "tentative"]
     pool = [t for t in memory.tracks if t.state != "tentative"]
     was_tracked = {t.id for t in pool if t.state == "tracked"}
-    left, strong = step(pool, strong, rules.first, rules.fuse_score)
-    unseen, _ = step([t for t in left if t.id in was_tracked], weak, rules.second, False)
-    for t in unseen:
-        t.state = "lost"
+    left, strong = step(pool, strong, rules.first, rules.fuse_score, direction=True)
+    if rules.recover:  # those still tracked come before lost ones
+        here, strong = step([t for t in left if t.id in was_tracked], strong, rules.first, rules.fuse_score, at_last=True)
+        there, strong = step([t for t in left if t.id not in was_tracked], strong, rules.first, rules.fuse_score, at_last=True)
+        left = here + there
+    unseen = [t for t in left if t.id in was_tracked]
+    if rules.weak:
+        unseen, _ = step(unseen, weak, rules.second, False)
+    if rules.covered < 1:
+        _hide(unseen, [t for t, _ in seen], frame, rules)
+    else:
+        for t in unseen:
+            t.state = "lost"
     gone, strong = step(tentative, strong, rules.tentative, rules.fuse_score)
     dropped = {t.id for t in gone}
     for d in strong:
-        if scores[d] >= rules.new:
-            mean, cov = kalman.start(kalman.to_measure(boxes[d : d + 1]))
-            t = Track(memory.next_id, "tracked" if first_frame else "tentative", float(scores[d]), int(classes[d]), frame, frame, mean[0].tolist(), cov[0].tolist())
-            memory.next_id += 1
-            memory.tracks.append(t)
-            seen.append((t, int(d)))
-    memory.tracks = [t for t in memory.tracks if t.id not in dropped and not (t.state == "lost" and frame - t.frame > rules.buffer)]
-    drop = duplicates(memory.tracks, rules.duplicate)
+        if scores[d] < rules.new:
+            continue
+        if rules.new_overlap < 1:
+            active = [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]
+            if active and overlap(boxes[d : d + 1], _boxes(active, rules)).max() >= rules.new_overlap:
+                continue
+        mean, cov = kalman.start(kalman.to_measure(boxes[d : d + 1], rules.form), rules.form)
+        t = Track(memory.next_id, "tracked" if first_frame else "tentative", float(scores[d]), int(classes[d]), frame, frame, mean[0].tolist(), cov[0].tolist())
+        _remember(t, boxes[d], frame, rules)
+        memory.next_id += 1
+        memory.tracks.append(t)
+        seen.append((t, int(d)))
+    memory.tracks = [t for t in memory.tracks if t.id not in dropped and _kept(t, frame, rules)]
+    drop = duplicates(memory.tracks, rules)
     memory.tracks = [t for t in memory.tracks if t.id not in drop]
     alive = {t.id for t in memory.tracks}
     return [(t, d) for t, d in seen if t.state == "tracked" and t.id in alive]
 
 
-def duplicates(tracks: list[Track], limit: float) -> set[int]:
+def _kept(t: Track, frame: int, rules: Rules) -> bool:
+    """Whether a lost track is not forgotten yet."""
+    return t.state != "lost" or frame - t.frame <= rules.buffer or (t.hidden_at >= 0 and frame - t.hidden_at <= rules.reappear)
+
+
+def duplicates(tracks: list[Track], rules: Rules) -> set[int]:
     """Of a tracked and a lost track on the same spot, the one that has lived shorter (the tracked one on a tie)."""
     a, b = [t for t in tracks if t.state == "tracked"], [t for t in tracks if t.state == "lost"]
-    near = 1 - overlap(_boxes(a), _boxes(b)) < limit
+    near = 1 - overlap(_boxes(a, rules), _boxes(b, rules)) < rules.duplicate
     return {a[i].id if a[i].frame - a[i].start <= b[j].frame - b[j].start else b[j].id for i, j in zip(*np.nonzero(near), strict=True)}
 
 
@@ -159,25 +292,37 @@ def run_frames(memory: Memory, stream_id: int, pdf: pd.DataFrame, rules: Rules)
         if frame <= memory.frame:
             continue
         boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        for t, d in advance(memory, boxes, rows["conf"].to_numpy(float), rows["cls"].to_numpy(), int(frame), rules):
-            out.append((stream_id, int(frame), t.id, int(rows["det_id"].iloc[d]), t.cls, t.score, *kalman.to_box(np.array(t.mean)).tolist()))
+        camera = np.array(rows["warp"].iloc[0], float).reshape(2, 3) if "warp" in rows and rows["warp"].iloc[0] is not None else None
+        for t, d in advance(memory, boxes, rows["conf"].to_numpy(float), rows["cls"].to_numpy(), int(frame), rules, camera):
+            out.append((stream_id, int(frame), t.id, int(rows["det_id"].iloc[d]), t.cls, t.score, *kalman.to_box(np.array(t.mean), rules.form).tolist()))
     return pd.DataFrame(out, columns=COLUMNS)
 
 
-def track_stream(detections: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Tracks of a streaming DataFrame of detections (stream_id, frame from 1, det_id, cls, conf, x1..y2)."""
+def track_stream(detections: DataFrame, rules: Rules = BYTE, forget: str | None = None) -> DataFrame:
+    """Tracks of a streaming DataFrame of detections (stream_id, frame from 1, det_id, cls, conf, x1..y2[, warp]).
+
+    ``forget`` drops the state of a stream that has been silent for so long (a query that should end by
+    itself must not set it: pending timeouts keep it running).
+    """
+    limit = pd.Timedelta(forget) // pd.Timedelta("1ms") if forget else None
 
     def run(key: tuple, frames: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=COLUMNS)
+            return
         memory = Memory.load(state.get[0] if state.exists else None)
         pdf = pd.concat(list(frames))
         out = run_frames(memory, key[0], pdf, rules)
         state.update((memory.dump(),))
+        if limit:
+            state.setTimeoutDuration(limit)
         yield out
 
-    return detections.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", "NoTimeout")
+    return detections.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", "ProcessingTimeTimeout" if limit else "NoTimeout")
 
 
-def track_table(detections: DataFrame, rules: Rules = Rules(), parts: int = 61) -> DataFrame:
+def track_table(detections: DataFrame, rules: Rules = BYTE, parts: int = 61) -> DataFrame:
     """The same over a finished table.
 
     A stream is one task, as its frames depend on one another. They come sorted, an Arrow batch at a
@@ -205,5 +350,5 @@ def track_table(detections: DataFrame, rules: Rules = Rules(), parts: int = 61)
         if len(rest):
             yield from moved(rest)
 
-    ordered = detections.select(*INPUT).where("frame is not null").repartition(parts, "stream_id").sortWithinPartitions("stream_id", "frame", "det_id")
+    ordered = detections.select(*INPUT, *(["warp"] if "warp" in detections.columns else [])).where("frame is not null").repartition(parts, "stream_id").sortWithinPartitions("stream_id", "frame", "det_id")
     return ordered.mapInPandas(run, OUT)

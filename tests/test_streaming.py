@@ -4,6 +4,7 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import tracks
 from tessera.streaming import counters, kalman, tracker
@@ -89,3 +90,109 @@ def test_windowed_counts(spark, tmp_path):
         assert query.awaitTermination(120)
     assert spark.table("w1").selectExpr("sum(n)").first()[0] == 40 and spark.table("w1").count() == 8
     assert spark.table("w2").selectExpr("sum(n)").first()[0] == 10
+
+
+def track_ids(rules, frames, camera=None):
+    """Ids by frame of the tracks over frames of boxes (x1, y1, x2, y2, score)."""
+    memory, out = tracker.Memory(), []
+    for f, rows in enumerate(frames, 1):
+        if rows:
+            at = np.array(rows, float)
+            warp = camera[f] if camera and f in camera else None
+            found = tracker.advance(memory, at[:, :4], at[:, 4], np.zeros(len(at), int), f, rules, warp)
+            out.append({t.id: d for t, d in found})
+            memory = tracker.Memory.load(memory.dump())  # what a stream keeps is enough
+    return out
+
+
+def walker(f, x0=0.0, speed=5.0, score=0.9):
+    return (x0 + speed * f, 10, x0 + speed * f + 40, 90, score)
+
+
+@pytest.mark.parametrize("rules", [tracker.BYTE, tracker.BOT, tracker.OC, tracker.FAST])
+def test_trackers_hold_two_walkers(rules):
+    frames = [[walker(f), walker(f, 300, -3)] for f in range(20)]
+    ids = track_ids(rules, frames)
+    assert all(i == {1: 0, 2: 1} for i in ids)
+
+
+@pytest.mark.parametrize("rules", [tracker.BYTE, tracker.BOT, tracker.OC, tracker.FAST])
+def test_trackers_ignore_empty_boxes(rules):
+    frames = [[walker(f), (5, 5, 5, 20, 0.9), (50, 50, 40, 60, 0.2)] for f in range(5)]
+    assert all(list(i) == [1] for i in track_ids(rules, frames))
+
+
+def test_weak_detections_keep_a_track_except_without_the_second_step():
+    frames = [[walker(f, score=0.2 if f in (6, 7) else 0.9)] for f in range(12)]
+    assert [len(i) for i in track_ids(tracker.BYTE, frames)] == [1] * 12
+    assert [len(i) for i in track_ids(tracker.OC, frames)][6:8] == [0, 0] and track_ids(tracker.OC, frames)[-1] == {1: 0}
+
+
+def test_camera_motion_is_undone():
+    """All moves 200 pixels at once: without the camera's motion the tracks are new ones."""
+    frames = [[walker(f, 0 if f < 8 else 200), walker(f, 300 if f < 8 else 500, 2)] for f in range(14)]
+    shift = {9: np.array([[1, 0, 200], [0, 1, 0]], float)}
+    assert track_ids(tracker.BOT, frames, shift)[-1] == {1: 0, 2: 1}
+    assert track_ids(tracker.BOT, frames)[-1] != {1: 0, 2: 1}
+
+
+def test_directions_tell_crossing_walkers_apart():
+    t = tracker.Track(1, "tracked", 0.9, 0, 1, 4, [0.0] * 8, np.eye(8).tolist(), seen=[[1, 0, 0, 10, 10], [2, 5, 0, 15, 10], [4, 15, 0, 25, 10]])
+    cost = tracker.turns([t], np.array([[25, 0, 35, 10], [5, 0, 15, 10], [15, 20, 25, 30], [15, 0, 25, 10]], float), 3)
+    assert cost[0] == pytest.approx([0, 1, 0.5, 0])
+
+
+def test_state_is_rebuilt_after_a_gap():
+    """A walker that speeds up while unseen: the rebuilt speed is the one over the gap."""
+    frames = [[walker(f)] for f in range(6)] + [[]] * 5 + [[(25 + 7 * 6, 10, 65 + 7 * 6, 90, 0.9)]]
+    ends = {}
+    for name, rules in (("plain", tracker.Rules(first=0.99)), ("rebuilt", tracker.Rules(first=0.99, rebuild=True))):
+        memory = tracker.Memory()
+        for f, rows in enumerate(frames, 1):
+            if rows:
+                at = np.array(rows, float)
+                tracker.advance(memory, at[:, :4], at[:, 4], np.zeros(1, int), f, rules)
+        ends[name] = [t.mean[4] for t in memory.tracks if t.id == 1][0]
+        assert len(memory.tracks) == 1
+    assert ends["plain"] < ends["rebuilt"] < 7
+
+
+def test_hidden_tracks_wait_and_no_track_starts_on_another():
+    wall = (60, 0, 160, 100, 0.95)
+    frames = [[wall, walker(f, 20, 5)] for f in range(9)] + [[wall]] * 8 + [[wall, (66, 10, 106, 90, 0.9)]]
+    memory, states = tracker.Memory(), []
+    for f, rows in enumerate(frames, 1):
+        at = np.array(rows, float)
+        tracker.advance(memory, at[:, :4], at[:, 4], np.zeros(len(at), int), f, tracker.FAST)
+        states.append({t.id: t.state for t in memory.tracks})
+    assert states[12][2] == "tracked" and {t.id for t in memory.tracks} == {1, 2}
+    twice = [[wall, (61, 0, 161, 100, 0.9)] for _ in range(4)]
+    assert [len(i) for i in track_ids(tracker.FAST, [[wall], *twice])] == [1] * 5 and max(len(i) for i in track_ids(tracker.BYTE, [[wall], *twice])) == 2
+
+
+def streamed(spark, tmp_path, rows, schema, make, name):
+    for i, part in enumerate((rows[::2], rows[1::2]) if name == "unordered" else (rows[: len(rows) // 2], rows[len(rows) // 2 :])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in{i}")
+    points = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{name}/in*")
+    query = make(points).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    return sorted(tuple(r) for r in spark.table(name).collect())
+
+
+def test_streams_give_the_tables_rows(spark, tmp_path):
+    from tessera.operators import tracks
+    from tessera.streaming import counters
+
+    r = np.random.default_rng(4)
+    schema = "track_id long, frame int, x double, y double, value double"
+    rows = [(t, f, float(x), float(y), float(v)) for f in range(1, 13) for t, x, y, v in zip(range(20), r.integers(0, 640, 20), r.integers(0, 480, 20), r.integers(0, 60, 20), strict=True)]
+    table = spark.createDataFrame(rows, schema)
+    region = [(220.0, 140.0), (420.0, 140.0), (420.0, 340.0), (220.0, 340.0)]
+    want = sorted(tuple(x) for x in tracks.region_entries(table, region).collect())
+    assert streamed(spark, tmp_path, rows, schema, lambda p: counters.polygon_counter(p, region), "polygons") == want and len(want) > 10
+    want = sorted(tuple(x) for x in tracks.speeds(table).collect())
+    assert streamed(spark, tmp_path, rows, schema, counters.speed_stream, "speeds") == want and len(want) == 20
+    reps = tracks.stage_repetitions(table, F.col("value"), 40.0, 10.0).groupBy("track_id").agg(F.max("reps").alias("n")).where("n > 0")
+    want = {x.track_id: x.n for x in reps.collect()}
+    got = streamed(spark, tmp_path, rows, schema, lambda p: counters.repetition_stream(p, "value", 40.0, 10.0), "reps")
+    assert {t: max(n for u, _, n in got if u == t) for t, _, _ in got} == want
