@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions import boxes as bx
 from tessera.functions import shapes as sh
 from tessera.operators import evaluation as ev
-from tessera.operators import sampling, scans, spatial, suppress, tiling, tracks, vectors
+from tessera.operators import results, sampling, scans, spatial, suppress, tiling, tracks, vectors
 
 BOX = "image_id long, det_id int, cls int, x1 double, y1 double, x2 double, y2 double, conf double"
 
@@ -248,3 +248,65 @@ def test_geometry(spark):
     assert value(sh.ring_area(sh.polygon(triangle))) == 8 and value(sh.ring_length(sh.polygon(triangle))) == pytest.approx(8 + 32**0.5)
     assert [value(v) for v in sh.bounds(sh.polygon(triangle))] == [0, 0, 4, 4]
     assert value(sh.inside(F.lit(1.0), F.lit(1.0), triangle)) and not value(sh.inside(F.lit(2.0), F.lit(2.0), triangle)) and value(sh.inside(F.lit(2.0), F.lit(2.0), triangle, edge=True))
+
+
+def test_set_matcher_is_optimal(spark):
+    from itertools import permutations
+
+    r = np.random.default_rng(3)
+    pred = [(g, i, *map(float, r.uniform(0.1, 0.9, 4)), r.uniform(0.01, 0.99, 3).tolist()) for g in (1, 2, 3) for i in range((5, 2, 3)[g - 1])]
+    gt = [(g, i, int(r.integers(3)), *map(float, r.uniform(0.1, 0.9, 4))) for g in (1, 2, 3) for i in range((3, 4, 3)[g - 1])]
+    p = spark.createDataFrame(pred, "image_id long, det_id int, cx double, cy double, w double, h double, scores array<double>")
+    got = spatial.set_match(p, spark.createDataFrame(gt, "image_id long, gt_id int, cls int, cx double, cy double, w double, h double"))
+    found = {g: sorted((x.det_id, x.gt_id) for x in got.collect() if x.image_id == g) for g in (1, 2, 3)}
+    assert {g: len(v) for g, v in found.items()} == {1: 3, 2: 2, 3: 3}
+
+    def cost(a, b):
+        s, (ax, ay, aw, ah), (bx_, by, bw, bh) = a[6][b[2]], a[2:6], b[3:7]
+        focal = 0.25 * (1 - s) ** 2 * -np.log(s + 1e-8) - 0.75 * s**2 * -np.log(1 - s + 1e-8)
+        iw, ih = min(ax + aw / 2, bx_ + bw / 2) - max(ax - aw / 2, bx_ - bw / 2), min(ay + ah / 2, by + bh / 2) - max(ay - ah / 2, by - bh / 2)
+        inter = max(0, iw) * max(0, ih)
+        union = aw * ah + bw * bh - inter
+        hull = (max(ax + aw / 2, bx_ + bw / 2) - min(ax - aw / 2, bx_ - bw / 2)) * (max(ay + ah / 2, by + bh / 2) - min(ay - ah / 2, by - bh / 2))
+        return focal + 5 * (abs(ax - bx_) + abs(ay - by) + abs(aw - bw) + abs(ah - bh)) + 2 * (1 - (inter / union - (hull - union) / hull))
+
+    for g in (1, 2, 3):
+        ps, gs = [x for x in pred if x[0] == g], [x for x in gt if x[0] == g]
+        n = min(len(ps), len(gs))
+        best = min(sum(cost(ps[i], gs[j]) for i, j in (zip(c, range(n)) if len(gs) <= len(ps) else zip(range(n), c))) for c in permutations(range(max(len(ps), len(gs))), n))
+        assert sum(cost(ps[i], gs[j]) for i, j in found[g]) == pytest.approx(best, abs=1e-5)
+
+
+def test_whole_image_masks(spark):
+    images = spark.createDataFrame([(1, 200.0, 100.0)], "image_id long, w double, h double")
+    whole, half = (0.0, 0.0, 200.0, 100.0), (0.0, 0.0, 110.0, 100.0)
+    rows = [
+        (1, 0, 0, 0.9, 0.99, *whole, 30.0, 30.0, 60.0, 60.0), (1, 0, 1, 0.95, 0.99, *whole, 31.0, 30.0, 61.0, 60.0),  # the second suppresses the first
+        (1, 1, 2, 0.92, 0.99, *half, 30.0, 31.0, 61.0, 61.0),  # the smaller crop's comes first
+        (1, 1, 3, 0.99, 0.99, *half, 70.0, 20.0, 105.0, 50.0),  # at the crop's inner edge
+        (1, 1, 4, 0.99, 0.2, *half, 40.0, 70.0, 60.0, 90.0), (1, 1, 5, 0.1, 0.99, *half, 40.0, 70.0, 60.0, 90.0),
+        (1, 0, 6, 0.8, 0.99, *whole, 150.0, 5.0, 198.0, 45.0),  # at the image's own edge
+    ]
+    crops = spark.createDataFrame(rows, "image_id long, crop int, det_id int, conf double, stability double, cx0 double, cy0 double, cx1 double, cy1 double, x1 double, y1 double, x2 double, y2 double")
+    got = {r.det_id: r.conf for r in results.whole_image_masks(crops, images, 0.5, 0.9, 0.7, 0.7).collect()}
+    assert got == {2: 0.92, 6: 0.8}
+
+
+def test_point_prompts(spark):
+    masks = spark.createDataFrame([(i, k, 0.0 + 10 * k, 0.0, 10.0 + 10 * k, 10.0) for i in (1, 2) for k in range(3)], "image_id long, det_id int, x1 double, y1 double, x2 double, y2 double")
+    points = spark.createDataFrame([(1, 0, 5.0, 5.0, 1), (1, 1, 15.0, 5.0, 1), (1, 2, 16.0, 5.0, 0), (2, 0, 25.0, 5.0, 0)], "image_id long, place int, x double, y double, label int")
+    assert sorted(map(tuple, results.select_by_points(masks, points).collect())) == [(1, 0), (2, 0), (2, 1)]
+
+
+def test_split_fractions_and_epochs(spark):
+    f = sampling.split_fraction
+    assert [f(0.5, "train"), f(0.5, "val"), f([0.5, 10], "val"), f([0.5, 10], "test"), f([1, 1, 0], "test"), f(1, "train")] == [0.5, 1.0, 10, 1.0, 0.0, 1.0]
+    for bad in ((0, "train"), ([1, 0], "val")):
+        with pytest.raises(ValueError, match="no image"):
+            f(*bad)
+    df = spark.range(101).withColumnRenamed("id", "k")
+    chosen = lambda *a, **k: {r.k for r in sampling.epoch_mask(df, "k", *a, **k).where("chosen").collect()}
+    one, two = chosen(0.5, "s", 1, 10), chosen(0.5, "s", 2, 10)
+    assert len(one) == len(two) == 50 and one != two and one == chosen(0.5, "s", 1, 10)
+    assert chosen(0.5, "s", 8, 10, 2) == set() and len(chosen(1.0, "s", 1, 10)) == 101 and chosen(0.0, "s", 1, 10) == set()
+    assert sampling.epoch_mask(df, "k", 0.5, "s", 9, 10, 1).count() == 101
