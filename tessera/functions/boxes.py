@@ -77,6 +77,13 @@ def scale_back(b: Box, from_w: Column, from_h: Column, to_w: Column, to_h: Colum
     return clip(((b[0] - px) / gain, (b[1] - py) / gain, (b[2] - px) / gain, (b[3] - py) / gain), from_w, from_h)
 
 
+def scale_points_back(points: Column, from_w: Column, from_h: Column, to_w: Column, to_h: Column) -> Column:
+    """Points (array of struct<x, y, ..>) on a letterboxed ``to`` canvas back on the ``from`` image, clipped; other fields stay."""
+    gain, px, py = letterbox(from_w, from_h, to_w, to_h)
+    at = lambda v, pad, top: F.greatest(F.lit(0.0), F.least((v - pad) / gain, top))
+    return F.transform(points, lambda p: p.withField("x", at(p["x"], px, from_w)).withField("y", at(p["y"], py, from_h)))
+
+
 def snap(b: Box, w: Column, h: Column, near: float = 20.0) -> Box:
     """Edges within ``near`` pixels of the image's border move onto it."""
     return F.when(b[0] < near, 0.0).otherwise(b[0]), F.when(b[1] < near, 0.0).otherwise(b[1]), F.when(b[2] > w - near, w).otherwise(b[2]), F.when(b[3] > h - near, h).otherwise(b[3])
@@ -89,6 +96,33 @@ def corners(cx: Column, cy: Column, w: Column, h: Column, theta: Column) -> list
     return [(cx + ux + vx, cy + uy + vy), (cx + ux - vx, cy + uy - vy), (cx - ux - vx, cy - uy - vy), (cx - ux + vx, cy - uy + vy)]
 
 
+def enclosing(cx: Column, cy: Column, w: Column, h: Column, theta: Column) -> Box:
+    """The upright box around a rotated one."""
+    xs, ys = zip(*corners(cx, cy, w, h, theta), strict=True)
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
+def union_area(b: Box, rects: Column) -> Column:
+    """Area of a box that the rectangles (an array of struct<x1, y1, x2, y2>) cover together, each place once.
+
+    The box is cut into stripes at the rectangles' edges; in a stripe the covered length is the union
+    of the intervals of those that span it, added up in order of their start.
+    """
+    inside = lambda v, low, high: F.greatest(low, F.least(v, high))
+    cut = F.transform(rects, lambda r: F.struct(inside(r["x1"], b[0], b[2]).alias("x1"), inside(r["y1"], b[1], b[3]).alias("y1"), inside(r["x2"], b[0], b[2]).alias("x2"), inside(r["y2"], b[1], b[3]).alias("y2")))
+    cut = F.filter(cut, lambda r: (r["x2"] > r["x1"]) & (r["y2"] > r["y1"]))
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(cut, lambda r: r["x1"]), F.transform(cut, lambda r: r["x2"]))))
+    stripes = F.zip_with(F.slice(edges, 1, F.greatest(F.lit(0), F.size(edges) - 1)), F.slice(edges, 2, F.greatest(F.lit(0), F.size(edges) - 1)), lambda p, q: F.struct(p.alias("a"), q.alias("b")))
+
+    def covered(stripe: Column) -> Column:
+        spans = F.array_sort(F.transform(F.filter(cut, lambda r: (r["x1"] <= stripe["a"]) & (r["x2"] >= stripe["b"])), lambda r: F.struct(r["y1"].alias("lo"), r["y2"].alias("hi"))))
+        start = F.struct(F.lit(float("-inf")).alias("reach"), F.lit(0.0).alias("sum"))
+        step = lambda s, i: F.struct(F.greatest(s["reach"], i["hi"]).alias("reach"), (s["sum"] + F.greatest(F.lit(0.0), i["hi"] - F.greatest(s["reach"], i["lo"]))).alias("sum"))
+        return F.aggregate(spans, start, step, lambda s: s["sum"]) * (stripe["b"] - stripe["a"])
+
+    return F.aggregate(F.transform(stripes, covered), F.lit(0.0), lambda s, v: s + v)
+
+
 def regularise(w: Column, h: Column, theta: Column) -> tuple[Column, Column, Column]:
     """Rotation in [0, pi/2), with sides swapped where a quarter turn was taken off."""
     half = math.pi / 2

@@ -24,6 +24,26 @@ def flip_ud(df: DataFrame, h: Column) -> DataFrame:
     return df.withColumns({"y1": h - F.col("y2"), "y2": h - F.col("y1")})
 
 
+def flip_points(points: Column, w: Column | None = None, h: Column | None = None, swap: list[int] | None = None) -> Column:
+    """Points (array of struct<x, y, ..>) mirrored at the image's middle, across (``w``) or down (``h``); ``swap`` gives the new order of paired key points."""
+    out = points
+    if w is not None:
+        out = F.transform(out, lambda p: p.withField("x", w - p["x"]))
+    if h is not None:
+        out = F.transform(out, lambda p: p.withField("y", h - p["y"]))
+    return F.transform(F.array(*map(F.lit, swap)), lambda i: F.get(out, i)) if swap else out
+
+
+def warp_points(points: Column, m: list[list[float]]) -> Column:
+    """Points under a 3 x 3 matrix; with a last row other than 0 0 1 the map is projective."""
+    def move(p: Column) -> Column:
+        row = lambda i: m[i][0] * p["x"] + m[i][1] * p["y"] + m[i][2]
+        by = row(2) if list(m[2]) != [0, 0, 1] else F.lit(1.0)
+        return p.withField("x", row(0) / by).withField("y", row(1) / by)
+
+    return F.transform(points, move)
+
+
 def drop_empty(df: DataFrame) -> DataFrame:
     return df.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
 

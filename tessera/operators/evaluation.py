@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, iou, overlaps, prob_iou
+from tessera.functions.kernels import group_slices, whole_groups
+from tessera.storage import settled
 
 from .scans import parts_for, running_sums, suffix_max
 
@@ -261,3 +265,80 @@ def sigma_clip(rows: DataFrame, value: str, sigmas: float = 2.0, rounds: int = 3
 def confidence_band(conf: Column, high: float = 0.25, low: float = 0.1) -> Column:
     """high from ``high`` on, low strictly between the two, none below."""
     return F.when(conf >= high, "high").when((conf > low) & (conf < high), "low").otherwise("none")
+
+
+#: Ranges of an object's area.
+SIZES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
+
+
+def sized_matches(score: np.ndarray, ignored: np.ndarray, thresholds: list[float]) -> np.ndarray:
+    """Label that each detection takes, -1 for none: rows of ``score`` are detections by falling confidence, columns an image's labels.
+
+    Detections choose in turn the free label of greatest score at each threshold, one that counts
+    before one that is ignored. (thresholds, detections).
+    """
+    out = np.full((len(thresholds), len(score)), -1)
+    for t, least in enumerate(thresholds):
+        free = np.ones(score.shape[1], bool)
+        for d, row in enumerate(score):
+            for group in (~ignored, ignored):
+                open_ = np.flatnonzero(free & group & (row >= least))
+                if len(open_):
+                    out[t, d] = open_[np.argmax(row[open_])]
+                    free[out[t, d]] = False
+                    break
+    return out
+
+
+def sized_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS, most: int = 100, ranges: dict[str, tuple[float, float]] = SIZES) -> DataFrame:
+    """(size, ap, ap50): mean over classes of the precision at 101 recalls, for objects of a range of areas.
+
+    Labels outside the range are ignored, and so are detections that take one, or that take none and
+    are outside themselves; the ``most`` best detections of an image and class count. Matching is
+    sequential inside an image and class and goes to Python, many images to a batch; what it returns is
+    one row a detection and range, ranked by the two-level scans.
+    """
+    box, names = ["x1", "y1", "x2", "y2"], list(ranges)
+    w = Window.partitionBy("image_id", "cls").orderBy(F.desc("conf"), "det_id")
+    p = pred.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
+    rows = p.select("image_id", "cls", F.col("det_id").alias("id"), "conf", *box).unionByName(gt.select("image_id", "cls", F.col("gt_id").alias("id"), F.lit(None).cast("double").alias("conf"), *box))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, "image_id", "cls"):
+            at, conf, out = pdf[box].to_numpy(), pdf["conf"].to_numpy(), []
+            size = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
+            for part in group_slices(pdf, "image_id", "cls"):
+                is_gt = np.isnan(conf[part])
+                d, g = np.flatnonzero(~is_gt) + part.start, np.flatnonzero(is_gt) + part.start
+                d = d[np.lexsort((pdf["id"].to_numpy()[d], -conf[d]))]
+                low, high = np.maximum(at[d][:, None, :2], at[g][None, :, :2]), np.minimum(at[d][:, None, 2:], at[g][None, :, 2:])
+                inter = np.prod(np.clip(high - low, 0, None), -1)
+                score = inter / (size[d][:, None] + size[g][None] - inter)
+                for name in names:
+                    least, top = ranges[name]
+                    outside = lambda i: (size[i] < least) | (size[i] > top)  # noqa: B023, E731
+                    ignored = outside(g)
+                    took = sized_matches(score, ignored, thresholds)
+                    skip = np.where(took >= 0, ignored[took] if len(g) else False, outside(d)[None])
+                    hit = (took >= 0) & ~skip
+                    for k, i in enumerate(d):
+                        out.append((name, int(pdf["cls"].iloc[i]), int(pdf["image_id"].iloc[i]), int(pdf["id"].iloc[i]), float(conf[i]), 0, hit[:, k].tolist(), skip[:, k].tolist()))
+                    if n := int((~ignored).sum()):
+                        out.append((name, int(pdf["cls"].iloc[part.start]), None, None, None, n, None, None))
+            yield pd.DataFrame(out, columns=["size", "cls", "image_id", "det_id", "conf", "labels", "hit", "skip"])
+
+    made = settled(rows.repartition("image_id", "cls").sortWithinPartitions("image_id", "cls").mapInPandas(run, "size string, cls int, image_id long, det_id int, conf double, labels long, hit array<boolean>, skip array<boolean>"))
+    labels = made.where("labels > 0").groupBy("size", "cls").agg(F.sum("labels").alias("n_labels"))
+    found = made.where("labels = 0").select("size", "cls", "image_id", "det_id", "conf", F.posexplode(F.arrays_zip("hit", "skip")).alias("t", "z")).where("not z.skip")
+    found = found.select("size", "cls", "t", "image_id", "det_id", "conf", F.col("z.hit").cast("int").alias("tp"), F.lit(1).alias("one"), (-F.floor(F.col("conf") * parts_for(pred.count()))).cast("long").alias("bucket"))
+    keys = ["size", "cls", "t"]
+    found = running_sums(found, keys, "bucket", [F.desc("conf"), F.col("image_id"), F.col("det_id")], {"cum_tp": "tp", "n": "one"})
+    hits = found.where("tp = 1").withColumn("precision", F.col("cum_tp") / F.col("n"))
+    hits = suffix_max(hits, keys, "bucket", [F.col("cum_tp")], "precision", "env").join(F.broadcast(labels), ["size", "cls"])
+    # the hit that first reaches recall k / 100 gives the precision there
+    before, now = first_step((F.col("cum_tp") - 1) / F.col("n_labels"), 100.0), first_step(F.col("cum_tp") / F.col("n_labels"), 100.0)
+    reached = F.when(now / 100.0 > F.col("cum_tp") / F.col("n_labels"), now - 1).otherwise(now)
+    start = F.when(F.col("cum_tp") == 1, F.lit(0)).otherwise(F.when(before / 100.0 > (F.col("cum_tp") - 1) / F.col("n_labels"), before).otherwise(before + 1))
+    ap = hits.groupBy(*keys).agg((F.sum(F.col("env") * F.greatest(F.lit(0), reached - start + 1)) / 101).alias("ap"))
+    every = labels.select("size", "cls", F.explode(F.array(*map(F.lit, range(len(thresholds))))).alias("t")).join(ap, keys, "left").fillna(0.0, ["ap"])
+    return every.groupBy("size").agg(F.avg("ap").alias("ap"), F.avg(F.when(F.col("t") == 0, F.col("ap"))).alias("ap50"))

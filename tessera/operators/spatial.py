@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.boxes import area, cols, extended_iou, intersection, iou, overlaps, xywh_to_xyxy
+from tessera.functions.boxes import area, cols, extended_iou, intersection, iou, overlaps, union_area, xywh_to_xyxy
 from tessera.functions.kernels import group_slices, whole_groups
 from tessera.storage import settled
 from tessera.streaming.assign import hungarian
@@ -96,6 +96,13 @@ def cover(boxes: DataFrame, x0: float, y0: float, x1: float, y1: float, most: fl
     return boxes.where(hidden / area(cols("x1", "y1", "x2", "y2")) < most)
 
 
+def cover_union(boxes: DataFrame, rects: list[tuple[float, float, float, float]], most: float) -> DataFrame:
+    """Boxes of which the rectangles together cover a share below ``most``."""
+    held = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(r, ("x1", "y1", "x2", "y2"), strict=True)]) for r in rects])
+    b = cols("x1", "y1", "x2", "y2")
+    return boxes.where(union_area(b, held) / area(b) < most)
+
+
 def select_by_prompts(masks: DataFrame, prompts: DataFrame) -> DataFrame:
     """(image_id, det_id): for each prompt box the mask box of greatest IoU, together without repeats.
 

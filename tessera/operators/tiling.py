@@ -44,6 +44,20 @@ def windows(images: DataFrame, crop: int, gap: int, least_rate: float = 0.6) ->
     return rows.select(*images.columns, "p.x0", "p.y0", (F.col("p.x0") + crop).alias("x1"), (F.col("p.y0") + crop).alias("y1"), "p.rate")
 
 
+def multi_scale(images: DataFrame, rates: tuple[float, ...], crop: int, gap: int, least_rate: float = 0.6) -> DataFrame:
+    """Sliding windows at several rates: at rate r the windows are ``crop / r`` wide, so that they have ``crop`` pixels of the scaled image. Adds ``scale``."""
+    out = None
+    for r in rates:
+        rows = windows(images, int(crop / r), int(gap / r), least_rate).withColumn("scale", F.lit(float(r)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def uncrop_points(points: Column, x0: Column, y0: Column) -> Column:
+    """Points of a crop back on its image."""
+    return F.transform(points, lambda p: p.withField("x", p["x"] + x0).withField("y", p["y"] + y0))
+
+
 def _clip(b: Box) -> Box:
     return F.greatest(b[0], F.col("x0")), F.greatest(b[1], F.col("y0")), F.least(b[2], F.col("tx1")), F.least(b[3], F.col("ty1"))
 

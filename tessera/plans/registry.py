@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import augment_queries, evaluation_queries, generate_queries, result_queries, tiling_queries, track_queries
+from . import augment_queries, evaluation_queries, generate_queries, geometry_queries, result_queries, tiling_queries, track_queries
 
-MODULES = (evaluation_queries, tiling_queries, track_queries, augment_queries, generate_queries, result_queries)
+MODULES = (evaluation_queries, tiling_queries, track_queries, augment_queries, generate_queries, result_queries, geometry_queries)
 
 
 def queries() -> dict:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-COCO = "images array<struct<id:bigint,width:double,height:double,file_name:string,caption:string>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,iscrowd:int,segmentation:array<array<double>>,tokens_positive:array<array<int>>>>, categories array<struct<id:int,name:string>>"
+COCO = "images array<struct<id:bigint,width:double,height:double,file_name:string,caption:string>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,iscrowd:int,segmentation:array<array<double>>,keypoints:array<double>,tokens_positive:array<array<int>>>>, categories array<struct<id:int,name:string>>"
 RECORD = "type string, task string, file string, url string, split string, class_names map<string,string>, annotations map<string,array<array<double>>>"
 PREDICTION = "image_id long, file_name string, category_id int, bbox array<double>, score double"
 
@@ -24,6 +26,45 @@ def coco_boxes(document: DataFrame) -> DataFrame:
     return at.where("w > 0 and h > 0").dropDuplicates(["image_id", "cls", "cx", "cy", "w", "h"])
 
 
+def coco_objects(document: DataFrame, from_91: bool = False) -> DataFrame:
+    """(image_id, file_name, cls, cx, cy, w, h, segment, keypoints): boxes with their outline and key points as shares of the image.
+
+    Several polygons become one ring; without any, the outline is the box. ``from_91`` maps the
+    categories of that numbering to 0 .. 79. Crowds and boxes without area go, equal (cls, box) collapse.
+    """
+    from tessera.functions.kernels import bridge
+    from tessera.operators.results import from_91 as mapped
+
+    images = document.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.file_name").alias("file_name"), F.col("i.width").alias("iw"), F.col("i.height").alias("ih"))
+    a = document.select(F.explode("annotations").alias("a")).where("coalesce(a.iscrowd, 0) = 0 and a.bbox[2] > 0 and a.bbox[3] > 0")
+    rows = a.select("a.image_id", (mapped(F.col("a.category_id")) if from_91 else F.col("a.category_id") - 1).alias("cls"), *[F.get("a.bbox", F.lit(i)).alias(c) for i, c in enumerate("xywh")], "a.segmentation", "a.keypoints").join(images, "image_id")
+
+    @F.pandas_udf("array<double>")
+    def joined(parts: pd.Series) -> pd.Series:
+        return pd.Series([bridge([np.array(p, float).reshape(-1, 2) for p in x]).reshape(-1).tolist() for x in parts])
+
+    x, y, w, h = (F.col(c) for c in "xywh")
+    box = F.array(x, y, x + w, y, x + w, y + h, x, y + h)
+    parts = F.coalesce(F.size("segmentation"), F.lit(0))
+    rows = rows.withColumn("box", box)
+    one = rows.where(parts <= 1).withColumn("ring", F.when(parts == 1, F.get("segmentation", F.lit(0))).otherwise(F.col("box")))
+    rows = one.unionByName(rows.where(parts > 1).withColumn("ring", joined("segmentation")))
+    share = lambda ring: F.transform(ring, lambda v, i: v / F.when(i % 2 == 0, F.col("iw")).otherwise(F.col("ih")))
+    points = F.transform("keypoints", lambda v, i: F.when(i % 3 == 0, v / F.col("iw")).when(i % 3 == 1, v / F.col("ih")).otherwise(v))
+    out = rows.select("image_id", "file_name", "cls", ((x + w / 2) / F.col("iw")).alias("cx"), ((y + h / 2) / F.col("ih")).alias("cy"), (w / F.col("iw")).alias("w"), (h / F.col("ih")).alias("h"), share("ring").alias("segment"), points.alias("keypoints"))
+    return out.dropDuplicates(["image_id", "cls", "cx", "cy", "w", "h"])
+
+
+def coco_document(images: DataFrame, boxes: DataFrame, names: dict[int, str]) -> DataFrame:
+    """(kind, value): a ground-truth document's parts as JSON lines: images, annotations with left, top, width, height, and categories from 1."""
+    spark = images.sparkSession
+    im = images.select(F.lit("image").alias("kind"), F.to_json(F.struct(F.col("image_id").alias("id"), F.col("im_file").alias("file_name"), F.col("w").alias("width"), F.col("h").alias("height"))).alias("value"))
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    an = annotation_ids(boxes).select(F.lit("annotation").alias("kind"), F.to_json(F.struct(F.col("annotation_id").alias("id"), "image_id", (F.col("cls") + 1).alias("category_id"), F.array("x1", "y1", w, h).alias("bbox"), (w * h).alias("area"), F.lit(0).alias("iscrowd"))).alias("value"))
+    cat = spark.createDataFrame([(k + 1, v) for k, v in names.items()], "id int, name string").select(F.lit("category").alias("kind"), F.to_json(F.struct("*")).alias("value"))
+    return im.unionByName(an).unionByName(cat)
+
+
 def coco_names(document: DataFrame) -> DataFrame:
     return document.select(F.explode("categories").alias("c")).select((F.col("c.id") - 1).alias("cls"), "c.name")
 

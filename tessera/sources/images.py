@@ -136,3 +136,32 @@ def run_lengths(mask: np.ndarray) -> list[int]:
 
 def from_run_lengths(runs: list[int], h: int, w: int) -> np.ndarray:
     return np.repeat(np.arange(len(runs)) % 2 == 1, runs).reshape(h, w, order="F")
+
+
+def packed_runs(runs: list[int]) -> str:
+    """Run lengths as text: from the third on the difference to the one two before, in groups of five bits, lowest first, each a character from 48 on with bit 6 for more."""
+    out = []
+    for i, n in enumerate(runs):
+        x = n - runs[i - 2] if i > 2 else n
+        while True:
+            low, x = x & 31, x >> 5
+            done = x == (-1 if low & 16 else 0)
+            out.append(chr(48 + (low | (0 if done else 32))))
+            if done:
+                break
+    return "".join(out)
+
+
+def unpacked_runs(text: str) -> list[int]:
+    runs: list[int] = []
+    x = shift = 0
+    for c in text.encode():
+        part = c - 48
+        x |= (part & 31) << shift
+        shift += 5
+        if not part & 32:
+            if part & 16:
+                x -= 1 << shift
+            runs.append(x + runs[-2] if len(runs) > 2 else x)
+            x = shift = 0
+    return runs

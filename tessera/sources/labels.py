@@ -16,19 +16,22 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def parse(files: DataFrame, classes: int, tolerance: float = 0.01) -> DataFrame:
-    """(path, value) → (path, status, rows): status is found, empty or corrupt; rows are arrays of numbers.
+def parse(files: DataFrame, classes: int, tolerance: float = 0.01, keypoints: tuple[int, int] | None = None) -> DataFrame:
+    """(path, value) → (path, segments, status, rows): status is found, empty or corrupt; rows are arrays of numbers.
 
     A file is judged whole: rows of another width, coordinates beyond [-tol, 1 + tol], unknown
-    classes or text that is no number make it corrupt. Rows that repeat collapse, and only then the
-    rest comes back sorted.
+    classes or text that is no number make it corrupt. With ``keypoints`` (points, 2 or 3 numbers each)
+    a row is a box and its points, whose visibility is no coordinate. Rows that repeat collapse, and
+    only then the rest comes back sorted.
     """
     lines = F.filter(F.split(F.coalesce("value", F.lit("")), "\r?\n"), lambda x: F.trim(x) != "")
     numbers = F.transform(lines, lambda x: F.transform(F.split(F.trim(x), "\\s+"), lambda v: v.try_cast("double")))
-    rows = files.select("path", numbers.alias("rows")).withColumn("segments", F.exists("rows", lambda r: F.size(r) > 6))
-    wide = lambda r: F.when(F.col("segments"), (F.size(r) >= 7) & (F.size(r) % 2 == 1)).otherwise(F.size(r) == 5)
-    shares = lambda r: F.slice(r, 2, F.greatest(F.lit(0), F.size(r) - 1))
-    inside = lambda r: F.forall(shares(r), lambda v: v.isNotNull() & (v <= 1 + tolerance) & (v >= -tolerance))
+    many = F.lit(False) if keypoints else F.exists("rows", lambda r: F.size(r) > 6)
+    rows = files.select("path", numbers.alias("rows")).withColumn("segments", many)
+    width = 5 + keypoints[0] * keypoints[1] if keypoints else 5
+    wide = lambda r: F.when(F.col("segments"), (F.size(r) >= 7) & (F.size(r) % 2 == 1)).otherwise(F.size(r) == width)
+    seen = lambda i: (i >= 5) & ((i - 5) % 3 == 2) if keypoints and keypoints[1] == 3 else F.lit(False)
+    inside = lambda r: F.forall(F.transform(r, lambda v, i: (i == 0) | (v.isNotNull() & (seen(i) | ((v <= 1 + tolerance) & (v >= -tolerance))))), lambda ok: F.coalesce(ok, F.lit(False)))
     known = lambda r: F.coalesce((F.get(r, F.lit(0)) >= 0) & (F.get(r, F.lit(0)) < classes), F.lit(False))
     good = F.forall("rows", lambda r: wide(r) & inside(r) & known(r))
     distinct = F.array_distinct("rows")
@@ -37,6 +40,17 @@ def parse(files: DataFrame, classes: int, tolerance: float = 0.01) -> DataFrame:
     return rows.select("path", "segments", status.alias("status"), tidy.alias("tidy")).withColumn("rows", F.when(F.col("status") == "found", F.col("tidy")).otherwise(F.array().cast("array<array<double>>"))).drop("tidy")
 
 
+def poses(parsed: DataFrame, dims: int) -> DataFrame:
+    """(path, box_id, cls, cx, cy, w, h, kpts) of found files with key points: kpts is an array of struct<x, y, v>; points of two numbers are visible unless both are 0."""
+    row = F.col("row")
+    out = parsed.select("path", F.posexplode("rows").alias("box_id", "row"))
+    n = F.floor((F.size(row) - 5) / dims).cast("int")
+    x, y = (lambda i: F.get(row, 5 + i * dims)), (lambda i: F.get(row, 6 + i * dims))
+    v = (lambda i: F.get(row, 7 + i * dims)) if dims == 3 else (lambda i: F.when((x(i) == 0) & (y(i) == 0), 0.0).otherwise(1.0))
+    points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(x(i).alias("x"), y(i).alias("y"), v(i).alias("v")))
+    return out.select("path", "box_id", F.get(row, F.lit(0)).cast("int").alias("cls"), *[F.get(row, F.lit(k + 1)).alias(c) for k, c in enumerate(("cx", "cy", "w", "h"))], points.alias("kpts"))
+
+
 def boxes(parsed: DataFrame) -> DataFrame:
     """(path, box_id, cls, cx, cy, w, h, points) of the found files; a polygon gives its enclosing box."""
     row = F.col("row")

@@ -310,3 +310,62 @@ def test_split_fractions_and_epochs(spark):
     assert len(one) == len(two) == 50 and one != two and one == chosen(0.5, "s", 1, 10)
     assert chosen(0.5, "s", 8, 10, 2) == set() and len(chosen(1.0, "s", 1, 10)) == 101 and chosen(0.0, "s", 1, 10) == set()
     assert sampling.epoch_mask(df, "k", 0.5, "s", 9, 10, 1).count() == 101
+
+
+def test_sized_precision_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    gt, pred = [], []
+    for i in range(12):
+        for k in range(int(r.integers(0, 6))):
+            x, y, w, h = *r.uniform(0, 300, 2), *r.choice([12, 25, 60, 90, 150], 2)
+            c = int(r.integers(2))
+            gt.append((i, k, c, float(x), float(y), float(x + w), float(y + h)))
+            for _ in range(int(r.integers(0, 3))):
+                j = r.normal(0, 0.06, 4) * [w, h, w, h]
+                pred.append((i, len(pred), c if r.random() < 0.9 else 1 - c, float(x + j[0]), float(y + j[1]), float(x + w + j[2]), float(y + h + j[3]), float(round(r.random(), 2))))
+        pred.append((i, len(pred), int(r.integers(2)), 0.0, 0.0, float(r.integers(5, 200)), 40.0, float(round(r.random(), 2))))
+    area = lambda b: (b[5] - b[3]) * (b[6] - b[4])
+
+    def iou(a, b):
+        w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+        inter = max(0, w) * max(0, h)
+        return inter / (area(a) + area(b) - inter)
+
+    want = {}
+    for size, (low, high) in ev.SIZES.items():
+        out = lambda b: area(b) < low or area(b) > high  # noqa: B023, E731
+        aps = []
+        for c in (0, 1):
+            n = sum(1 for g in gt if g[2] == c and not out(g))
+            for t in ev.THRESHOLDS if n else []:
+                rows = []
+                for i in range(12):
+                    mine, free = sorted((p for p in pred if p[0] == i and p[2] == c), key=lambda p: (-p[7], p[1])), [g for g in gt if g[0] == i and g[2] == c]
+                    for p in mine:
+                        best = max((g for g in free if not out(g) and iou(p, g) >= t), key=lambda g: iou(p, g), default=None) or max((g for g in free if out(g) and iou(p, g) >= t), key=lambda g: iou(p, g), default=None)
+                        if best:
+                            free.remove(best)
+                        if not (out(best) if best else out(p)):
+                            rows.append((-p[7], i, p[1], best is not None))
+                tp = np.cumsum([x[3] for x in sorted(rows)])
+                prec = np.maximum.accumulate((tp / np.arange(1, len(tp) + 1))[::-1])[::-1] if len(tp) else np.zeros(0)
+                at = [int(np.searchsorted(tp / n, k / 100)) for k in range(101)] if len(tp) else []
+                aps.append((t, sum(prec[a] for a in at if a < len(tp)) / 101))
+        want[size] = (np.mean([a for _, a in aps]), np.mean([a for t, a in aps if t == 0.5])) if aps else None
+    got = {x["size"]: (x.ap, x.ap50) for x in ev.sized_precision(spark.createDataFrame(pred, BOX), spark.createDataFrame(gt, "image_id long, gt_id int, cls int, x1 double, y1 double, x2 double, y2 double")).collect()}
+    assert set(got) == {k for k, v in want.items() if v} and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_union_of_rectangles(spark):
+    r = np.random.default_rng(5)
+    rows = []
+    for i in range(40):
+        rects = [tuple(map(float, (x, y, x + w, y + h))) for x, y, w, h in r.integers(0, 12, (int(r.integers(0, 6)), 4))]
+        rows.append((i, 2.0, 3.0, 15.0, 14.0, rects))
+    df = spark.createDataFrame(rows, "i int, x1 double, y1 double, x2 double, y2 double, rects array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    got = {x.i: x.a for x in df.select("i", bx.union_area(bx.cols("x1", "y1", "x2", "y2"), F.col("rects")).alias("a")).collect()}
+    for i, *_, rects in rows:
+        mask = np.zeros((30, 30), bool)
+        for a, b, c, d in rects:
+            mask[int(b) : int(d), int(a) : int(c)] = True
+        assert got[i] == mask[3:14, 2:15].sum()

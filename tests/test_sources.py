@@ -123,3 +123,36 @@ def test_depth_and_run_lengths():
     mask = r.random((6, 5)) > 0.5
     assert np.array_equal(images.from_run_lengths(images.run_lengths(mask), 6, 5), mask)
     assert images.run_lengths(np.ones((2, 2))) == [0, 4] and images.run_lengths(np.zeros((2, 2))) == [4]
+
+
+def test_outlines_and_key_points_of_documents(spark, tmp_path):
+    doc = {"images": [{"id": 1, "file_name": "a.jpg", "width": 200, "height": 100}], "categories": [{"id": 13, "name": "stop"}],
+           "annotations": [{"id": 1, "image_id": 1, "category_id": 13, "bbox": [20, 10, 40, 20], "iscrowd": 0, "segmentation": [[20, 10, 60, 10, 40, 30]], "keypoints": [30, 15, 2, 0, 0, 0]},
+                           {"id": 2, "image_id": 1, "category_id": 1, "bbox": [0, 0, 10, 10]}, {"id": 3, "image_id": 1, "category_id": 1, "bbox": [0, 0, 10, 10], "segmentation": []},
+                           {"id": 4, "image_id": 1, "category_id": 2, "bbox": [0, 0, 30, 10], "segmentation": [[0, 0, 4, 0, 4, 4], [20, 0, 30, 0, 30, 10]]},
+                           {"id": 5, "image_id": 1, "category_id": 12, "bbox": [5, 5, 5, 5], "segmentation": []}, {"id": 6, "image_id": 1, "category_id": 3, "bbox": [5, 5, 0, 5]}, {"id": 7, "image_id": 1, "category_id": 3, "bbox": [5, 5, 5, 5], "iscrowd": 1}]}
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    rows = annotations.coco_objects(annotations.read_coco(spark, str(tmp_path / "c.json")), from_91=True).collect()
+    by = {r.cls: r for r in rows}
+    assert len(rows) == 4 and set(by) == {11, 0, 1, None}
+    assert by[11].segment == pytest.approx([0.1, 0.1, 0.3, 0.1, 0.2, 0.3]) and by[11].keypoints == pytest.approx([0.15, 0.15, 2, 0, 0, 0]) and (by[11].cx, by[11].h) == (0.2, 0.2)
+    assert by[0].segment == pytest.approx([0, 0, 0.05, 0, 0.05, 0.1, 0, 0.1]) and by[0].keypoints is None
+    ring = np.array(by[1].segment).reshape(-1, 2) * [200, 100]
+    assert {tuple(p) for p in ring.round(6).tolist()} == {(0, 0), (4, 0), (4, 4), (20, 0), (30, 0), (30, 10)} and len(ring) >= 6
+
+
+def test_pose_label_files(spark):
+    files = [("ok", "0 0.5 0.5 0.2 0.2 0.1 0.2 2 0.3 0.4 0"), ("wide", "0 0.5 0.5 0.2 0.2 0.1 0.2 2"), ("far", "0 0.5 0.5 0.2 0.2 1.2 0.2 2 0.3 0.4 0"), ("word", "0 0.5 0.5 0.2 0.2 x 0.2 2 0.3 0.4 0"), ("none", "")]
+    parsed = labels.parse(spark.createDataFrame(files, "path string, value string"), 1, keypoints=(2, 3))
+    assert {r.path: r.status for r in parsed.collect()} == {"ok": "found", "wide": "corrupt", "far": "corrupt", "word": "corrupt", "none": "empty"}
+    assert [[tuple(p) for p in r.kpts] for r in labels.poses(parsed, 3).collect()] == [[(0.1, 0.2, 2.0), (0.3, 0.4, 0.0)]]
+    two = labels.parse(spark.createDataFrame([("a", "0 0.5 0.5 0.2 0.2 0.1 0.2 0 0")], "path string, value string"), 1, keypoints=(2, 2))
+    assert [[p.v for p in r.kpts] for r in labels.poses(two, 2).collect()] == [[1.0, 0.0]]
+
+
+def test_packed_run_lengths():
+    r = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 40):
+        runs = r.integers(0, 5000, n).tolist()
+        assert images.unpacked_runs(images.packed_runs(runs)) == runs
+    assert images.packed_runs([6, 1, 40, 4, 5, 4, 5, 4, 21]) == "61X13mN000`0"
