@@ -232,6 +232,13 @@ SQL = {
       case when idx < 80 then idx // 4 when idx < 100 then idx - 80 when idx < 120 then idx - 100 when idx < 160 then (idx - 120) % 20 when idx < 165 then (idx - 160) * 4 % 20 when idx < 185 then idx - 165 else idx - 185 end as image,
       case when idx < 80 then idx % 4 when idx between 120 and 159 then (idx - 120) // 20 else 0 end as part from range(0, 203) t(idx)""",
     "occlusion_cover": f"{_G} select image_id, gt_id from gt where greatest(0, least(x2, 600) - greatest(x1, 300)) * greatest(0, least(y2, 500) - greatest(y1, 200)) / ((x2 - x1) * (y2 - y1)) < 0.6",
+    "assign_hungarian": f"""{_PG.replace("with ", "with recursive ")}, j as (select p.image_id, p.det_id, q.gt_id, {_IOU} / {_U} as iou from pred p join gt q on p.image_id = q.image_id and p.cls = q.cls), c as (select *, count(*) over (partition by image_id, det_id) as nd, count(*) over (partition by image_id, gt_id) as ng from j where iou >= 0.5),
+      lone as (select image_id, count(*) as n, sum(iou) as s from c where nd = 1 and ng = 1 group by 1), hard as (select *, dense_rank() over (partition by image_id order by det_id) as k from c where nd > 1 or ng > 1),
+      options as (select image_id, k, gt_id, iou from hard union all select distinct image_id, k, cast(null as int), 0.0::double from hard), top as (select image_id, max(k) as top from hard group by 1),
+      walk as (select image_id, 0::bigint as k, 0::bigint as used, 0.0::double as s, 0::bigint as n from top union all
+        select w.image_id, o.k, case when o.gt_id is null then w.used else w.used | (1::bigint << o.gt_id) end, w.s + o.iou, w.n + case when o.gt_id is null then 0 else 1 end from walk w join options o on o.image_id = w.image_id and o.k = w.k + 1 and (o.gt_id is null or (w.used & (1::bigint << o.gt_id)) = 0)),
+      best as (select image_id, max(w.s) as s, arg_max(w.n, w.s) as n from walk w join top using (image_id) where w.k = top group by 1)
+      select image_id, cast(sum(n) as bigint) as n, round(sum(s), 6) as iou from (select image_id, n, s from lone union all select image_id, n, s from best where n > 0) group by image_id""",
     "assign_aligned": f"""{_PG}, c as (select p.image_id, p.det_id, q.gt_id, {_IOU} / {_U} as iou, sqrt(p.conf) * pow({_IOU} / {_U}, 6) as metric from pred p join gt q on p.image_id = q.image_id and (p.x1 + p.x2) / 2 > q.x1 and (p.x1 + p.x2) / 2 < q.x2 and (p.y1 + p.y2) / 2 > q.y1 and (p.y1 + p.y2) / 2 < q.y2),
       k as (select * from (select *, row_number() over (partition by image_id, gt_id order by metric desc, det_id) as r from c) where r <= 3) select image_id, det_id, gt_id, round(metric, 6) as metric from (select *, row_number() over (partition by image_id, det_id order by iou desc, gt_id) as n from k) where n = 1""",
     "keypoint_oks": f"""{_G}, k as (select *, (x2 - x1) * (y2 - y1) * 0.53::double + 1e-7::double as a from gt), v as (select image_id, gt_id, list_filter([case when pk % 3 > 0 then exp(-9.0 / pow(2 * 0.05::double, 2) / a / 2) end, case when pk % 2 > 0 then exp(-((pk % 5) * (pk % 5)) / pow(2 * 0.1::double, 2) / a / 2) end, exp(-5.0 / pow(2 * 0.08::double, 2) / a / 2)], lambda x: x is not null) as l from k)
@@ -249,9 +256,10 @@ SQL = {
     "least_rectangles": f"{_G} select image_id, gt_id, round(greatest(x2 - x1, y2 - y1), 4) as longer, round(least(x2 - x1, y2 - y1), 4) as shorter, round((x1 + x2) / 2, 4) as cx from gt",
     "dota_merge": f"""{ctes("pred")}, g as (select image_id, det_id, cls, conf, image_id || '__1.0__' || (det_id % 2 * 100) || '___50' as tile, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y, (x2 - x1) * (x2 - x1) / 12 as a, (y2 - y1) * (y2 - y1) / 12 as b, det_id % 5 / 10.0::double as t from pred),
       k as (select *, a * cos(t) * cos(t) + b * sin(t) * sin(t) as a1, a * sin(t) * sin(t) + b * cos(t) * cos(t) as b1, (a - b) * cos(t) * sin(t) as c1 from g),
-      j as (select p.image_id, p.det_id, q.x - p.x as dx, p.y - q.y as dy, p.a1 + q.a1 as a, p.b1 + q.b1 as b, p.c1 + q.c1 as c, (p.a1 * p.b1 - p.c1 * p.c1) as d1, (q.a1 * q.b1 - q.c1 * q.c1) as d2 from k p join k q on p.image_id = q.image_id and p.cls = q.cls and (q.conf > p.conf or (q.conf = p.conf and (q.tile, q.det_id) < (p.tile, p.det_id)))),
+      j as (select p.image_id, p.det_id, q.x - p.x as dx, p.y - q.y as dy, p.a1 + q.a1 as a, p.b1 + q.b1 as b, p.c1 + q.c1 as c, (p.a1 * p.b1 - p.c1 * p.c1) as d1, (q.a1 * q.b1 - q.c1 * q.c1) as d2 from k p join k q on p.image_id = q.image_id and p.cls = q.cls and abs(p.x - q.x) < 500 and abs(p.y - q.y) < 500 and (q.conf > p.conf or (q.conf = p.conf and (q.tile, q.det_id) < (p.tile, p.det_id)))),
       f as (select image_id, det_id, (a * dy * dy + b * dx * dx) / (a * b - c * c + 1e-7::double) * 0.25 + c * dx * dy / (a * b - c * c + 1e-7::double) * 0.5 + ln((a * b - c * c) / (4 * sqrt(greatest(0, d1) * greatest(0, d2)) + 1e-7::double) + 1e-7::double) * 0.5 as bd from j)
-      select image_id, det_id from pred where (image_id, det_id) not in (select image_id, det_id from f where 1 - sqrt(1 - exp(-least(100.0, greatest(1e-7::double, bd))) + 1e-7::double) >= 0.3)""",
+      , gone as (select distinct image_id, det_id from f where 1 - sqrt(1 - exp(-least(100.0, greatest(1e-7::double, bd))) + 1e-7::double) >= 0.3)
+      select image_id, det_id from pred anti join gone using (image_id, det_id)""",
     "label_lines_scan": f"{_G} select cls, count(*) as n, round(sum((x2 - x1) / 1200), 1) as w from gt g where not exists (select 1 from gt h where h.image_id = g.image_id and ((x1 + x2) / 2 / 1200 > 1.01 or (y1 + y2) / 2 / 900 > 1.01)) group by cls",
     "predictions_json": f"{ctes('pred')} select image_id, cls as category_id, round(conf, 5) as score, round(x1, 3) as \"left\", round(x2 - x1, 3) as width from pred",
     "annotation_ids": f"{_G} select image_id, gt_id, image_id * 4294967296 + gt_id + 1 as annotation_id from gt",

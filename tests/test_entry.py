@@ -20,6 +20,19 @@ def test_entry_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=True, timeout=120)
 
 
+def test_a_missing_library_is_not_hidden(tmp_path):
+    for name in ("tessera", "__spark_entry__.py", "corpus_pipeline.py"):
+        source = ROOT / name
+        if not source.exists():
+            pytest.skip("the corpus operators are absent")
+        (shutil.copytree if source.is_dir() else shutil.copy)(source, tmp_path / name)
+    if not (tmp_path / "tessera/llm").is_dir():
+        pytest.skip("the corpus operators are absent")
+    (tmp_path / "xxhash.py").write_text("raise ModuleNotFoundError(name='xxhash')")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, timeout=120)
+    assert done.returncode and b"xxhash" in done.stderr
+
+
 def test_names_agree():
     import __spark_entry__ as entry
 
