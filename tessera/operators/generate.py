@@ -65,6 +65,25 @@ def negative_texts(texts: DataFrame, least: int, k: int, seed: str) -> DataFrame
     return ranked(often, "name", seed).where(F.col("rank") <= k).drop("rank")
 
 
+def text_prompts(labels: DataFrame, names: dict[int, str], most: int, negatives: int, seed: str) -> DataFrame:
+    """(image_id, classes, texts): what an image is asked for: its own classes, ``most`` at most, then ``negatives`` others as far as there is room, both by hash; ``texts`` is filled up to ``most`` with empty ones.
+
+    ``classes`` gives the new number of each old class: its place. The names are a constant list, so an
+    image's classes are all that is gathered.
+    """
+    own = labels.groupBy("image_id").agg(F.collect_set("cls").alias("own"))
+    order = lambda c: F.md5(F.concat_ws(":", F.col("image_id").cast("string"), c.cast("string"), F.lit(seed)))
+    by_hash = lambda array: F.transform(F.array_sort(F.transform(array, lambda c: F.struct(order(c).alias("h"), c.alias("c")))), lambda x: x["c"])
+    every = F.array(*[F.lit(k) for k in sorted(names)])
+    chosen = F.slice(by_hash("own"), 1, most)
+    rows = own.withColumn("chosen", chosen).withColumn("rest", by_hash(F.array_except(every, F.col("own"))))
+    room = F.least(F.lit(negatives), F.lit(most) - F.size("chosen"))
+    rows = rows.withColumn("classes", F.concat("chosen", F.slice("rest", F.lit(1), F.greatest(F.lit(0), room))))
+    text = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
+    texts = F.concat(F.transform("classes", lambda c: F.element_at(text, c)), F.array_repeat(F.lit(""), F.lit(most) - F.size("classes")))
+    return rows.select("image_id", "classes", texts.alias("texts"))
+
+
 def ratio_pad(boxes: DataFrame, images: DataFrame, ratio: float) -> DataFrame:
     """Normalised (cx, cy, w, h) after an image is padded on both sides to width / height = ``ratio``."""
     size = images.select("image_id", F.greatest(F.col("w"), F.col("h") * ratio).alias("pw"), F.greatest(F.col("h"), F.col("w") / ratio).alias("ph"), F.col("w").alias("iw"), F.col("h").alias("ih"))

@@ -147,6 +147,20 @@ def track_costs(tracks: DataFrame, pred: DataFrame, conf_weight: float = 0.1, le
     return rows.select("image_id", "gt_id", "det_id", unit(1 - unit(high) * F.col("iou") + conf_weight * F.abs(projected - F.col("conf"))).alias("cost"))
 
 
+def fused_cost(overlap: Column, score: Column) -> Column:
+    """One less overlap times the detection's score."""
+    return 1 - overlap * score
+
+
+def appearance_cost(overlap: Column, a: Column, b: Column, least_overlap: float = 0.5, least_similarity: float = 0.8) -> Column:
+    """The lesser of the overlap's cost and the embeddings' (half of one less their cosine), which counts only for pairs near enough in place and in looks; without embeddings the overlap's alone."""
+    from tessera.functions.shapes import cosine
+
+    looks = F.greatest(F.lit(0.0), (1 - cosine(a, b)) / 2)
+    near = (overlap >= least_overlap) & (looks <= 1 - least_similarity)
+    return F.least(1 - overlap, F.when(near & a.isNotNull() & b.isNotNull(), looks).otherwise(F.lit(1.0)))
+
+
 def set_match(pred: DataFrame, gt: DataFrame, weights: tuple[float, float, float] = (1.0, 5.0, 2.0), alpha: float = 0.25, gamma: float = 2.0) -> DataFrame:
     """(image_id, det_id, gt_id): the assignment of least total cost between an image's queries (cx, cy, w, h, ``scores`` by class) and its labels.
 

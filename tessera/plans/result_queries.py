@@ -193,7 +193,24 @@ def track_costs(s, d):
     return ev.rounded(spatial.track_costs(gt.withColumns({"score": F.lit(0.8), "prev_score": F.lit(0.7)}), pred), "cost")
 
 
-QUERIES = {f.__name__: f for f in (results_accessors, results_summary, results_json, results_csv, results_log, results_top5, results_pixel_ratio, class_ids_91, label_remap, stability_scores, set_decoder_boxes, raw_scores_best, raw_scores_every, prompt_points, eval_obb_ap, eval_segment_metrics, eval_pose_matches, eval_frequency_groups, image_counts, epoch_mask, grouped_order, repeated_samples, sample_counted, collated, mosaic9_labels, track_speed_steps, track_costs)}
+def track_looks(s, d):
+    """Costs of overlap and looks together; embeddings are dealt out to labels and predictions."""
+    pred, gt = T(s, d, "pred", "gt")
+    e = read(s, d, "embeddings").select("vec_id", "embedding")
+    rows = ev.pairs(pred, gt, same_class=False).where("iou > 0.3").withColumns({"va": (F.col("det_id") * 13 + F.col("image_id")) % 500, "vb": (F.col("gt_id") * 13 + F.col("image_id")) % 500})
+    rows = rows.join(e.toDF("va", "a"), "va", "left").join(e.toDF("vb", "b"), "vb", "left")
+    cost = spatial.appearance_cost(F.col("iou"), F.col("a"), F.col("b"), 0.5, 0.55)
+    return rows.select("image_id", "det_id", "gt_id", F.round(cost, 5).alias("cost"), F.round(spatial.fused_cost(F.col("iou"), F.col("conf")), 6).alias("fused"))
+
+
+def text_prompts(s, d):
+    from tessera.operators import generate as ge
+
+    rows = ge.text_prompts(table(s, d, "gt"), NAMES, 4, 2, "11")
+    return rows.select("image_id", F.array_join("classes", ",").alias("classes"), F.array_join("texts", ",").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (results_accessors, results_summary, results_json, results_csv, results_log, results_top5, results_pixel_ratio, class_ids_91, label_remap, stability_scores, set_decoder_boxes, raw_scores_best, raw_scores_every, prompt_points, eval_obb_ap, eval_segment_metrics, eval_pose_matches, eval_frequency_groups, image_counts, epoch_mask, grouped_order, repeated_samples, sample_counted, collated, mosaic9_labels, track_speed_steps, track_costs, track_looks, text_prompts)}
 
 _PG, _G, _P, _I = ctes("pred", "gt"), ctes("gt"), ctes("pred"), ctes("images")
 _SCORED = f"{_P}, raw as (select *, list_transform(range(0, 6), lambda c: ((det_id * 37 + image_id * 11 + c * 29) % 97) / 97.0::double) as scores from pred)"
@@ -254,4 +271,10 @@ SQL = {
     "track_speed_steps": f"{ctes('points')}, f as (select frame, min(track_id) as first from points group by 1) select p.track_id, p.frame, round(sqrt(pow(p.x - q.x, 2) + pow(p.y - q.y, 2)) / 10, 6) as distance from points p join f using (frame) join points q on q.frame = p.frame and q.track_id = f.first where p.track_id <> f.first",
     "track_costs": f"""{_PG}, j as (select g.image_id, gt_id, det_id, conf, {eq.INTER.replace('p.', 'q.')} as inter, (q.x2 - q.x1) * (q.y2 - q.y1) as qa, (g.x2 - g.x1) * (g.y2 - g.y1) as ga, (least(g.y2, q.y2) - greatest(g.y1, q.y1)) / (greatest(g.y2, q.y2) - least(g.y1, q.y1) + 1e-9::double) as hi from gt g join pred q on g.image_id = q.image_id and g.x1 < q.x2 and g.x2 > q.x1 and g.y1 < q.y2 and g.y2 > q.y1),
       k as (select *, inter / (qa + ga - inter + 1e-7::double) as iou from j) select image_id, gt_id, det_id, round(least(1, greatest(0, 1 - least(1, greatest(0, hi)) * iou + 0.1::double * abs(0.8::double + (0.8::double - 0.7::double) - conf))), 6) as cost from k where iou > 0.1""",
+    "track_looks": f"""{_PG}, {eq.PAIRS}, j as (select p.*, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c from pairs p left join embeddings a on a.vec_id = (det_id * 13 + p.image_id) % 500 left join embeddings b on b.vec_id = (gt_id * 13 + p.image_id) % 500 where iou > 0.3), k as (select *, greatest(0, (1 - c) / 2) as looks from j)
+      select image_id, det_id, gt_id, round(least(1 - iou, case when iou >= 0.5 and looks <= 1 - 0.55::double then looks else 1.0 end), 5) as cost, round(1 - iou * conf, 6) as fused from k""",
+    "text_prompts": f"""{_G}, own as (select distinct image_id, cls from gt), o as (select *, row_number() over (partition by image_id order by md5(concat_ws(':', cast(image_id as varchar), cast(cls as varchar), '11'))) as r from own), ch as (select * from o where r <= 4), m as (select image_id, count(*) as m from ch group by 1),
+      ne as (select i.image_id, c.cls, row_number() over (partition by i.image_id order by md5(concat_ws(':', cast(i.image_id as varchar), cast(c.cls as varchar), '11'))) as r from m i, (select cast(unnest(range(0, 6)) as int) as cls) c where not exists (select 1 from own w where w.image_id = i.image_id and w.cls = c.cls)),
+      al as (select image_id, cls, r from ch union all select ne.image_id, cls, 100 + r from ne join m using (image_id) where r <= least(2, 4 - m)), g as (select image_id, string_agg(cls, ',' order by r) as classes, string_agg('class' || cls, ',' order by r) as texts, count(*) as n from al group by 1)
+      select image_id, classes, texts || repeat(',', cast(4 - n as int)) as texts from g""",
 }
