@@ -172,13 +172,8 @@ def split_fraction(fraction: float | list, split: str) -> float | int:
 
     0 and 1 mean none and all, as shares; train and val must not be empty.
     """
-    order = ("train", "val", "test")
-    if isinstance(fraction, list) and split in order:
-        at = order.index(split)
-        found = fraction[at] if at < len(fraction) else 1.0
-    else:
-        found = fraction if split == "train" else 1.0
-    found = float(found) if found in (0, 1) else found
+    taken = dict(zip(("train", "val", "test"), fraction, strict=False)) if isinstance(fraction, list) else {"train": fraction}
+    found = taken.get(split, 1.0)
     if found == 0 and split in ("train", "val"):
         raise ValueError(f"no image of {split} would be taken")
-    return found
+    return float(found) if found in (0, 1) else found
