@@ -21,7 +21,7 @@ from .canonical import ctes, read, table
 from .result_queries import NAMES
 
 T = lambda s, d, *names: [table(s, d, n) for n in names]
-W, H = F.lit(1200.0), F.lit(900.0)
+WH = lambda: (F.lit(1200.0), F.lit(900.0))
 _B = ("x1", "y1", "x2", "y2")
 _POINTS = lambda: _ring(*_B)
 
@@ -41,13 +41,13 @@ def box_enclosing(s, d):
 
 
 def points_scaled_back(s, d):
-    p = bx.scale_points_back(_POINTS(), W, H, F.lit(640.0), F.lit(640.0))
+    p = bx.scale_points_back(_POINTS(), *WH(), F.lit(640.0), F.lit(640.0))
     at = lambda i, c: F.round(F.get(p, F.lit(i))[c], 4).alias(f"{c}{i}")
     return table(s, d, "gt").select("image_id", "gt_id", at(0, "x"), at(0, "y"), at(2, "x"), at(2, "y"))
 
 
 def points_flipped(s, d):
-    p = au.flip_points(_POINTS(), W, H, [1, 0, 3, 2])
+    p = au.flip_points(_POINTS(), *WH(), [1, 0, 3, 2])
     at = lambda i, c: F.get(p, F.lit(i))[c].alias(f"{c}{i}")
     return table(s, d, "gt").select("image_id", "gt_id", at(0, "x"), at(0, "y"), at(1, "x"), at(3, "y"))
 
@@ -99,7 +99,7 @@ def label_paths(s, d):
 def label_counters(s, d):
     """Found, missing, empty and corrupt label files of all images; some files are written empty or broken."""
     images, gt = T(s, d, "images", "gt")
-    b = bx.normalise(bx.xyxy_to_xywh(bx.cols(*_B)), W, H)
+    b = bx.normalise(bx.xyxy_to_xywh(bx.cols(*_B)), *WH())
     rows = gt.select("image_id", "gt_id", "cls", *[F.least(F.lit(1.0), v).alias(n) for v, n in zip(b, ("cx", "cy", "w", "h"), strict=True)])
     texts = labels.lines(rows, "image_id", ["gt_id"]).join(images.select("image_id", "im_file"), "image_id")
     value = F.when(F.col("image_id") % 10 == 0, "").when(F.col("image_id") % 10 == 1, F.concat("text", F.lit("\n9 2 0 0 0"))).otherwise(F.col("text"))
@@ -109,7 +109,7 @@ def label_counters(s, d):
 
 def pose_lines(s, d):
     """Label lines with two key points, written and parsed again."""
-    b = bx.normalise(bx.xyxy_to_xywh(bx.cols(*_B)), W, H)
+    b = bx.normalise(bx.xyxy_to_xywh(bx.cols(*_B)), *WH())
     six = lambda v: F.format_string("%.6f", v)
     line = F.concat_ws(" ", F.col("cls").cast("string"), *[six(F.least(F.lit(1.0), v)) for v in b], six(F.col("x1") / 1200), six(F.col("y1") / 900), (F.col("pk") % 3).cast("string"), six(F.lit(0.5)), six(F.lit(0.25)), F.lit("2"))
     files = table(s, d, "gt").select(F.concat_ws("/", "image_id", "gt_id").alias("path"), line.alias("value"))

@@ -16,17 +16,17 @@ from .canonical import CLASSES, ctes, read, table
 
 NAMES = {i: f"class{i}" for i in range(CLASSES)}
 T = lambda s, d, *names: [table(s, d, n) for n in names]
-W, H = F.lit(1200.0), F.lit(900.0)
+WH = lambda: (F.lit(1200.0), F.lit(900.0))
 
 
 def results_accessors(s, d):
-    rows = rs.accessors(table(s, d, "pred"), W, H)
+    rows = rs.accessors(table(s, d, "pred"), *WH())
     first = lambda c, i: F.round(F.get(c, F.lit(i)), 6).alias(f"{c}_{i}")
     return rows.select("image_id", "det_id", first("xyxy", 0), first("xywh", 0), first("xywh", 3), first("xyxyn", 2), first("xywhn", 1), first("xywhn", 2))
 
 
 def results_summary(s, d):
-    return rs.summary(table(s, d, "pred"), NAMES, W, H).select("image_id", "det_id", "name", "class", "confidence", "box.*")
+    return rs.summary(table(s, d, "pred"), NAMES, *WH()).select("image_id", "det_id", "name", "class", "confidence", "box.*")
 
 
 def results_json(s, d):
