@@ -125,18 +125,19 @@ def average_precision(points: DataFrame, gt: DataFrame, thresholds: list[float]
     the next one lies is known from its number, so only rows that emit any look it up: 101 at most for
     each class and threshold.
     """
-    labels = F.broadcast(gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels")))  # a row a class
+    counted = settled(gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels")).coalesce(1))  # a row a class
+    labels = F.broadcast(counted)
     place = F.create_map(*[x for i, t in enumerate(thresholds) for x in (F.lit(float(t)), F.col(f"c{i}"))])
     hits = points.where(F.size("hit") > 0).select("cls", "bucket", "n", F.explode("hit").alias("thr"), place.alias("c")).select("thr", "cls", "bucket", "n", F.element_at("c", F.col("thr")).alias("cum_tp"))
     hits = hits.join(labels, "cls").withColumns({"recall": F.col("cum_tp") / (F.col("n_labels") + EPS), "precision": F.col("cum_tp") / F.col("n")})
-    hits = suffix_max(hits, ["thr", "cls"], "bucket", [F.col("cum_tp")], "precision", "env")
+    hits = settled(suffix_max(hits, ["thr", "cls"], "bucket", [F.col("cum_tp")], "precision", "env").select("thr", "cls", "n", "cum_tp", "n_labels", "recall", "env"))
     zero = F.lit(0).cast("long")
     start = labels.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"), "cls", zero.alias("n"), zero.alias("cum_tp"), "n_labels", F.lit(0.0).alias("recall"), F.lit(1.0).alias("env"))
     steps = hits.select(*start.columns).unionByName(start)
     low, high = first_step(F.col("recall"), 100.0), first_step((F.col("cum_tp") + 1) / (F.col("n_labels") + EPS), 100.0) - 1
     steps = steps.withColumns({"low": low, "high": high}).where("low <= high")
     after = hits.select("thr", "cls", (F.col("cum_tp") - 1).alias("cum_tp"), F.col("n").alias("next_n"), F.col("recall").alias("next_recall"), F.col("env").alias("next_env"))
-    steps = after.join(F.broadcast(steps) if gt.select("cls").distinct().count() <= 10_000 else steps, ["thr", "cls", "cum_tp"])
+    steps = after.join(F.broadcast(steps) if counted.count() <= 10_000 else steps, ["thr", "cls", "cum_tp"])
     # the envelope just after this recall: its own value, or that of the next hit where misses lie between
     here = F.when(F.col("next_n") - F.col("n") > 1, F.col("next_env")).otherwise(F.col("env"))
     grid = steps.withColumn("here", here).withColumn("k", F.explode(F.sequence("low", "high")))
