@@ -34,9 +34,10 @@ def running_sums(df: DataFrame, keys: list[str], bucket: str, order: list[Column
 def suffix_max(df: DataFrame, keys: list[str], bucket: str, order: list[Column], value: str, name: str) -> DataFrame:
     """Adds ``name``: the greatest ``value`` from the row to the end of its group."""
     parts = df.groupBy(*keys, bucket).agg(F.max(value).alias("part"))
-    after = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(1, Window.unboundedFollowing)
+    # both from the end: a frame that reaches to the end would be computed anew for each row
+    after = Window.partitionBy(*keys).orderBy(F.desc(bucket)).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*keys, bucket, F.max("part").over(after).alias("later"))
-    inside = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    inside = Window.partitionBy(*keys, bucket).orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = df.withColumn("here", F.max(value).over(inside)).join(parts, [*keys, bucket])
     return out.withColumn(name, F.greatest("here", "later")).drop("here", "later")
 
