@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, iou, overlaps, prob_iou
 from tessera.functions.kernels import group_slices, whole_groups
-from tessera.storage import settled
+from tessera.storage import settled, written
 
 from .scans import parts_for, running_sums, suffix_max
 
@@ -19,17 +19,27 @@ THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 EPS = 1e-16
 
 
-def pairs(pred: DataFrame, gt: DataFrame, same_class: bool = True) -> DataFrame:
-    """(image_id, det_id, conf, gt_id, iou, det_cls, gt_cls) of overlapping boxes of one image: an equi-join with a range predicate."""
+def _beside(p: DataFrame, g: DataFrame, image: Column, near: Column, same_class: bool, every: bool) -> DataFrame:
+    """Detections with the labels of their image that are near; with ``every``, detections without any have a row as well.
+
+    For that the class is a range beside the image, not a second key: rows that are dealt out by image
+    already need not be dealt out again.
+    """
+    det, label = F.col("det_cls"), F.col("gt_cls")
+    if every:
+        return p.join(g, image & (det.between(label, label) & near if same_class else near), "left")
+    return p.join(g, image & (det == label) & near if same_class else image & near)
+
+
+def pairs(pred: DataFrame, gt: DataFrame, same_class: bool = True, every: bool = False) -> DataFrame:
+    """(image_id, det_id, conf, gt_id, iou, det_cls, gt_cls) of overlapping boxes of one image: an equi-join with a range predicate. ``every``: see :func:`_beside`."""
     p = pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls"), *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
     g = gt.select("image_id", "gt_id", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
     a, b = cols("gx1", "gy1", "gx2", "gy2"), cols("px1", "py1", "px2", "py2")
-    on = (p["image_id"] == g["image_id"]) & overlaps(a, b)
-    on = on & (F.col("det_cls") == F.col("gt_cls")) if same_class else on
-    return p.join(g, on).select(p["image_id"], "det_id", "conf", "gt_id", iou(a, b).alias("iou"), "det_cls", "gt_cls")
+    return _beside(p, g, p["image_id"] == g["image_id"], overlaps(a, b), same_class, every).select(p["image_id"], "det_id", "conf", "gt_id", iou(a, b).alias("iou"), "det_cls", "gt_cls")
 
 
-def rotated_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
+def rotated_pairs(pred: DataFrame, gt: DataFrame, every: bool = False) -> DataFrame:
     """The pairs of rotated boxes (cx, cy, w, h, theta) of one image and class, scored by probabilistic IoU; boxes farther apart than their half diagonals score (almost) nothing and are left out."""
     five = ("cx", "cy", "w", "h", "theta")
     p = pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls"), *[F.col(c).alias(f"p_{c}") for c in five])
@@ -37,7 +47,7 @@ def rotated_pairs(pred: DataFrame, gt: DataFrame) -> DataFrame:
     reach = (F.hypot("p_w", "p_h") + F.hypot("g_w", "g_h")) / 2
     near = (F.abs(F.col("p_cx") - F.col("g_cx")) < reach) & (F.abs(F.col("p_cy") - F.col("g_cy")) < reach)
     score = prob_iou(tuple(F.col(f"g_{c}") for c in five), tuple(F.col(f"p_{c}") for c in five))
-    return p.join(g, (F.col("image_id") == F.col("i_")) & (F.col("det_cls") == F.col("gt_cls")) & near).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
+    return _beside(p, g, F.col("image_id") == F.col("i_"), near, True, every).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
 
 
 def keypoint_pairs(pred: DataFrame, gt: DataFrame, sigmas: list[float], area_share: float = 0.53) -> DataFrame:
@@ -68,6 +78,23 @@ def match_pairs(scored: DataFrame, thresholds: list[float] = THRESHOLDS) -> Data
     return one.withColumn("thr", F.explode(met)).withColumn("rn", F.row_number().over(first)).where("rn = 1").select("thr", "image_id", "det_id", "gt_id")
 
 
+def ranked(pred: DataFrame, gt: DataFrame, score: Callable[..., DataFrame] = pairs, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """(cls, conf, image_id, det_id, low, high), written, a row a detection: the true positives of :func:`match_pairs` at the thresholds from place ``low`` up to ``high``, excluded. ``thresholds`` rise.
+
+    ``score(pred, gt, every=True)`` pairs them. A detection holds its candidate at a threshold that it
+    reaches and no detection before it does. All is by image: one exchange serves pairs and windows.
+    """
+    place = F.col("image_id")
+    scored = score(pred.where(place.isNotNull()), gt, every=True)
+    best = F.max(F.struct(F.col("iou"), (-F.col("gt_id")).alias("label"))).alias("best")
+    one = scored.groupBy("image_id", "det_id").agg(F.first("det_cls").alias("cls"), F.first("conf").alias("conf"), best).select("image_id", "det_id", "cls", "conf", "best.iou", "best.label")
+    before = F.max("iou").over(Window.partitionBy("image_id", "label").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, -1))
+    met = lambda c: sum((F.when(F.col(c) >= float(t), 1).otherwise(0) for t in thresholds), F.lit(0)).cast("byte")
+    rows = one.withColumn("before", before).select("cls", "conf", "image_id", "det_id", F.least(met("before"), met("iou")).alias("low"), met("iou").alias("high"))
+    none = F.lit(0).cast("byte")
+    return written(rows.unionByName(pred.where(place.isNull()).select("cls", "conf", "image_id", "det_id", none.alias("low"), none.alias("high"))))
+
+
 def by_frequency(ap: DataFrame, gt: DataFrame, rare: int = 10, common: int = 100) -> DataFrame:
     """(band, classes, ap): mean AP of the classes that at most ``rare`` images have, at most ``common``, and of the rest."""
     n = gt.groupBy("cls").agg(F.countDistinct("image_id").alias("n"))
@@ -100,10 +127,19 @@ def curve(pred: DataFrame, matches: DataFrame, thresholds: list[float] = THRESHO
     """
     hits = matches.groupBy("image_id", "det_id").agg(F.collect_set("thr").alias("hit"))
     rows = pred.select("image_id", "det_id", "cls", "conf").join(hits, ["image_id", "det_id"], "left").withColumn("hit", F.coalesce("hit", F.array().cast("array<double>")))
-    flags = {f"t{i}": F.array_contains("hit", float(t)).cast("int") for i, t in enumerate(thresholds)}
-    rows = rows.withColumns(flags | {"one": F.lit(1), "bucket": (-F.floor(F.col("conf") * parts_for(pred.count()))).cast("long")})
+    return _counted(rows, pred.count(), [F.array_contains("hit", float(t)) for t in thresholds])
+
+
+def ranked_curve(rows: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """:func:`curve` of rows from :func:`ranked`, which are narrow: they are what is sorted."""
+    out = _counted(rows, rows.count(), [(F.col("low") <= i) & (F.col("high") > i) for i in range(len(thresholds))])
+    return out.withColumn("hit", F.slice(F.array(*[F.lit(float(t)) for t in thresholds]), F.col("low") + 1, F.col("high") - F.col("low"))).drop("low", "high")
+
+
+def _counted(rows: DataFrame, size: int, flags: list[Column]) -> DataFrame:
+    rows = rows.withColumn("bucket", (-F.floor(F.col("conf") * parts_for(size))).cast("long"))
     order = [F.desc("conf"), F.col("image_id"), F.col("det_id")]
-    return running_sums(rows, ["cls"], "bucket", order, {"n": "one"} | {f"c{i}": f"t{i}" for i in range(len(thresholds))}).drop("one", *flags)
+    return running_sums(rows, ["cls"], "bucket", order, {"n": F.lit(1)} | {f"c{i}": f.cast("int") for i, f in enumerate(flags)})
 
 
 def counts_at(points: DataFrame, i: int) -> DataFrame:
@@ -120,24 +156,26 @@ def by_threshold(points: DataFrame, thresholds: list[float], **aggregates: Calla
 def average_precision(points: DataFrame, gt: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """(cls, thr, ap) for every class with labels, from :func:`curve`: 101-point interpolation of the precision envelope.
 
-    Recall grows at true positives only and precision is greatest there, so only these rows are kept.
-    Between two of them the envelope is linear; a row emits the grid points up to the next one. Where
-    the next one lies is known from its number, so only rows that emit any look it up: 101 at most for
-    each class and threshold.
+    Recall grows at true positives only and precision is greatest there, so only these rows count.
+    Between two of them the envelope is linear; a row emits the grid points up to the next one. Which
+    rows emit any follows from their number, 101 at most for each class and threshold; these, and the
+    runs of rows between them, are one aggregate each, so nothing is dealt out or sorted again.
     """
     counted = settled(gt.groupBy("cls").agg(F.count(F.lit(1)).alias("n_labels")).coalesce(1))  # a row a class
     labels = F.broadcast(counted)
-    place = F.create_map(*[x for i, t in enumerate(thresholds) for x in (F.lit(float(t)), F.col(f"c{i}"))])
-    hits = points.where(F.size("hit") > 0).select("cls", "bucket", "n", F.explode("hit").alias("thr"), place.alias("c")).select("thr", "cls", "bucket", "n", F.element_at("c", F.col("thr")).alias("cum_tp"))
-    hits = hits.join(labels, "cls").withColumns({"recall": F.col("cum_tp") / (F.col("n_labels") + EPS), "precision": F.col("cum_tp") / F.col("n")})
-    hits = settled(suffix_max(hits, ["thr", "cls"], "bucket", [F.col("cum_tp")], "precision", "env").select("thr", "cls", "n", "cum_tp", "n_labels", "recall", "env"))
+    hit = F.array_compact(F.array(*[F.when(F.array_contains("hit", float(t)), F.struct(F.lit(float(t)).alias("thr"), F.col(f"c{i}").alias("cum_tp"))) for i, t in enumerate(thresholds)]))
+    hits = points.where(F.size("hit") > 0).select("cls", "n", F.explode(hit).alias("h")).select("h.*", "cls", "n").join(labels, "cls")
+    step = lambda c: first_step(c / (F.col("n_labels") + EPS), 100.0)
+    low, high = step(F.col("cum_tp")), step(F.col("cum_tp") + 1) - 1
+    hits = hits.withColumns({"low": low, "high": high, "top": F.col("cum_tp") / F.col("n")}).withColumn("high", F.when(F.col("low") <= F.col("high"), F.col("high")))
+    runs = hits.groupBy("thr", "cls", "n_labels", "low", "high").agg(F.min("n").alias("n"), F.min("cum_tp").alias("cum_tp"), F.max("top").alias("top"))
     zero = F.lit(0).cast("long")
-    start = labels.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"), "cls", zero.alias("n"), zero.alias("cum_tp"), "n_labels", F.lit(0.0).alias("recall"), F.lit(1.0).alias("env"))
-    steps = hits.select(*start.columns).unionByName(start)
-    low, high = first_step(F.col("recall"), 100.0), first_step((F.col("cum_tp") + 1) / (F.col("n_labels") + EPS), 100.0) - 1
-    steps = steps.withColumns({"low": low, "high": high}).where("low <= high")
-    after = hits.select("thr", "cls", (F.col("cum_tp") - 1).alias("cum_tp"), F.col("n").alias("next_n"), F.col("recall").alias("next_recall"), F.col("env").alias("next_env"))
-    steps = after.join(F.broadcast(steps) if counted.count() <= 10_000 else steps, ["thr", "cls", "cum_tp"])
+    start = labels.select(F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("thr"), "cls", "n_labels", zero.alias("n"), zero.alias("cum_tp"), F.lit(1.0).alias("top"))
+    runs = runs.unionByName(start.withColumns({"low": low, "high": high}))
+    from_end = Window.partitionBy("thr", "cls").orderBy(F.desc("cum_tp")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumns({"env": F.max("top").over(from_end), "recall": F.col("cum_tp") / (F.col("n_labels") + EPS)})
+    after = Window.partitionBy("thr", "cls").orderBy(F.desc("cum_tp"))
+    steps = runs.withColumns({f"next_{c}": F.lag(c).over(after) for c in ("n", "recall", "env")}).where("low <= high and next_n is not null")
     # the envelope just after this recall: its own value, or that of the next hit where misses lie between
     here = F.when(F.col("next_n") - F.col("n") > 1, F.col("next_env")).otherwise(F.col("env"))
     grid = steps.withColumn("here", here).withColumn("k", F.explode(F.sequence("low", "high")))

@@ -137,7 +137,7 @@ def eval_pose_matches(s, d):
 def eval_frequency_groups(s, d):
     """Mean AP of rare, common and frequent classes, by the number of images that have them."""
     pred, gt = T(s, d, "pred", "gt")
-    ap = ev.average_precision(eq.settled(ev.curve(pred, ev.match(pred, gt))), gt)
+    ap = ev.average_precision(ev.ranked_curve(ev.ranked(pred, gt)), gt)
     images = table(s, d, "images").count()
     return ev.rounded(ev.by_frequency(ap, gt, round(images * 0.40), round(images * 0.44)), "ap")
 
