@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.boxes import area, cols, intersection, overlaps
 from tessera.functions.kernels import group_slices, whole_groups
-from tessera.storage import settled
 
 
 def top_by_confidence(pred: DataFrame, k: int) -> DataFrame:
@@ -38,47 +37,36 @@ def fast_nms(pred: DataFrame, thr: float) -> DataFrame:
     return pred.join(q, on, "left_anti")
 
 
-def kept_by_greedy(boxes: np.ndarray, order: np.ndarray, thr: float) -> list[int]:
-    """Indices that greedy suppression keeps, visiting boxes in ``order``; overlap is strictly above ``thr``."""
-    x1, y1, x2, y2 = boxes.T
-    areas, kept = (x2 - x1) * (y2 - y1), []
-    while len(order):
-        i, rest = order[0], order[1:]
-        kept.append(int(i))
-        w = np.maximum(0, np.minimum(x2[i], x2[rest]) - np.maximum(x1[i], x1[rest]))
-        h = np.maximum(0, np.minimum(y2[i], y2[rest]) - np.maximum(y1[i], y1[rest]))
-        inter = w * h
-        order = rest[inter / (areas[i] + areas[rest] - inter) <= thr]
+def kept_by_greedy(boxes: np.ndarray, group: np.ndarray, thr: float) -> np.ndarray:
+    """Which boxes greedy suppression keeps, best first within the runs of equal ``group``; overlap is strictly above ``thr``.
+
+    A round keeps the first box left of every group and drops those that it overlaps, in all groups at once.
+    """
+    areas, kept, left = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]), np.zeros(len(boxes), bool), np.arange(len(boxes))
+    while len(left):
+        first = np.append(True, group[left[1:]] != group[left[:-1]])
+        kept[left[first]] = True
+        head, rest = left[first][np.cumsum(first) - 1][~first], left[~first]
+        a, b = boxes[head], boxes[rest]
+        inter = np.prod(np.clip(np.minimum(a[:, 2:], b[:, 2:]) - np.maximum(a[:, :2], b[:, :2]), 0, None), 1)
+        over = inter > 0
+        over[over] = inter[over] / (areas[head[over]] + areas[rest[over]] - inter[over]) > thr
+        left = rest[~over]
     return kept
 
 
 def greedy_nms(pred: DataFrame, thr: float, keys: tuple[str, ...] = ("image_id",), by_class: bool = True) -> DataFrame:
     """Greedy suppression within ``keys`` and class; ``det_id`` is unique within ``keys``.
 
-    A box that no better one overlaps is kept, a box that a kept one overlaps goes: both are joins.
-    Only chains beyond that, a few boxes, go to Python, many groups of ``keys`` to an Arrow batch.
+    The window brings the boxes of ``keys`` together, best first, without an exchange where they are
+    already; Python suppresses in all groups of an Arrow batch at once.
     """
-    group = [*keys, *(["cls"] if by_class else [])]
-    box = ["x1", "y1", "x2", "y2"]
-    q = pred.select(*[F.col(c).alias(f"q_{c}") for c in dict.fromkeys([*group, "det_id", "conf", *box])])
-    a, b = cols(*box), cols(*[f"q_{c}" for c in box])
-    inter = intersection(a, b)
-    better = (F.col("q_conf") > F.col("conf")) | ((F.col("q_conf") == F.col("conf")) & (F.col("q_det_id") < F.col("det_id")))
-    on = better & overlaps(a, b) & (inter / (area(a) + area(b) - inter) > thr)
-    for c in group:
-        on = on & (F.col(c) == F.col(f"q_{c}"))
-    ids = [*keys, "det_id"]
-    edges = settled(pred.join(q, on).select(*ids, "q_det_id"))
-    worse = edges.select(*ids).distinct()
-    hit = edges.join(worse.withColumnRenamed("det_id", "q_det_id"), [*keys, "q_det_id"], "left_anti").select(*ids).distinct()
-    sure = pred.join(worse, ids, "left_anti")
-    open_ = pred.join(worse.join(hit, ids, "left_anti"), ids, "left_semi")
+    group, box = [*keys, *(["cls"] if by_class else [])], ["x1", "y1", "x2", "y2"]
+    place = Window.partitionBy(*keys).orderBy(*group[len(keys) :], F.desc("conf"), "det_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_groups(batches, *keys):
-            at, conf, ids, kept = pdf[box].to_numpy(), pdf["conf"].to_numpy(), pdf["det_id"].to_numpy(), []
-            for part in group_slices(pdf, *group):
-                kept += [part.start + i for i in kept_by_greedy(at[part], np.lexsort((ids[part], -conf[part])), thr)]
-            yield pdf.iloc[kept]
+            run_of = np.repeat(*np.array([(i, part.stop - part.start) for i, part in enumerate(group_slices(pdf, *group))]).T)
+            yield pdf[kept_by_greedy(pdf[box].to_numpy(float), run_of, thr)].drop(columns="n_")
 
-    return sure.unionByName(open_.repartition(*keys).sortWithinPartitions(*group).mapInPandas(run, pred.schema))
+    return pred.withColumn("n_", F.row_number().over(place)).mapInPandas(run, pred.schema)

@@ -13,8 +13,8 @@ from .scans import global_rank
 ORDER = ((0, 0), (1, 0), (0, 1), (1, 1))
 
 
-def grid_2x2(images: DataFrame, overlap: float = 0.2, bias_x: Column | None = None, bias_y: Column | None = None, order: tuple = ORDER) -> DataFrame:
-    """Four overlapping tiles an image: (image_id, w, h, k, x0, y0, x1, y1, seam_x, seam_y). A bias moves the seams."""
+def grid_2x2(images: DataFrame, overlap: float = 0.2, bias_x: Column | None = None, bias_y: Column | None = None, order: tuple = ORDER, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Four overlapping tiles an image: (image_id, w, h, k, x0, y0, x1, y1, seam_x, seam_y), with the columns ``keep``. A bias moves the seams."""
     side = lambda size: F.least(size, F.greatest(F.lit(1.0), F.floor(size * (1 + overlap) / 2).cast("double")))
     sw, sh = side(F.col("w")), side(F.col("h"))
     shift = lambda bias, size, s: F.least(size - s, F.greatest(-(size - s), F.coalesce(bias, F.lit(0.0)))) if bias is not None else F.lit(0.0)
@@ -23,7 +23,7 @@ def grid_2x2(images: DataFrame, overlap: float = 0.2, bias_x: Column | None = No
     top, bottom = (F.lit(0.0), F.least(F.col("h"), sh + by)), (F.greatest(F.lit(0.0), F.col("h") - sh + by), F.col("h"))
     tiles = [F.struct(F.lit(k).alias("k"), (right if c else left)[0].alias("x0"), (bottom if r else top)[0].alias("y0"), (right if c else left)[1].alias("x1"), (bottom if r else top)[1].alias("y1")) for k, (r, c) in enumerate(order)]
     seams = images.withColumns({"seam_x": (left[1] + right[0]) / 2, "seam_y": (top[1] + bottom[0]) / 2, "tile": F.explode(F.array(*tiles))})
-    return seams.select("image_id", "w", "h", "tile.*", "seam_x", "seam_y")
+    return seams.select("image_id", "w", "h", "tile.*", "seam_x", "seam_y", *keep)
 
 
 def windows(images: DataFrame, crop: int, gap: int, least_rate: float = 0.6) -> DataFrame:
@@ -122,6 +122,23 @@ def to_original(boxes: DataFrame, tiles: DataFrame, size: int | None = None) ->
     return boxes.join(t, ["image_id", "k"]).withColumns({"x1": back("x1", left, "x0"), "x2": back("x2", left, "x0"), "y1": back("y1", top, "y0"), "y2": back("y2", top, "y0")}).drop("x0", "y0", "tw", "th")
 
 
+def through_canvas(boxes: DataFrame, images: DataFrame, size: int) -> DataFrame:
+    """``boxes`` with the tile ``k`` of each part wider and higher than one pixel, and the part as it comes back from the tile's canvas of ``size``.
+
+    What :func:`validation_boxes`, :func:`to_canvas` and :func:`to_original` give over the four tiles of
+    :func:`grid_2x2`, with one join: an image's size comes to its boxes, and never as a broadcast, as
+    the estimate of a table of images is far below what it takes.
+    """
+    held = boxes.join(images.select("image_id", "w", "h").hint("merge"), "image_id").withColumn("box", F.struct(*[c for c in boxes.columns if c != "image_id"]))
+    b = tuple(F.col(f"box.{c}") for c in ("x1", "y1", "x2", "y2"))
+    rows = grid_2x2(held.select("image_id", "w", "h", "box"), keep=("box",)).withColumnsRenamed({"x1": "tx1", "y1": "ty1"})
+    rows = rows.where((b[0] < F.col("tx1")) & (b[2] > F.col("x0")) & (b[1] < F.col("ty1")) & (b[3] > F.col("y0")))
+    rows = rows.withColumns(dict(zip(("cx1", "cy1", "cx2", "cy2"), _clip(b), strict=True))).where("cx2 - cx1 > 1 and cy2 - cy1 > 1")
+    r, left, top = canvas(F.col("tx1") - F.col("x0"), F.col("ty1") - F.col("y0"), size)
+    back = lambda c, at, pad: (((F.col(c) - F.col(at)) * r + pad) - pad) / r + F.col(at)
+    return rows.select("image_id", "k", *[F.col(f"box.{c}") for c in boxes.columns if c not in ("image_id", "x1", "y1", "x2", "y2")], back("cx1", "x0", left).alias("x1"), back("cy1", "y0", top).alias("y1"), back("cx2", "x0", left).alias("x2"), back("cy2", "y0", top).alias("y2"))
+
+
 def _near(places: Column, centres: Column, size: Column, reach: Column) -> Column:
     """How many centres lie nearer than ``reach`` to each place (a share of ``size``)."""
     return F.transform(places, lambda p: F.size(F.filter(centres, lambda c: F.abs(c - p * size) < reach)))

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from tessera.operators import evaluation as ev
-from tessera.plans import registry
+from tessera.operators import suppress
+from tessera.plans import registry, result_queries
 from tessera.plans.canonical import table
 
 SF = "/root/testdata/sf0.01"
@@ -34,7 +37,8 @@ def test_precision_writes_narrow_rows(spark, shared, name):
     assert written < 24 * table(spark, SF, "pred").count()
 
 
-def test_ranked_are_the_matches(spark):
+@pytest.mark.parametrize("score", [ev.pairs, ev.rotated_pairs])
+def test_ranked_are_the_matches(spark, score):
     """Equal scores, equal confidences, labels that several detections want, no label near, no image."""
     rng = random.Random(5)
     box = lambda: (x := rng.randrange(0, 12) * 2.0, y := rng.randrange(0, 6) * 2.0, x + rng.choice([10.0, 12.0]), y + rng.choice([10.0, 12.0]))
@@ -42,7 +46,26 @@ def test_ranked_are_the_matches(spark):
     gt = [(i, g, rng.randrange(2), *box()) for i in range(40) for g in range(rng.randrange(6))] + [(None, 1, 0, 0.0, 0.0, 9.0, 9.0)]
     p = spark.createDataFrame(pred, "image_id long, det_id int, cls int, x1 double, y1 double, x2 double, y2 double, conf double")
     g = spark.createDataFrame(gt, "image_id long, gt_id int, cls int, x1 double, y1 double, x2 double, y2 double")
-    rows = ev.ranked(p, g).collect()
+    p, g = result_queries._rotated(p), result_queries._rotated(g)
+    rows = ev.ranked(p, g, score).collect()
     assert len(rows) == len(pred)
     got = {(t, r.image_id, r.det_id) for r in rows for t in ev.THRESHOLDS[r.low : r.high]}
-    assert got == {(r.thr, r.image_id, r.det_id) for r in ev.match(p, g).collect()} and got
+    assert got == {(r.thr, r.image_id, r.det_id) for r in ev.match_pairs(score(p, g)).collect()} and got
+
+
+@needs_tables
+def test_fusion_broadcasts_no_table(spark):
+    """A table of images estimates its columns, not the tiles made of them; only the constants of the tables' SQL are sent out."""
+    plan = registry.queries()["tile_fusion"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"BroadcastExchange HashedRelation", plan)
+
+
+def test_greedy_in_all_groups_at_once():
+    rng = np.random.default_rng(3)
+    at = rng.integers(0, 20, (300, 2)).astype(float)
+    boxes, group = np.hstack([at, at + rng.integers(0, 12, (300, 2))]), np.sort(rng.integers(0, 40, 300))
+    want = []
+    for i, (x, y, u, v) in enumerate(boxes):
+        over = lambda j: (w := max(0, min(u, boxes[j][2]) - max(x, boxes[j][0])) * max(0, min(v, boxes[j][3]) - max(y, boxes[j][1]))) > 0 and w / ((u - x) * (v - y) + np.prod(boxes[j][2:] - boxes[j][:2]) - w) > 0.3  # noqa: B023, E731
+        want += [] if any(group[j] == group[i] and over(j) for j in want) else [i]
+    assert np.flatnonzero(suppress.kept_by_greedy(boxes, group, 0.3)).tolist() == want
