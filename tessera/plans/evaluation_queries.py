@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluation as ev
 from tessera.operators import suppress
-from tessera.storage import settled
 
 from .canonical import CLASSES, ctes, read, table
 
@@ -51,7 +50,7 @@ AP = f"""{CURVE}, pr as (
 
 def _points(s, d):
     pred, gt = T(s, d, "pred", "gt")
-    return pred, gt, settled(ev.curve(pred, ev.match(pred, gt)))
+    return pred, gt, ev.ranked_curve(ev.ranked(pred, gt))
 
 
 def eval_matches(s, d):
