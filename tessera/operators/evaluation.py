@@ -19,7 +19,7 @@ THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 EPS = 1e-16
 
 
-def _beside(p: DataFrame, g: DataFrame, image: Column, near: Column, same_class: bool, every: bool) -> DataFrame:
+def beside(p: DataFrame, g: DataFrame, image: Column, near: Column, same_class: bool = True, every: bool = True) -> DataFrame:
     """Detections with the labels of their image that are near; with ``every``, detections without any have a row as well.
 
     For that the class is a range beside the image, not a second key: rows that are dealt out by image
@@ -32,11 +32,11 @@ def _beside(p: DataFrame, g: DataFrame, image: Column, near: Column, same_class:
 
 
 def pairs(pred: DataFrame, gt: DataFrame, same_class: bool = True, every: bool = False) -> DataFrame:
-    """(image_id, det_id, conf, gt_id, iou, det_cls, gt_cls) of overlapping boxes of one image: an equi-join with a range predicate. ``every``: see :func:`_beside`."""
+    """(image_id, det_id, conf, gt_id, iou, det_cls, gt_cls) of overlapping boxes of one image: an equi-join with a range predicate. ``every``: see :func:`beside`."""
     p = pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls"), *[F.col(c).alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")])
     g = gt.select("image_id", "gt_id", F.col("cls").alias("gt_cls"), *[F.col(c).alias(f"g{c}") for c in ("x1", "y1", "x2", "y2")])
     a, b = cols("gx1", "gy1", "gx2", "gy2"), cols("px1", "py1", "px2", "py2")
-    return _beside(p, g, p["image_id"] == g["image_id"], overlaps(a, b), same_class, every).select(p["image_id"], "det_id", "conf", "gt_id", iou(a, b).alias("iou"), "det_cls", "gt_cls")
+    return beside(p, g, p["image_id"] == g["image_id"], overlaps(a, b), same_class, every).select(p["image_id"], "det_id", "conf", "gt_id", iou(a, b).alias("iou"), "det_cls", "gt_cls")
 
 
 def rotated_pairs(pred: DataFrame, gt: DataFrame, every: bool = False) -> DataFrame:
@@ -47,7 +47,7 @@ def rotated_pairs(pred: DataFrame, gt: DataFrame, every: bool = False) -> DataFr
     reach = (F.hypot("p_w", "p_h") + F.hypot("g_w", "g_h")) / 2
     near = (F.abs(F.col("p_cx") - F.col("g_cx")) < reach) & (F.abs(F.col("p_cy") - F.col("g_cy")) < reach)
     score = prob_iou(tuple(F.col(f"g_{c}") for c in five), tuple(F.col(f"p_{c}") for c in five))
-    return _beside(p, g, F.col("image_id") == F.col("i_"), near, True, every).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
+    return beside(p, g, F.col("image_id") == F.col("i_"), near, True, every).select("image_id", "det_id", "conf", "gt_id", score.alias("iou"), "det_cls", "gt_cls")
 
 
 def keypoint_pairs(pred: DataFrame, gt: DataFrame, sigmas: list[float], area_share: float = 0.53) -> DataFrame:
@@ -85,7 +85,7 @@ def ranked(pred: DataFrame, gt: DataFrame, score: Callable[..., DataFrame] = pai
     reaches and no detection before it does. All is by image: one exchange serves pairs and windows.
     """
     place = F.col("image_id")
-    scored = score(pred.where(place.isNotNull()), gt, every=True)
+    scored = score(pred.where(place.isNotNull()), gt, every=True).withColumn("iou", F.when(F.col("gt_id").isNotNull(), F.col("iou")))
     best = F.max(F.struct(F.col("iou"), (-F.col("gt_id")).alias("label"))).alias("best")
     one = scored.groupBy("image_id", "det_id").agg(F.first("det_cls").alias("cls"), F.first("conf").alias("conf"), best).select("image_id", "det_id", "cls", "conf", "best.iou", "best.label")
     before = F.max("iou").over(Window.partitionBy("image_id", "label").orderBy(F.desc("conf"), "det_id").rowsBetween(Window.unboundedPreceding, -1))

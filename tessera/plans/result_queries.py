@@ -106,8 +106,7 @@ def _rotated(df):
 def eval_obb_ap(s, d):
     """Average precision of rotated boxes by probabilistic IoU."""
     pred, gt = T(s, d, "pred", "gt")
-    found = ev.rotated_pairs(_rotated(pred), _rotated(gt))
-    points = eq.settled(ev.curve(pred, ev.match_pairs(found)))
+    points = ev.ranked_curve(ev.ranked(_rotated(pred), _rotated(gt), ev.rotated_pairs))
     return ev.rounded(ev.average_precision(points, gt), "ap", places=5)
 
 
