@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -57,12 +57,26 @@ def keypoint_similarity(a: Column, b: Column, size: Column, sigmas: list[float])
     return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda s, x: s + x) / F.size(seen)).otherwise(0.0)
 
 
-def mask_iou(pixels_a: DataFrame, pixels_b: DataFrame) -> DataFrame:
-    """(image_id, a, b, iou) of masks given as pixel rows (image_id, mask, px): pairs that share a pixel, by counting."""
-    a, b = pixels_a.withColumnRenamed("mask", "a"), pixels_b.withColumnRenamed("mask", "b")
-    both = a.join(b, ["image_id", "px"]).groupBy("image_id", "a", "b").agg(F.count(F.lit(1)).alias("both"))
-    na, nb = a.groupBy("image_id", "a").agg(F.count(F.lit(1)).alias("na")), b.groupBy("image_id", "b").agg(F.count(F.lit(1)).alias("nb"))
-    return both.join(na, ["image_id", "a"]).join(nb, ["image_id", "b"]).select("image_id", "a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
+def mask_pairs(p: DataFrame, g: DataFrame, join: Callable[[DataFrame, DataFrame, Column, Column], DataFrame]) -> DataFrame:
+    """The columns of ``p`` and ``g`` (image_id, px, ..) with ``iou``, for masks of one image; ``px`` lists a mask's pixels, ascending and without repeats.
+
+    Masks meet by image and by the range of their pixels; what they share is counted within a row, so
+    no pixel is dealt out. Pairs that share none have ``iou`` 0. ``join(p, g, image, near)`` joins them.
+    """
+    once = lambda c: F.explode(F.array(c))  # noqa: E731  # what is costly is made here, and not again in each expression or filter that reads it
+    ends = lambda t: {f"{t}_first": F.get(f"{t}_px", F.lit(0)), f"{t}_last": F.get(f"{t}_px", F.size(f"{t}_px") - 1)}
+    rest = lambda df: [c for c in df.columns if c not in ("image_id", "px")]
+    p = p.select("image_id", *rest(p), once("px").alias("p_px")).withColumns(ends("p"))
+    g = g.select(F.col("image_id").alias("i_"), *rest(g), once("px").alias("g_px")).withColumns(ends("g"))
+    near = (F.col("p_first") <= F.col("g_last")) & (F.col("g_first") <= F.col("p_last"))
+    rows = join(p, g, F.col("image_id") == F.col("i_"), near).select("*", once(F.size(F.array_intersect("p_px", "g_px"))).alias("both"))
+    rows = rows.withColumn("iou", F.col("both") / (F.size("p_px") + F.size("g_px") - F.col("both")))
+    return rows.drop("i_", "both", *[f"{t}_{c}" for t in "pg" for c in ("px", "first", "last")])
+
+
+def mask_iou(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(image_id, a, b, iou) of masks (image_id, a or b, px) that share a pixel; see :func:`mask_pairs`."""
+    return mask_pairs(a, b, lambda p, g, image, near: p.join(g, image & near)).where(F.col("iou") > 0).select("image_id", "a", "b", "iou")
 
 
 def duplicate_tracks(a: DataFrame, b: DataFrame, limit: float = 0.15) -> tuple[DataFrame, DataFrame]:

@@ -79,14 +79,17 @@ def keypoint_oks(s, d):
     return g.select("image_id", "gt_id", F.round(sp.keypoint_similarity(a, b, bx.area(bx.cols("x1", "y1", "x2", "y2")) * 0.53, [0.05, 0.1, 0.08]), 6).alias("oks"))
 
 
-def _pixels(df, key):
-    rows = df.select("image_id", F.col(key).alias("mask"), F.explode(F.sequence(F.floor(F.col("x1") / 20), F.floor(F.col("x2") / 20))).alias("cx"), F.floor(F.col("y1") / 20).alias("a"), F.floor(F.col("y2") / 20).alias("b"))
-    return rows.withColumn("cy", F.explode(F.sequence("a", "b"))).select("image_id", "mask", (F.col("cx") * 1000 + F.col("cy")).alias("px"))
+def _masks(df, key, *others):
+    """Rectangles as masks over cells of 20 pixels, column by column."""
+    cell = lambda c: F.floor(F.col(c) / 20)
+    px = F.flatten(F.transform(F.sequence(cell("x1"), cell("x2")), lambda x: F.sequence(x * 1000 + cell("y1"), x * 1000 + cell("y2"))))
+    return df.select("image_id", F.col(key), px.alias("px"), *others)
 
 
 def mask_iou_pairs(s, d):
     pred, gt = T(s, d, "pred", "gt")
-    return ev.rounded(sp.mask_iou(_pixels(pred, "det_id"), _pixels(gt, "gt_id")), "iou")
+    a, b = _masks(pred, "det_id").withColumnRenamed("det_id", "a"), _masks(gt, "gt_id").withColumnRenamed("gt_id", "b")
+    return ev.rounded(sp.mask_iou(a, b), "iou")
 
 
 def track_duplicates(s, d):

@@ -11,7 +11,7 @@ from tessera.operators import sampling, spatial, suppress
 from tessera.operators import tracks as tr
 
 from . import evaluation_queries as eq
-from .augment_queries import _PX, _pixels
+from .augment_queries import _PX, _masks
 from .canonical import CLASSES, ctes, read, table
 
 NAMES = {i: f"class{i}" for i in range(CLASSES)}
@@ -110,17 +110,17 @@ def eval_obb_ap(s, d):
     return ev.rounded(ev.average_precision(points, gt), "ap", places=5)
 
 
-def _mask_pairs(pred, gt):
-    scored = spatial.mask_iou(_pixels(pred, "det_id"), _pixels(gt, "gt_id")).select("image_id", F.col("a").alias("det_id"), F.col("b").alias("gt_id"), "iou")
-    rows = scored.join(pred.select("image_id", "det_id", "conf", F.col("cls").alias("det_cls")), ["image_id", "det_id"]).join(gt.select("image_id", "gt_id", F.col("cls").alias("gt_cls")), ["image_id", "gt_id"])
-    return rows.where("det_cls = gt_cls")
+def _mask_pairs(pred, gt, every=True):
+    p = _masks(pred, "det_id", "conf", F.col("cls").alias("det_cls"))
+    g = _masks(gt, "gt_id", F.col("cls").alias("gt_cls"))
+    return spatial.mask_pairs(p, g, lambda *on: ev.beside(*on, True, every)).select("image_id", "det_id", "conf", "gt_id", "iou", "det_cls", "gt_cls")
 
 
 def eval_segment_metrics(s, d):
     """Box and mask families of a segmentation task side by side; fitness is their sum."""
     pred, gt = T(s, d, "pred", "gt")
-    one = lambda matches, tag: ev.mean_metrics(ev.average_precision(eq.settled(ev.curve(pred, matches)), gt)).select(F.col("map50").alias(f"{tag}_map50"), F.col("map50_95").alias(f"{tag}_map"))
-    both = one(ev.match(pred, gt), "box").join(F.broadcast(one(ev.match_pairs(_mask_pairs(pred, gt)), "mask")), F.lit(True))
+    one = lambda score, tag: ev.mean_metrics(ev.average_precision(ev.ranked_curve(ev.ranked(pred, gt, score)), gt)).select(F.col("map50").alias(f"{tag}_map50"), F.col("map50_95").alias(f"{tag}_map"))
+    both = one(ev.pairs, "box").join(F.broadcast(one(_mask_pairs, "mask")), F.lit(True))
     return ev.rounded(both.withColumn("fitness", F.col("box_map") + F.col("mask_map")), "box_map50", "box_map", "mask_map50", "mask_map", "fitness")
 
 

@@ -29,7 +29,7 @@ def shared(spark, tmp_path):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["eval_frequency_groups", "eval_class_summary", "eval_ap_by_class", "eval_map", "eval_class_table", "eval_obb_ap"])
+@pytest.mark.parametrize("name", ["eval_frequency_groups", "eval_class_summary", "eval_ap_by_class", "eval_map", "eval_class_table", "eval_obb_ap", "eval_segment_metrics"])
 def test_precision_writes_narrow_rows(spark, shared, name):
     """At most 24 bytes a prediction in the shared folder, and no row a threshold."""
     registry.queries()[name](spark, SF).collect()
