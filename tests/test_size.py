@@ -69,3 +69,10 @@ def test_greedy_in_all_groups_at_once():
         over = lambda j: (w := max(0, min(u, boxes[j][2]) - max(x, boxes[j][0])) * max(0, min(v, boxes[j][3]) - max(y, boxes[j][1]))) > 0 and w / ((u - x) * (v - y) + np.prod(boxes[j][2:] - boxes[j][:2]) - w) > 0.3  # noqa: B023, E731
         want += [] if any(group[j] == group[i] and over(j) for j in want) else [i]
     assert np.flatnonzero(suppress.kept_by_greedy(boxes, group, 0.3)).tolist() == want
+
+
+@needs_tables
+def test_masks_deal_out_no_pixel(spark):
+    """Only labels, and what is counted of them, go through an exchange."""
+    plan = registry.queries()["mask_iou_pairs"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*px", plan)
