@@ -13,7 +13,7 @@ from tessera.functions.boxes import area, cols, iou, overlaps, prob_iou
 from tessera.functions.kernels import group_slices, whole_groups
 from tessera.storage import settled, written
 
-from .scans import parts_for, running_sums, suffix_max
+from .scans import parts_for, running_sums
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 EPS = 1e-16
@@ -310,22 +310,24 @@ def confidence_band(conf: Column, high: float = 0.25, low: float = 0.1) -> Colum
 SIZES = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
-def sized_matches(score: np.ndarray, ignored: np.ndarray, thresholds: list[float]) -> np.ndarray:
-    """Label that each detection takes, -1 for none: rows of ``score`` are detections by falling confidence, columns an image's labels.
+def sized_matches(det: np.ndarray, label: np.ndarray, score: np.ndarray, turn: np.ndarray, ignored: np.ndarray, thresholds: list[float]) -> np.ndarray:
+    """Label that each detection takes, -1 for none, (thresholds, detections), from the scored pairs of many images and classes.
 
-    Detections choose in turn the free label of greatest score at each threshold, one that counts
-    before one that is ignored. (thresholds, detections).
+    Detections choose by ``turn`` (a number each, by falling confidence within their image and class) the
+    free label of greatest score at each threshold, one that counts before one that is ignored. All
+    detections of a turn choose at once, as they share no label.
     """
-    out = np.full((len(thresholds), len(score)), -1)
+    out = np.full((len(thresholds), len(turn)), -1)
+    order = np.lexsort((label, -score, ignored[label], det, turn[det]))
+    det, label, score = det[order], label[order], score[order]
+    ends = np.append(np.flatnonzero(np.diff(turn[det])) + 1, len(det))
     for t, least in enumerate(thresholds):
-        free = np.ones(score.shape[1], bool)
-        for d, row in enumerate(score):
-            for group in (~ignored, ignored):
-                open_ = np.flatnonzero(free & group & (row >= least))
-                if len(open_):
-                    out[t, d] = open_[np.argmax(row[open_])]
-                    free[out[t, d]] = False
-                    break
+        free, start = np.ones(len(ignored), bool), 0
+        for end in ends if len(det) else ():
+            open_ = start + np.flatnonzero(free[label[start:end]] & (score[start:end] >= least))
+            open_ = open_[np.append(True, np.diff(det[open_]) != 0)[: len(open_)]]
+            out[t, det[open_]] = label[open_]
+            free[label[open_]], start = False, end
     return out
 
 
@@ -334,50 +336,65 @@ def sized_precision(pred: DataFrame, gt: DataFrame, thresholds: list[float] = TH
 
     Labels outside the range are ignored, and so are detections that take one, or that take none and
     are outside themselves; the ``most`` best detections of an image and class count. Matching is
-    sequential inside an image and class and goes to Python, many images to a batch; what it returns is
-    one row a detection and range, ranked by the two-level scans.
+    sequential inside an image and class; Python does it for all images of a batch at once. It returns
+    one row a detection, with a bit a threshold, ranked by the two-level scans; hits are aggregated by
+    the recall they reach.
     """
     box, names = ["x1", "y1", "x2", "y2"], list(ranges)
-    w = Window.partitionBy("image_id", "cls").orderBy(F.desc("conf"), "det_id")
-    p = pred.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    rows = p.select("image_id", "cls", F.col("det_id").alias("id"), "conf", *box).unionByName(gt.select("image_id", "cls", F.col("gt_id").alias("id"), F.lit(None).cast("double").alias("conf"), *box))
+    rows = pred.select("image_id", "cls", F.col("det_id").alias("id"), "conf", *box).unionByName(gt.select("image_id", "cls", F.col("gt_id").alias("id"), F.lit(None).cast("double").alias("conf"), *box))
+    rows = rows.withColumn("n_", F.row_number().over(Window.partitionBy("image_id").orderBy("cls", F.desc_nulls_last("conf"), "id")))
+    bits = 1 << np.arange(len(thresholds), dtype=np.int64)
+    columns = ["cls", "image_id", "det_id", "conf", *[f"{c}{i}" for i in range(len(names)) for c in ("hit", "skip")], "labels"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in whole_groups(batches, "image_id", "cls"):
-            at, conf, out = pdf[box].to_numpy(), pdf["conf"].to_numpy(), []
+        for pdf in whole_groups(batches, "image_id"):
+            at, conf, cls = pdf[box].to_numpy(float), pdf["conf"].to_numpy(float), pdf["cls"].to_numpy()
             size = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
-            for part in group_slices(pdf, "image_id", "cls"):
-                is_gt = np.isnan(conf[part])
-                d, g = np.flatnonzero(~is_gt) + part.start, np.flatnonzero(is_gt) + part.start
-                d = d[np.lexsort((pdf["id"].to_numpy()[d], -conf[d]))]
-                low, high = np.maximum(at[d][:, None, :2], at[g][None, :, :2]), np.minimum(at[d][:, None, 2:], at[g][None, :, 2:])
-                inter = np.prod(np.clip(high - low, 0, None), -1)
-                score = inter / (size[d][:, None] + size[g][None] - inter)
-                for name in names:
-                    least, top = ranges[name]
-                    outside = lambda i: (size[i] < least) | (size[i] > top)  # noqa: B023, E731
-                    ignored = outside(g)
-                    took = sized_matches(score, ignored, thresholds)
-                    skip = np.where(took >= 0, ignored[took] if len(g) else False, outside(d)[None])
-                    hit = (took >= 0) & ~skip
-                    for k, i in enumerate(d):
-                        out.append((name, int(pdf["cls"].iloc[i]), int(pdf["image_id"].iloc[i]), int(pdf["id"].iloc[i]), float(conf[i]), 0, hit[:, k].tolist(), skip[:, k].tolist()))
-                    if n := int((~ignored).sum()):
-                        out.append((name, int(pdf["cls"].iloc[part.start]), None, None, None, n, None, None))
-            yield pd.DataFrame(out, columns=["size", "cls", "image_id", "det_id", "conf", "labels", "hit", "skip"])
-
-    made = settled(rows.repartition("image_id", "cls").sortWithinPartitions("image_id", "cls").mapInPandas(run, "size string, cls int, image_id long, det_id int, conf double, labels long, hit array<boolean>, skip array<boolean>"))
-    labels = made.where("labels > 0").groupBy("size", "cls").agg(F.sum("labels").alias("n_labels"))
-    found = made.where("labels = 0").select("size", "cls", "image_id", "det_id", "conf", F.posexplode(F.arrays_zip("hit", "skip")).alias("t", "z")).where("not z.skip")
-    found = found.select("size", "cls", "t", "image_id", "det_id", "conf", F.col("z.hit").cast("int").alias("tp"), F.lit(1).alias("one"), (-F.floor(F.col("conf") * parts_for(pred.count()))).cast("long").alias("bucket"))
+            starts = np.array([part.start for part in group_slices(pdf, "image_id", "cls")])
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(pdf))))
+            turn, is_gt = np.arange(len(pdf)) - starts[group], np.isnan(conf)  # detections come first in their group, best first
+            d, g = np.flatnonzero(~is_gt & (turn < most)), np.flatnonzero(is_gt)
+            held = np.bincount(group[g], minlength=len(starts))
+            first = np.cumsum(held) - held
+            n = held[group[d]]
+            i = np.repeat(np.arange(len(d)), n)
+            j = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[group[d]][i]
+            inter = np.prod(np.clip(np.minimum(at[d[i], 2:], at[g[j], 2:]) - np.maximum(at[d[i], :2], at[g[j], :2]), 0, None), 1)
+            near = inter > 0
+            i, j, inter = i[near], j[near], inter[near]
+            score = inter / (size[d[i]] + size[g[j]] - inter)
+            near = score >= min(thresholds)
+            i, j, score = i[near], j[near], score[near]
+            out, counts = {"cls": cls[d], "image_id": pdf["image_id"].to_numpy()[d], "det_id": pdf["id"].to_numpy()[d], "conf": conf[d]}, []
+            for k, name in enumerate(names):
+                least, top = ranges[name]
+                outside = (size < least) | (size > top)
+                took = sized_matches(i, j, score, turn[d], outside[g], thresholds)
+                skip = np.where(took >= 0, outside[g][took] if len(g) else False, outside[d][None])
+                out[f"hit{k}"], out[f"skip{k}"] = bits @ ((took >= 0) & ~skip), bits @ skip
+                counts.append(~outside[g])
+            yield pd.DataFrame(out | {"labels": None})[columns]
+            found = pd.DataFrame({"cls": cls[g]} | {f"{k}": c for k, c in enumerate(counts)}).groupby("cls").sum()
+            yield pd.DataFrame({"cls": found.index, "labels": found.to_numpy().tolist()}).reindex(columns=columns)
+
+    made = written(rows.mapInPandas(run, "cls int, image_id long, det_id int, conf double, " + ", ".join(f"hit{i} long, skip{i} long" for i in range(len(names))) + ", labels array<long>"))
+    labels = made.where("labels is not null").select("cls", F.posexplode("labels").alias("r", "n")).groupBy("r", "cls").agg(F.sum("n").alias("n_labels")).where("n_labels > 0")
+    labels = settled(labels.withColumn("size", F.element_at(F.array(*map(F.lit, names)), F.col("r") + 1)).select("size", "cls", "n_labels").coalesce(1))  # a row a range and class
+    each = F.filter(F.array(*[F.struct(F.lit(name).alias("size"), F.col(f"hit{i}").alias("hit"), F.col(f"skip{i}").alias("skip")) for i, name in enumerate(names)]), lambda z: z["skip"] < int(bits.sum()))
+    found = made.where("labels is null").select("cls", "image_id", "det_id", "conf", F.explode(each).alias("z")).select("cls", "image_id", "det_id", "conf", "z.*")
+    found = found.withColumn("bucket", (-F.floor(F.col("conf") * parts_for(made.count()))).cast("long"))
+    bit = lambda c, t: F.getbit(F.col(c), F.lit(t)).cast("int")
+    sums = {f"{c}{t}": v for t in range(len(thresholds)) for c, v in (("c", bit("hit", t)), ("n", 1 - bit("skip", t)))}
     keys = ["size", "cls", "t"]
-    found = running_sums(found, keys, "bucket", [F.desc("conf"), F.col("image_id"), F.col("det_id")], {"cum_tp": "tp", "n": "one"})
-    hits = found.where("tp = 1").withColumn("precision", F.col("cum_tp") / F.col("n"))
-    hits = suffix_max(hits, keys, "bucket", [F.col("cum_tp")], "precision", "env").join(F.broadcast(labels), ["size", "cls"])
-    # the hit that first reaches recall k / 100 gives the precision there
-    before, now = first_step((F.col("cum_tp") - 1) / F.col("n_labels"), 100.0), first_step(F.col("cum_tp") / F.col("n_labels"), 100.0)
-    reached = F.when(now / 100.0 > F.col("cum_tp") / F.col("n_labels"), now - 1).otherwise(now)
-    start = F.when(F.col("cum_tp") == 1, F.lit(0)).otherwise(F.when(before / 100.0 > (F.col("cum_tp") - 1) / F.col("n_labels"), before).otherwise(before + 1))
-    ap = hits.groupBy(*keys).agg((F.sum(F.col("env") * F.greatest(F.lit(0), reached - start + 1)) / 101).alias("ap"))
+    found = running_sums(found, ["size", "cls"], "bucket", [F.desc("conf"), F.col("image_id"), F.col("det_id")], sums)
+    hit = F.array_compact(F.array(*[F.when(bit("hit", t) == 1, F.struct(F.lit(t).alias("t"), F.col(f"c{t}").alias("cum_tp"), F.col(f"n{t}").alias("n"))) for t in range(len(thresholds))]))
+    hits = found.where("hit > 0").select("size", "cls", F.explode(hit).alias("h")).select("size", "cls", "h.*").join(F.broadcast(labels), ["size", "cls"])
+    # the hit that first reaches recall k / 100 gives the precision there, or a better one after it
+    recall = F.col("cum_tp") / F.col("n_labels")
+    step = first_step(recall, 100.0)
+    runs = hits.groupBy(*keys, F.when(step / 100.0 > recall, step - 1).otherwise(step).alias("reached")).agg(F.max(F.col("cum_tp") / F.col("n")).alias("top"))
+    env = F.max("top").over(Window.partitionBy(*keys).orderBy(F.desc("reached")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    steps = F.col("reached") - F.coalesce(F.lag("reached").over(Window.partitionBy(*keys).orderBy("reached")), F.lit(-1))
+    ap = runs.withColumn("y", env * steps).groupBy(*keys).agg((F.sum("y") / 101).alias("ap"))
     every = labels.select("size", "cls", F.explode(F.array(*map(F.lit, range(len(thresholds))))).alias("t")).join(ap, keys, "left").fillna(0.0, ["ap"])
     return every.groupBy("size").agg(F.avg("ap").alias("ap"), F.avg(F.when(F.col("t") == 0, F.col("ap"))).alias("ap50"))

@@ -71,6 +71,13 @@ def test_greedy_in_all_groups_at_once():
     assert np.flatnonzero(suppress.kept_by_greedy(boxes, group, 0.3)).tolist() == want
 
 
+@needs_tables
+def test_sizes_write_a_row_a_detection(spark, shared):
+    registry.queries()["eval_sizes"](spark, SF).collect()
+    written = sum(f.stat().st_size for f in shared.rglob("*") if f.is_file())
+    assert written < 40 * table(spark, SF, "pred").count()
+
+
 @needs_tables
 def test_masks_deal_out_no_pixel(spark):
     """Only labels, and what is counted of them, go through an exchange."""
