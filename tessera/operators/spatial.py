@@ -57,26 +57,29 @@ def keypoint_similarity(a: Column, b: Column, size: Column, sigmas: list[float])
     return F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda s, x: s + x) / F.size(seen)).otherwise(0.0)
 
 
-def mask_pairs(p: DataFrame, g: DataFrame, join: Callable[[DataFrame, DataFrame, Column, Column], DataFrame]) -> DataFrame:
-    """The columns of ``p`` and ``g`` (image_id, px, ..) with ``iou``, for masks of one image; ``px`` lists a mask's pixels, ascending and without repeats.
+def mask_pairs(p: DataFrame, g: DataFrame, join: Callable[[DataFrame, DataFrame, Column, Column], DataFrame], pixels: Callable[[Column], Column] = lambda shape: shape["px"]) -> DataFrame:
+    """The columns of ``p`` and ``g`` (image_id, shape, first, last, ..) with ``iou``, for masks of one image.
 
-    Masks meet by image and by the range of their pixels; what they share is counted within a row, so
-    no pixel is dealt out. Pairs that share none have ``iou`` 0. ``join(p, g, image, near)`` joins them.
+    ``pixels`` lists the pixels of a ``shape`` (a struct), ascending and without repeats, from ``first`` to
+    ``last``. Masks meet by image and by that range, and only pairs that met are listed: what is dealt
+    out, sorted and written is a shape, not its pixels. What two masks share is counted within a row.
+    Pairs that share none have ``iou`` 0. ``join(p, g, image, near)`` joins them.
     """
     once = lambda c: F.explode(F.array(c))  # noqa: E731  # what is costly is made here, and not again in each expression or filter that reads it
-    ends = lambda t: {f"{t}_first": F.get(f"{t}_px", F.lit(0)), f"{t}_last": F.get(f"{t}_px", F.size(f"{t}_px") - 1)}
-    rest = lambda df: [c for c in df.columns if c not in ("image_id", "px")]
-    p = p.select("image_id", *rest(p), once("px").alias("p_px")).withColumns(ends("p"))
-    g = g.select(F.col("image_id").alias("i_"), *rest(g), once("px").alias("g_px")).withColumns(ends("g"))
+    ends = ("shape", "first", "last")
+    side = lambda df, t: [F.col(c).alias(f"{t}_{c}") if c in ends else F.col(c) for c in df.columns if c != "image_id"]
+    p, g = p.select("image_id", *side(p, "p")), g.select(F.col("image_id").alias("i_"), *side(g, "g"))
     near = (F.col("p_first") <= F.col("g_last")) & (F.col("g_first") <= F.col("p_last"))
-    rows = join(p, g, F.col("image_id") == F.col("i_"), near).select("*", once(F.size(F.array_intersect("p_px", "g_px"))).alias("both"))
-    rows = rows.withColumn("iou", F.col("both") / (F.size("p_px") + F.size("g_px") - F.col("both")))
-    return rows.drop("i_", "both", *[f"{t}_{c}" for t in "pg" for c in ("px", "first", "last")])
+    listed = F.struct(pixels(F.col("p_shape")).alias("p"), pixels(F.col("g_shape")).alias("g"))
+    rows = join(p, g, F.col("image_id") == F.col("i_"), near).select("*", once(listed).alias("px_"))
+    rows = rows.select("*", once(F.size(F.array_intersect("px_.p", "px_.g"))).alias("both"))
+    rows = rows.withColumn("iou", F.col("both") / (F.size("px_.p") + F.size("px_.g") - F.col("both")))
+    return rows.drop("i_", "px_", "both", *[f"{t}_{c}" for t in "pg" for c in ends])
 
 
-def mask_iou(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(image_id, a, b, iou) of masks (image_id, a or b, px) that share a pixel; see :func:`mask_pairs`."""
-    return mask_pairs(a, b, lambda p, g, image, near: p.join(g, image & near)).where(F.col("iou") > 0).select("image_id", "a", "b", "iou")
+def mask_iou(a: DataFrame, b: DataFrame, pixels: Callable[[Column], Column] = lambda shape: shape["px"]) -> DataFrame:
+    """(image_id, a, b, iou) of masks (image_id, a or b, shape, first, last) that share a pixel; see :func:`mask_pairs`."""
+    return mask_pairs(a, b, lambda p, g, image, near: p.join(g, image & near), pixels).where(F.col("iou") > 0).select("image_id", "a", "b", "iou")
 
 
 def duplicate_tracks(a: DataFrame, b: DataFrame, limit: float = 0.15) -> tuple[DataFrame, DataFrame]:

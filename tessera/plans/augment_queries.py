@@ -80,16 +80,21 @@ def keypoint_oks(s, d):
 
 
 def _masks(df, key, *others):
-    """Rectangles as masks over cells of 20 pixels, column by column."""
+    """Rectangles as masks over cells of 20 pixels."""
     cell = lambda c: F.floor(F.col(c) / 20)
-    px = F.flatten(F.transform(F.sequence(cell("x1"), cell("x2")), lambda x: F.sequence(x * 1000 + cell("y1"), x * 1000 + cell("y2"))))
-    return df.select("image_id", F.col(key), px.alias("px"), *others)
+    shape = F.struct(*[cell(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return df.select("image_id", F.col(key), shape.alias("shape"), (cell("x1") * 1000 + cell("y1")).alias("first"), (cell("x2") * 1000 + cell("y2")).alias("last"), *others)
+
+
+def _cells(shape):
+    """A rectangle's cells, column by column."""
+    return F.flatten(F.transform(F.sequence(shape["x1"], shape["x2"]), lambda x: F.sequence(x * 1000 + shape["y1"], x * 1000 + shape["y2"])))
 
 
 def mask_iou_pairs(s, d):
     pred, gt = T(s, d, "pred", "gt")
     a, b = _masks(pred, "det_id").withColumnRenamed("det_id", "a"), _masks(gt, "gt_id").withColumnRenamed("gt_id", "b")
-    return ev.rounded(sp.mask_iou(a, b), "iou")
+    return ev.rounded(sp.mask_iou(a, b, _cells), "iou")
 
 
 def track_duplicates(s, d):

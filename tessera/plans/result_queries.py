@@ -11,7 +11,7 @@ from tessera.operators import sampling, spatial, suppress
 from tessera.operators import tracks as tr
 
 from . import evaluation_queries as eq
-from .augment_queries import _PX, _masks
+from .augment_queries import _PX, _cells, _masks
 from .canonical import CLASSES, ctes, read, table
 
 NAMES = {i: f"class{i}" for i in range(CLASSES)}
@@ -113,7 +113,7 @@ def eval_obb_ap(s, d):
 def _mask_pairs(pred, gt, every=True):
     p = _masks(pred, "det_id", "conf", F.col("cls").alias("det_cls"))
     g = _masks(gt, "gt_id", F.col("cls").alias("gt_cls"))
-    return spatial.mask_pairs(p, g, lambda *on: ev.beside(*on, True, every)).select("image_id", "det_id", "conf", "gt_id", "iou", "det_cls", "gt_cls")
+    return spatial.mask_pairs(p, g, lambda *on: ev.beside(*on, True, every), _cells).select("image_id", "det_id", "conf", "gt_id", "iou", "det_cls", "gt_cls")
 
 
 def eval_segment_metrics(s, d):

@@ -98,3 +98,19 @@ def test_written_leaves_no_shuffle_files(spark, shared):
         time.sleep(0.1)
     assert not left and spark.conf.get(CLEANUP, None) in (None, "false")
     assert got.count() == rows.count() == 1000
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["mask_iou_pairs", "eval_segment_metrics"])
+def test_masks_are_sorted_without_their_pixels(spark, name):
+    """Lists of pixels are made of pairs that met; nothing below a join holds them."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        pred, gt = table(spark, SF, "pred"), table(spark, SF, "gt")
+        rows = registry.queries()[name](spark, SF) if name == "mask_iou_pairs" else result_queries._mask_pairs(pred, gt)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    above, below = plan.split("SortMergeJoin", 1)
+    assert "flatten(" in above and "flatten(" not in below
