@@ -13,6 +13,7 @@ from tessera.operators import evaluation as ev
 from tessera.operators import spatial as sp
 from tessera.operators import suppress, tiling
 from tessera.sources import annotations, dota, labels
+from tessera.storage import written
 from tessera.streaming import tracker
 
 from .canonical import ctes, read, table
@@ -206,11 +207,19 @@ def dota_merge(s, d):
     return dota.merge(rows).select(F.col("image").cast("long").alias("image_id"), "det_id")
 
 
+def tracked(s, d, rules):
+    """A tracker over detections of four streams; frames count a stream's images.
+
+    They are counted as they come to the tracker, sorted: streams are dealt out and sorted once.
+    """
+    rows = written(table(s, d, "pred").select("image_id", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
+    frame = F.coalesce("image_id", F.lit(0))  # without an image there is no stream either, and one frame
+    return tracker.track_table(rows.withColumns({"stream_id": F.col("image_id") % 4, "frame": frame}), rules, counted=True)
+
+
 def tracks_table(s, d):
-    """The tracker over detections of four streams; frames count a stream's images. Beyond SQL."""
-    pred = table(s, d, "pred").withColumn("stream_id", F.col("image_id") % 4)
-    frame = F.dense_rank().over(Window.partitionBy("stream_id").orderBy("image_id"))
-    return tracker.track_table(pred.withColumn("frame", frame).select("stream_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
+    """Beyond SQL."""
+    return tracked(s, d, tracker.BYTE)
 
 
 _ALL = (flip_boxes, mosaic_labels, mixup_labels, cut_mix_labels, copy_paste_labels, warp_boxes, pool_route, occlusion_cover, assign_hungarian, assign_aligned, keypoint_oks, mask_iou_pairs, track_duplicates, prompt_masks, mined_detections, max_det_guard, pose_angles, window_iof, least_rectangles, dota_merge, label_lines_scan, predictions_json, annotation_ids, epoch_rows, whole_and_sliced, best_run, depth_calibration, tracks_table)

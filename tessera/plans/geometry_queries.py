@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import boxes as bx
@@ -17,7 +16,7 @@ from tessera.storage import settled
 from tessera.streaming import tracker
 
 from . import evaluation_queries as eq
-from .augment_queries import _ring
+from .augment_queries import _ring, tracked
 from .canonical import ctes, read, table
 from .result_queries import NAMES
 
@@ -165,12 +164,7 @@ def eval_sizes(s, d):
 
 
 def _tracked(rules):
-    def query(s, d):
-        pred = table(s, d, "pred").withColumn("stream_id", F.col("image_id") % 4)
-        frame = F.dense_rank().over(Window.partitionBy("stream_id").orderBy("image_id"))
-        return tracker.track_table(pred.withColumn("frame", frame).select("stream_id", "frame", "det_id", "cls", "conf", *_B), rules)
-
-    return query
+    return lambda s, d: tracked(s, d, rules)
 
 
 QUERIES = {f.__name__: f for f in (box_ltwh, box_enclosing, points_scaled_back, points_flipped, points_warped, points_uncropped, segments_resampled, segments_measured, cover_union, tiles_row_major, tiles_multi_scale, label_paths, label_counters, pose_lines, coco_round_trip, even_subset, extracted_frames, saved_once, log_runs, eval_class_table, eval_sizes)}

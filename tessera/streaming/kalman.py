@@ -15,45 +15,68 @@ STEP = np.eye(8) + np.eye(8, k=4)
 
 def to_measure(xyxy: np.ndarray, form: str = "xyah") -> np.ndarray:
     w, h = xyxy[..., 2] - xyxy[..., 0], xyxy[..., 3] - xyxy[..., 1]
-    return np.stack([xyxy[..., 0] + w / 2, xyxy[..., 1] + h / 2, w / h if form == "xyah" else w, h], -1)
+    out = np.empty((*w.shape, 4))  # filled by columns: np.stack takes longer than all arithmetic on few boxes
+    out[..., 0], out[..., 1], out[..., 2], out[..., 3] = xyxy[..., 0] + w / 2, xyxy[..., 1] + h / 2, w / h if form == "xyah" else w, h
+    return out
 
 
 def to_box(mean: np.ndarray, form: str = "xyah") -> np.ndarray:
-    cx, cy, a, h = np.moveaxis(mean[..., :4], -1, 0)
+    cx, cy, a, h = mean[..., 0], mean[..., 1], mean[..., 2], mean[..., 3]
     w = a * h if form == "xyah" else a
-    return np.stack([cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2], -1)
+    out = np.empty((*w.shape, 4))
+    out[..., 0], out[..., 1], out[..., 2], out[..., 3] = cx - w / 2, cy - h / 2, cx + w / 2, cy + h / 2
+    return out
 
 
 def deviations(sides: np.ndarray, position: float, aspect: float, velocity: float, turn: float, form: str = "xyah") -> np.ndarray:
     """Of tracks whose measures' last two numbers are ``sides``."""
+    out = np.empty((*sides.shape[:-1], 8))
     if form == "xyah":
-        h = sides[..., 1]
-        p, v, one = position * h, velocity * h, np.ones_like(h)
-        return np.stack([p, p, aspect * one, p, v, v, turn * one, v], -1)
-    both = np.concatenate([sides, sides], -1)
-    return np.concatenate([position * both, velocity * both], -1)
+        h = sides[..., 1:2]
+        out[..., :4], out[..., 4:], out[..., 2], out[..., 6] = position * h, velocity * h, aspect, turn
+    else:
+        out[..., :2] = out[..., 2:4] = position * sides
+        out[..., 4:6] = out[..., 6:] = velocity * sides
+    return out
+
+
+def _squares(sd: np.ndarray) -> np.ndarray:
+    """Diagonal matrices of the squares."""
+    n = sd.shape[1]
+    out = np.zeros((len(sd), n, n))
+    out[:, range(n), range(n)] = sd**2
+    return out
 
 
 def start(measure: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
     """Mean and covariance of new tracks (n, 4)."""
     sd = deviations(measure[:, 2:4], 2 * POSITION, 1e-2, 10 * VELOCITY, 1e-5, form)
-    return np.concatenate([measure, np.zeros_like(measure)], 1), np.einsum("ni,ij->nij", sd**2, np.eye(8))
+    return np.concatenate([measure, np.zeros_like(measure)], 1), _squares(sd)
 
 
 def predict(mean: np.ndarray, cov: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
     sd = deviations(mean[:, 2:4], POSITION, 1e-2, VELOCITY, 1e-5, form)
-    return mean @ STEP.T, STEP @ cov @ STEP.T + np.einsum("ni,ij->nij", sd**2, np.eye(8))
+    return mean @ STEP.T, STEP @ cov @ STEP.T + _squares(sd)
+
+
+def predict_many(mean: np.ndarray, cov: np.ndarray, steps: int, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
+    """:func:`predict` so many times, of tracks whose sides that deviations go by do not change."""
+    sd = deviations(mean[:, 2:4], POSITION, 1e-2, VELOCITY, 1e-5, form)
+    noise = _squares(sd)
+    for _ in range(steps):
+        mean, cov = mean @ STEP.T, STEP @ cov @ STEP.T + noise
+    return mean, cov
 
 
 def _seen(mean: np.ndarray, cov: np.ndarray, form: str) -> np.ndarray:
     sd = deviations(mean[:, 2:4], POSITION, 1e-1, 0, 0, form)[:, :4]
-    return cov[:, :4, :4] + np.einsum("ni,ij->nij", sd**2, np.eye(4))
+    return cov[:, :4, :4] + _squares(sd)
 
 
 def update(mean: np.ndarray, cov: np.ndarray, measure: np.ndarray, form: str = "xyah") -> tuple[np.ndarray, np.ndarray]:
     seen = _seen(mean, cov, form)
     gain = np.swapaxes(np.linalg.solve(seen, cov[:, :4, :]), 1, 2)
-    return mean + np.einsum("nij,nj->ni", gain, measure - mean[:, :4]), cov - gain @ seen @ np.swapaxes(gain, 1, 2)
+    return mean + (gain @ (measure - mean[:, :4])[..., None])[..., 0], cov - gain @ seen @ np.swapaxes(gain, 1, 2)
 
 
 def gate(mean: np.ndarray, cov: np.ndarray, measures: np.ndarray, form: str = "xyah") -> np.ndarray:

@@ -216,12 +216,16 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
     seen: list[tuple[Track, int]] = []
 
     def step(tracks: list[Track], dets: np.ndarray, limit: float, fuse: bool, direction: bool = False, at_last: bool = False) -> tuple[list[Track], np.ndarray]:
+        if not tracks or not len(dets):
+            return tracks, dets
         places = np.array([t.seen[-1][1:] if t.seen else kalman.to_box(np.array(t.mean), rules.form) for t in tracks]).reshape(-1, 4) if at_last else _boxes(tracks, rules)
         iou = overlap(places, boxes[dets])
         cost = 1 - (iou * scores[dets][None] if fuse else iou)
         if direction and rules.inertia:
             cost = cost + rules.inertia * turns(tracks, boxes[dets], rules.back)
-        pairs = match(cost, limit)
+        pairs = match(cost, limit) if (cost <= limit).any() else []
+        if not pairs:
+            return tracks, dets
         chosen = [tracks[i] for i, _ in pairs]
         at = dets[[j for _, j in pairs]] if pairs else np.zeros(0, int)
         _hit(chosen, boxes[at], scores[at], classes[at], frame, rules)
@@ -247,19 +251,15 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
             t.state = "lost"
     gone, strong = step(tentative, strong, rules.tentative, rules.fuse_score)
     dropped = {t.id for t in gone}
-    for d in strong:
-        if scores[d] < rules.new:
-            continue
-        if rules.new_overlap < 1:
+    if first_frame and rules.new_overlap < 1:  # they are tracked at once, so that each may stand in the next one's way
+        for d in strong:
             active = [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]
-            if active and overlap(boxes[d : d + 1], _boxes(active, rules)).max() >= rules.new_overlap:
-                continue
-        mean, cov = kalman.start(kalman.to_measure(boxes[d : d + 1], rules.form), rules.form)
-        t = Track(memory.next_id, "tracked" if first_frame else "tentative", float(scores[d]), int(classes[d]), frame, frame, mean[0].tolist(), cov[0].tolist())
-        _remember(t, boxes[d], frame, rules)
-        memory.next_id += 1
-        memory.tracks.append(t)
-        seen.append((t, int(d)))
+            if not active or overlap(boxes[d : d + 1], _boxes(active, rules)).max() < rules.new_overlap:
+                seen.extend(_started(memory, boxes, scores, classes, np.array([d]), frame, rules, "tracked"))
+    else:
+        if rules.new_overlap < 1 and len(strong) and (active := [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]):
+            strong = strong[overlap(boxes[strong], _boxes(active, rules)).max(1) < rules.new_overlap]
+        seen.extend(_started(memory, boxes, scores, classes, strong, frame, rules, "tracked" if first_frame else "tentative"))
     memory.tracks = [t for t in memory.tracks if t.id not in dropped and _kept(t, frame, rules)]
     drop = duplicates(memory.tracks, rules)
     memory.tracks = [t for t in memory.tracks if t.id not in drop]
@@ -267,6 +267,22 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
     return [(t, d) for t, d in seen if t.state == "tracked" and t.id in alive]
 
 
+def _started(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, dets: np.ndarray, frame: int, rules: Rules, state: str) -> list[tuple[Track, int]]:
+    """New tracks from the detections that score enough, with these."""
+    dets = dets[scores[dets] >= rules.new]
+    if not len(dets):
+        return []
+    mean, cov = kalman.start(kalman.to_measure(boxes[dets], rules.form), rules.form)
+    out = []
+    for d, m, c in zip(dets.tolist(), mean.tolist(), cov.tolist(), strict=True):
+        t = Track(memory.next_id, state, float(scores[d]), int(classes[d]), frame, frame, m, c)
+        _remember(t, boxes[d], frame, rules)
+        memory.next_id += 1
+        memory.tracks.append(t)
+        out.append((t, d))
+    return out
+
+
 def _kept(t: Track, frame: int, rules: Rules) -> bool:
     """Whether a lost track is not forgotten yet."""
     return t.state != "lost" or frame - t.frame <= rules.buffer or (t.hidden_at >= 0 and frame - t.hidden_at <= rules.reappear)
@@ -275,6 +291,8 @@ def _kept(t: Track, frame: int, rules: Rules) -> bool:
 def duplicates(tracks: list[Track], rules: Rules) -> set[int]:
     """Of a tracked and a lost track on the same spot, the one that has lived shorter (the tracked one on a tie)."""
     a, b = [t for t in tracks if t.state == "tracked"], [t for t in tracks if t.state == "lost"]
+    if not a or not b:
+        return set()
     near = 1 - overlap(_boxes(a, rules), _boxes(b, rules)) < rules.duplicate
     return {a[i].id if a[i].frame - a[i].start <= b[j].frame - b[j].start else b[j].id for i, j in zip(*np.nonzero(near), strict=True)}
 
@@ -285,16 +303,103 @@ INPUT = ("stream_id", "frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2")
 COLUMNS = [c.split()[0] for c in OUT.split(", ")]
 
 
+#: By how much a pair may miss a limit and still not be left out beforehand; the frame itself decides.
+SLACK = 1e-6
+
+
+class Frames:
+    """A stream's sorted detections as arrays, and where a track that is one frame old may be hit."""
+
+    def __init__(self, pdf: pd.DataFrame, rules: Rules) -> None:
+        frame = pdf["frame"].to_numpy()
+        starts = np.flatnonzero(np.append(True, frame[1:] != frame[:-1]))
+        self.rules, self.frame, self.starts = rules, frame[starts].astype(int), np.append(starts, len(frame))
+        self.at = np.repeat(np.arange(len(starts)), np.diff(self.starts))  # frame of each detection, counted from 0
+        self.boxes, self.scores = pdf[["x1", "y1", "x2", "y2"]].to_numpy(float), pdf["conf"].to_numpy(float)
+        self.classes, self.det = pdf["cls"].to_numpy(), pdf["det_id"].to_numpy()
+        self.strong = (self.boxes[:, 2] > self.boxes[:, 0]) & (self.boxes[:, 3] > self.boxes[:, 1]) & (self.scores >= rules.high)
+        new = self.strong & (self.scores >= rules.new)
+        self.new = np.append(0, np.cumsum(np.bincount(self.at[new], minlength=len(starts))))  # tracks that start before each frame if none is hit
+        follows = np.append(False, np.diff(self.frame) == 1)
+        b, a = np.flatnonzero(self.strong & follows[self.at]), np.flatnonzero(new)
+        n = np.diff(self.new)[self.at[b] - 1]
+        i = np.repeat(b, n)
+        j = a[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.new[self.at[b] - 1], n)]
+        near = np.zeros(len(starts) + 1, bool)
+        near[self.at[i[self.close(kalman.to_box(kalman.to_measure(self.boxes[j], rules.form), rules.form), i, rules.tentative)]]] = near[-1] = True
+        self.near = np.flatnonzero(near)
+
+    def close(self, places: np.ndarray, dets: np.ndarray, limit: float) -> np.ndarray:
+        """Whether each place may be matched with its detection."""
+        b = self.boxes[dets]
+        side = np.clip(np.minimum(places[:, 2:], b[:, 2:]) - np.maximum(places[:, :2], b[:, :2]), 0, None)
+        inter, size = side[:, 0] * side[:, 1], lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
+        iou = inter / (size(places) + size(b) - inter + 1e-7)
+        return ~(1 - (iou * self.scores[dets] if self.rules.fuse_score else iou) > limit + SLACK)
+
+    def quiet(self, memory: Memory, k: int) -> int:
+        """The first frame from ``k`` on at which something may be hit, where all tracks are lost or tentative."""
+        end = int(self.near[np.searchsorted(self.near, k)])
+        lost = [t for t in memory.tracks if t.state == "lost"]
+        if end == k or not lost:
+            return end
+        last = np.array([max(t.frame + self.rules.buffer, t.hidden_at + self.rules.reappear if t.hidden_at >= 0 else 0) for t in lost])
+        stop = min(end, int(np.searchsorted(self.frame, last.max() + 1, "right")))  # then all are forgotten
+        d = self.starts[k] + np.flatnonzero(self.strong[self.starts[k] : self.starts[stop]])
+        if not len(d):
+            return end
+        means = np.array([t.mean for t in lost])
+        means[:, 6 if self.rules.form == "xywh" else 7 :] = 0
+        ahead = self.frame[self.at[d]] - memory.frame
+        places = means[:, None, :4] + ahead[None, :, None] * means[:, None, 4:]
+        all_d, there = np.tile(d, len(lost)), np.repeat(last, len(d)) >= np.tile(self.frame[self.at[d]], len(lost)) - 1
+        hit = self.close(kalman.to_box(places, self.rules.form).reshape(-1, 4), all_d, self.rules.first)
+        if self.rules.recover:
+            seen = np.array([t.seen[-1][1:] if t.seen else [0.0] * 4 for t in lost], float)
+            hit |= self.close(np.repeat(seen, len(d), 0), all_d, self.rules.first)
+        found = self.at[all_d[hit & there]]
+        return min(end, int(found.min())) if len(found) else end
+
+    def skip(self, memory: Memory, k: int, end: int) -> None:
+        """Moves ``memory`` over frames at which nothing is hit: lost tracks go on or are forgotten, tentative ones live for a frame."""
+        frame, rules = int(self.frame[end - 1]), self.rules
+        lost = [t for t in memory.tracks if t.state == "lost" and _kept(t, frame, rules)]
+        if lost:
+            mean, cov = np.array([t.mean for t in lost]), np.array([t.cov for t in lost])
+            mean[:, 6 if rules.form == "xywh" else 7 :] = 0
+            mean, cov = kalman.predict_many(mean, cov, frame - memory.frame, rules.form)
+            for t, m, c in zip(lost, mean.tolist(), cov.tolist(), strict=True):
+                t.mean, t.cov = m, c
+        memory.tracks, memory.frame = lost, frame
+        memory.next_id += int(self.new[end - 1] - self.new[k])
+        dets = np.arange(self.starts[end - 1], self.starts[end])
+        _started(memory, self.boxes, self.scores, self.classes, dets[self.strong[dets]], frame, rules, "tentative")
+
+
 def run_frames(memory: Memory, stream_id: int, pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:
-    """Frames of ``pdf`` in ascending order; a frame at or before the last one seen is ignored."""
-    out = []
-    for frame, rows in pdf.sort_values(["frame", "det_id"]).groupby("frame", sort=True):
-        if frame <= memory.frame:
-            continue
-        boxes = rows[["x1", "y1", "x2", "y2"]].to_numpy(float)
-        camera = np.array(rows["warp"].iloc[0], float).reshape(2, 3) if "warp" in rows and rows["warp"].iloc[0] is not None else None
-        for t, d in advance(memory, boxes, rows["conf"].to_numpy(float), rows["cls"].to_numpy(), int(frame), rules, camera):
-            out.append((stream_id, int(frame), t.id, int(rows["det_id"].iloc[d]), t.cls, t.score, *kalman.to_box(np.array(t.mean), rules.form).tolist()))
+    """Frames of ``pdf`` in ascending order; a frame at or before the last one seen is ignored.
+
+    Frames at which no track can be hit are passed over at once; :func:`advance` runs for the others.
+    """
+    out: list[tuple] = []
+    pdf = pdf[pdf["frame"] > memory.frame].sort_values(["frame", "det_id"])
+    if not len(pdf):
+        return pd.DataFrame(out, columns=COLUMNS)
+    frames, warps = Frames(pdf, rules), pdf["warp"].to_numpy() if "warp" in pdf else None
+    k, n = 0, len(frames.frame)
+    while k < n:
+        if k and warps is None and all(t.state != "tracked" for t in memory.tracks):
+            end = frames.quiet(memory, k)
+            if end > k:
+                frames.skip(memory, k, end)
+                k = end
+                continue
+        start, frame = frames.starts[k], int(frames.frame[k])
+        rows = slice(start, frames.starts[k + 1])
+        camera = np.array(warps[start], float).reshape(2, 3) if warps is not None and warps[start] is not None else None
+        for t, d in advance(memory, frames.boxes[rows], frames.scores[rows], frames.classes[rows], frame, rules, camera):
+            out.append((stream_id, frame, t.id, int(frames.det[start + d]), t.cls, t.score, *kalman.to_box(np.array(t.mean), rules.form).tolist()))
+        k += 1
     return pd.DataFrame(out, columns=COLUMNS)
 
 
@@ -322,8 +427,8 @@ def track_stream(detections: DataFrame, rules: Rules = BYTE, forget: str | None
     return detections.groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", "ProcessingTimeTimeout" if limit else "NoTimeout")
 
 
-def track_table(detections: DataFrame, rules: Rules = BYTE, parts: int = 61) -> DataFrame:
-    """The same over a finished table.
+def track_table(detections: DataFrame, rules: Rules = BYTE, parts: int = 61, counted: bool = False) -> DataFrame:
+    """The same over a finished table. With ``counted``, ``frame`` is any number that rises, and its values are counted from 1 in each stream.
 
     A stream is one task, as its frames depend on one another. They come sorted, an Arrow batch at a
     time, and the tracker's memory is carried over: a task holds a batch, not its stream.
@@ -338,6 +443,8 @@ def track_table(detections: DataFrame, rules: Rules = BYTE, parts: int = 61) ->
                 key = None if pd.isna(key) else int(key)
                 if key != stream:
                     stream, memory = key, Memory()
+                if counted:  # whole frames come, and none is left out: the last one is as many as there were
+                    rows = rows.assign(frame=(rows["frame"].diff() != 0).cumsum() + memory.frame)
                 yield run_frames(memory, key, rows, rules)
 
         for pdf in batches:

@@ -3,6 +3,7 @@ from __future__ import annotations
 from itertools import permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,42 @@ def test_streams_give_the_tables_rows(spark, tmp_path):
     want = {x.track_id: x.n for x in reps.collect()}
     got = streamed(spark, tmp_path, rows, schema, lambda p: counters.repetition_stream(p, "value", 40.0, 10.0), "reps")
     assert {t: max(n for u, _, n in got if u == t) for t, _, _ in got} == want
+
+
+@pytest.mark.parametrize("rules", [tracker.BYTE, tracker.BOT, tracker.OC, tracker.FAST])
+def test_frames_without_hits_are_passed_over(rules, monkeypatch):
+    """Scattered boxes with a walker now and then, missing frames, batches that end anywhere: as frame by frame, with the tracker run for few of them."""
+    r = np.random.default_rng(7)
+    rows = [(f, d, 0, float(r.random()), *(at := r.integers(0, 4000, 2)), *(at + r.integers(20, 200, 2))) for f in range(1, 900) if f % 90 < 80 for d in range(r.integers(1, 5))]
+    rows += [(f, 9, 1, 0.2 if f % 100 == 5 else 0.9, *walker(f % 100, 100.0 + f, 6.0)[:4]) for f in range(1, 900) if f % 100 < 12 and f % 100 != 8 and f % 90 < 80]
+    pdf = pd.DataFrame(rows, columns=["frame", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"]).sort_values(["frame", "det_id"])
+    plain, want = tracker.Memory(), []
+    for frame, part in pdf.groupby("frame"):
+        at = part[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        found = tracker.advance(plain, at, part["conf"].to_numpy(), part["cls"].to_numpy(), int(frame), rules)
+        want += [(int(frame), t.id, int(part["det_id"].iloc[d]), *kalman.to_box(np.array(t.mean), rules.form)) for t, d in found]
+    calls, real, memory = [], tracker.advance, tracker.Memory()
+    monkeypatch.setattr(tracker, "advance", lambda m, *rest: (calls.append(rest[3]), real(m, *rest))[1])
+    parts = []
+    for low in range(0, 900, 300):
+        parts.append(tracker.run_frames(memory, 1, pdf[(pdf["frame"] >= low) & (pdf["frame"] < low + 300)], rules))
+        memory = tracker.Memory.load(memory.dump())
+    got = [tuple(x) for p in parts for x in p[["frame", "track_id", "det_id", "x1", "y1", "x2", "y2"]].itertuples(index=False)]
+    assert [x[:3] for x in got] == [x[:3] for x in want] and len(want) > 50
+    assert np.allclose(np.array(got)[:, 3:], np.array(want)[:, 3:])
+    assert (memory.next_id, memory.frame, [t.id for t in memory.tracks]) == (plain.next_id, plain.frame, [t.id for t in plain.tracks])
+    assert len(calls) < pdf["frame"].nunique() / 2
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_frames_are_counted_as_they_come(spark, rows):
+    """Images in place of frames, their numbers far apart, in batches of any size."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        want = tracker.track_table(spark.createDataFrame(frames(), SCHEMA)).toPandas()
+        apart = spark.createDataFrame(frames(), SCHEMA).withColumn("frame", F.col("frame").cast("long") * F.col("frame") * 1_000_000_007)
+        got = tracker.track_table(apart, counted=True).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    key = ["frame", "det_id"]
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
