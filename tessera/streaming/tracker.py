@@ -115,11 +115,9 @@ def _boxes(tracks: list[Track], rules: Rules) -> np.ndarray:
 def _rebuilt(track: Track, box: np.ndarray, frame: int, rules: Rules) -> None:
     """Takes the state back to the last observation and along a straight line to ``box``."""
     last, gap = np.array(track.seen[-1][1:]), frame - int(track.seen[-1][0])
-    mean, cov = (np.array([x]) for x in track.saved)
-    for i in range(1, gap):
-        mean, cov = kalman.predict(mean, cov, rules.form)
-        mean, cov = kalman.update(mean, cov, kalman.to_measure((last + (box - last) * (i / gap))[None], rules.form), rules.form)
-    mean, cov = kalman.predict(mean, cov, rules.form)
+    way = last + (box - last) * (np.arange(1, gap) / gap)[:, None]
+    mean, cov = kalman.follow(*map(np.array, track.saved), kalman.to_measure(way, rules.form), rules.form)
+    mean, cov = kalman.predict(mean[None], cov[None], rules.form)
     track.mean, track.cov = mean[0].tolist(), cov[0].tolist()
 
 

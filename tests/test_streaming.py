@@ -236,3 +236,18 @@ def test_frames_are_counted_as_they_come(spark, rows):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     key = ["frame", "det_id"]
     pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+
+
+@pytest.mark.parametrize("form", ["xyah", "xywh"])
+@pytest.mark.parametrize("turned", [False, True])
+def test_one_track_follows_as_many_do(form, turned):
+    r = np.random.default_rng(2)
+    boxes = np.cumsum(r.random((12, 2)) * 6, 0)
+    boxes = kalman.to_measure(np.hstack([boxes, boxes + 30 + r.random((12, 2)) * 9]), form)
+    mean, cov = kalman.start(boxes[:1], form)
+    if turned:
+        mean, cov = kalman.warp(mean, cov, np.array([[0.9, -0.2, 5], [0.3, 0.8, 2]]))
+    got = kalman.follow(mean[0], cov[0], boxes[1:], form)
+    for z in boxes[1:]:
+        mean, cov = kalman.update(*kalman.predict(mean, cov, form), z[None], form)
+    assert np.allclose(got[0], mean[0], rtol=1e-9) and np.allclose(got[1], cov[0], rtol=1e-9, atol=1e-12)
