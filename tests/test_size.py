@@ -114,3 +114,11 @@ def test_masks_are_sorted_without_their_pixels(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     above, below = plan.split("SortMergeJoin", 1)
     assert "flatten(" in above and "flatten(" not in below
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["tracks_hidden", "tracks_table", "tracks_observation"])
+def test_streams_are_dealt_out_once(spark, name):
+    """No rank over a stream before its tracker."""
+    plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "dense_rank" not in plan and plan.count("hashpartitioning(stream_id") == 1
