@@ -122,3 +122,18 @@ def test_streams_are_dealt_out_once(spark, name):
     """No rank over a stream before its tracker."""
     plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "dense_rank" not in plan and plan.count("hashpartitioning(stream_id") == 1
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["eval_map", "eval_ap_by_class"])
+def test_precision_keeps_no_shuffle_of_its_labels(spark, shared, name):
+    """Once the ranked rows are written, what they were made of is gone from the disks: 22 bytes a label before."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f and f.endswith(".data")}
+    size = lambda names: sum(Path(f).stat().st_size for f in names if Path(f).exists())
+    before = files()
+    query = registry.queries()[name](spark, SF)
+    end = time.monotonic() + 5
+    while (left := size(files() - before)) > 200_000 and time.monotonic() < end:
+        time.sleep(0.2)
+    assert left <= 200_000 and query.columns
