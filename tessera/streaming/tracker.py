@@ -108,8 +108,43 @@ def overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return inter / (size(a)[:, None] + size(b)[None] - inter + 1e-7)
 
 
-def _boxes(tracks: list[Track], rules: Rules) -> np.ndarray:
-    return kalman.to_box(np.array([t.mean for t in tracks]), rules.form) if tracks else np.zeros((0, 4))
+#: Up to so many pairs plain floats are faster than arrays.
+FEW = 100
+
+
+def overlaps(a: list, b: list) -> list[list[float]]:
+    """:func:`overlap` of lists of boxes, as nested lists."""
+    if len(a) * len(b) > FEW:
+        return overlap(np.array(a, float), np.array(b, float)).tolist()
+    out, sizes = [], [(q[2] - q[0]) * (q[3] - q[1]) for q in b]
+    for x1, y1, x2, y2 in a:
+        size, row = (x2 - x1) * (y2 - y1), []
+        for (u1, v1, u2, v2), other in zip(b, sizes, strict=True):
+            w, h = (x2 if x2 < u2 else u2) - (x1 if x1 > u1 else u1), (y2 if y2 < v2 else v2) - (y1 if y1 > v1 else v1)
+            inter = w * h if w > 0 and h > 0 else 0.0
+            row.append(inter / (size + other - inter + 1e-7) if inter else 0.0)
+        out.append(row)
+    return out
+
+
+def _boxes(tracks: list[Track], rules: Rules) -> list:
+    return [kalman.box_of(t.mean, rules.form) for t in tracks]
+
+
+def _predicted(tracks: list[Track], rules: Rules) -> None:
+    """Moves tracks on by a frame; lost ones keep their height, and of form ``xywh`` their width."""
+    many = []
+    for t in tracks:
+        if t.state == "lost":
+            t.mean = [*t.mean[:6], 0.0 if rules.form == "xywh" else t.mean[6], 0.0]
+        if kalman.alone(t.cov):
+            t.mean, t.cov = kalman.predict_one(t.mean, t.cov, rules.form)
+        else:
+            many.append(t)
+    if many:
+        mean, cov = kalman.predict(np.array([t.mean for t in many]), np.array([t.cov for t in many]), rules.form)
+        for t, m, c in zip(many, mean.tolist(), cov.tolist(), strict=True):
+            t.mean, t.cov = m, c
 
 
 def _rebuilt(track: Track, box: np.ndarray, frame: int, rules: Rules) -> None:
@@ -167,11 +202,10 @@ def turns(tracks: list[Track], boxes: np.ndarray, back: int) -> np.ndarray:
 
 def _hide(tracks: list[Track], others: list[Track], frame: int, rules: Rules) -> None:
     """Unmatched tracks: those that another one covers are hidden for a while, the rest are lost after two frames."""
-    mine, theirs = _boxes(tracks, rules), _boxes(others, rules)
-    low, high = np.maximum(mine[:, None, :2], theirs[None, :, :2]), np.minimum(mine[:, None, 2:], theirs[None, :, 2:])
-    inter = np.prod(np.clip(high - low, 0, None), -1)
-    share = (inter / np.maximum(np.prod(mine[:, 2:] - mine[:, :2], -1), 1e-7)[:, None]).max(1) if len(others) and len(tracks) else np.zeros(len(tracks))
-    for t, cover in zip(tracks, share, strict=True):
+    theirs = _boxes(others, rules)
+    for t, (x1, y1, x2, y2) in zip(tracks, _boxes(tracks, rules), strict=True):
+        inter = (max(0.0, min(x2, u2) - max(x1, u1)) * max(0.0, min(y2, v2) - max(y1, v1)) for u1, v1, u2, v2 in theirs)
+        cover = max(inter, default=0.0) / max((x2 - x1) * (y2 - y1), 1e-7)
         t.missed += 1
         if t.hidden:
             t.hidden += 1
@@ -196,40 +230,39 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
         for t in memory.tracks:
             t.state = "lost"
     for _ in range(max(1, frame - memory.frame) if memory.tracks else 0):
-        known = memory.tracks
-        means, lost = np.array([t.mean for t in known]), [t.state == "lost" for t in known]
-        means[lost, 7] = 0
-        if rules.form == "xywh":
-            means[lost, 6] = 0
-        mean, cov = kalman.predict(means, np.array([t.cov for t in known]), rules.form)
-        for t, m, c in zip(known, mean, cov, strict=True):
-            t.mean, t.cov = m.tolist(), c.tolist()
+        # tentative tracks stand still, so most are dropped before their covariance is asked for
+        _predicted([t for t in memory.tracks if warp is not None or t.state != "tentative"], rules)
     if warp is not None and memory.tracks:
         mean, cov = kalman.warp(np.array([t.mean for t in memory.tracks]), np.array([t.cov for t in memory.tracks]), warp)
         for t, m, c in zip(memory.tracks, mean, cov, strict=True):
             t.mean, t.cov = m.tolist(), c.tolist()
     first_frame, memory.frame = memory.frame == 0, frame
-    valid = (boxes[:, 2] > boxes[:, 0]) & (boxes[:, 3] > boxes[:, 1]) if len(boxes) else np.zeros(0, bool)
-    strong, weak = np.flatnonzero(valid & (scores >= rules.high)), np.flatnonzero(valid & (scores > rules.low) & (scores < rules.high))
+    box, score = boxes.tolist(), scores.tolist()
+    valid = [d for d, (x1, y1, x2, y2) in enumerate(box) if x2 > x1 and y2 > y1]
+    strong, weak = [d for d in valid if score[d] >= rules.high], [d for d in valid if rules.low < score[d] < rules.high]
     seen: list[tuple[Track, int]] = []
 
-    def step(tracks: list[Track], dets: np.ndarray, limit: float, fuse: bool, direction: bool = False, at_last: bool = False) -> tuple[list[Track], np.ndarray]:
-        if not tracks or not len(dets):
+    def step(tracks: list[Track], dets: list[int], limit: float, fuse: bool, direction: bool = False, at_last: bool = False) -> tuple[list[Track], list[int]]:
+        if not tracks or not dets:
             return tracks, dets
-        places = np.array([t.seen[-1][1:] if t.seen else kalman.to_box(np.array(t.mean), rules.form) for t in tracks]).reshape(-1, 4) if at_last else _boxes(tracks, rules)
-        iou = overlap(places, boxes[dets])
-        cost = 1 - (iou * scores[dets][None] if fuse else iou)
+        places = [t.seen[-1][1:] if t.seen else kalman.box_of(t.mean, rules.form) for t in tracks] if at_last else _boxes(tracks, rules)
+        weights = [score[d] if fuse else 1.0 for d in dets]
+        cost = [[1 - iou * w for iou, w in zip(row, weights, strict=True)] for row in overlaps(places, [box[d] for d in dets])]
+        if min(map(min, cost)) > limit:  # another direction costs more still
+            return tracks, dets
+        cost = np.array(cost)
         if direction and rules.inertia:
             cost = cost + rules.inertia * turns(tracks, boxes[dets], rules.back)
         pairs = match(cost, limit) if (cost <= limit).any() else []
         if not pairs:
             return tracks, dets
-        chosen = [tracks[i] for i, _ in pairs]
-        at = dets[[j for _, j in pairs]] if pairs else np.zeros(0, int)
+        chosen, at = [tracks[i] for i, _ in pairs], [dets[j] for _, j in pairs]
+        if warp is None:
+            _predicted([t for t in chosen if t.state == "tentative"], rules)
         _hit(chosen, boxes[at], scores[at], classes[at], frame, rules)
-        seen.extend(zip(chosen, at.tolist(), strict=True))
+        seen.extend(zip(chosen, at, strict=True))
         taken_t, taken_d = {i for i, _ in pairs}, {j for _, j in pairs}
-        return [t for i, t in enumerate(tracks) if i not in taken_t], np.array([d for j, d in enumerate(dets) if j not in taken_d], int)
+        return [t for i, t in enumerate(tracks) if i not in taken_t], [d for j, d in enumerate(dets) if j not in taken_d]
 
     tentative = [t for t in memory.tracks if t.state == "tentative"]
     pool = [t for t in memory.tracks if t.state != "tentative"]
@@ -252,12 +285,12 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
     if first_frame and rules.new_overlap < 1:  # they are tracked at once, so that each may stand in the next one's way
         for d in strong:
             active = [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]
-            if not active or overlap(boxes[d : d + 1], _boxes(active, rules)).max() < rules.new_overlap:
-                seen.extend(_started(memory, boxes, scores, classes, np.array([d]), frame, rules, "tracked"))
+            if not active or max(overlaps([box[d]], _boxes(active, rules))[0]) < rules.new_overlap:
+                seen.extend(_started(memory, box, score, classes, [d], frame, rules, "tracked"))
     else:
-        if rules.new_overlap < 1 and len(strong) and (active := [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]):
-            strong = strong[overlap(boxes[strong], _boxes(active, rules)).max(1) < rules.new_overlap]
-        seen.extend(_started(memory, boxes, scores, classes, strong, frame, rules, "tracked" if first_frame else "tentative"))
+        if rules.new_overlap < 1 and strong and (active := [t for t in memory.tracks if t.state == "tracked" and t.id not in dropped]):
+            strong = [d for d, row in zip(strong, overlaps([box[d] for d in strong], _boxes(active, rules)), strict=True) if max(row) < rules.new_overlap]
+        seen.extend(_started(memory, box, score, classes, strong, frame, rules, "tracked" if first_frame else "tentative"))
     memory.tracks = [t for t in memory.tracks if t.id not in dropped and _kept(t, frame, rules)]
     drop = duplicates(memory.tracks, rules)
     memory.tracks = [t for t in memory.tracks if t.id not in drop]
@@ -265,15 +298,13 @@ def advance(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.n
     return [(t, d) for t, d in seen if t.state == "tracked" and t.id in alive]
 
 
-def _started(memory: Memory, boxes: np.ndarray, scores: np.ndarray, classes: np.ndarray, dets: np.ndarray, frame: int, rules: Rules, state: str) -> list[tuple[Track, int]]:
+def _started(memory: Memory, boxes: list, scores: list, classes: np.ndarray, dets: list[int], frame: int, rules: Rules, state: str) -> list[tuple[Track, int]]:
     """New tracks from the detections that score enough, with these."""
-    dets = dets[scores[dets] >= rules.new]
-    if not len(dets):
-        return []
-    mean, cov = kalman.start(kalman.to_measure(boxes[dets], rules.form), rules.form)
     out = []
-    for d, m, c in zip(dets.tolist(), mean.tolist(), cov.tolist(), strict=True):
-        t = Track(memory.next_id, state, float(scores[d]), int(classes[d]), frame, frame, m, c)
+    for d in dets:
+        if not scores[d] >= rules.new:
+            continue
+        t = Track(memory.next_id, state, scores[d], int(classes[d]), frame, frame, *kalman.start_one(kalman.measure_of(boxes[d], rules.form), rules.form))
         _remember(t, boxes[d], frame, rules)
         memory.next_id += 1
         memory.tracks.append(t)
@@ -291,8 +322,9 @@ def duplicates(tracks: list[Track], rules: Rules) -> set[int]:
     a, b = [t for t in tracks if t.state == "tracked"], [t for t in tracks if t.state == "lost"]
     if not a or not b:
         return set()
-    near = 1 - overlap(_boxes(a, rules), _boxes(b, rules)) < rules.duplicate
-    return {a[i].id if a[i].frame - a[i].start <= b[j].frame - b[j].start else b[j].id for i, j in zip(*np.nonzero(near), strict=True)}
+    rows = overlaps(_boxes(a, rules), _boxes(b, rules))
+    near = ((x, y) for x, row in zip(a, rows, strict=True) for y, iou in zip(b, row, strict=True) if 1 - iou < rules.duplicate)
+    return {x.id if x.frame - x.start <= y.frame - y.start else y.id for x, y in near}
 
 
 OUT = "stream_id long, frame int, track_id long, det_id int, cls int, score double, x1 double, y1 double, x2 double, y2 double"
@@ -370,8 +402,8 @@ class Frames:
                 t.mean, t.cov = m, c
         memory.tracks, memory.frame = lost, frame
         memory.next_id += int(self.new[end - 1] - self.new[k])
-        dets = np.arange(self.starts[end - 1], self.starts[end])
-        _started(memory, self.boxes, self.scores, self.classes, dets[self.strong[dets]], frame, rules, "tentative")
+        rows = slice(self.starts[end - 1], self.starts[end])
+        _started(memory, self.boxes[rows].tolist(), self.scores[rows].tolist(), self.classes[rows], np.flatnonzero(self.strong[rows]).tolist(), frame, rules, "tentative")
 
 
 def run_frames(memory: Memory, stream_id: int, pdf: pd.DataFrame, rules: Rules) -> pd.DataFrame:

@@ -251,3 +251,37 @@ def test_one_track_follows_as_many_do(form, turned):
     for z in boxes[1:]:
         mean, cov = kalman.update(*kalman.predict(mean, cov, form), z[None], form)
     assert np.allclose(got[0], mean[0], rtol=1e-9) and np.allclose(got[1], cov[0], rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("form", ["xyah", "xywh"])
+def test_plain_floats_are_the_arrays_filter(form):
+    r = np.random.default_rng(6)
+    boxes = r.random((9, 2)) * 50
+    boxes = np.hstack([boxes, boxes + 20 + r.random((9, 2)) * 40])
+    other = np.vstack([boxes[::-1] + 5, [[9, 9, 9, 30], [40, 40, 20, 20], [500, 500, 510, 510]]])
+    measures = kalman.to_measure(boxes, form)
+    mean, cov = kalman.start(measures, form)
+    for _ in range(3):
+        one = [kalman.predict_one(m, c, form) for m, c in zip(mean.tolist(), cov.tolist(), strict=True)]
+        mean, cov = kalman.predict(mean, cov, form)
+        assert np.allclose([m for m, _ in one], mean, rtol=1e-12) and np.allclose([c for _, c in one], cov, rtol=1e-12)
+        assert np.allclose([kalman.box_of(m, form) for m, _ in one], kalman.to_box(mean, form), rtol=1e-12) and all(kalman.alone(c) for _, c in one)
+        mean, cov = kalman.update(mean, cov, measures + 2, form)
+    assert [kalman.measure_of(b, form) for b in boxes.tolist()] == measures.tolist()
+    began = [kalman.start_one(m, form) for m in measures.tolist()]
+    assert np.array_equal([m for m, _ in began], kalman.start(measures, form)[0]) and np.allclose([c for _, c in began], kalman.start(measures, form)[1], rtol=1e-12)
+    assert not kalman.alone(kalman.warp(mean, cov, np.array([[0.9, -0.2, 5], [0.3, 0.8, 2]]))[1][0].tolist())
+    few = tracker.overlaps(boxes[:3].tolist(), other.tolist())
+    assert np.allclose(few, tracker.overlap(boxes[:3], other)) and np.allclose(tracker.overlaps(boxes.tolist(), other.tolist()), tracker.overlap(boxes, other)) and len(boxes) * len(other) > tracker.FEW
+
+
+@pytest.mark.parametrize("rules", [tracker.BYTE, tracker.OC, tracker.FAST])
+def test_frames_of_few_boxes_make_no_arrays_of_states(rules, monkeypatch):
+    """Only hits do: arrays of a few tracks take ten times as long as plain floats."""
+    for name in ("predict", "start", "to_measure"):
+        monkeypatch.setattr(kalman, name, lambda *a, name=name: pytest.fail(name))
+    memory, r = tracker.Memory(), np.random.default_rng(1)
+    for f in range(1, 40):
+        at = r.integers(0, 100_000, (4, 2)).astype(float)
+        tracker.advance(memory, np.hstack([at, at + 30]), np.full(4, 0.9), np.zeros(4, int), f, rules)
+    assert memory.frame == 39 and memory.next_id == 4 * 39 + 1
