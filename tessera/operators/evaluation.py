@@ -13,7 +13,7 @@ from tessera.functions.boxes import area, cols, iou, overlaps, prob_iou
 from tessera.functions.kernels import group_slices, whole_groups
 from tessera.storage import settled, written
 
-from .scans import parts_for, running_sums
+from .scans import parts_for, running_sums, tasks_for
 
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 EPS = 1e-16
@@ -139,7 +139,7 @@ def ranked_curve(rows: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataF
 def _counted(rows: DataFrame, size: int, flags: list[Column]) -> DataFrame:
     rows = rows.withColumn("bucket", (-F.floor(F.col("conf") * parts_for(size))).cast("long"))
     order = [F.desc("conf"), F.col("image_id"), F.col("det_id")]
-    return running_sums(rows, ["cls"], "bucket", order, {"n": F.lit(1)} | {f"c{i}": f.cast("int") for i, f in enumerate(flags)})
+    return running_sums(rows, ["cls"], "bucket", order, {"n": F.lit(1)} | {f"c{i}": f.cast("int") for i, f in enumerate(flags)}, tasks_for(rows.sparkSession, size))
 
 
 def counts_at(points: DataFrame, i: int) -> DataFrame:

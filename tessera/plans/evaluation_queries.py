@@ -50,7 +50,7 @@ AP = f"""{CURVE}, pr as (
 
 def _points(s, d):
     pred, gt = T(s, d, "pred", "gt")
-    return pred, gt, ev.ranked_curve(ev.ranked(pred, gt))
+    return pred, gt, ev.ranked_curve(ev.ranked(*(table(s, d, n, dealt=True) for n in ("pred", "gt"))))
 
 
 def eval_matches(s, d):

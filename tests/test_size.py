@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tessera.operators import evaluation as ev
-from tessera.operators import suppress
+from tessera.operators import scans, suppress
 from tessera.plans import registry, result_queries
 from tessera.plans.canonical import table
 from tessera.storage import CLEANUP, written
@@ -137,3 +137,21 @@ def test_precision_keeps_no_shuffle_of_its_labels(spark, shared, name):
     while (left := size(files() - before)) > 200_000 and time.monotonic() < end:
         time.sleep(0.2)
     assert left <= 200_000 and query.columns
+
+
+@needs_tables
+def test_labels_are_dealt_out_by_their_number(spark, shared, monkeypatch):
+    """However few partitions a session has, a task sorts no more than its rows in memory: what it holds beyond that is spilled to its disk."""
+    want, made = registry.queries()["eval_map"](spark, SF).collect(), []
+    n, before = table(spark, SF, "gt").count(), spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(scans, "TASK_ROWS", 3000, raising=False)
+    monkeypatch.setattr(ev, "written", lambda df: (made.append(df), written(df))[1])
+    spark.conf.set("spark.sql.shuffle.partitions", 2)
+    try:
+        query = registry.queries()["eval_map"](spark, SF)
+        rows, points = (df._jdf.queryExecution().executedPlan().toString() for df in (made[0], query))
+        assert query.collect() == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", rows)) == {str(n // 3000)}
+    assert re.search(rf"Exchange hashpartitioning\(cls#\d+, bucket#\d+L, {made[0].count() // 3000}\), REPARTITION_BY_NUM", points)
