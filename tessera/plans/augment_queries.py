@@ -212,7 +212,7 @@ def tracked(s, d, rules):
 
     They are counted as they come to the tracker, sorted: streams are dealt out and sorted once.
     """
-    rows = written(table(s, d, "pred").select("image_id", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
+    rows = written(table(s, d, "pred", dealt=True).select("image_id", "det_id", "cls", "conf", "x1", "y1", "x2", "y2"))
     frame = F.coalesce("image_id", F.lit(0))  # without an image there is no stream either, and one frame
     return tracker.track_table(rows.withColumns({"stream_id": F.col("image_id") % 4, "frame": frame}), rules, counted=True)
 

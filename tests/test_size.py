@@ -12,7 +12,7 @@ import pytest
 
 from tessera.operators import evaluation as ev
 from tessera.operators import scans, suppress
-from tessera.plans import registry, result_queries
+from tessera.plans import augment_queries, registry, result_queries
 from tessera.plans.canonical import table
 from tessera.storage import CLEANUP, written
 
@@ -155,3 +155,14 @@ def test_labels_are_dealt_out_by_their_number(spark, shared, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert set(re.findall(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", rows)) == {str(n // 3000)}
     assert re.search(rf"Exchange hashpartitioning\(cls#\d+, bucket#\d+L, {made[0].count() // 3000}\), REPARTITION_BY_NUM", points)
+
+
+@needs_tables
+def test_tracked_labels_are_dealt_out_by_their_number(spark, shared, monkeypatch):
+    """The same before a tracker."""
+    made, parts = [], int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    monkeypatch.setattr(scans, "TASK_ROWS", table(spark, SF, "gt").count() // parts)
+    monkeypatch.setattr(augment_queries, "written", lambda df: (made.append(df), df)[1])
+    registry.queries()["tracks_hidden"](spark, SF)
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert int(re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= parts
